@@ -14,6 +14,7 @@ from .. import schemas
 from ..operators import reports as R
 from ..sources.tables import ANCHOR_SUBJECT, DriverTables
 from . import oracle
+from .ops_registry import ops_oracle_sql, ops_queries
 
 # Registry parameters: reference defaults, with the fixture thresholds.
 PARAMS = dict(schemas.REPORT_DEFAULTS)
@@ -60,10 +61,12 @@ def report_queries(p: dict = PARAMS) -> dict[str, Query]:
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(report_queries())
+    q.update(ops_queries())
     return q
 
 
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     o.update(oracle.report_sql(PARAMS))
+    o.update(ops_oracle_sql())
     return o
