@@ -60,13 +60,16 @@ def score_band(col: Column, bands=None, floor_label: str | None = None) -> Colum
     return expr.otherwise(F.lit(floor_label))
 
 
-# Whitespace as trimmed by the import (ASCII and Unicode spaces).
-_WS = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Whitespace trimmed by the import: ASCII whitespace and the Unicode space
+# characters (fixed list).
+WHITESPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+              "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def trim_all(col: Column) -> Column:
-    """Trim ASCII and Unicode whitespace from both ends."""
-    return F.regexp_replace(col, f"^{_WS}+|{_WS}+$", "")
+    """Trim ASCII and Unicode whitespace from both ends (btrim over a
+    character set: no regular expression)."""
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def blank_to_null(col: Column) -> Column:

@@ -130,47 +130,46 @@ def unpivot_scores(wide: DataFrame, mapping: DataFrame, id_cols=("cand_reg_numbe
 # D5 -------------------------------------------------------------------------
 def check_constraints(t: Tables, tables=None) -> DataFrame:
     """(table, rule, violations) for primary keys, foreign keys, NOT NULL
-    and VARCHAR lengths. One aggregate pass per check; union of the counts."""
-    want = set(tables or schemas.PRIMARY_KEYS)
+    and VARCHAR lengths.
+
+    One pass per child table: each parent's distinct key set is joined on
+    with a marker column, and every FK, NOT NULL and length count of that
+    table comes out of a single aggregate (then unpivoted to rows). Primary
+    keys need their own group-by per table."""
+    want = [n for n in schemas.PRIMARY_KEYS if not tables or n in tables]
 
     def tab(name):
         return t.candidate() if name == "candidate" else t.table(name)
 
     parts = []
-    for name, pk in schemas.PRIMARY_KEYS.items():
-        if name not in want:
-            continue
-        dup = (tab(name).groupBy(*pk).count().where(F.col("count") > 1)
-               .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("violations")))
+    for name in want:
+        pk = schemas.PRIMARY_KEYS[name]
+        dup = (tab(name).groupBy(*pk).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+               .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("violations")))
         parts.append(dup.select(F.lit(name).alias("table"), F.lit(f"pk({','.join(pk)})").alias("rule"),
-                                F.col("violations").cast("long")))
-    for child, col, parent, pcol in schemas.FOREIGN_KEYS:
-        if child not in want:
-            continue
-        c = tab(child).select(F.col(col).alias("_k")).where(F.col("_k").isNotNull())
-        p = tab(parent).select(F.col(pcol).alias("_k"))
-        orphans = c.join(p, "_k", "left_anti").agg(F.count(F.lit(1)).alias("violations"))
-        parts.append(orphans.select(F.lit(child).alias("table"),
-                                    F.lit(f"fk({col}->{parent}.{pcol})").alias("rule"),
-                                    F.col("violations").cast("long")))
-    for name, cols in schemas.NOT_NULL.items():
-        if name not in want:
-            continue
-        agg = tab(name).agg(*[count_if(F.col(c).isNull()).alias(c) for c in cols])
-        for c in cols:
-            parts.append(agg.select(F.lit(name).alias("table"), F.lit(f"not_null({c})").alias("rule"),
-                                    F.col(c).cast("long").alias("violations")))
-    for name, limits in schemas.VARCHAR_LIMITS.items():
-        if name not in want:
-            continue
+                                "violations"))
         df = tab(name)
-        present = {c: n for c, n in limits.items() if c in df.columns}
-        if not present:
+        counts = []
+        for i, (child, col, parent, pcol) in enumerate(schemas.FOREIGN_KEYS):
+            if child != name:
+                continue
+            keys = tab(parent).select(F.col(pcol).alias(f"_pk{i}")).distinct() \
+                .withColumn(f"_hit{i}", F.lit(True))
+            df = df.join(keys, F.col(col) == F.col(f"_pk{i}"), "left")
+            counts.append((f"fk({col}->{parent}.{pcol})",
+                           count_if(F.col(col).isNotNull() & F.col(f"_hit{i}").isNull())))
+        for c in schemas.NOT_NULL.get(name, []):
+            counts.append((f"not_null({c})", count_if(F.col(c).isNull())))
+        for c, n in schemas.VARCHAR_LIMITS.get(name, {}).items():
+            if c in df.columns:
+                counts.append((f"length({c})<={n}", count_if(F.length(F.col(c).cast("string")) > n)))
+        if not counts:
             continue
-        agg = df.agg(*[count_if(F.length(F.col(c).cast("string")) > n).alias(c) for c, n in present.items()])
-        for c, n in present.items():
-            parts.append(agg.select(F.lit(name).alias("table"), F.lit(f"length({c})<={n}").alias("rule"),
-                                    F.col(c).cast("long").alias("violations")))
+        agg = df.agg(*[e.cast("long").alias(f"c{j}") for j, (_, e) in enumerate(counts)])
+        rows = agg.select(F.explode(F.array(*[
+            F.struct(F.lit(rule).alias("rule"), F.col(f"c{j}").alias("violations"))
+            for j, (rule, _) in enumerate(counts)])).alias("r"))
+        parts.append(rows.select(F.lit(name).alias("table"), "r.rule", "r.violations"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -598,6 +598,41 @@ FROM checked WHERE error_message = '' GROUP BY year, statecode""", RAW_CANDIDATE
 
 def ops_oracle_sql():
     o = {}
-    for f in (_import_sql, _upsert_sql, _resolve_sql, _questions_sql, _model_sql):
+    for f in (_import_sql, _upsert_sql, _resolve_sql, _questions_sql, _model_sql, _constraints_sql):
         o.update(f())
     return o
+
+
+# Columns of the projected tables (for the constraint oracle).
+PROJECTED_COLUMNS = {
+    "candidate": ["regnumber", "surname", "firstname", "gender", "statecode", "lg_id", "aggregate",
+                  "year", "is_admitted", "app_course1", "inid"],
+    "course": ["course_code", "course_name", "facid"],
+    "institution": ["inid", "inabv", "inname", "inst_state_id", "intyp"],
+    "state": ["st_id", "st_name", "st_region"],
+}
+
+
+def _constraints_sql():
+    from .. import schemas
+    parts = []
+    for name, pk in schemas.PRIMARY_KEYS.items():
+        keys = ", ".join(pk)
+        parts.append(f"""SELECT '{name}' AS "table", 'pk({','.join(pk)})' AS rule,
+  CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS violations
+FROM (SELECT count(*) AS n FROM {name} GROUP BY {keys} HAVING count(*) > 1) d""")
+        for child, col, parent, pcol in schemas.FOREIGN_KEYS:
+            if child != name:
+                continue
+            parts.append(f"""SELECT '{child}', 'fk({col}->{parent}.{pcol})',
+  CAST(count(*) AS BIGINT) FROM {child} x
+WHERE x.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pcol} = x.{col})""")
+        for c in schemas.NOT_NULL.get(name, []):
+            parts.append(f"SELECT '{name}', 'not_null({c})', CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) FROM {name}")
+        cols = PROJECTED_COLUMNS.get(name)
+        for c, n in schemas.VARCHAR_LIMITS.get(name, {}).items():
+            if cols is not None and c in cols:
+                parts.append(f"SELECT '{name}', 'length({c})<={n}', "
+                             f"CAST(count(*) FILTER (WHERE length(CAST({c} AS VARCHAR)) > {n}) AS BIGINT) FROM {name}")
+    return {"check_constraints": with_base("\nUNION ALL\n".join(parts))}
+
