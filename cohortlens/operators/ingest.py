@@ -47,6 +47,8 @@ def read_candidate_csv(spark: SparkSession, paths, schema: T.StructType | None =
     """Candidate CSV files -> all-string columns named by the header, plus
     ``source_file`` and ``_corrupt_record`` (set for a row whose field count
     differs from the header's). Files are split and read in parallel."""
+    # Malformed-row detection needs full-row parsing (see session.py).
+    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     schema = schema or _string_schema(spark, paths, upper_headers=False)
     df = (spark.read.schema(schema)
           .options(header=True, mode="PERMISSIVE", quote='"', escape='"',

@@ -151,7 +151,7 @@ def check_constraints(t: Tables, tables=None) -> DataFrame:
         df = tab(name)
         counts = []
         for i, (child, col, parent, pcol) in enumerate(schemas.FOREIGN_KEYS):
-            if child != name:
+            if child != name or parent not in want or col not in df.columns:
                 continue
             keys = tab(parent).select(F.col(pcol).alias(f"_pk{i}")).distinct() \
                 .withColumn(f"_hit{i}", F.lit(True))
@@ -182,7 +182,8 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
         F.array(*[F.lit(c) for c in raw.columns]),
         F.array(*[F.col(f"`{c}`") for c in raw.columns]))).alias("region", "states"))
     from .resolve import clean_state_name
-    return pairs.select("region", clean_state_name(F.explode("states")).alias("st_name"))
+    return (pairs.select("region", F.explode("states").alias("st_name"))
+            .select("region", clean_state_name(F.col("st_name")).alias("st_name")))
 
 
 def region_summary(t: Tables, regions: DataFrame) -> DataFrame:

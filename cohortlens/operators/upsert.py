@@ -83,12 +83,26 @@ def write_upsert(spark: SparkSession, target_path: str, batch: DataFrame,
     staged = scratch_path(spark, f"upsert-stage-{uuid.uuid4().hex}")
     (untouched_in_parts.unionByName(merged.select(*target.columns))
      .write.mode("overwrite").partitionBy(partition_col).parquet(staged))
-    (spark.read.parquet(staged).write.mode("overwrite")
+    staged_df = spark.read.parquet(staged)
+    # Touched partitions (a few year values) that end up empty are not
+    # rewritten by a dynamic overwrite; remove them explicitly.
+    touched = {r[0] for r in parts.collect()}
+    written = {r[0] for r in staged_df.select(partition_col).distinct().collect()}
+    (staged_df.write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col)
      .parquet(target_path))
+    for value in touched - written:
+        _delete_path(spark, f"{target_path.rstrip('/')}/{partition_col}={value}")
     return staged
 
 
+def _delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(p, True)
+
+
 # S8 -------------------------------------------------------------------------
 def upsert_courses(target: DataFrame, batch: DataFrame, now: Column | None = None,
                    seq: str = "_seq") -> DataFrame:

@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # A CSV row with the wrong number of fields is only detected when the
+    # whole row is tokenised; imports must see every malformed row.
+    "spark.sql.csv.parser.columnPruning.enabled": "false",
 }
 
 
