@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.exprs import trim_all
+from .theta import contains_pairs
 
 
 # N1 -------------------------------------------------------------------------
@@ -64,7 +65,7 @@ def category_keywords(spark: SparkSession, categories=schemas.COURSE_CATEGORIES)
 
 
 def match_courses(questions: DataFrame, names: DataFrame, id_col: str = "question_id",
-                  col: str = "question") -> DataFrame:
+                  col: str = "question", force_shuffle: bool = False) -> DataFrame:
     """SQL LIKE patterns for the courses a question mentions.
 
     (a) every course whose lower-cased name occurs in the question;
@@ -75,16 +76,17 @@ def match_courses(questions: DataFrame, names: DataFrame, id_col: str = "questio
         of at least 3 bytes;
     (d) only when still nothing and the question says course/program: the
         literal fallback pattern.
-    ``names`` is (key, name) from ``course_names``; it and the keyword table
-    are dimensions, joined as broadcast theta joins.
+    ``names`` is (key, name) from ``course_names``. Substring joins go
+    through ``theta.contains_pairs``: broadcast when a side is of checked
+    small size, else an exact n-gram equi-join. The keyword table is fixed.
     Output: (question_id, pattern, stage) with unique patterns per question.
     """
     spark = questions.sparkSession
     q = questions.select(F.col(id_col).alias("qid"), F.lower(F.col(col)).alias("q"))
-    nm = F.broadcast(names.select("key", "name"))
-    kw = F.broadcast(category_keywords(spark))
+    nm = names.select("key", "name")
+    kw = F.broadcast(category_keywords(spark))   # fixed keyword table
 
-    a = (q.join(nm, F.col("q").contains(F.col("key")))
+    a = (contains_pairs(q, "q", nm, "key", force_shuffle=force_shuffle)
          .select("qid", "name", F.lit("a").alias("stage")))
 
     first_cat = (q.join(kw, F.col("q").contains(F.col("keyword")))
@@ -101,7 +103,7 @@ def match_courses(questions: DataFrame, names: DataFrame, id_col: str = "questio
     none_yet = q.join(ab.select("qid").distinct(), "qid", "left_anti")
     words = (none_yet.select("qid", "q", F.explode(F.split(trim_all(F.col("q")), r"\s+")).alias("w"))
              .where(F.octet_length("w") >= schemas.COURSE_WORD_MIN_BYTES))
-    c = (words.join(nm, F.col("key").contains(F.col("w")))
+    c = (contains_pairs(nm, "key", words, "w", force_shuffle=force_shuffle)
          .select("qid", "name", F.lit("c").alias("stage")))
 
     abc = ab.unionByName(c)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.exprs import blank_to_null, trim_all
+from .theta import edit_distance_pairs
 
 
 def _alias_map(aliases: dict[str, str]) -> Column:
@@ -29,7 +30,8 @@ def clean_state_name(col: Column, aliases: dict[str, str] = schemas.STATE_ALIASE
 
 def resolve_states(df: DataFrame, col: str, state: DataFrame,
                    max_distance: int = schemas.STATE_MAX_DISTANCE,
-                   aliases: dict[str, str] = schemas.STATE_ALIASES) -> DataFrame:
+                   aliases: dict[str, str] = schemas.STATE_ALIASES,
+                   force_shuffle: bool = False) -> DataFrame:
     """Adds ``st_id`` and ``state_match`` (exact / fuzzy / NULL = unresolved).
 
     Exact match after cleaning and aliases; otherwise the nearest state name
@@ -41,12 +43,12 @@ def resolve_states(df: DataFrame, col: str, state: DataFrame,
     exact = (names.join(st, F.col("_clean") == F.col("st_name"), "left")
              .select("_raw", "_clean", F.col("st_id").alias("_exact")))
     unmatched = exact.where(F.col("_exact").isNull()).select("_raw", "_clean")
-    # Theta join against the broadcast state list, only pairs within bound.
-    dist = F.levenshtein(F.col("_clean"), F.col("st_name"), max_distance)
-    near = (unmatched.join(F.broadcast(st), dist >= 0)
+    # Pairs within the distance bound: broadcast nested loop against a state
+    # list of checked size, else an exact deletion-neighbourhood join.
+    near = (edit_distance_pairs(unmatched, "_clean", st, "st_name", max_distance,
+                                force_shuffle=force_shuffle)
             .groupBy("_raw")
-            .agg(F.min_by("st_id", F.struct(F.levenshtein(F.col("_clean"), F.col("st_name")),
-                                            F.col("st_id"))).alias("_fuzzy")))
+            .agg(F.min_by("st_id", F.struct("_dist", "st_id")).alias("_fuzzy")))
     resolved = (exact.join(near, "_raw", "left")
                 .select("_raw", F.coalesce("_exact", "_fuzzy").alias("st_id"),
                         F.when(F.col("_exact").isNotNull(), F.lit("exact"))

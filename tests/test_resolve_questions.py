@@ -128,3 +128,26 @@ def test_sql_extraction(spark):
     assert out[5]["error"] == "no SQL query found in response"
     assert out[6]["sql_query"] is None
     assert out[7]["sql_query"] == "SELECT count(*) FROM t"
+
+
+def test_theta_fallbacks_match_broadcast(spark):
+    """The shuffle (equi-join) paths give the same answers as the broadcast
+    nested loops."""
+    inputs = [(k,) for k in schemas.STATE_ALIASES] + [
+        (" lagos ",), ("LAGOSS",), ("LAGXSS",), ("XX",), ("OYOO",), ("O",), ("",), ("KANOXYZ",)]
+    df = spark.createDataFrame(inputs, "name string")
+    a = rows(resolve.resolve_states(df, "name", _states(spark)), "name")
+    b = rows(resolve.resolve_states(df, "name", _states(spark), force_shuffle=True), "name")
+    assert a == b
+    courses = spark.createDataFrame([("Medicine and Surgery",), ("Law",), ("Computer Science",),
+                                     ("Civil Engineering",), ("Nursing",), ("IT",), ("Art",)],
+                                    "course_name string")
+    names = Q.course_names(courses)
+    qs = spark.createDataFrame([
+        (1, "How many applied for law?"), (2, "Applicants to medical programmes"),
+        (3, "students of nursin"), (4, "Show me the top 5 courses"), (5, "it and art"),
+        (6, "civil engineering and software"), (7, "lawyers in civil service")],
+        "question_id int, question string")
+    x = rows(Q.match_courses(qs, names), "question_id", "pattern")
+    y = rows(Q.match_courses(qs, names, force_shuffle=True), "question_id", "pattern")
+    assert x == y and len(x) > 5
