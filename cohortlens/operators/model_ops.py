@@ -86,7 +86,8 @@ def candidate_profiles(t: Tables) -> DataFrame:
         F.struct("lg_id", "lg_name").alias("lga"),
         F.coalesce("scores", F.array().cast("array<struct<subject_id:int,year:int,su_name:string,score:int>>"))
         .alias("scores"))
-    return c.select("regnumber", F.to_json(prof).alias("profile"))
+    # Null fields are kept so every profile has the same keys.
+    return c.select("regnumber", F.to_json(prof, {"ignoreNullFields": "false"}).alias("profile"))
 
 
 # D2 -------------------------------------------------------------------------

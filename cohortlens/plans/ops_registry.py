@@ -570,6 +570,23 @@ WHERE c.is_admitted GROUP BY s.st_name""")
 SELECT co.course_name, count(*) AS applicants FROM candidate c
 LEFT JOIN course co ON c.app_course1 = co.course_code
 WHERE lower(co.course_name) LIKE '%ring%' GROUP BY co.course_name""")
+    q["candidate_profiles"] = with_base("""
+SELECT c.regnumber,
+       to_json({'regnumber': c.regnumber, 'surname': c.surname, 'gender': c.gender,
+                'aggregate': c.aggregate, 'year': c.year,
+                'state': {'st_id': c.statecode, 'st_name': s.st_name},
+                'lga': {'lg_id': c.lg_id, 'lg_name': l.lg_name},
+                'scores': coalesce(sc.scores, [])}) AS profile
+FROM candidate c
+LEFT JOIN state s ON c.statecode = s.st_id
+LEFT JOIN lga l ON c.lg_id = l.lg_id
+LEFT JOIN sc ON sc.cand_reg_number = c.regnumber""", """
+sc AS (
+  SELECT cs.cand_reg_number,
+         list({'subject_id': cs.subject_id, 'year': cs.year, 'su_name': su.su_name, 'score': cs.score}
+              ORDER BY cs.subject_id, cs.year) AS scores
+  FROM candidate_scores cs JOIN subject su ON cs.subject_id = su.su_id
+  GROUP BY cs.cand_reg_number)""")
     q["institution_name_asof"] = with_base("""
 SELECT c.regnumber, h.inname AS name_asof, h.inabv AS abv_asof
 FROM candidate c LEFT JOIN hist h
