@@ -572,11 +572,11 @@ LEFT JOIN course co ON c.app_course1 = co.course_code
 WHERE lower(co.course_name) LIKE '%ring%' GROUP BY co.course_name""")
     q["candidate_profiles"] = with_base("""
 SELECT c.regnumber,
-       to_json({'regnumber': c.regnumber, 'surname': c.surname, 'gender': c.gender,
+       CAST(to_json({'regnumber': c.regnumber, 'surname': c.surname, 'gender': c.gender,
                 'aggregate': c.aggregate, 'year': c.year,
                 'state': {'st_id': c.statecode, 'st_name': s.st_name},
                 'lga': {'lg_id': c.lg_id, 'lg_name': l.lg_name},
-                'scores': coalesce(sc.scores, [])}) AS profile
+                'scores': coalesce(sc.scores, [])}) AS VARCHAR) AS profile
 FROM candidate c
 LEFT JOIN state s ON c.statecode = s.st_id
 LEFT JOIN lga l ON c.lg_id = l.lg_id
