@@ -212,3 +212,31 @@ class DriverTables(Tables):
         return (lines.groupBy(F.col("l_orderkey").alias("cand_reg_number"),
                               F.col("su_id").alias("subject_id"), "year")
                 .agg(F.max(F.floor("l_quantity").cast("int")).alias("score")))
+
+
+# -- stored tables -------------------------------------------------------------
+CANONICAL_TABLES = ["state", "lga", "faculty", "course", "institution", "institution_type",
+                    "subject", "candidate", "candidate_scores"]
+YEAR_PARTITIONED = {"candidate", "candidate_scores"}
+
+
+def materialize(t: Tables, out_dir: str, tables=CANONICAL_TABLES, mode: str = "overwrite") -> None:
+    """Write the canonical tables as Parquet under ``out_dir/<name>``; the
+    facts are partitioned by year, so a latest-year report reads one
+    partition. Run once per load; reports then read the stored tables."""
+    for name in tables:
+        df = t.candidate() if name == "candidate" else t.table(name)
+        w = df.write.mode(mode)
+        if name in YEAR_PARTITIONED:
+            # Cluster rows of a year together so each task writes few files.
+            df = df.repartition("year")
+            w = df.write.mode(mode).partitionBy("year")
+        w.parquet(f"{out_dir.rstrip('/')}/{name}")
+
+
+class StoredTables(FrameTables):
+    """Canonical tables read from ``base_dir/<name>`` Parquet folders."""
+
+    def __init__(self, spark: SparkSession, base_dir: str, tables=CANONICAL_TABLES):
+        base = base_dir.rstrip("/")
+        super().__init__(spark, **{n: spark.read.parquet(f"{base}/{n}") for n in tables})
