@@ -124,29 +124,38 @@ def clean_candidates(df: DataFrame, opts: ImportOptions = ImportOptions()) -> Da
 
     Text is trimmed with blanks as NULL; gender is normalised; flags parse
     yes/true/1; integers use try_cast and a non-blank value that does not
-    cast is an error on the row (not an exception)."""
+    cast is an error on the row (not an exception).
+
+    Two projections: every source column is trimmed once into ``_b_<col>``;
+    typed values and error messages are then computed from those columns
+    (Catalyst keeps the projections apart instead of repeating the trim)."""
+    present = [n for n in CANDIDATE_TYPES if n in df.columns]
+    keep = [c for c in ("source_file", CORRUPT) if c in df.columns]
+    blanked = df.select(*keep, *[blank_to_null(F.col(n)).alias(f"_b_{n}") for n in present])
     out, errs = [], []
     for name, typ in CANDIDATE_TYPES.items():
-        if name not in df.columns:
+        if name not in present:
             out.append(F.lit(None).cast(typ).alias(name))
             continue
-        raw = blank_to_null(F.col(name))
+        b = F.col(f"_b_{name}")
         if name == "gender":
-            v = norm_gender(F.col(name))
+            v = norm_gender(b)
         elif typ == "boolean":
-            v = parse_flag(F.col(name))
+            v = F.when(b.isNull(), F.lit(None).cast("boolean")).otherwise(
+                F.lower(b).isin(*schemas.FLAG_TRUE_VALUES))
         elif typ == "int":
-            v = raw.try_cast("int")
-            errs.append(_err(raw.isNotNull() & v.isNull(),
-                             F.concat(F.lit(f"invalid integer for {name}: '"), raw, F.lit("'"))))
+            v = b.try_cast("int")
+            errs.append(_err(b.isNotNull() & v.isNull(),
+                             F.concat(F.lit(f"invalid integer for {name}: '"), b, F.lit("'"))))
         else:
-            v = raw
+            v = b
         out.append(v.alias(name))
-    errs.insert(0, _err(blank_to_null(F.col("regnumber")).isNull(), F.lit("missing regnumber")))
+    reg = F.col("_b_regnumber") if "regnumber" in present else F.lit(None)
+    errs.insert(0, _err(reg.isNull(), F.lit("missing regnumber")))
     if CORRUPT in df.columns:
         errs.insert(0, _err(F.col(CORRUPT).isNotNull(), F.lit("malformed CSV row")))
-    typed = df.select(*out, *[c for c in ("source_file", CORRUPT) if c in df.columns],
-                      F.filter(F.array(*errs), lambda e: e.isNotNull()).alias("errors"))
+    typed = blanked.select(*out, *keep,
+                           F.filter(F.array(*errs), lambda e: e.isNotNull()).alias("errors"))
     if opts.is_admission:
         typed = typed.withColumn("is_admitted", F.lit(True))
     if opts.year is not None:
