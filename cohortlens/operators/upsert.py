@@ -75,9 +75,15 @@ def write_upsert(spark: SparkSession, target_path: str, batch: DataFrame,
     """
     target = spark.read.parquet(target_path)
     keys = batch.select(key).distinct()
-    old = target.join(keys, key, "left_semi")
+    # One old row per key. A key can appear twice only if an earlier run of
+    # this merge died between the overwrite and removing an emptied
+    # partition; both copies then re-merge with the same batch to the same
+    # row (coalesce(new, coalesce(new, old)) = coalesce(new, old)), so any
+    # copy will do and the re-run removes the stale one.
+    old_all = target.join(keys, key, "left_semi")
+    old = old_all.dropDuplicates([key])
     merged = upsert_candidates(old, batch, key, seq)
-    parts = (old.select(partition_col).union(merged.select(partition_col)).distinct())
+    parts = (old_all.select(partition_col).union(merged.select(partition_col)).distinct())
     untouched_in_parts = (target.join(parts, partition_col, "left_semi")
                           .join(keys, key, "left_anti"))
     staged = scratch_path(spark, f"upsert-stage-{uuid.uuid4().hex}")

@@ -48,6 +48,24 @@ def build_session(master: str | None = None, app: str = "cohortlens",
     return spark
 
 
+def cluster_conf(total_cores: int, input_bytes: int, partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for a cluster run.
+
+    Shuffle partitions: enough for ~``partition_bytes`` per partition of the
+    input, at least 3 waves of the cores; AQE coalesces small ones at run
+    time, so erring high is cheap. File splits of ``partition_bytes`` keep
+    each scan task's memory bounded."""
+    by_size = -(-input_bytes // partition_bytes)
+    shuffle = max(3 * total_cores, by_size)
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 

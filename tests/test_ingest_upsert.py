@@ -148,3 +148,16 @@ def test_course_csv(spark, tmp_dir):
         f.write("NAME\nx\n")
     with pytest.raises(ValueError):
         ingest.read_course_csv(spark, os.path.join(tmp_dir, "bad.csv"))
+
+
+def test_write_upsert_repairs_interrupted_move(spark, tmp_dir):
+    """A stale copy left by an interrupted earlier run is removed by re-running
+    the same batch."""
+    path = os.path.join(tmp_dir, "cand2")
+    spark.createDataFrame([("A", "Ade", 100, 2022), ("A", "ADE", 100, 2023), ("B", "Obi", 200, 2023)],
+                          TARGET).write.partitionBy("year").parquet(path)
+    batch = spark.createDataFrame([("A", "ADE", None, 2023, 1)], BATCH)
+    upsert.write_upsert(spark, path, batch)
+    out = rows(spark.read.parquet(path), "regnumber")
+    assert [(r["regnumber"], r["surname"], r["aggregate"], r["year"]) for r in out] == [
+        ("A", "ADE", 100, 2023), ("B", "Obi", 200, 2023)]
