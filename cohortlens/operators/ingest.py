@@ -219,3 +219,43 @@ def clean_courses(df: DataFrame) -> DataFrame:
 def valid_courses(df: DataFrame) -> DataFrame:
     return df.where(F.col("course_code").isNotNull() & F.col("course_name").isNotNull()
                     & (trim_all(F.col("course_code")) != "") & (trim_all(F.col("course_name")) != ""))
+
+
+# Batch import: S1 -> I7 -> I3-I6/I12 -> S9 -> S6 -> S15 -------------------------
+def run_candidate_import(spark: SparkSession, paths, target_path: str, errors_path: str,
+                         opts: ImportOptions, mapping=None) -> DataFrame:
+    """Import candidate CSV files into the year-partitioned table at
+    ``target_path``; bad rows go to ``errors_path`` (appended). Returns the
+    one-row import summary. With ``opts.validate_only`` nothing is written.
+
+    The checked rows feed three outputs (quarantine, merge, summary); they
+    are written once to the shared checkpoint folder so the CSV files are
+    parsed once and a lost executor recomputes from that copy."""
+    from ..session import scratch_path
+    from . import upsert
+    import uuid
+
+    if opts.year is None and not opts.validate_only:
+        raise ValueError("a candidate import needs ImportOptions.year (year is NOT NULL)")
+    raw = read_candidate_csv(spark, paths)
+    checked = clean_candidates(map_columns(raw, mapping), opts).withColumn(
+        "_seq", F.struct(F.col("source_file"), F.monotonically_increasing_id()))
+    if opts.validate_only:
+        return import_summary(checked)
+    staged = scratch_path(spark, f"import-checked-{uuid.uuid4().hex}")
+    checked.write.parquet(staged)
+    checked = spark.read.parquet(staged)
+    _, bad = split_valid(checked.drop("_seq"))
+    bad.write.mode("append").parquet(errors_path)
+    good = checked.where(F.size("errors") == 0).drop("errors", CORRUPT, "source_file")
+    try:
+        spark.read.parquet(target_path).schema
+        exists = True
+    except Exception:  # noqa: BLE001 - missing table
+        exists = False
+    if exists:
+        upsert.write_upsert(spark, target_path, good, key="regnumber", seq="_seq")
+    else:
+        merged = upsert.upsert_candidates(good.drop("_seq").limit(0), good, key="regnumber", seq="_seq")
+        merged.write.mode("overwrite").partitionBy("year").parquet(target_path)
+    return import_summary(checked)

@@ -149,3 +149,15 @@ def match_schema(headers: DataFrame, required: list[str],
         F.coalesce("_exact_header", "_fuzzy_header").alias("header"),
         F.when(F.col("_exact_header").isNotNull(), F.lit(1.0)).otherwise(F.col("_best")).alias("confidence"),
         status.alias("status"))
+
+
+def reconcile_historical_codes(hist: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Set ``reconciled`` on historical codes that now have a mapping for
+    the same (year, old code, institution)."""
+    m = (mapping.select(F.col("year").alias("_y"), F.col("old_course_code").alias("_old"),
+                        F.col("institution_id").alias("_i"))
+         .distinct().withColumn("_hit", F.lit(True)))
+    j = hist.join(m, (F.col("year") == F.col("_y")) & (F.col("old_course_code") == F.col("_old"))
+                  & (F.col("institution_id") == F.col("_i")), "left")
+    return (j.withColumn("reconciled", F.coalesce(F.col("reconciled"), F.lit(False)) | F.col("_hit").isNotNull())
+            .drop("_y", "_old", "_i", "_hit"))

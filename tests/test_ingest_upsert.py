@@ -161,3 +161,29 @@ def test_write_upsert_repairs_interrupted_move(spark, tmp_dir):
     out = rows(spark.read.parquet(path), "regnumber")
     assert [(r["regnumber"], r["surname"], r["aggregate"], r["year"]) for r in out] == [
         ("A", "ADE", 100, 2023), ("B", "Obi", 200, 2023)]
+
+
+def test_batch_import_pipeline(spark, csv_dir):
+    import tempfile
+    out_dir = tempfile.mkdtemp(prefix="cohortlens-test-out-")
+    target, errors = os.path.join(out_dir, "t"), os.path.join(out_dir, "e")
+    dry = rows(ingest.run_candidate_import(spark, csv_dir, target, errors,
+                                           ingest.ImportOptions(validate_only=True)))[0]
+    assert dry["total_rows"] == 6 and not os.path.exists(target)
+    s = rows(ingest.run_candidate_import(spark, csv_dir, target, errors, ingest.ImportOptions(year=2024)))[0]
+    assert (s["success_rows"], s["failed_rows"]) == (2, 4)
+    assert {r["regnumber"] for r in spark.read.parquet(target).collect()} == {"R1", "R6"}
+    assert spark.read.parquet(errors).count() == 4
+    # a second load of the same files merges by key: no duplicates
+    ingest.run_candidate_import(spark, csv_dir, target, errors, ingest.ImportOptions(year=2024))
+    assert spark.read.parquet(target).count() == 2
+
+
+def test_reconcile_codes(spark):
+    from cohortlens.operators import resolve
+    hist = spark.createDataFrame([(2023, "X1", "I1", False), (2023, "X2", "I1", False)],
+                                 "year int, old_course_code string, institution_id string, reconciled boolean")
+    m = spark.createDataFrame([(2023, "X1", "C1", "I1")],
+                              "year int, old_course_code string, new_course_code string, institution_id string")
+    out = {r["old_course_code"]: r["reconciled"] for r in resolve.reconcile_historical_codes(hist, m).collect()}
+    assert out == {"X1": True, "X2": False}
