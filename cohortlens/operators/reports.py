@@ -209,17 +209,27 @@ def admission_trends(t: Tables, q: float = D["trends_quantile"],
                      min_applicants: int = D["trends_min"], n: int = D["trends_n"],
                      approximate: bool = False) -> DataFrame:
     """Per course name: applicants and the interpolated q-quantile of the
-    aggregate as an estimated cut-off. Exact by default (the aggregate is a
-    small integer domain, so the exact percentile buffer stays small);
-    ``approximate=True`` switches to ``percentile_approx``."""
+    aggregate as an estimated cut-off.
+
+    Candidates are first counted per (course code, aggregate) -- at most
+    one row per code and score value -- and only that crosses the join;
+    the exact percentile then weights each value by its count. Exact by
+    default; ``approximate=True`` switches to ``percentile_approx``."""
     c = t.candidate("app_course1", "aggregate").where(F.col("app_course1").isNotNull())
-    j = c.join(t.course.select("course_code", "course_name"),
-               F.col("app_course1") == F.col("course_code"))
-    pctl = (F.percentile_approx("aggregate", q, 10000) if approximate
-            else F.percentile("aggregate", F.lit(q)))
-    agg = (j.groupBy("course_name")
-           .agg(F.count(F.lit(1)).alias("applicants"), pctl.alias("_p"))
-           .where(F.col("applicants") > min_applicants))
+    if approximate:
+        j = c.join(t.course.select("course_code", "course_name"),
+                   F.col("app_course1") == F.col("course_code"))
+        agg = j.groupBy("course_name").agg(F.count(F.lit(1)).alias("applicants"),
+                                           F.percentile_approx("aggregate", q, 10000).alias("_p"))
+    else:
+        per_value = c.groupBy("app_course1", "aggregate").agg(F.count(F.lit(1)).alias("_k"))
+        j = per_value.join(t.course.select("course_code", "course_name"),
+                           F.col("app_course1") == F.col("course_code"))
+        # NULL aggregates count as applicants but not as percentile input.
+        agg = j.groupBy("course_name").agg(
+            F.sum("_k").alias("applicants"),
+            F.percentile(F.col("aggregate"), F.lit(q), F.col("_k")).alias("_p"))
+    agg = agg.where(F.col("applicants") > min_applicants)
     out = agg.select("course_name", "applicants",
                      F.round(F.col("_p").cast("double"), 2).alias("cutoff_score"))
     return _top(out, n, F.col("applicants").desc(), F.col("course_name").asc())
