@@ -48,24 +48,43 @@ def build_session(master: str | None = None, app: str = "cohortlens",
     return spark
 
 
-def cluster_conf(total_cores: int, input_bytes: int, partition_bytes: int = 128 << 20) -> dict[str, str]:
-    """Shuffle and scan sizing for a cluster run.
-
-    Shuffle partitions: enough for ~``partition_bytes`` per partition of the
-    input, at least 3 waves of the cores; AQE coalesces small ones at run
-    time, so erring high is cheap. File splits of ``partition_bytes`` keep
-    each scan task's memory bounded."""
+def cluster_conf(total_cores: int, input_bytes: int, partition_bytes: int | None = None) -> dict[str, str]:
+    """Shuffle and scan sizing from the input size and the core count.
+
+    Scan splits: about three tasks per core, between 1 MB and 128 MB per
+    split (at terabyte scale the 128 MB cap applies and each task's memory
+    stays bounded). Shuffle partitions: one split's worth of data each,
+    between three and ten waves of the cores; AQE coalesces small ones at
+    run time."""
+    if partition_bytes is None:
+        partition_bytes = min(128 << 20, max(1 << 20, input_bytes // max(1, 3 * total_cores)))
     by_size = -(-input_bytes // partition_bytes)
-    shuffle = max(3 * total_cores, by_size)
+    # Map tasks x reduce partitions is the shuffle block count: cap the
+    # reduce side at ten waves (shuffled data is smaller than the input
+    # after pruning and partial aggregation; AQE coalesces further).
+    shuffle = max(3 * total_cores, min(by_size, 10 * total_cores))
     return {
         "spark.sql.shuffle.partitions": str(shuffle),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.openCostInBytes": str(min(4 << 20, partition_bytes)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(max(partition_bytes, 16 << 20)),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(max(4 * partition_bytes, 64 << 20)),
     }
 
 
+def dir_bytes(path: str) -> int:
+    """Total size of the files under a local folder (for sizing)."""
+    total = 0
+    for root, _, files in os.walk(path):
+        for f in files:
+            try:
+                total += os.path.getsize(os.path.join(root, f))
+            except OSError:
+                pass
+    return total
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
