@@ -155,7 +155,7 @@ def clean_candidates(df: DataFrame, opts: ImportOptions = ImportOptions()) -> Da
     if CORRUPT in df.columns:
         errs.insert(0, _err(F.col(CORRUPT).isNotNull(), F.lit("malformed CSV row")))
     typed = blanked.select(*out, *keep,
-                           F.filter(F.array(*errs), lambda e: e.isNotNull()).alias("errors"))
+                           F.array_compact(F.array(*errs)).alias("errors"))
     if opts.is_admission:
         typed = typed.withColumn("is_admitted", F.lit(True))
     if opts.year is not None:
