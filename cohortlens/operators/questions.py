@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.exprs import trim_all
-from .theta import contains_pairs
+from .theta import contains_pairs, fits_broadcast
 
 
 # N1 -------------------------------------------------------------------------
@@ -86,7 +86,10 @@ def match_courses(questions: DataFrame, names: DataFrame, id_col: str = "questio
     nm = names.select("key", "name")
     kw = F.broadcast(category_keywords(spark))   # fixed keyword table
 
-    a = (contains_pairs(q, "q", nm, "key", force_shuffle=force_shuffle)
+    # The course-name dimension is checked once; when small it is the
+    # broadcast side of both substring joins.
+    names_small = not force_shuffle and fits_broadcast(nm)
+    a = (contains_pairs(q, "q", nm, "key", broadcast="patterns" if names_small else None)
          .select("qid", "name", F.lit("a").alias("stage")))
 
     first_cat = (q.join(kw, F.col("q").contains(F.col("keyword")))
@@ -103,7 +106,7 @@ def match_courses(questions: DataFrame, names: DataFrame, id_col: str = "questio
     none_yet = q.join(ab.select("qid").distinct(), "qid", "left_anti")
     words = (none_yet.select("qid", "q", F.explode(F.split(trim_all(F.col("q")), r"\s+")).alias("w"))
              .where(F.octet_length("w") >= schemas.COURSE_WORD_MIN_BYTES))
-    c = (contains_pairs(nm, "key", words, "w", force_shuffle=force_shuffle)
+    c = (contains_pairs(nm, "key", words, "w", broadcast="texts" if names_small else None)
          .select("qid", "name", F.lit("c").alias("stage")))
 
     abc = ab.unionByName(c)

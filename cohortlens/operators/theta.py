@@ -81,16 +81,26 @@ def _tag_length(m: int):
 
 
 def contains_pairs(texts: DataFrame, tcol: str, patterns: DataFrame, pcol: str,
-                   n: int = GRAM, force_shuffle: bool = False) -> DataFrame:
+                   n: int = GRAM, force_shuffle: bool = False,
+                   broadcast: str | None = "auto") -> DataFrame:
     """All (text row, pattern row) pairs where ``tcol`` contains ``pcol``
-    (both non-empty). Broadcast nested loop when ``patterns`` is small, else
+    (both non-empty). A broadcast nested loop when one side is small, else
     an exact rarest-n-gram equi-join on the distinct values, joined back to
-    the rows by value."""
+    the rows by value.
+
+    ``broadcast``: "auto" counts the patterns, then the texts, against the
+    bound; "patterns" / "texts" names a side the caller already checked;
+    None forces the equi-join path."""
     patterns = patterns.where(F.length(pcol) > 0)
     cond = F.col(tcol).contains(F.col(pcol))
-    if not force_shuffle and fits_broadcast(patterns):
+    if force_shuffle:
+        broadcast = None
+    if broadcast == "auto":
+        broadcast = ("patterns" if fits_broadcast(patterns)
+                     else "texts" if fits_broadcast(texts) else None)
+    if broadcast == "patterns":
         return texts.join(F.broadcast(patterns), cond)
-    if not force_shuffle and fits_broadcast(texts):
+    if broadcast == "texts":
         return F.broadcast(texts).join(patterns, cond)
     tv = texts.select(F.col(tcol).alias("_t")).where(F.col("_t").isNotNull()).distinct()
     pv = patterns.select(F.col(pcol).alias("_p")).distinct()
