@@ -46,11 +46,6 @@ def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
-def positive_or_null(col: Column) -> Column:
-    """NULLIF(col, 0) for the score columns."""
-    return F.nullif(col, F.lit(0))
-
-
 def score_band(col: Column, bands=None, floor_label: str | None = None) -> Column:
     bands = bands or schemas.SCORE_BANDS
     floor_label = floor_label or schemas.SCORE_BAND_FLOOR_LABEL
@@ -87,9 +82,13 @@ def norm_gender(col: Column) -> Column:
 
 def parse_flag(col: Column) -> Column:
     """yes/true/1 (any case) -> true; other non-blank -> false; blank -> NULL."""
-    v = blank_to_null(col)
-    return F.when(v.isNull(), F.lit(None).cast("boolean")).otherwise(
-        F.lower(v).isin(*schemas.FLAG_TRUE_VALUES))
+    return flag_value(blank_to_null(col))
+
+
+def flag_value(blanked: Column) -> Column:
+    """parse_flag for a column already trimmed with blanks as NULL."""
+    return F.when(blanked.isNull(), F.lit(None).cast("boolean")).otherwise(
+        F.lower(blanked).isin(*schemas.FLAG_TRUE_VALUES))
 
 
 def like_any_case(col: Column, pattern: str) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.exprs import blank_to_null, norm_gender, parse_flag, trim_all
+from ..functions.exprs import blank_to_null, flag_value, norm_gender, trim_all
 
 CORRUPT = "_corrupt_record"
 
@@ -141,8 +141,7 @@ def clean_candidates(df: DataFrame, opts: ImportOptions = ImportOptions()) -> Da
         if name == "gender":
             v = norm_gender(b)
         elif typ == "boolean":
-            v = F.when(b.isNull(), F.lit(None).cast("boolean")).otherwise(
-                F.lower(b).isin(*schemas.FLAG_TRUE_VALUES))
+            v = flag_value(b)
         elif typ == "int":
             v = b.try_cast("int")
             errs.append(_err(b.isNotNull() & v.isNull(),

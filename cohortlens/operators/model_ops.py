@@ -103,6 +103,17 @@ def institution_name_asof(df: DataFrame, date_col: str, names: DataFrame,
     return df.join(n, cond, "left").drop("_inid", "effective_from", "effective_to")
 
 
+def institution_name_view(institution: DataFrame, names: DataFrame) -> DataFrame:
+    """Current and historical names side by side: one row per name period
+    of each institution, with the institution's current name next to it."""
+    i = institution.select("inid", F.col("inabv").alias("current_abv"),
+                           F.col("inname").alias("current_name"))
+    h = names.select(F.col("inid").alias("_inid"), F.col("inabv").alias("historical_abv"),
+                     F.col("inname").alias("historical_name"), "effective_from", "effective_to",
+                     "change_reason")
+    return i.join(h, F.col("inid") == F.col("_inid")).drop("_inid")
+
+
 def institution_name_history(t: Tables, change_year_base: int = 1995) -> DataFrame:
     """Name history per institution (fixture): the name before the change
     year carries an '(old)' suffix; the current name has an open end."""

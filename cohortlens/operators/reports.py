@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.exprs import count_if, pct, positive_or_null, round_avg, score_band
+from ..functions.exprs import count_if, pct, round_avg, score_band
 from ..sources.tables import Tables
 
 D = schemas.REPORT_DEFAULTS

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_if
 from ..operators import ingest, model_ops, questions, resolve, upsert
 from ..sources import fixtures as fx
 from ..sources.tables import DriverTables
-from .oracle import BASE_CTES, rnd, with_base
+from .oracle import rnd, with_base
 
 SQL_NOW = f"TIMESTAMP '{fx.FIXED_NOW}'"
 UNKNOWN_CODE_OFFSET = 1000000

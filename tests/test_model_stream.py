@@ -147,3 +147,12 @@ def test_stored_tables_prune_year_partitions(spark, tmp_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     # the latest-year scalar subquery reaches the scan as a partition filter
     assert "PartitionFilters: [isnotnull(year" in plan and "= Subquery subquery" in plan
+
+
+def test_institution_name_view(spark):
+    inst = spark.createDataFrame([("I1", "NEW", "New Name")], "inid string, inabv string, inname string")
+    names = spark.createDataFrame([("I1", "OLD", "Old Name", None, None, "merger")],
+                                  "inid string, inabv string, inname string, effective_from date, "
+                                  "effective_to date, change_reason string")
+    r = model_ops.institution_name_view(inst, names).collect()[0]
+    assert (r["current_name"], r["historical_name"], r["change_reason"]) == ("New Name", "Old Name", "merger")
