@@ -293,11 +293,19 @@ def subject_correlation(t: Tables, anchor: str = D["correlation_anchor"],
     s = (t.candidate_scores.where(F.col("year") == latest)
          .join(t.subject.select("su_id", "su_name"), F.col("subject_id") == F.col("su_id"))
          .select("cand_reg_number", "su_name", "score"))
-    a = s.where(F.col("su_name") == anchor).select(
-        F.col("cand_reg_number").alias("_reg"), F.col("score").alias("x"))
-    o = s.where(F.col("su_name") != anchor).select(
-        "cand_reg_number", F.col("su_name").alias("subject2"), F.col("score").alias("y"))
-    j = a.join(o, F.col("_reg") == F.col("cand_reg_number"))
+    # Self-join on the candidate without deriving the scores twice: one
+    # partitioning by candidate collects that candidate's anchor scores
+    # (structs, so a NULL score still pairs) and each other-subject row is
+    # paired with each of them -- the join's rows, from a single shuffle.
+    # A candidate has a handful of scores per year, so the lists are tiny.
+    w = Window.partitionBy("cand_reg_number")
+    anchor_scores = F.collect_list(
+        F.when(F.col("su_name") == anchor, F.struct(F.col("score").alias("x")))).over(w)
+    j = (s.withColumn("_xs", anchor_scores)
+         .where(F.col("su_name") != anchor)
+         .select(F.col("su_name").alias("subject2"), F.col("score").alias("y"),
+                 F.explode("_xs").alias("_a"))
+         .select("subject2", "y", F.col("_a.x").alias("x")))
     agg = j.groupBy("subject2").agg(
         F.count(F.lit(1)).alias("sample_size"),
         F.covar_samp("x", "y").alias("_cov"),
