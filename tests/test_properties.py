@@ -62,3 +62,34 @@ def test_upsert_idempotent_and_blank_never_erases(spark, data):
     for key in ("A", "B"):
         assert res[key][1] is not None            # blank / NULL never erased a surname
     assert len(res) == len({"A", "B"} | {k for k, *_ in data})
+
+
+def _lev(a, b):
+    prev = list(range(len(b) + 1))
+    for i, ca in enumerate(a, 1):
+        cur = [i]
+        for j, cb in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
+        prev = cur
+    return prev[-1]
+
+
+short_text = st.text(alphabet="abc ", min_size=0, max_size=7)
+
+
+@SETTINGS
+@given(st.lists(short_text, min_size=1, max_size=8), st.lists(short_text, min_size=1, max_size=8))
+def test_theta_joins_match_brute_force(spark, lefts, rights):
+    from cohortlens.operators import theta
+    l_df = spark.createDataFrame([(i, s) for i, s in enumerate(lefts)], "li int, a string")
+    r_df = spark.createDataFrame([(i, s) for i, s in enumerate(rights)], "ri int, b string")
+    want = {(i, j) for i, a in enumerate(lefts) for j, b in enumerate(rights) if _lev(a, b) <= 2}
+    for force in (False, True):
+        got = {(r["li"], r["ri"]) for r in theta.edit_distance_pairs(l_df, "a", r_df, "b", 2,
+                                                                     force_shuffle=force).collect()}
+        assert got == want
+    want_c = {(i, j) for i, a in enumerate(lefts) for j, b in enumerate(rights) if b and b in a}
+    for force in (False, True):
+        got = {(r["li"], r["ri"]) for r in theta.contains_pairs(l_df, "a", r_df, "b",
+                                                                force_shuffle=force).collect()}
+        assert got == want_c

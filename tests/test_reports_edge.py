@@ -156,3 +156,17 @@ def test_admission_trends_percentile(t):
     got = {r["course_name"]: r for r in rows(R.admission_trends(t, min_applicants=0))}
     # MEDICINE aggregates: 300, 299, 200, 199, NULL, 180 -> p75 over 5 values = 299
     assert got["MEDICINE"]["cutoff_score"] == 299.0
+
+
+def test_subject_correlation_pairs_like_a_self_join(spark):
+    # candidate R1 has a NULL anchor score: it still pairs (count), as in a join
+    subject = spark.createDataFrame([(1, "ENG"), (2, "MATH")], "su_id int, su_name string")
+    cand = spark.createDataFrame([(f"R{i}", 2023) for i in range(5)], "regnumber string, year int")
+    scores = spark.createDataFrame(
+        [("R0", 1, 2023, None), ("R0", 2, 2023, 5)]
+        + [(f"R{i}", s, 2023, v) for i in range(1, 5) for s, v in ((1, 10 * i), (2, i * i))],
+        "cand_reg_number string, subject_id int, year int, score int")
+    t = FrameTables(spark, candidate=cand, subject=subject, candidate_scores=scores)
+    r = rows(R.subject_correlation(t, anchor="ENG", min_sample=1))[0]
+    assert r["sample_size"] == 5          # the NULL-anchor pair counts in COUNT(*)
+    assert r["avg_score1"] == 25.0        # AVG over the 4 non-null anchor scores
