@@ -144,19 +144,30 @@ def check_constraints(t: Tables, tables=None) -> DataFrame:
     """(table, rule, violations) for primary keys, foreign keys, NOT NULL
     and VARCHAR lengths.
 
-    One pass per child table: each parent's distinct key set is joined on
-    with a marker column, and every FK, NOT NULL and length count of that
-    table comes out of a single aggregate (then unpivoted to rows). Primary
-    keys need their own group-by per table."""
+    Per table, one group-by on the primary key gives the duplicate count
+    and is also the key set that child foreign keys join against (every
+    foreign key here references a primary key), so each table's key
+    aggregate is computed once and its exchange reused. Every FK, NOT NULL
+    and length count of a table then comes out of one row-level pass."""
     want = [n for n in schemas.PRIMARY_KEYS if not tables or n in tables]
+    frames: dict[str, DataFrame] = {}
+    keycounts: dict[str, DataFrame] = {}
 
     def tab(name):
-        return t.candidate() if name == "candidate" else t.table(name)
+        if name not in frames:
+            frames[name] = t.candidate() if name == "candidate" else t.table(name)
+        return frames[name]
+
+    def keys(name):
+        if name not in keycounts:
+            keycounts[name] = tab(name).groupBy(*schemas.PRIMARY_KEYS[name]).agg(
+                F.count(F.lit(1)).alias("_n"))
+        return keycounts[name]
 
     parts = []
     for name in want:
         pk = schemas.PRIMARY_KEYS[name]
-        dup = (tab(name).groupBy(*pk).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+        dup = (keys(name).where(F.col("_n") > 1)
                .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("violations")))
         parts.append(dup.select(F.lit(name).alias("table"), F.lit(f"pk({','.join(pk)})").alias("rule"),
                                 "violations"))
@@ -165,9 +176,9 @@ def check_constraints(t: Tables, tables=None) -> DataFrame:
         for i, (child, col, parent, pcol) in enumerate(schemas.FOREIGN_KEYS):
             if child != name or parent not in want or col not in df.columns:
                 continue
-            keys = tab(parent).select(F.col(pcol).alias(f"_pk{i}")).distinct() \
-                .withColumn(f"_hit{i}", F.lit(True))
-            df = df.join(keys, F.col(col) == F.col(f"_pk{i}"), "left")
+            parent_keys = (keys(parent).select(F.col(pcol).alias(f"_pk{i}"))
+                           .withColumn(f"_hit{i}", F.lit(True)))
+            df = df.join(parent_keys, F.col(col) == F.col(f"_pk{i}"), "left")
             counts.append((f"fk({col}->{parent}.{pcol})",
                            count_if(F.col(col).isNotNull() & F.col(f"_hit{i}").isNull())))
         for c in schemas.NOT_NULL.get(name, []):
