@@ -63,6 +63,10 @@ def q_upsert_candidates(spark, d):
     return upsert.upsert_candidates(target, batch)
 
 
+def q_clean_courses(spark, d):
+    return ingest.clean_courses(fx.raw_courses(_t(spark, d)))
+
+
 def q_upsert_courses(spark, d):
     target, batch = fx.course_pair(_t(spark, d))
     return upsert.upsert_courses(target, batch, now=F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")) \
@@ -248,6 +252,7 @@ def ops_queries():
         "import_summary": q_import_summary,
         "failed_import_quarantine": q_failed_import_quarantine,
         "upsert_candidates": q_upsert_candidates,
+        "clean_courses": q_clean_courses,
         "upsert_courses": q_upsert_courses,
         "upsert_course_names": q_upsert_course_names,
         "validate_course_codes": q_validate_course_codes,
@@ -392,6 +397,16 @@ SELECT coalesce(b.regnumber, t.regnumber) AS regnumber, coalesce(b.surname, t.su
        coalesce(b.gender, t.gender) AS gender, coalesce(b.aggregate, t.aggregate) AS aggregate,
        coalesce(b.year, t.year) AS year, coalesce(b.is_admitted, t.is_admitted) AS is_admitted
 FROM tgt t FULL OUTER JOIN last_b b ON t.regnumber = b.regnumber""", UPSERT_PAIR)
+    q["clean_courses"] = with_base("""
+SELECT nullif(trim(CODE), '') AS course_code, nullif(trim(NAME), '') AS course_name,
+       nullif(trim(DESCRIPTION), '') AS description,
+       TRY_CAST(nullif(trim(FACULTY_ID), '') AS INTEGER) AS facid
+FROM (SELECT CAST(p_partkey AS VARCHAR) AS CODE,
+             CASE WHEN p_size <= 2 THEN '  ' ELSE ' ' || p_name END AS NAME,
+             p_type AS DESCRIPTION,
+             CASE WHEN p_size = 50 THEN 'n/a' ELSE regexp_extract(p_brand, '(\\d+)', 1) END AS FACULTY_ID
+      FROM part) r
+WHERE nullif(trim(CODE), '') IS NOT NULL AND nullif(trim(NAME), '') IS NOT NULL""")
     q["upsert_courses"] = with_base("""
 SELECT coalesce(n.course_code, o.course_code) AS course_code,
        coalesce(n.course_name, o.course_name) AS course_name,

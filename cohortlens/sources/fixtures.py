@@ -146,3 +146,15 @@ def replies(t: DriverTables) -> DataFrame:
     reply = (F.when(v == 0, clean).when(v == 1, fenced).when(v == 2, prose)
              .when(v == 3, nosql).otherwise(empty))
     return q.select(k.alias("reply_id"), reply.alias("reply"))
+
+
+def raw_courses(t: DriverTables) -> DataFrame:
+    """Course CSV rows as strings (CODE, NAME, DESCRIPTION, FACULTY_ID) from
+    the part table: padded names, blank names for parts of size 2 or less,
+    and a non-numeric faculty for parts of size 50."""
+    p = t.raw("part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    name = F.when(F.col("p_size") <= 2, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("p_name")))
+    fac = F.when(F.col("p_size") == 50, F.lit("n/a")).otherwise(
+        F.regexp_extract("p_brand", r"(\d+)", 1))
+    return p.select(F.col("p_partkey").cast("string").alias("CODE"), name.alias("NAME"),
+                    F.col("p_type").alias("DESCRIPTION"), fac.alias("FACULTY_ID"))
