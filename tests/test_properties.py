@@ -93,3 +93,13 @@ def test_theta_joins_match_brute_force(spark, lefts, rights):
         got = {(r["li"], r["ri"]) for r in theta.contains_pairs(l_df, "a", r_df, "b",
                                                                 force_shuffle=force).collect()}
         assert got == want_c
+
+
+def test_cluster_conf_bounds():
+    from cohortlens.session import cluster_conf
+    small = cluster_conf(8, 40 << 20)
+    assert int(small["spark.sql.files.maxPartitionBytes"]) >= 1 << 20
+    assert 24 <= int(small["spark.sql.shuffle.partitions"]) <= 80
+    big = cluster_conf(8000, 100 << 40)
+    assert int(big["spark.sql.files.maxPartitionBytes"]) == 128 << 20
+    assert int(big["spark.sql.shuffle.partitions"]) == 80000

@@ -170,3 +170,17 @@ def test_subject_correlation_pairs_like_a_self_join(spark):
     r = rows(R.subject_correlation(t, anchor="ENG", min_sample=1))[0]
     assert r["sample_size"] == 5          # the NULL-anchor pair counts in COUNT(*)
     assert r["avg_score1"] == 25.0        # AVG over the 4 non-null anchor scores
+
+
+def test_admission_trends_approximate_close_to_exact(t):
+    exact = {r["course_name"]: r["cutoff_score"] for r in rows(R.admission_trends(t, min_applicants=0))}
+    approx = {r["course_name"]: r["cutoff_score"] for r in
+              rows(R.admission_trends(t, min_applicants=0, approximate=True))}
+    assert set(exact) == set(approx)
+    assert all(abs(exact[k] - approx[k]) <= 50 for k in exact)
+
+
+def test_scores_of(t):
+    from cohortlens.operators import model_ops
+    got = {r["su_name"]: r["score"] for r in model_ops.scores_of(t, "R02", 2023).collect()}
+    assert got == {"ENG": 40, "MATH": 70, "BIO": 10}
