@@ -91,3 +91,21 @@ def test_top_subjects_single_shuffle_for_window(spark):
     plan = df._jdf.queryExecution().sparkPlan().toString()
     # dedupe and rank window reuse one hash partitioning on the registration number
     assert plan.count("hashpartitioning(cand_reg_number") <= 1
+
+
+def test_runtime_bloom_filter_prunes_line_items(spark):
+    """For latest-year reports over shuffle joins, Spark injects a runtime
+    bloom filter from the year-filtered orders into the line-item scan (the
+    default size threshold is met at scale; lowered here)."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1024"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = E.queries()["top_subjects"](spark, SF_SMALL)
+        df.collect()
+        assert "might_contain" in _plan(df)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
