@@ -90,6 +90,18 @@ def candidate_profiles(t: Tables) -> DataFrame:
     return c.select("regnumber", F.to_json(prof, {"ignoreNullFields": "false"}).alias("profile"))
 
 
+def institution_profiles(institution: DataFrame, names: DataFrame) -> DataFrame:
+    """Institution with its sorted list of name periods, as JSON. Names are
+    grouped per institution first (a handful of renames each)."""
+    hist = (names.groupBy(F.col("inid").alias("_inid"))
+            .agg(F.sort_array(F.collect_list(F.struct("effective_from", "effective_to", "inabv", "inname")))
+                 .alias("names")))
+    j = institution.join(hist, F.col("inid") == F.col("_inid"), "left")
+    prof = F.struct("inid", "inabv", "inname", F.coalesce("names", F.array().cast(
+        "array<struct<effective_from:date,effective_to:date,inabv:string,inname:string>>")).alias("names"))
+    return j.select("inid", F.to_json(prof, {"ignoreNullFields": "false"}).alias("profile"))
+
+
 # D2 -------------------------------------------------------------------------
 def institution_name_asof(df: DataFrame, date_col: str, names: DataFrame,
                           inst_col: str = "inid") -> DataFrame:

@@ -211,6 +211,11 @@ def q_institution_name_asof(spark, d):
         .select("regnumber", "name_asof", "abv_asof")
 
 
+def q_institution_profiles(spark, d):
+    t = _t(spark, d)
+    return model_ops.institution_profiles(t.institution, model_ops.institution_name_history(t))
+
+
 def subject_mapping(t):
     return t.subject.select(F.concat(F.lit("S"), F.col("su_id").cast("string")).alias("csv_code"),
                             "su_id", F.col("su_id").alias("position"))
@@ -271,6 +276,7 @@ def ops_queries():
         "filter_course": q_filter_course,
         "candidate_profiles": q_candidate_profiles,
         "institution_name_asof": q_institution_name_asof,
+        "institution_profiles": q_institution_profiles,
         "unpivot_scores": q_unpivot_scores,
         "check_constraints": q_check_constraints,
         "region_summary": q_region_summary,
@@ -601,6 +607,20 @@ sc AS (
               ORDER BY cs.subject_id, cs.year) AS scores
   FROM candidate_scores cs JOIN subject su ON cs.subject_id = su.su_id
   GROUP BY cs.cand_reg_number)""")
+    q["institution_profiles"] = with_base("""
+SELECT i.inid,
+       CAST(to_json({'inid': i.inid, 'inabv': i.inabv, 'inname': i.inname,
+                     'names': coalesce(h.names, [])}) AS VARCHAR) AS profile
+FROM institution i LEFT JOIN (
+  SELECT inid, list({'effective_from': effective_from, 'effective_to': effective_to,
+                     'inabv': inabv, 'inname': inname}
+                    ORDER BY effective_from, effective_to NULLS FIRST, inabv, inname) AS names
+  FROM hist GROUP BY inid) h ON i.inid = h.inid""", """
+hist AS (
+  SELECT inid, DATE '1900-01-01' AS effective_from, make_date(CAST(1995 + inid % 7 AS INTEGER), 1, 1) AS effective_to,
+         inname || ' (old)' AS inname, inabv || '-OLD' AS inabv FROM institution
+  UNION ALL
+  SELECT inid, make_date(CAST(1995 + inid % 7 AS INTEGER), 1, 1), NULL, inname, inabv FROM institution)""")
     q["institution_name_asof"] = with_base("""
 SELECT c.regnumber, h.inname AS name_asof, h.inabv AS abv_asof
 FROM candidate c LEFT JOIN hist h

@@ -156,3 +156,16 @@ def test_institution_name_view(spark):
                                   "effective_to date, change_reason string")
     r = model_ops.institution_name_view(inst, names).collect()[0]
     assert (r["current_name"], r["historical_name"], r["change_reason"]) == ("New Name", "Old Name", "merger")
+
+
+def test_institution_profiles(spark):
+    inst = spark.createDataFrame([("I1", "NEW", "New Name"), ("I2", "X", "Solo")],
+                                 "inid string, inabv string, inname string")
+    names = spark.createDataFrame([("I1", "OLD", "Old Name", "2000-01-01", "2010-01-01"),
+                                   ("I1", "NEW", "New Name", "2010-01-01", None)],
+                                  "inid string, inabv string, inname string, f string, t string") \
+        .select("inid", "inabv", "inname", F.to_date("f").alias("effective_from"),
+                F.to_date("t").alias("effective_to"))
+    out = {r["inid"]: json.loads(r["profile"]) for r in model_ops.institution_profiles(inst, names).collect()}
+    assert [n["inname"] for n in out["I1"]["names"]] == ["Old Name", "New Name"]
+    assert out["I2"]["names"] == []
