@@ -169,3 +169,17 @@ def test_institution_profiles(spark):
     out = {r["inid"]: json.loads(r["profile"]) for r in model_ops.institution_profiles(inst, names).collect()}
     assert [n["inname"] for n in out["I1"]["names"]] == ["Old Name", "New Name"]
     assert out["I2"]["names"] == []
+
+
+def test_stored_dimension_joins_are_broadcast(spark, tmp_dir):
+    from cohortlens.operators import reports as R
+    from cohortlens.sources.tables import DriverTables, StoredTables, materialize
+    from conftest import SF_SMALL
+    out = os.path.join(tmp_dir, "stored2")
+    materialize(DriverTables(spark, SF_SMALL), out, tables=["state", "candidate"])
+    df = R.state_distribution(StoredTables(spark, out, tables=["state", "candidate"]))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # AQE picks a broadcast join for the measured-small state dimension
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan.split("Initial Plan")[0]
