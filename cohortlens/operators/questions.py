@@ -7,7 +7,7 @@ No per-row Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -102,23 +102,31 @@ def match_courses(questions: DataFrame, names: DataFrame, id_col: str = "questio
     b = (first_cat.join(course_cat, "category")
          .select("qid", "name", F.lit("b").alias("stage")))
 
-    ab = a.unionByName(b)
-    none_yet = q.join(ab.select("qid").distinct(), "qid", "left_anti")
-    words = (none_yet.select("qid", "q", F.explode(F.split(trim_all(F.col("q")), r"\s+")).alias("w"))
+    # (c) is computed for every question and (d) proposed for every question
+    # naming a course/program; one window per question then keeps (c) only
+    # where (a)+(b) found nothing and (d) only where nothing matched at all.
+    # This avoids re-evaluating (a) and (b) for anti-joins. A question's
+    # rows are bounded by the course-name dimension.
+    words = (q.select("qid", F.explode(F.split(trim_all(F.col("q")), r"\s+")).alias("w"))
              .where(F.octet_length("w") >= schemas.COURSE_WORD_MIN_BYTES))
     c = (contains_pairs(nm, "key", words, "w", broadcast="texts" if names_small else None)
          .select("qid", "name", F.lit("c").alias("stage")))
-
-    abc = ab.unionByName(c)
     fallback_cond = None
     for w in schemas.COURSE_FALLBACK_WORDS:
         cond = F.col("q").contains(w)
         fallback_cond = cond if fallback_cond is None else (fallback_cond | cond)
-    d = (q.join(abc.select("qid").distinct(), "qid", "left_anti").where(fallback_cond)
+    pats = (a.unionByName(b).unionByName(c)
+            .select("qid", F.concat(F.lit("'%"), F.col("name"), F.lit("%'")).alias("pattern"), "stage"))
+    d = (q.where(fallback_cond)
          .select("qid", F.lit(schemas.COURSE_FALLBACK_PATTERN).alias("pattern"), F.lit("d").alias("stage")))
-
-    pats = abc.select("qid", F.concat(F.lit("'%"), F.col("name"), F.lit("%'")).alias("pattern"), "stage")
-    out = pats.unionByName(d).groupBy("qid", "pattern").agg(F.min("stage").alias("stage"))
+    per_q = Window.partitionBy("qid")
+    kept = (pats.unionByName(d)
+            .withColumn("_ab", F.max(F.col("stage").isin("a", "b").cast("int")).over(per_q))
+            .withColumn("_abc", F.max(F.col("stage").isin("a", "b", "c").cast("int")).over(per_q))
+            .where(F.col("stage").isin("a", "b")
+                   | ((F.col("stage") == "c") & (F.col("_ab") == 0))
+                   | ((F.col("stage") == "d") & (F.col("_abc") == 0))))
+    out = kept.groupBy("qid", "pattern").agg(F.min("stage").alias("stage"))
     return out.withColumnRenamed("qid", id_col)
 
 
