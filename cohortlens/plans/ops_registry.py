@@ -109,10 +109,17 @@ def q_remap_course_codes(spark, d):
 
 
 def q_consolidate_years(spark, d):
-    c = _t(spark, d).candidate("regnumber", "aggregate", "gender", "year")
-    # One frame per year present (the year domain is a handful of values).
-    years = [r[0] for r in c.select("year").distinct().collect()]
-    frames = {y: c.where(F.col("year") == y).drop("year") for y in years}
+    t = _t(spark, d)
+    # One frame per year present (the year domain is a handful of values);
+    # each frame filters the order date by range at the scan.
+    years = [r[0] for r in t.candidate("year").select("year").distinct().collect()]
+
+    def year_frame(y):
+        in_year = ((F.col("o_orderdate") >= F.lit(f"{y}-01-01").cast("timestamp_ntz"))
+                   & (F.col("o_orderdate") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz")))
+        return t.candidate("regnumber", "aggregate", "gender", orders_filter=in_year)
+
+    frames = {y: year_frame(y) for y in years}
     out = upsert.consolidate_years(frames)
     return out.groupBy("year").agg(F.count(F.lit(1)).alias("candidates"),
                                    F.sum("aggregate").alias("sum_aggregate"))

@@ -163,9 +163,14 @@ class DriverTables(Tables):
                         F.col("ts").alias("import_ts")))
 
     # -- facts -------------------------------------------------------------
-    def candidate(self, *cols: str) -> DataFrame:
+    def candidate(self, *cols: str, orders_filter: Column | None = None) -> DataFrame:
+        """``orders_filter``: an optional predicate on the raw orders columns
+        (e.g. an o_orderdate range), applied at the scan where Parquet can
+        use it, before any join."""
         want = list(cols) if cols else list(CANDIDATE_COLUMNS)
         o = self.raw("orders")
+        if orders_filter is not None:
+            o = o.where(orders_filter)
         df = o.select(
             F.col("o_orderkey").alias("regnumber"),
             F.col("o_custkey"),
