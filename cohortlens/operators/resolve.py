@@ -1,10 +1,11 @@
 """Entity resolution for imports.
 
 Pattern: resolve the *distinct* input values once (small), then join the
-answer back to the rows. Exact lookups are equi-joins; the fuzzy step runs
-only on distinct values that found no exact match, against a broadcast
-dimension whose size is bounded by the dimension itself (states, required
-headers), as a theta join that emits only pairs within the distance bound.
+answer back to the rows. Identifier lookups are equi-joins. State names are
+matched in one edit-distance pass (an exact match is distance 0) that emits
+only pairs within the bound: a broadcast nested loop against a state list of
+checked size, else an exact deletion-neighbourhood equi-join
+(``theta.edit_distance_pairs``).
 """
 
 from __future__ import annotations
@@ -40,19 +41,18 @@ def resolve_states(df: DataFrame, col: str, state: DataFrame,
     st = state.select(F.col("st_id"), F.col("st_name"))
     names = (df.select(F.col(col).alias("_raw")).where(F.col("_raw").isNotNull()).distinct()
              .withColumn("_clean", clean_state_name(F.col("_raw"), aliases)))
-    exact = (names.join(st, F.col("_clean") == F.col("st_name"), "left")
-             .select("_raw", "_clean", F.col("st_id").alias("_exact")))
-    unmatched = exact.where(F.col("_exact").isNull()).select("_raw", "_clean")
-    # Pairs within the distance bound: broadcast nested loop against a state
-    # list of checked size, else an exact deletion-neighbourhood join.
-    near = (edit_distance_pairs(unmatched, "_clean", st, "st_name", max_distance,
-                                force_shuffle=force_shuffle)
-            .groupBy("_raw")
-            .agg(F.min_by("st_id", F.struct("_dist", "st_id")).alias("_fuzzy")))
-    resolved = (exact.join(near, "_raw", "left")
-                .select("_raw", F.coalesce("_exact", "_fuzzy").alias("st_id"),
-                        F.when(F.col("_exact").isNotNull(), F.lit("exact"))
-                         .when(F.col("_fuzzy").isNotNull(), F.lit("fuzzy")).alias("state_match")))
+    # An exact match is distance 0, so one pass over the pairs within the
+    # bound resolves both: the nearest state by (distance, st_id). Broadcast
+    # nested loop against a state list of checked size, else an exact
+    # deletion-neighbourhood join.
+    near = edit_distance_pairs(names, "_clean", st, "st_name", max_distance,
+                               force_shuffle=force_shuffle)
+    resolved = (near.groupBy("_raw")
+                .agg(F.min_by("st_id", F.struct("_dist", "st_id")).alias("st_id"),
+                     F.min("_dist").alias("_d"))
+                .select("_raw", "st_id",
+                        F.when(F.col("_d") == 0, F.lit("exact")).otherwise(F.lit("fuzzy"))
+                        .alias("state_match")))
     return df.join(resolved, F.col(col) == F.col("_raw"), "left").drop("_raw")
 
 
