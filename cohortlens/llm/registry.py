@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup
+from .bpe import encode_digests
 from .common import table
+from .mixing import mix
+from .simhash import simhash_groups
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,11 +19,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _mixed(docs: DataFrame) -> DataFrame:
+    return mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op4_bpe_encoding": lambda s, d: encode_digests(table(s, d, "documents"), TOKENIZER),
+        "op5_source_mixing": lambda s, d: _mixed(table(s, d, "documents")),
+        "op7_simhash": lambda s, d: simhash_groups(table(s, d, "documents"), shingle=4, radius=4),
+        "op8_line_dedup": lambda s, d: line_dedup.page_line_dedup(table(s, d, "pages")),
         "op9_token_counts": lambda s, d: token_counts(table(s, d, "documents"), TOKENIZER),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": line_dedup.ORACLE}
