@@ -123,7 +123,7 @@ def _best(scores: Column, names: list[str]) -> Column:
 
 def _shares(rows: DataFrame, key: str, names: list[str], out: str) -> DataFrame:
     """(key, out): rows per text language for each ``key``."""
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*[F.count_if(F.col("_best") == n).cast("double") for n in names]).alias(out))
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*[F.count_if(F.col("_best") == n).cast("double") for n in names]).cast("array<double>").alias(out))
 
 
 def identify(rows: DataFrame, names: list[str], table: np.ndarray, accept: list[str] | None = None,
@@ -147,7 +147,7 @@ def identify(rows: DataFrame, names: list[str], table: np.ndarray, accept: list[
     every = [*names, UNKNOWN]
     scored = stored(text_evidence(rows, table).withColumn("_best", F.when(F.col("trigrams") > 0, _best(F.col("evidence"), every)))
                     .withColumn("_domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)), "evidence")
-    whole = scored.agg(*[F.count_if(F.col("_best") == n) for n in names]).first()
+    whole = scored.agg(F.count("*"), *[F.count_if(F.col("_best") == n) for n in names]).first()[1:]
     n_all = sum(whole)
     prior = [(c + ALPHA) / (n_all + ALPHA * len(names)) for c in whole]
     log_given = lambda counts: [F.log((F.coalesce(F.element_at(counts, j + 1), F.lit(0.0)) + ALPHA) / (whole[j] + 2 * ALPHA)) for j in range(len(names))]
@@ -162,9 +162,8 @@ def identify(rows: DataFrame, names: list[str], table: np.ndarray, accept: list[
         return [(x + STRENGTH * p) / (n + STRENGTH) for x, p in zip(c, parent, strict=True)]
 
     host = shrink("_by_host", shrink("_by_domain", [F.lit(p) for p in prior]))
-    zero = [F.lit(0.0)] * len(names)
-    declared = [F.when(F.col("_declared").isNotNull(), x).otherwise(0.0) for x in log_given(F.col("_declared"))] if names else zero
-    suffix = [F.when(F.col("_suffix").isNotNull(), x).otherwise(0.0) for x in log_given(F.col("_suffix"))] if names else zero
+    declared = [F.when(F.col("_declared").isNotNull(), x).otherwise(0.0) for x in log_given(F.col("_declared"))]
+    suffix = [F.when(F.col("_suffix").isNotNull(), x).otherwise(0.0) for x in log_given(F.col("_suffix"))]
     scores = [F.element_at("evidence", j + 1) + declared[j] + suffix[j] + F.log(host[j]) for j in range(len(names))]
     # The unknown language explains each declaration and suffix as well as the average language.
     free = [F.when(F.col(c).isNotNull(), F.log((F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x) + ALPHA) / (n_all + 2 * ALPHA))).otherwise(0.0)

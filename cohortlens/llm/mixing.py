@@ -10,7 +10,7 @@ from .common import WORD, stored
 #: Words of a block.
 BLOCK_WORDS = 256
 #: Slots or documents that a task orders at once.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 #: Points are the multiples of an odd number near golden ratio * RING, modulo RING.
 RING = 1 << 31
 STEP = 1327217885

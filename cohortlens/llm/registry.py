@@ -27,7 +27,7 @@ def queries() -> dict[str, Query]:
     return {
         "op4_bpe_encoding": lambda s, d: encode_digests(table(s, d, "documents"), TOKENIZER),
         "op5_source_mixing": lambda s, d: _mixed(table(s, d, "documents")),
-        "op7_simhash": lambda s, d: simhash_groups(table(s, d, "documents"), shingle=4, radius=4),
+        "op7_simhash": lambda s, d: simhash_groups(table(s, d, "documents"), shingle=4, radius=4).select("doc_id", "fingerprint", "component_id"),
         "op8_line_dedup": lambda s, d: line_dedup.page_line_dedup(table(s, d, "pages")),
         "op9_token_counts": lambda s, d: token_counts(table(s, d, "documents"), TOKENIZER),
     }

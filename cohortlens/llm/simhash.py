@@ -34,17 +34,19 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, fp): the 64-bit fingerprint as a signed long, one row per input row."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+    """(id, mark, fp): the 64-bit fingerprint as a signed long, one row per
+    input row; ``mark`` (a long) goes along."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column("text").cast(pa.large_binary())
             made = np.array([fingerprint(x.as_py() or b"", shingle) for x in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(made.view(np.int64))], names=["id", "mark", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"`{id_col}` long, fp long")
+    mark = F.lit(0) if mark is None else mark
+    return docs.select(F.col(id_col).cast("long").alias("id"), mark.cast("long").alias("mark"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, "id long, mark long, fp long")
 
 
 def covering_masks(radius: int, seed: int, bits: int = 64) -> list[int]:
@@ -133,20 +135,23 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return pairs.union(small).union(large)
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                   mark: Column | None = None) -> DataFrame:
     """Groups of documents whose fingerprints link, directly or by a chain.
 
     Equal fingerprints are one class, so copies meet only in counts. One row
     per input row: ``id_col``, fingerprint (16 hex digits), component_id (the
-    smallest id of the group). Null and wordless texts have fingerprint 0 and
-    link like any other. Null ids take part; a group of null ids only has a
-    null component_id. Repeated rows stay, other columns are ignored, and an
-    empty table gives an empty result."""
-    made = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = made.groupBy("fp").agg(F.min(id_col).alias("first"))
+    smallest id of the group), group (the group's smallest fingerprint as a
+    long, also for groups without ids) and, if given, ``mark``. Null and
+    wordless texts have fingerprint 0 and link like any other. Null ids take
+    part; a group of null ids only has a null component_id. Repeated rows
+    stay, other columns are ignored, and an empty table gives an empty
+    result."""
+    made = stored(fingerprints(docs, shingle, id_col, text_col, mark), "fingerprints")
+    classes = made.groupBy("fp").agg(F.min("id").alias("first"))
     parts = connected_components(fingerprint_links(classes, radius), "a", "b")
-    labelled = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = labelled.join(smallest, "component").select("fp", "component_id")
-    return made.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = classes.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("group")), "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+    smallest = labelled.groupBy("group").agg(F.min("first").alias("component_id"))
+    named = labelled.join(smallest, "group").select("fp", "group", "component_id")
+    marks = [] if mark is None else ["mark"]
+    return made.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group", *marks)
