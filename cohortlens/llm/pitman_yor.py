@@ -383,8 +383,7 @@ def context_round(state: DataFrame, parent: DataFrame, width: int, sections: Sec
                 t[own] = seat(me.c[own], total[me.at[own]] - t[own], p[own], discount, STRENGTH, log_s, rng)
             kept = r["kept"] or b""
             if keep:
-                total = elsewhere + np.bincount(me.at, weights=t, minlength=len(me.us)).astype(np.int64)
-                kept = pack(*(unpack(kept) if kept else []), t.astype(np.uint32), total.astype(np.uint64), above)
+                kept = pack(*(unpack(kept) if kept else []), t.astype(np.uint32), above)
             yield pa.RecordBatch.from_arrays(_state_row(bucket, r["pairs"], t, kept, r["ones"], r["twos"], me.frequent(t, sections)), names=_STATE_NAMES)
 
     return _by_bucket(both, width, "bucket", "word_bucket").mapInArrow(run, _STATE)
@@ -399,6 +398,7 @@ class Model:
     width: int
     sections: Sections
     frequent: dict[int, int]
+    totals: list[dict[int, int]]
     train_tokens: int
     vocabulary: int
     discount: float
@@ -408,17 +408,18 @@ class Predictive:
     """Probability of each pair's word in its context, averaged over the kept rounds."""
 
     def __init__(self, model: Model):
-        self.sections, self.frequent, self.discount = model.sections, model.frequent, model.discount
+        self.sections, self.frequent, self.totals, self.discount = model.sections, model.frequent, model.totals, model.discount
 
     def __call__(self, me: Bucket, kept: list[np.ndarray]) -> np.ndarray:
         n = np.bincount(me.at, weights=me.c, minlength=len(me.us))  # customers of each context
         dealt = np.flatnonzero(self.sections.of(me.us) > 1)
         n[dealt] = [self.frequent[u] for u in me.us[dealt].tolist()]
         p = np.zeros(len(me.w))
-        for i in range(0, len(kept), 3):
-            t, total, above = kept[i:i + 3]
-            p += (me.c - self.discount * t + (STRENGTH + self.discount * total.astype(float))[me.at] * above[me.word_at]) / (STRENGTH + n)[me.at]
-        return p / (len(kept) // 3)
+        for t, above, whole in zip(kept[::2], kept[1::2], self.totals, strict=True):
+            total = np.bincount(me.at, weights=t, minlength=len(me.us))
+            total[dealt] = [whole[u] for u in me.us[dealt].tolist()]
+            p += (me.c - self.discount * t + (STRENGTH + self.discount * total)[me.at] * above[me.word_at]) / (STRENGTH + n)[me.at]
+        return p / len(self.totals)
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -439,17 +440,26 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, seed: int
     _free(texts, numbered)
     ones, twos = (x or 0 for x in uses.agg(F.sum("ones"), F.sum("twos")).first())
     discount = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
-    base, tables, state = 1 / (vocabulary + 1), vocabulary, uses.select(*_STATE_NAMES)
+    base, tables, state, totals = 1 / (vocabulary + 1), vocabulary, uses.select(*_STATE_NAMES), []
+    hot = _totals(state)
     for i in range(rounds):
         parent = stored(parent_round(state, width, tables, base, discount, seed * 1000 + 2 * i), "parent")
         customers, tables = np.sum([unpack(bytes(r.body))[0] for r in parent.where("bucket < 0").select("body").collect()] or [[0, 0]], axis=0).tolist()
-        hot: dict[int, int] = {}
-        for r in state.select("hot").collect():  # a number per section of a frequent context: at most 8 * width
-            for u, t in unpack(bytes(r.hot))[0].reshape(-1, 2).tolist():
-                hot[u] = hot.get(u, 0) + t
         before, state = state, stored(context_round(state, parent, width, sections, hot, customers, tables, base, discount, seed * 1000 + 2 * i + 1, i >= burn_in), "state")
         _free(parent, *([before] if i else []))
-    return Model(state, uses, width, sections, dict(zip(number.tolist(), count.tolist(), strict=True)), total, vocabulary, discount)
+        hot = _totals(state)
+        if i >= burn_in:
+            totals.append(hot)
+    return Model(state, uses, width, sections, dict(zip(number.tolist(), count.tolist(), strict=True)), totals, total, vocabulary, discount)
+
+
+def _totals(state: DataFrame) -> dict[int, int]:
+    """Tables of the frequent contexts over their sections: at most 8 * width numbers."""
+    out: dict[int, int] = {}
+    for r in state.select("hot").collect():
+        for u, t in unpack(bytes(r.hot))[0].reshape(-1, 2).tolist():
+            out[u] = out.get(u, 0) + t
+    return out
 
 
 def score_rows(model: Model) -> DataFrame:
