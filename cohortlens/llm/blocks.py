@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes of a block: bounds a task's memory at any input size.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 _ROW = pa.schema([("slot", pa.int32()), ("bucket", pa.int32()), ("block", pa.binary()),
                   ("rows", pa.int32()), ("head", pa.binary()), ("body", pa.binary())])
@@ -42,7 +42,7 @@ Serve = Callable[[list[bytes]], Iterable[bytes]]
 Finish = Callable[[bytes, list[bytes]], pa.RecordBatch]
 
 
-def pack(*parts: np.ndarray) -> bytes:
+def pack(*parts: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed byte string; integers by byte position, so
     that the zero high bytes of small numbers stand together."""
     out = [struct.pack("<I", len(parts))]
@@ -50,7 +50,7 @@ def pack(*parts: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a)
         out.append(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)))
         out.append(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(out))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -136,12 +136,11 @@ def exchange(df: DataFrame, column: str, width: int, split: Split, serve: Serve,
                                         rows["bucket"].to_pylist().__getitem__):
             own = list(own)
             asked = [i for i in own if rows["body"][i].as_py()]
-            answers = dict(zip(asked, serve([rows["body"][i].as_py() for i in asked]), strict=True))
+            answers = iter(serve([rows["body"][i].as_py() for i in asked]))
             for i in own:
-                row = rows.slice(i, 1).combine_chunks()
+                body = next(answers) if rows["body"][i].as_py() else b""
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row[c].to_pylist(), _ROW.field(c).type) for c in _ROW.names[:-1]]
-                    + [pa.array([answers.get(i, b"")], pa.binary())], schema=_ROW)
+                    [pa.array([rows[c][i].as_py()], _ROW.field(c).type) for c in _ROW.names[:-1]] + [pa.array([body], pa.binary())], schema=_ROW)
 
     def to_result(batches):
         each = (row for b in batches for row in b.to_pylist())

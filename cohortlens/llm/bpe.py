@@ -21,6 +21,8 @@ WINDOW, CHUNK_BITS = 16, 10
 #: Least and greatest bytes of a chunk.
 CHUNK_MIN, CHUNK_MAX = 256, 1 << 16
 _FACTOR = 0x9E3779B1
+#: Compression of chunks and ids on their way: they are most of what is shuffled.
+LEVEL = 6
 
 
 class Vocabulary:
@@ -207,7 +209,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 places = np.array([p for c in own for p in found[c]], np.uint32).reshape(-1, 2)
                 yield b, blocks.pack(np.array([len(c) for c in own], np.uint32), np.frombuffer(b"".join(own), np.uint8),
                                      np.array([len(found[c]) for c in own], np.uint32),
-                                     np.ascontiguousarray(places[:, 0]), np.ascontiguousarray(places[:, 1]))
+                                     np.ascontiguousarray(places[:, 0]), np.ascontiguousarray(places[:, 1]), level=LEVEL)
 
         return head, bodies()
 
@@ -223,7 +225,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                     got = known[chunk] = v.encode(chunk.decode()).astype(kind)
                 ids.append(got)
                 at += n
-            yield blocks.pack(np.array([len(x) for x in ids], np.uint32), np.concatenate(ids), n_places, doc, place)
+            # (as bytes: pairs of ids repeat, which planes of their bytes would hide)
+            yield blocks.pack(np.array([len(x) for x in ids], np.uint32), np.concatenate(ids).view(np.uint8), n_places, doc, place, level=LEVEL)
 
     def finish(head, bodies):
         v = vocabulary(tokenizer)
@@ -232,7 +235,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         for body in bodies:
             size, data, n_places, doc, place = blocks.unpack(body)
             at = np.concatenate([[0], np.cumsum(size.astype(np.int64))]).tolist()
-            data = data.astype(np.uint32)
+            data = data.view(np.uint16 if v.size <= 1 << 16 else np.uint32).astype(np.uint32)
             owner = np.repeat(np.arange(len(size)), n_places).tolist()
             for c, d, p in zip(owner, doc.tolist(), place.tolist(), strict=True):
                 docs[d][p] = data[at[c]:at[c + 1]]
