@@ -1,7 +1,7 @@
 """Reusable Column expressions. All JVM-side; no Python UDFs.
 
 Rounding: the reports round averages and percentages half away from zero
-on exact decimals. For non-negative integer inputs that is done exactly in
+on exact decimals. For integer inputs that is done exactly in
 integer arithmetic from (sum, count) -- ``half_up_ratio`` -- so results do
 not depend on floating-point summation order, at any row count.
 """
@@ -19,16 +19,16 @@ def _q(name: str) -> str:
 
 
 def half_up_ratio(num: str, den: str, scale: int = 1, digits: int = 2) -> Column:
-    """round(scale * num / den, digits), half-up, NULL when den is 0 or NULL.
-
-    ``num`` and ``den`` name non-negative integer (long) columns. Uses
-    integral ``div``: floor((2*scale*10^d*num + den) / (2*den)) / 10^d.
+    """round(scale * num / den, digits), half away from zero, NULL when den is
+    0 or NULL. ``num`` and ``den`` name integer (long) columns, ``den`` not
+    negative. Uses integral ``div`` on |num|:
+    sign(num) * floor((2*scale*10^d*|num| + den) / (2*den)) / 10^d.
     """
     m = 10 ** digits
     k = 2 * scale * m
     n, d = _q(num), _q(den)
     return F.expr(
-        f"CASE WHEN {d} > 0 THEN CAST((({k} * {n} + {d}) div (2 * {d})) AS DOUBLE) / {m} END")
+        f"CASE WHEN {d} > 0 THEN CASE WHEN {n} < 0 THEN -1 ELSE 1 END * CAST((({k} * abs({n}) + {d}) div (2 * {d})) AS DOUBLE) / {m} END")
 
 
 def round_avg(sum_col: str, cnt_col: str, digits: int = 2) -> Column:
@@ -90,6 +90,3 @@ def flag_value(blanked: Column) -> Column:
     return F.when(blanked.isNull(), F.lit(None).cast("boolean")).otherwise(
         F.lower(blanked).isin(*schemas.FLAG_TRUE_VALUES))
 
-
-def like_any_case(col: Column, pattern: str) -> Column:
-    return F.lower(col).like(pattern.lower())

@@ -36,43 +36,157 @@ CANDIDATE_TYPES = {
 
 
 # S1 / S2 --------------------------------------------------------------------
-def _string_schema(spark: SparkSession, paths, upper_headers: bool) -> T.StructType:
-    head = spark.read.options(header=True, inferSchema=False).csv(paths).schema
-    names = [f.name.strip().upper() if upper_headers else f.name for f in head.fields]
-    return T.StructType([T.StructField(n, T.StringType()) for n in names]
+CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+REQUIRED = ("REGNUMBER",)
+PLACE = ["_path", "_block", "_pos"]      # file, block start, row within it: the load order
+
+
+def text_lines(spark: SparkSession, paths) -> DataFrame:
+    """Lines of text files with their place: _line, _path, _block, _pos."""
+    return place_lines(spark.read.text(paths).select(
+        F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block")))
+
+
+def place_lines(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("_pos", F.monotonically_increasing_id())
+
+
+def split_header(line: str) -> list[str]:
+    """Names of a header line, trimmed; a byte order mark is left out."""
+    import csv
+    return [h.strip() for h in next(csv.reader([line.lstrip("\ufeff")]), [])]
+
+
+def header_groups(lines: DataFrame) -> list[tuple[str, DataFrame]]:
+    """(header line, the rows of all files with that header, without it).
+
+    A file's header is the first line of its first block. One pass over the
+    lines; only distinct header lines come to the driver."""
+    first = lines.where(F.col("_block") == 0).groupBy("_path").agg(F.min(F.struct("_pos", "_line")).alias("_first"))
+    heads = first.select("_path", F.col("_first._pos").alias("_head_pos"), F.col("_first._line").alias("_head"))
+    body = (lines.join(heads, "_path").where((F.col("_block") > 0) | (F.col("_pos") > F.col("_head_pos")))
+            .where(F.trim("_line") != ""))
+    return [(r[0], body.where(F.col("_head") == F.lit(r[0])).drop("_head", "_head_pos"))
+            for r in heads.select("_head").distinct().orderBy("_head").collect()]
+
+
+def _header_schema(names: list[str]) -> T.StructType:
+    lower = [n.lower() for n in names]
+    twice = sorted({n for n in names if lower.count(n.lower()) > 1})
+    if twice:
+        raise ValueError(f"a CSV header repeats columns {twice}")
+    return T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)]
                         + [T.StructField(CORRUPT, T.StringType())])
 
 
-def read_candidate_csv(spark: SparkSession, paths, schema: T.StructType | None = None) -> DataFrame:
-    """Candidate CSV files -> all-string columns named by the header, plus
-    ``source_file`` and ``_corrupt_record`` (set for a row whose field count
-    differs from the header's). Files are split and read in parallel."""
-    # Malformed-row detection needs full-row parsing (see session.py).
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    schema = schema or _string_schema(spark, paths, upper_headers=False)
-    df = (spark.read.schema(schema)
-          .options(header=True, mode="PERMISSIVE", quote='"', escape='"',
-                   columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
-          .csv(paths))
-    return df.withColumn("source_file", F.col("_metadata.file_path"))
-
-
-def read_course_csv(spark: SparkSession, paths) -> DataFrame:
-    """Course CSV: headers upper-cased and trimmed; any malformed row fails
-    the read (FAILFAST), as one bad line aborts a course import."""
-    head = spark.read.options(header=True, inferSchema=False).csv(paths).schema
-    schema = T.StructType([T.StructField(f.name.strip().upper(), T.StringType())
-                           for f in head.fields])
-    missing = [c for c in ("CODE", "NAME") if c not in schema.names]
+def match_headers(spark: SparkSession, heads: list[list[str]], sources: list[str]) -> list[dict[str, str]]:
+    """Per header, its name -> the source it stands for, by
+    ``resolve.match_schema`` (I2): exact and automatically accepted matches.
+    Headers are few rows."""
+    from .resolve import match_schema
+    rows = [(str(k), i, n) for k, names in enumerate(heads) for i, n in enumerate(names)]
+    found = match_schema(spark.createDataFrame(rows, "file string, position int, header string"), sources)
+    out: list[dict[str, str]] = [{} for _ in heads]
+    for r in found.where(F.col("status").isin("exact", "auto")).orderBy("required").collect():
+        out[int(r["file"])].setdefault(r["header"], r["required"])
+    return out
+
+
+def _names(spark: SparkSession, heads: list[str], sources: list[str] | None, required: tuple[str, ...]) -> list[list[str]]:
+    """Column names for each header line: the source a header stands for, else
+    the header. A header without a required source is refused."""
+    split = [split_header(h) for h in heads]
+    if not sources or not heads:
+        return split
+    out = []
+    for names, found in zip(split, match_headers(spark, split, sources), strict=True):
+        missing = [c for c in required if c not in found.values()]
+        if missing:
+            raise ValueError(f"CSV lacks required columns {missing}; its header is {names}")
+        taken = {c.lower() for c in found.values()}
+        out.append([found.get(n) or (f"{n}_other" if n.lower() in taken else n) for n in names])
+    return out
+
+
+def parse_lines(lines: DataFrame, sources: list[str] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    """Placed CSV lines -> all-string columns by name, ``_corrupt_record``,
+    ``source_file`` and the place. Each file is read by its own header
+    (matched to ``sources``, if given), so files may order, add or leave out
+    columns. A row whose field count differs from its header's, or that
+    leaves a quote open (a quoted line break, which needs ``multiline``), is
+    corrupt, never a good row."""
+    parts, groups = [], header_groups(lines)
+    for names, (_, body) in zip(_names(lines.sparkSession, [h for h, _ in groups], sources, required), groups, strict=True):
+        schema = _header_schema(names)
+        open_quote = (F.length("_line") - F.length(F.replace("_line", F.lit('"'), F.lit("")))) % 2 == 1
+        row = body.select(*PLACE, "_line", open_quote.alias("_open"), F.from_csv("_line", _ddl(schema), CSV_OPTIONS).alias("_r"))
+        cols = [F.when(~F.col("_open"), F.col(f"_r.`{f.name}`")).alias(f.name) for f in schema if f.name != CORRUPT]
+        corrupt = F.when(F.col("_open"), F.col("_line")).otherwise(F.col(f"_r.{CORRUPT}")).alias(CORRUPT)
+        parts.append(row.select(*cols, corrupt, F.col("_path").alias("source_file"), *PLACE))
+    return _union(parts, lines)
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
+
+
+def _union(parts: list[DataFrame], lines: DataFrame) -> DataFrame:
+    if not parts:
+        return lines.select(F.lit(None).cast("string").alias(CORRUPT), F.col("_path").alias("source_file"), *PLACE).limit(0)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _read_multiline(spark: SparkSession, paths, sources: list[str] | None, required: tuple[str, ...]) -> DataFrame:
+    """As ``parse_lines``, for files whose quoted values hold line breaks: a
+    file is then one task, and each group of files with one header one read."""
+    lines = text_lines(spark, paths)
+    heads = lines.where(F.col("_block") == 0).groupBy("_path").agg(F.min_by("_line", "_pos").alias("_head"))
+    groups = heads.groupBy("_head").agg(F.sort_array(F.collect_list("_path")).alias("files")).orderBy("_head").collect()
+    parts = []
+    for names, g in zip(_names(spark, [g["_head"] for g in groups], sources, required), groups, strict=True):
+        df = (spark.read.schema(_header_schema(names))
+              .options(header=True, multiLine=True, enforceSchema=True, **CSV_OPTIONS).csv(g["files"]))
+        # Every column is read, so that rows are checked against the header.
+        parts.append(df.select(*df.columns, F.col("_metadata.file_path").alias("source_file"),
+                               F.col("_metadata.file_path").alias("_path"), F.lit(0).cast("long").alias("_block"))
+                     .withColumn("_pos", F.monotonically_increasing_id()))
+    return _union(parts, lines)
+
+
+def _read(spark: SparkSession, paths, multiline: bool, sources: list[str] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    if multiline:
+        return _read_multiline(spark, paths, sources, required)
+    return parse_lines(text_lines(spark, paths), sources, required)
+
+
+def read_candidate_csv(spark: SparkSession, paths, multiline: bool = False, mapping=None) -> DataFrame:
+    """Candidate CSV files -> all-string columns under the mapping's source
+    names (each file's own header, matched by I2), ``_corrupt_record``,
+    ``source_file`` and the place of each row. A file without REGNUMBER is
+    refused. Files are split and read in parallel; with ``multiline`` (quoted
+    line breaks) a file is read whole."""
+    return _read(spark, paths, multiline, [m.source for m in (mapping or DEFAULT_CANDIDATE_MAPPING)], REQUIRED)
+
+
+def read_course_csv(spark: SparkSession, paths, multiline: bool = False) -> DataFrame:
+    """Course CSV: headers upper-cased and trimmed, read by name; any
+    malformed row fails the read, as one bad line aborts a course import."""
+    df = _read(spark, paths, multiline)
+    for c in df.columns:
+        if c not in (CORRUPT, "source_file", *PLACE):
+            df = df.withColumnRenamed(c, c.strip().upper())
+    missing = [c for c in ("CODE", "NAME") if c not in df.columns]
     if missing:
         raise ValueError(f"course CSV lacks required columns {missing}")
-    df = (spark.read.schema(schema)
-          .options(header=True, mode="FAILFAST", quote='"', escape='"', enforceSchema=True)
-          .csv(paths))
     for c in schemas.COURSE_CSV_COLUMNS:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    return df.withColumn("source_file", F.col("_metadata.file_path"))
+    bad = F.raise_error(F.concat(F.lit("malformed course CSV row: "), F.col(CORRUPT)))
+    return df.withColumn("CODE", F.when(F.col(CORRUPT).isNotNull(), bad.cast("string")).otherwise(F.col("CODE"))).drop(CORRUPT, *PLACE)
 
 
 # I7 -------------------------------------------------------------------------
@@ -87,7 +201,7 @@ class ColumnMapping:
 DEFAULT_CANDIDATE_MAPPING = [ColumnMapping(s, d) for s, d in schemas.CANDIDATE_CSV_MAPPING]
 
 
-def map_columns(df: DataFrame, mapping=None, keep=("source_file", CORRUPT)) -> DataFrame:
+def map_columns(df: DataFrame, mapping=None, keep=("source_file", CORRUPT, *PLACE)) -> DataFrame:
     """Select mapped columns under their destination names. Headers match
     case-insensitively after trimming; also ignoring spaces. A missing
     source column becomes NULL; unmapped columns are dropped."""
@@ -112,14 +226,16 @@ class ImportOptions:
     year: int | None = None          # stamped on every row (year is NOT NULL)
     is_admission: bool = False       # admission list: every row is admitted
     validate_only: bool = False      # dry run: summary only, no write
-    source_file: str | None = None   # overrides the per-row file path
+    source_file: str | None = None   # label for source_file; the load order keeps the real path
+    load_id: str | None = None       # quarantine partition; default: a hash of the input files
+    multiline: bool = False          # quoted values may hold line breaks (files are not split)
 
 
 def _err(cond: Column, msg: Column) -> Column:
     return F.when(cond, msg)
 
 
-def clean_candidates(df: DataFrame, opts: ImportOptions = ImportOptions()) -> DataFrame:
+def clean_candidates(df: DataFrame, opts: ImportOptions = ImportOptions(), state_names: bool = False) -> DataFrame:
     """Mapped string columns -> typed candidate columns + ``errors`` array.
 
     Text is trimmed with blanks as NULL; gender is normalised; flags parse
@@ -128,9 +244,11 @@ def clean_candidates(df: DataFrame, opts: ImportOptions = ImportOptions()) -> Da
 
     Two projections: every source column is trimmed once into ``_b_<col>``;
     typed values and error messages are then computed from those columns
-    (Catalyst keeps the projections apart instead of repeating the trim)."""
+    (Catalyst keeps the projections apart instead of repeating the trim).
+    With ``state_names`` a statecode that is no integer is kept as
+    ``state_name``, to be resolved against the state table (I8)."""
     present = [n for n in CANDIDATE_TYPES if n in df.columns]
-    keep = [c for c in ("source_file", CORRUPT) if c in df.columns]
+    keep = [c for c in ("source_file", CORRUPT, *PLACE) if c in df.columns]
     blanked = df.select(*keep, *[blank_to_null(F.col(n)).alias(f"_b_{n}") for n in present])
     out, errs = [], []
     for name, typ in CANDIDATE_TYPES.items():
@@ -144,10 +262,15 @@ def clean_candidates(df: DataFrame, opts: ImportOptions = ImportOptions()) -> Da
             v = flag_value(b)
         elif typ == "int":
             v = b.try_cast("int")
+            if name == "statecode" and state_names:
+                out += [v.alias(name), F.when(v.isNull(), b).alias("state_name")]
+                continue
             errs.append(_err(b.isNotNull() & v.isNull(),
                              F.concat(F.lit(f"invalid integer for {name}: '"), b, F.lit("'"))))
         else:
             v = b
+            if most := schemas.VARCHAR_LIMITS["candidate"].get(name):
+                errs.append(_err(F.length(b) > most, F.lit(f"{name} is longer than {most}")))
         out.append(v.alias(name))
     reg = F.col("_b_regnumber") if "regnumber" in present else F.lit(None)
     errs.insert(0, _err(reg.isNull(), F.lit("missing regnumber")))
@@ -171,9 +294,9 @@ def split_valid(df: DataFrame, raw_cols=None, now: Column | None = None):
     Quarantine schema: error_message, source_file, raw, import_ts. ``raw``
     is the corrupt line when there is one, else the row as JSON."""
     now = now if now is not None else F.localtimestamp()
-    good = df.where(F.size("errors") == 0).drop("errors", CORRUPT)
+    good = df.where(F.size("errors") == 0).drop("errors", CORRUPT, *PLACE)
     data_cols = [c for c in (raw_cols or df.columns)
-                 if c not in ("errors", CORRUPT, "source_file")]
+                 if c not in ("errors", CORRUPT, "source_file", *PLACE)]
     raw = F.to_json(F.struct(*data_cols))
     if CORRUPT in df.columns:
         raw = F.coalesce(F.col(CORRUPT), raw)
@@ -220,41 +343,134 @@ def valid_courses(df: DataFrame) -> DataFrame:
                     & (trim_all(F.col("course_code")) != "") & (trim_all(F.col("course_name")) != ""))
 
 
-# Batch import: S1 -> I7 -> I3-I6/I12 -> S9 -> S6 -> S15 -------------------------
-def run_candidate_import(spark: SparkSession, paths, target_path: str, errors_path: str,
-                         opts: ImportOptions, mapping=None) -> DataFrame:
-    """Import candidate CSV files into the year-partitioned table at
-    ``target_path``; bad rows go to ``errors_path`` (appended). Returns the
-    one-row import summary. With ``opts.validate_only`` nothing is written.
-
-    The checked rows feed three outputs (quarantine, merge, summary); they
-    are written once to the shared checkpoint folder so the CSV files are
-    parsed once and a lost executor recomputes from that copy."""
+# Batch import: S1 -> I2 -> I7 -> I3-I6/I12 -> I8-I10 -> S9 -> S6 -> S11 -> S15 ----
+@dataclass(frozen=True)
+class References:
+    """Tables that an import resolves against; each may be left out."""
+    state: DataFrame | None = None           # st_id, st_name
+    institution: DataFrame | None = None     # inid, inabv
+    course: DataFrame | None = None          # course_code
+
+
+def resolve_references(checked: DataFrame, refs: References) -> tuple[DataFrame, DataFrame | None]:
+    """Resolve state names (I8), institutions (I9) and course codes (I10) of
+    checked rows -> (rows, unknown codes or None).
+
+    A state given as text becomes its id, an institution id or abbreviation
+    the id; what can't be resolved is an error of the row. An unknown course
+    code is no error: the row stays, and (year, old_course_code,
+    institution_id) goes to the historical codes (S11)."""
+    from . import resolve
+    out, unknown = checked, None
+    if refs.state is not None and "state_name" in out.columns:
+        out = resolve.resolve_states(out, "state_name", refs.state)
+        lost = F.col("state_name").isNotNull() & F.col("st_id").isNull() & F.col("statecode").isNull()
+        out = out.withColumn("errors", F.when(lost, F.array_append("errors", F.concat(F.lit("unknown state: "), F.col("state_name")))).otherwise(F.col("errors")))
+        out = out.withColumn("statecode", F.coalesce(F.col("statecode"), F.col("st_id").cast("int"))).drop("state_name", "st_id", "state_match")
+    if refs.institution is not None:
+        out = resolve.resolve_institutions(out, "inid", refs.institution)
+        lost = F.col("inid").isNotNull() & F.col("resolved_inid").isNull()
+        out = out.withColumn("errors", F.when(lost, F.array_append("errors", F.concat(F.lit("invalid institution: "), F.col("inid")))).otherwise(F.col("errors")))
+        out = out.withColumn("inid", F.coalesce(F.col("resolved_inid").cast("string"), F.col("inid"))).drop("resolved_inid")
+    if refs.course is not None:
+        codes = refs.course.select(F.col("course_code").cast("string").alias("course_code"))
+        good = out.where((F.size("errors") == 0) & F.col("app_course1").isNotNull())
+        _, unknown = resolve.validate_course_codes(good, "app_course1", codes)
+        unknown = unknown.select("year", F.col("app_course1").alias("old_course_code"), F.col("inid").alias("institution_id"))
+    return out, unknown
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds a Parquet file. Any trouble in reading the
+    folder is raised: it never counts as a missing table."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return False
+    files = fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next().getPath().toString()
+        if f.endswith(".parquet") and "/_temporary/" not in f:
+            return True
+    return False
+
+
+def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """(``df`` written to the shared checkpoint folder and read back, path)."""
+    import uuid
     from ..session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def write_quarantine(bad: DataFrame, errors_path: str, **partition: str) -> None:
+    """Write bad rows to the partition of their load, which a retry of the
+    same load overwrites; other loads' partitions are not touched."""
+    out = bad
+    for k, v in partition.items():
+        out = out.withColumn(k, F.lit(str(v)))
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition).parquet(errors_path))
+
+
+def load_checked(spark: SparkSession, checked: DataFrame, target_path: str, errors_path: str, opts: ImportOptions,
+                 partition: dict[str, str], refs: References | None = None, historical_path: str | None = None) -> DataFrame:
+    """Resolve, quarantine and merge checked rows; returns the summary.
+
+    The checked rows feed several outputs; they are staged once in the
+    shared checkpoint folder, so a lost executor recomputes from that copy.
+    The merge comes first and can be repeated: if it fails, neither the
+    quarantine nor the historical codes have changed."""
     from . import upsert
-    import uuid
+    checked = checked.withColumn("_seq", F.struct(*PLACE))
+    unknown = None
+    if refs is not None:
+        checked, unknown = resolve_references(checked, refs)
+    staged, path = stage(checked, "import-checked")
+    if unknown is not None:
+        _, unknown = resolve_references(staged, References(course=refs.course))
+    try:
+        summary = spark.createDataFrame(import_summary(staged).collect(), import_summary(staged).schema)
+        good = staged.where(F.size("errors") == 0).drop("errors", CORRUPT, "source_file", *PLACE)
+        if table_exists(spark, target_path):
+            upsert.write_upsert(spark, target_path, good, key="regnumber", seq="_seq")
+        else:
+            # No data file is there; appending can't replace anything.
+            merged = upsert.upsert_candidates(good.drop("_seq").limit(0), good, key="regnumber", seq="_seq")
+            merged.hint("rebalance", "year").write.mode("append").partitionBy("year").parquet(target_path)
+        _, bad = split_valid(staged.drop("_seq"))
+        write_quarantine(bad, errors_path, **partition)
+        if unknown is not None and historical_path:
+            schema = "year int, old_course_code string, institution_id string, import_timestamp timestamp_ntz, reconciled boolean"
+            known = (spark.read.parquet(historical_path) if table_exists(spark, historical_path)
+                     else spark.createDataFrame([], schema))
+            upsert.append_historical_codes(known, unknown).write.mode("append").parquet(historical_path)
+    finally:
+        upsert._delete_path(spark, path)
+    return summary
+
 
+def run_candidate_import(spark: SparkSession, paths, target_path: str, errors_path: str,
+                         opts: ImportOptions, mapping=None, refs: References | None = None,
+                         historical_path: str | None = None) -> DataFrame:
+    """Import candidate CSV files into the year-partitioned table at
+    ``target_path``; bad rows go to ``errors_path``, in a partition of this
+    load (``load_id``) that a retry replaces; unknown course codes to
+    ``historical_path``. Returns the one-row import summary. With
+    ``opts.validate_only`` nothing is written. A load whose files lack the
+    REGNUMBER column fails before anything is written."""
     if opts.year is None and not opts.validate_only:
         raise ValueError("a candidate import needs ImportOptions.year (year is NOT NULL)")
-    raw = read_candidate_csv(spark, paths)
-    checked = clean_candidates(map_columns(raw, mapping), opts).withColumn(
-        "_seq", F.struct(F.col("source_file"), F.monotonically_increasing_id()))
+    raw = read_candidate_csv(spark, paths, opts.multiline, mapping)
+    checked = clean_candidates(map_columns(raw, mapping), opts, state_names=refs is not None and refs.state is not None)
     if opts.validate_only:
         return import_summary(checked)
-    staged = scratch_path(spark, f"import-checked-{uuid.uuid4().hex}")
-    checked.write.parquet(staged)
-    checked = spark.read.parquet(staged)
-    _, bad = split_valid(checked.drop("_seq"))
-    bad.write.mode("append").parquet(errors_path)
-    good = checked.where(F.size("errors") == 0).drop("errors", CORRUPT, "source_file")
-    try:
-        spark.read.parquet(target_path).schema
-        exists = True
-    except Exception:  # noqa: BLE001 - missing table
-        exists = False
-    if exists:
-        upsert.write_upsert(spark, target_path, good, key="regnumber", seq="_seq")
-    else:
-        merged = upsert.upsert_candidates(good.drop("_seq").limit(0), good, key="regnumber", seq="_seq")
-        merged.write.mode("overwrite").partitionBy("year").parquet(target_path)
-    return import_summary(checked)
+    load_id = opts.load_id
+    if load_id is None:
+        import hashlib
+        files = sorted(spark.read.text(paths).inputFiles())
+        load_id = hashlib.sha256("\n".join([*files, str(opts.year)]).encode()).hexdigest()[:16]
+    return load_checked(spark, checked, target_path, errors_path, opts, {"load_id": load_id}, refs, historical_path)

@@ -35,8 +35,16 @@ def candidate_star(t: Tables, dims=STAR_DIMS, cand_cols=None) -> DataFrame:
         df = df.join(t.institution.select(F.col("inid").alias("_inid"), "inname", "intyp"),
                      F.col("inid") == F.col("_inid"), "left").drop("_inid")
     if "institution_type" in dims:
-        df = df.join(F.broadcast(t.institution_type.select("intyp_id", "intyp_desc")),
+        df = df.join(t.institution_type.select("intyp_id", "intyp_desc"),
                      F.col("intyp") == F.col("intyp_id"), "left").drop("intyp_id")
+    if "disabilities" in dims:
+        df = df.join(t.candidate_disabilities.select(F.col("cand_reg_number").alias("_cd"), "is_blind", "is_deaf", "other_challenges"),
+                     F.col("regnumber") == F.col("_cd"), "left").drop("_cd")
+    if "scores" in dims:
+        # One row per subject score; a candidate without scores keeps one row.
+        scores = t.candidate_scores.join(t.subject, F.col("subject_id") == F.col("su_id"), "left").select(
+            F.col("cand_reg_number").alias("_cs"), F.col("year").alias("score_year"), "su_name", "score")
+        df = df.join(scores, F.col("regnumber") == F.col("_cs"), "left").drop("_cs")
     return df
 
 
@@ -69,9 +77,9 @@ def count_by(df: DataFrame, dim: str, **filters) -> DataFrame:
 
 # D1 -------------------------------------------------------------------------
 def candidate_profiles(t: Tables) -> DataFrame:
-    """Nested profile per candidate: state and LGA structs and the sorted
-    list of subject scores, as JSON. Scores are grouped per candidate first
-    (a candidate has few scores), then joined by key."""
+    """Nested profile per candidate: state, LGA, disabilities and exam
+    structs and the sorted list of subject scores, as JSON. Scores are grouped
+    per candidate first (a candidate has few scores), then joined by key."""
     scores = (t.candidate_scores.join(t.subject, F.col("subject_id") == F.col("su_id"))
               .groupBy("cand_reg_number")
               .agg(F.sort_array(F.collect_list(F.struct("subject_id", "year", "su_name", "score")))
@@ -79,13 +87,17 @@ def candidate_profiles(t: Tables) -> DataFrame:
     c = (t.candidate("regnumber", "surname", "gender", "aggregate", "year", "statecode", "lg_id")
          .join(t.state.select("st_id", "st_name"), F.col("statecode") == F.col("st_id"), "left")
          .join(t.lga.select(F.col("lg_id").alias("_lg"), "lg_name"), F.col("lg_id") == F.col("_lg"), "left")
-         .join(scores, F.col("regnumber") == F.col("cand_reg_number"), "left"))
+         .join(scores, F.col("regnumber") == F.col("cand_reg_number"), "left").drop("cand_reg_number"))
+    for name, cols in (("candidate_disabilities", ["is_blind", "is_deaf", "other_challenges"]),
+                       ("candidate_exam_info", ["exam_town", "exam_centre", "exam_number", "mock_state_id", "is_mock_candidate"])):
+        own = t.table(name).select(F.col("cand_reg_number").alias("_k"), F.struct(*cols).alias(name))
+        c = c.join(own, F.col("regnumber") == F.col("_k"), "left").drop("_k")
     prof = F.struct(
         "regnumber", "surname", "gender", "aggregate", "year",
         F.struct(F.col("statecode").alias("st_id"), "st_name").alias("state"),
         F.struct("lg_id", "lg_name").alias("lga"),
         F.coalesce("scores", F.array().cast("array<struct<subject_id:int,year:int,su_name:string,score:int>>"))
-        .alias("scores"))
+        .alias("scores"), F.col("candidate_disabilities").alias("disabilities"), F.col("candidate_exam_info").alias("exam_info"))
     # Null fields are kept so every profile has the same keys.
     return c.select("regnumber", F.to_json(prof, {"ignoreNullFields": "false"}).alias("profile"))
 
@@ -140,15 +152,29 @@ def institution_name_history(t: Tables, change_year_base: int = 1995) -> DataFra
 
 
 # D4 -------------------------------------------------------------------------
+def _long_scores(wide: DataFrame, mapping: DataFrame, id_cols, code_cols) -> DataFrame:
+    code_cols = code_cols or [c for c in wide.columns if c not in id_cols]
+    long = wide.unpivot(list(id_cols), list(code_cols), "csv_code", "score").where(F.col("score").isNotNull())
+    m = mapping.select(F.col("csv_code").alias("_code"), F.col("su_id").alias("subject_id"), "position")
+    return long.join(m, F.col("csv_code") == F.col("_code"), "left").drop("_code")
+
+
 def unpivot_scores(wide: DataFrame, mapping: DataFrame, id_cols=("cand_reg_number", "year"),
                    code_cols=None) -> DataFrame:
     """Wide rows (one score column per CSV subject code) -> (ids, subject_id,
-    score) rows; unknown codes dropped, NULL scores skipped. ``code_cols``
-    are the score columns (the file's header)."""
-    code_cols = code_cols or [c for c in wide.columns if c not in id_cols]
-    long = wide.unpivot(list(id_cols), list(code_cols), "csv_code", "score").where(F.col("score").isNotNull())
-    m = mapping.select("csv_code", F.col("su_id").alias("subject_id"))
-    return long.join(m, "csv_code").select(*id_cols, "subject_id", "score")
+    position, score) rows; NULL scores are skipped. ``position`` is the
+    subject's place in the file (of the mapping). ``code_cols`` are the score
+    columns (the file's header). Codes without a mapping: ``unmapped_scores``."""
+    return _long_scores(wide, mapping, id_cols, code_cols).where(F.col("subject_id").isNotNull()).select(
+        *id_cols, "subject_id", "position", "score")
+
+
+def unmapped_scores(wide: DataFrame, mapping: DataFrame, id_cols=("cand_reg_number", "year"),
+                    code_cols=None) -> DataFrame:
+    """Scores whose code has no mapping, for the quarantine: (ids, csv_code,
+    score, error_message)."""
+    return _long_scores(wide, mapping, id_cols, code_cols).where(F.col("subject_id").isNull()).select(
+        *id_cols, "csv_code", "score", F.concat(F.lit("unknown subject code: "), F.col("csv_code")).alias("error_message"))
 
 
 # D5 -------------------------------------------------------------------------
@@ -156,14 +182,13 @@ def check_constraints(t: Tables, tables=None) -> DataFrame:
     """(table, rule, violations) for primary keys, foreign keys, NOT NULL
     and VARCHAR lengths.
 
-    Per table, one group-by on the primary key gives the duplicate count
-    and is also the key set that child foreign keys join against (every
-    foreign key here references a primary key), so each table's key
-    aggregate is computed once and its exchange reused. Every FK, NOT NULL
-    and length count of a table then comes out of one row-level pass."""
+    A table's key aggregate gives its duplicates and is the key set that
+    foreign keys look into. A foreign key is checked on counts per value: the
+    child is grouped by the column first (partial sums absorb hot values) and
+    only distinct values meet the parent keys. NOT NULL and length counts
+    of a table come out of one pass without a join."""
     want = [n for n in schemas.PRIMARY_KEYS if not tables or n in tables]
     frames: dict[str, DataFrame] = {}
-    keycounts: dict[str, DataFrame] = {}
 
     def tab(name):
         if name not in frames:
@@ -171,33 +196,26 @@ def check_constraints(t: Tables, tables=None) -> DataFrame:
         return frames[name]
 
     def keys(name):
-        if name not in keycounts:
-            keycounts[name] = tab(name).groupBy(*schemas.PRIMARY_KEYS[name]).agg(
-                F.count(F.lit(1)).alias("_n"))
-        return keycounts[name]
+        return tab(name).groupBy(*schemas.PRIMARY_KEYS[name]).agg(F.count(F.lit(1)).alias("_n"))
+
+    def row(name, rule, df, count):
+        total = F.coalesce(F.sum(count), F.lit(0)).cast("long").alias("violations")
+        return df.agg(total).select(F.lit(name).alias("table"), F.lit(rule).alias("rule"), "violations")
 
     parts = []
     for name in want:
         pk = schemas.PRIMARY_KEYS[name]
-        dup = (keys(name).where(F.col("_n") > 1)
-               .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("violations")))
-        parts.append(dup.select(F.lit(name).alias("table"), F.lit(f"pk({','.join(pk)})").alias("rule"),
-                                "violations"))
+        parts.append(row(name, f"pk({','.join(pk)})", keys(name).where(F.col("_n") > 1), F.col("_n") - 1))
         df = tab(name)
-        counts = []
-        for i, (child, col, parent, pcol) in enumerate(schemas.FOREIGN_KEYS):
+        for child, col, parent, pcol in schemas.FOREIGN_KEYS:
             if child != name or parent not in want or col not in df.columns:
                 continue
-            parent_keys = (keys(parent).select(F.col(pcol).alias(f"_pk{i}"))
-                           .withColumn(f"_hit{i}", F.lit(True)))
-            df = df.join(parent_keys, F.col(col) == F.col(f"_pk{i}"), "left")
-            counts.append((f"fk({col}->{parent}.{pcol})",
-                           count_if(F.col(col).isNotNull() & F.col(f"_hit{i}").isNull())))
-        for c in schemas.NOT_NULL.get(name, []):
-            counts.append((f"not_null({c})", count_if(F.col(c).isNull())))
-        for c, n in schemas.VARCHAR_LIMITS.get(name, {}).items():
-            if c in df.columns:
-                counts.append((f"length({c})<={n}", count_if(F.length(F.col(c).cast("string")) > n)))
+            values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+            lost = values.join(keys(parent).select(F.col(pcol).alias("_p")), F.col("_v") == F.col("_p"), "left_anti")
+            parts.append(row(name, f"fk({col}->{parent}.{pcol})", lost, F.col("_c")))
+        counts = [(f"not_null({c})", count_if(F.col(c).isNull())) for c in schemas.NOT_NULL.get(name, []) if c in df.columns]
+        counts += [(f"length({c})<={n}", count_if(F.length(F.col(c).cast("string")) > n))
+                   for c, n in schemas.VARCHAR_LIMITS.get(name, {}).items() if c in df.columns]
         if not counts:
             continue
         agg = df.agg(*[e.cast("long").alias(f"c{j}") for j, (_, e) in enumerate(counts)])
@@ -221,26 +239,37 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
             .select("region", clean_state_name(F.col("st_name")).alias("st_name")))
 
 
+UNASSIGNED = "unassigned"
+
+
 def region_summary(t: Tables, regions: DataFrame) -> DataFrame:
     """Candidates and average aggregate per (region, state), with region
-    subtotals and a grand total (ROLLUP). Candidates are pre-aggregated per
-    state code before the joins."""
+    subtotals and a grand total (ROLLUP). ``level``: state, region or total.
+
+    Every candidate counts: one without a known state, or whose state is in
+    no region, is in 'unassigned'. Candidates are pre-aggregated per state
+    code before the joins."""
     per_code = (t.candidate("statecode", "aggregate").groupBy("statecode")
                 .agg(F.count(F.lit(1)).alias("_n"), F.sum("aggregate").alias("_s"),
                      F.count("aggregate").alias("_c")))
-    j = (per_code.join(t.state.select("st_id", "st_name"), F.col("statecode") == F.col("st_id"))
-         .join(regions.select("region", F.col("st_name").alias("_st")), F.col("st_name") == F.col("_st")))
+    of = regions.groupBy(F.col("st_name").alias("_st")).agg(F.min("region").alias("region"))
+    j = (per_code.join(t.state.select("st_id", "st_name"), F.col("statecode") == F.col("st_id"), "left")
+         .join(of, F.col("st_name") == F.col("_st"), "left")
+         .select(F.coalesce("region", F.lit(UNASSIGNED)).alias("region"),
+                 F.coalesce("st_name", F.lit(UNASSIGNED)).alias("st_name"), "_n", "_s", "_c"))
     agg = j.rollup("region", "st_name").agg(
-        F.sum("_n").alias("candidates"), F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
-    return agg.select("region", "st_name", "candidates", round_avg("_s", "_c").alias("avg_score"))
+        F.grouping_id().alias("_g"), F.sum("_n").alias("candidates"), F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+    level = F.when(F.col("_g") == 0, "state").when(F.col("_g") == 1, "region").otherwise("total")
+    return agg.select("region", "st_name", level.alias("level"), "candidates", round_avg("_s", "_c").alias("avg_score"))
 
 
 # D7 -------------------------------------------------------------------------
 def disability_stats(df: DataFrame, by=("year", "statecode")) -> DataFrame:
     """Blind / deaf / other-challenge counts per group."""
-    other = F.col("other_challenges") if "other_challenges" in df.columns else F.lit(None)
+    if "other_challenges" not in df.columns:
+        df = df.withColumn("other_challenges", F.lit(None).cast("string"))
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("candidates"),
         count_if(F.col("is_blind")).alias("blind"),
         count_if(F.col("is_deaf")).alias("deaf"),
-        count_if(other.isNotNull()).alias("other_challenges"))
+        count_if(F.col("other_challenges").isNotNull()).alias("other_challenges"))

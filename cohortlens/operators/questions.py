@@ -1,18 +1,18 @@
 """Bulk analytics over question and reply text columns.
 
 The keyword and category tables are data (schemas.py); classification is a
-CASE chain, matching is a join against small broadcast keyword/name tables.
-No per-row Python.
+CASE chain, matching is a set of equi-joins over distinct texts. No per-row
+Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.exprs import trim_all
-from .theta import contains_pairs, fits_broadcast
+from .theta import contains_pairs
 
 
 # N1 -------------------------------------------------------------------------
@@ -59,13 +59,25 @@ def read_course_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 # N3 -------------------------------------------------------------------------
-def category_keywords(spark: SparkSession, categories=schemas.COURSE_CATEGORIES) -> DataFrame:
-    rows = [(cat, prio, kw) for prio, (cat, kws) in enumerate(categories) for kw in kws]
-    return spark.createDataFrame(rows, "category string, priority int, keyword string")
+def _contains_any(col: Column, terms: list[str]) -> Column:
+    cond = F.lit(False)
+    for t in terms:
+        cond = cond | col.contains(t)
+    return cond
+
+
+def first_category(q: Column, categories=schemas.COURSE_CATEGORIES) -> Column:
+    """First category (declaration order) with a keyword in ``q``, or NULL."""
+    return F.coalesce(*[F.when(_contains_any(q, kws), F.lit(cat)) for cat, kws in categories])
+
+
+def name_categories(key: Column, categories=schemas.COURSE_CATEGORIES) -> Column:
+    """Array of the categories whose name or a keyword ``key`` contains."""
+    return F.array_compact(F.array(*[F.when(_contains_any(key, [cat, *kws]), F.lit(cat)) for cat, kws in categories]))
 
 
 def match_courses(questions: DataFrame, names: DataFrame, id_col: str = "question_id",
-                  col: str = "question", force_shuffle: bool = False) -> DataFrame:
+                  col: str = "question") -> DataFrame:
     """SQL LIKE patterns for the courses a question mentions.
 
     (a) every course whose lower-cased name occurs in the question;
@@ -76,58 +88,37 @@ def match_courses(questions: DataFrame, names: DataFrame, id_col: str = "questio
         of at least 3 bytes;
     (d) only when still nothing and the question says course/program: the
         literal fallback pattern.
-    ``names`` is (key, name) from ``course_names``. Substring joins go
-    through ``theta.contains_pairs``: broadcast when a side is of checked
-    small size, else an exact n-gram equi-join. The keyword table is fixed.
+    ``names`` is (key, name) from ``course_names``. Everything is matched on
+    distinct question texts and distinct words, then joined back: substring
+    joins are the n-gram equi-joins of ``theta.contains_pairs``, categories
+    are a CASE over the fixed keyword table, and (c) sees only the texts
+    that an anti-join on (a)+(b) leaves.
     Output: (question_id, pattern, stage) with unique patterns per question.
     """
-    spark = questions.sparkSession
-    q = questions.select(F.col(id_col).alias("qid"), F.lower(F.col(col)).alias("q"))
+    rows = questions.select(F.col(id_col).alias("qid"), F.lower(F.col(col)).alias("q")).where(F.col("q").isNotNull())
+    q = rows.select("q").distinct()
     nm = names.select("key", "name")
-    kw = F.broadcast(category_keywords(spark))   # fixed keyword table
-
-    # The course-name dimension is checked once; when small it is the
-    # broadcast side of both substring joins.
-    names_small = not force_shuffle and fits_broadcast(nm)
-    a = (contains_pairs(q, "q", nm, "key", broadcast="patterns" if names_small else None)
-         .select("qid", "name", F.lit("a").alias("stage")))
-
-    first_cat = (q.join(kw, F.col("q").contains(F.col("keyword")))
-                 .groupBy("qid").agg(F.min_by("category", "priority").alias("category")))
-    # Courses per category: name contains the category name or a keyword.
-    cat_terms = kw.select("category", F.col("keyword").alias("term")).unionByName(
-        kw.select("category", F.col("category").alias("term")))
-    course_cat = (nm.join(F.broadcast(cat_terms), F.col("key").contains(F.col("term")))
-                  .select("category", "name").distinct())
-    b = (first_cat.join(course_cat, "category")
-         .select("qid", "name", F.lit("b").alias("stage")))
-
-    # (c) is computed for every question and (d) proposed for every question
-    # naming a course/program; one window per question then keeps (c) only
-    # where (a)+(b) found nothing and (d) only where nothing matched at all.
-    # This avoids re-evaluating (a) and (b) for anti-joins. A question's
-    # rows are bounded by the course-name dimension.
-    words = (q.select("qid", F.explode(F.split(trim_all(F.col("q")), r"\s+")).alias("w"))
-             .where(F.octet_length("w") >= schemas.COURSE_WORD_MIN_BYTES))
-    c = (contains_pairs(nm, "key", words, "w", broadcast="texts" if names_small else None)
-         .select("qid", "name", F.lit("c").alias("stage")))
-    fallback_cond = None
-    for w in schemas.COURSE_FALLBACK_WORDS:
-        cond = F.col("q").contains(w)
-        fallback_cond = cond if fallback_cond is None else (fallback_cond | cond)
-    pats = (a.unionByName(b).unionByName(c)
-            .select("qid", F.concat(F.lit("'%"), F.col("name"), F.lit("%'")).alias("pattern"), "stage"))
-    d = (q.where(fallback_cond)
-         .select("qid", F.lit(schemas.COURSE_FALLBACK_PATTERN).alias("pattern"), F.lit("d").alias("stage")))
-    per_q = Window.partitionBy("qid")
-    kept = (pats.unionByName(d)
-            .withColumn("_ab", F.max(F.col("stage").isin("a", "b").cast("int")).over(per_q))
-            .withColumn("_abc", F.max(F.col("stage").isin("a", "b", "c").cast("int")).over(per_q))
-            .where(F.col("stage").isin("a", "b")
-                   | ((F.col("stage") == "c") & (F.col("_ab") == 0))
-                   | ((F.col("stage") == "d") & (F.col("_abc") == 0))))
-    out = kept.groupBy("qid", "pattern").agg(F.min("stage").alias("stage"))
-    return out.withColumnRenamed("qid", id_col)
+
+    a = contains_pairs(q, "q", nm, "key").select("q", "name", F.lit("a").alias("stage"))
+    course_cat = nm.select("name", F.explode(name_categories(F.col("key"))).alias("category")).distinct()
+    b = (q.select("q", first_category(F.col("q")).alias("category")).where(F.col("category").isNotNull())
+         .join(course_cat, "category").select("q", "name", F.lit("b").alias("stage")))
+    ab = a.unionByName(b)
+
+    left = q.join(ab.select("q"), "q", "left_anti")
+    words = (left.select("q", F.explode(F.split(trim_all(F.col("q")), r"\s+")).alias("w"))
+             .where(F.octet_length("w") >= schemas.COURSE_WORD_MIN_BYTES).distinct())
+    hits = contains_pairs(nm, "key", words.select("w").distinct(), "w").select("w", "name")
+    c = words.join(hits, "w").select("q", "name", F.lit("c").alias("stage")).distinct()
+    d = (left.where(_contains_any(F.col("q"), schemas.COURSE_FALLBACK_WORDS))
+         .join(c.select("q"), "q", "left_anti")
+         .select("q", F.lit(schemas.COURSE_FALLBACK_PATTERN).alias("pattern"), F.lit("d").alias("stage")))
+    found = (ab.unionByName(c)
+             .select("q", F.concat(F.lit("'%"), F.col("name"), F.lit("%'")).alias("pattern"), "stage")
+             .unionByName(d)
+             .groupBy("q", "pattern").agg(F.min("stage").alias("stage")))
+    return rows.join(found, "q").select(F.col("qid").alias(id_col), "pattern", "stage").groupBy(id_col, "pattern").agg(
+        F.min("stage").alias("stage"))
 
 
 # N4 -------------------------------------------------------------------------
@@ -148,20 +139,38 @@ def clean_sql(col: Column) -> Column:
     return trim_all(F.regexp_replace(s, r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
 
 
+def _field(reply: Column, name: str) -> tuple[Column, Column]:
+    """(text, is of another type) of a JSON object's field; keys are matched
+    ignoring case, the last one counts, and null is no value."""
+    keys = F.filter(F.json_object_keys(reply), lambda k: F.lower(k) == name)
+    values = F.transform(keys, lambda k: F.element_at(F.from_json(reply, "map<string,variant>"), k))
+    kinds = F.transform(values, lambda v: F.schema_of_variant(v))
+    texts = F.transform(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
+    text = F.try_element_at(texts, F.lit(-1))
+    return text, F.exists(kinds, lambda k: ~k.isin("STRING", "VOID"))
+
+
 def extract_sql(df: DataFrame, col: str = "reply") -> DataFrame:
     """Adds sql_query, thought_process and error for each model reply.
 
-    A reply that parses as a JSON object yields its ``sql_query`` (empty ->
-    error, no fallback). Otherwise the first SELECT ... ; (or to the end)
-    found in the text is used; none -> error."""
+    A reply that is one JSON object (nothing behind it) whose ``sql_query``
+    (any case of the key) is text or null yields that; empty, null or
+    missing -> error, no fallback. Any other reply -- text, JSON followed by
+    text, a sql_query of another type -- yields the first SELECT ... ; (or to
+    the end) found in it; none -> error."""
     r = clean_reply(F.col(col))
-    is_obj = F.json_object_keys(r).isNotNull()
-    js = F.get_json_object(r, "$.sql_query")
-    found = F.regexp_extract(r, SQL_IN_TEXT, 0)
-    raw_sql = F.when(is_obj, F.when(F.coalesce(js, F.lit("")) != "", js)) \
-        .otherwise(F.when(found != "", found))
-    err = (F.when(is_obj & (F.coalesce(js, F.lit("")) == ""), F.lit("no SQL query found in response"))
-           .when(~is_obj & (found == ""), F.lit("failed to extract SQL query")))
-    return df.select("*", clean_sql(raw_sql).alias("sql_query"),
-                     F.when(is_obj, F.get_json_object(r, "$.thought_process")).alias("thought_process"),
-                     err.alias("error"))
+    # Spark's parser stops at the end of the first value; in brackets, text
+    # behind it is an error or a second element.
+    only = F.try_parse_json(F.concat(F.lit("["), r, F.lit("]")))
+    one = F.try_variant_get(only, "$[1]", "variant").isNull() & only.isNotNull() & F.try_parse_json(r).isNotNull()
+    rows = df.select("*", r.alias("_r"), F.coalesce(one & F.json_object_keys(r).isNotNull(), F.lit(False)).alias("_one"))
+    text, other = _field(F.when(F.col("_one"), F.col("_r")), "sql_query")
+    thought, odd = _field(F.when(F.col("_one"), F.col("_r")), "thought_process")
+    rows = rows.select("*", text.alias("_js"), (F.col("_one") & ~F.coalesce(other, F.lit(False))).alias("_obj"),
+                       F.when(~F.coalesce(odd, F.lit(False)), thought).alias("_thought"))
+    found = F.regexp_extract("_r", SQL_IN_TEXT, 0)
+    has = F.coalesce("_js", F.lit("")) != ""
+    raw_sql = F.when(F.col("_obj"), F.when(has, F.col("_js"))).otherwise(F.when(found != "", found))
+    err = (F.when(F.col("_obj") & ~has, F.lit("no SQL query found in response"))
+           .when(~F.col("_obj") & (found == ""), F.lit("failed to extract SQL query")))
+    return rows.select(*df.columns, clean_sql(raw_sql).alias("sql_query"), F.col("_thought").alias("thought_process"), err.alias("error"))

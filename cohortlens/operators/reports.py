@@ -136,7 +136,7 @@ def institution_stats(t: Tables, n: int = D["institution_stats"]) -> DataFrame:
     per_inst = _applicant_sums(t, "inid").withColumnRenamed("inid", "_inid")
     j = (t.institution.select("inid", "inname", "intyp")
          .join(per_inst, F.col("inid") == F.col("_inid"), "left")
-         .join(F.broadcast(t.institution_type.select("intyp_id", "intyp_desc")),
+         .join(t.institution_type.select("intyp_id", "intyp_desc"),
                F.col("intyp") == F.col("intyp_id"), "left"))
     agg = j.groupBy("inname", F.col("intyp_desc").alias("institution_type")).agg(
         F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("applicants"),

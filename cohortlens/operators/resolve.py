@@ -3,9 +3,8 @@
 Pattern: resolve the *distinct* input values once (small), then join the
 answer back to the rows. Identifier lookups are equi-joins. State names are
 matched in one edit-distance pass (an exact match is distance 0) that emits
-only pairs within the bound: a broadcast nested loop against a state list of
-checked size, else an exact deletion-neighbourhood equi-join
-(``theta.edit_distance_pairs``).
+only pairs within the bound: an exact deletion-neighbourhood equi-join over
+distinct names (``theta.edit_distance_pairs``).
 """
 
 from __future__ import annotations
@@ -31,22 +30,18 @@ def clean_state_name(col: Column, aliases: dict[str, str] = schemas.STATE_ALIASE
 
 def resolve_states(df: DataFrame, col: str, state: DataFrame,
                    max_distance: int = schemas.STATE_MAX_DISTANCE,
-                   aliases: dict[str, str] = schemas.STATE_ALIASES,
-                   force_shuffle: bool = False) -> DataFrame:
+                   aliases: dict[str, str] = schemas.STATE_ALIASES) -> DataFrame:
     """Adds ``st_id`` and ``state_match`` (exact / fuzzy / NULL = unresolved).
 
     Exact match after cleaning and aliases; otherwise the nearest state name
-    by Levenshtein distance, accepted at distance <= ``max_distance``; among
-    equally near names the smallest st_id wins."""
+    by Levenshtein distance, accepted at distance <= ``max_distance`` (0, 1
+    or 2); among equally near names the smallest st_id wins."""
     st = state.select(F.col("st_id"), F.col("st_name"))
     names = (df.select(F.col(col).alias("_raw")).where(F.col("_raw").isNotNull()).distinct()
              .withColumn("_clean", clean_state_name(F.col("_raw"), aliases)))
     # An exact match is distance 0, so one pass over the pairs within the
-    # bound resolves both: the nearest state by (distance, st_id). Broadcast
-    # nested loop against a state list of checked size, else an exact
-    # deletion-neighbourhood join.
-    near = edit_distance_pairs(names, "_clean", st, "st_name", max_distance,
-                               force_shuffle=force_shuffle)
+    # bound resolves both: the nearest state by (distance, st_id).
+    near = edit_distance_pairs(names, "_clean", st, "st_name", max_distance)
     resolved = (near.groupBy("_raw")
                 .agg(F.min_by("st_id", F.struct("_dist", "st_id")).alias("st_id"),
                      F.min("_dist").alias("_d"))
@@ -93,12 +88,37 @@ def mark_known_codes(df: DataFrame, col: str, course: DataFrame) -> DataFrame:
 
 
 # D3 -------------------------------------------------------------------------
+def current_mappings(mapping: DataFrame) -> DataFrame:
+    """One mapping per (year, old code, institution): the latest
+    ``mapping_date`` (then the smallest new code); without that column, or
+    where it is NULL, a mapping counts as the earliest."""
+    date = F.col("mapping_date") if "mapping_date" in mapping.columns else F.lit(None).cast("timestamp_ntz")
+    rank = F.struct(date.isNotNull().alias("known"), date.alias("date"))
+    best = mapping.groupBy("year", "old_course_code", "institution_id").agg(F.max(rank).alias("_r"), F.collect_set(
+        F.struct(date.isNotNull().alias("known"), date.alias("date"), F.col("new_course_code").alias("code"))).alias("_all"))
+    latest = F.filter("_all", lambda x: F.struct(x.known.alias("known"), x.date.alias("date")).eqNullSafe(F.col("_r")))
+    return best.select("year", "old_course_code", "institution_id", F.array_min(F.transform(latest, lambda x: x.code)).alias("new_course_code"))
+
+
+def superseded_mappings(mapping: DataFrame) -> DataFrame:
+    """Mappings that ``current_mappings`` does not use: same (year, old code,
+    institution) as another one, with another new code."""
+    keep = current_mappings(mapping).select("year", "old_course_code", "institution_id", F.col("new_course_code").alias("used_course_code"))
+    return mapping.join(keep, ["year", "old_course_code", "institution_id"]).where(~F.col("new_course_code").eqNullSafe(F.col("used_course_code")))
+
+
 def remap_course_codes(df: DataFrame, mapping: DataFrame, code_col: str = "course_code",
-                       year_col: str = "year", inst_col: str = "institution_id") -> DataFrame:
+                       year_col: str = "year", inst_col: str = "institution_id",
+                       as_of: Column | None = None) -> DataFrame:
     """Replace an old course code by its new one for the same (year,
-    institution); codes without a mapping stay. Adds ``remapped``."""
-    m = mapping.select(F.col("old_course_code").alias("_old"), F.col("year").alias("_y"),
-                       F.col("institution_id").alias("_i"), F.col("new_course_code").alias("_new"))
+    institution); codes without a mapping stay. Adds ``remapped``.
+
+    One mapping per key is used (``current_mappings``), so rows are never
+    multiplied; ``as_of`` leaves out mappings dated later."""
+    if as_of is not None:
+        mapping = mapping.where(F.col("mapping_date").isNull() | (F.col("mapping_date") <= as_of))
+    m = current_mappings(mapping).select(F.col("old_course_code").alias("_old"), F.col("year").alias("_y"),
+                                         F.col("institution_id").alias("_i"), F.col("new_course_code").alias("_new"))
     j = df.join(m, (F.col(code_col) == F.col("_old")) & (F.col(year_col) == F.col("_y"))
                 & (F.col(inst_col) == F.col("_i")), "left")
     return (j.withColumn("remapped", F.col("_new").isNotNull())
@@ -122,8 +142,9 @@ def match_schema(headers: DataFrame, required: list[str],
     spaces; the first header by position wins. Otherwise fuzzy: confidence
     = 1 - lev/max(len) over names without '_' and spaces, kept above
     ``min_conf``; the best header (then lowest position) is proposed; status
-    'auto' when it is the only candidate above ``auto``, else 'review'.
-    Unmatched -> 'missing'. Output: file, required, header, confidence, status.
+    'auto' when it is the only candidate above ``min_conf`` and lies above
+    ``auto``, else 'review'. Unmatched -> 'missing'.
+    Output: file, required, header, confidence, status.
     """
     req_arr = F.array(*[F.lit(r) for r in required])
     # Each header row is expanded by the fixed required list (linear).
@@ -139,10 +160,10 @@ def match_schema(headers: DataFrame, required: list[str],
         F.max_by("header", F.when(F.col("confidence") > min_conf,
                                   F.struct("confidence", -F.col("position")))).alias("_fuzzy_header"),
         F.max(F.when(F.col("confidence") > min_conf, F.col("confidence"))).alias("_best"),
-        F.count(F.when(F.col("confidence") > auto, 1)).alias("_n_auto"))
+        F.count(F.when(F.col("confidence") > min_conf, 1)).alias("_n"))
     status = (F.when(F.col("_exact_header").isNotNull(), F.lit("exact"))
               .when(F.col("_fuzzy_header").isNull(), F.lit("missing"))
-              .when((F.col("_n_auto") == 1) & (F.col("_best") > auto), F.lit("auto"))
+              .when((F.col("_n") == 1) & (F.col("_best") > auto), F.lit("auto"))
               .otherwise(F.lit("review")))
     return per.select(
         "file", "required",

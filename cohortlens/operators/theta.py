@@ -1,18 +1,23 @@
-"""Theta joins (edit distance, substring containment) with a size bound.
+"""Theta joins (edit distance, substring containment) as equi-joins.
 
-A theta join has no equality key, so Spark can only run it as a nested loop.
-That is fine against a broadcast side of checked, small size; beyond the
-bound these helpers generate candidate pairs with plain equi-joins and then
-verify the predicate exactly, so no row pair is compared blindly:
+A theta join has no equality key, so Spark could only run it as a nested
+loop. These helpers generate candidate pairs of *distinct values* with plain
+equi-joins, verify the predicate exactly, and join the pairs back to the
+rows by value, so duplicate rows keep their multiplicity:
 
 * edit distance <= k: two strings within distance k share a string reachable
   from both by at most k deletions (the deletion neighbourhood), so joining
-  on neighbourhood members finds every such pair;
+  on neighbourhood members finds every such pair. Values whose length
+  differs from every value of the other side by more than k are dropped
+  before the neighbourhoods are built (they cannot match);
 * substring: a pattern occurs in a text only if each of its n-grams does;
   each pattern joins on its *rarest* n-gram (document frequency over the
   texts), which keeps candidate lists short even when some n-grams are
   everywhere. Patterns shorter than n join on the text's substrings of their
   own length.
+
+The plan is the same at every size; AQE decides from measured sizes whether
+a join broadcasts.
 """
 
 from __future__ import annotations
@@ -20,29 +25,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 200_000
 GRAM = 3
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most
-    max_rows + 1 rows to decide)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+MAX_EDIT_DISTANCE = 2
 
 
 # -- edit distance ------------------------------------------------------------
-def deletion_neighbourhood(col: Column, k: int = 2) -> Column:
+def deletion_neighbourhood(col: Column, k: int = MAX_EDIT_DISTANCE) -> Column:
     """Array of the distinct strings obtained from ``col`` by deleting at
-    most ``k`` (1 or 2) characters, the string itself included."""
+    most ``k`` (0, 1 or 2) characters, the string itself included."""
+    if k not in range(MAX_EDIT_DISTANCE + 1):
+        raise ValueError(f"edit distance must be between 0 and {MAX_EDIT_DISTANCE}, not {k}")
+    out = F.array(col)
+    if k == 0:
+        return out
     n = F.length(col)
     idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
     def drop1(s, i):
         return F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.lit(1 << 30)))
 
-    one = F.transform(idx, lambda i: drop1(col, i))
-    out = F.concat(F.array(col), one)
-    if k >= 2:
+    out = F.concat(out, F.transform(idx, lambda i: drop1(col, i)))
+    if k == 2:
         two = F.flatten(F.transform(idx, lambda i: F.transform(
             F.filter(idx, lambda j: j > i),
             lambda j: F.concat(col.substr(F.lit(1), i - 1), col.substr(i + 1, j - i - 1),
@@ -51,20 +54,24 @@ def deletion_neighbourhood(col: Column, k: int = 2) -> Column:
     return F.array_distinct(out)
 
 
+def _values(df: DataFrame, col: str, name: str) -> DataFrame:
+    return df.select(F.col(col).alias(name)).where(F.col(name).isNotNull()).distinct()
+
+
 def edit_distance_pairs(left: DataFrame, lcol: str, right: DataFrame, rcol: str,
-                        max_distance: int = 2, force_shuffle: bool = False) -> DataFrame:
+                        max_distance: int = MAX_EDIT_DISTANCE) -> DataFrame:
     """All (left row, right row) pairs with levenshtein(lcol, rcol) <=
-    ``max_distance``, plus ``_dist``. Broadcast nested loop when ``right`` is
-    small, else an exact join on deletion neighbourhoods."""
-    if not force_shuffle and fits_broadcast(right):
-        d = F.levenshtein(F.col(lcol), F.col(rcol), max_distance)
-        return left.join(F.broadcast(right), d >= 0).withColumn(
-            "_dist", F.levenshtein(F.col(lcol), F.col(rcol)))
-    lv = left.withColumn("_v", F.explode(deletion_neighbourhood(F.col(lcol), max_distance)))
-    rv = right.withColumn("_rv", F.explode(deletion_neighbourhood(F.col(rcol), max_distance)))
-    pairs = lv.join(rv, F.col("_v") == F.col("_rv")).drop("_v", "_rv").dropDuplicates()
-    return (pairs.withColumn("_dist", F.levenshtein(F.col(lcol), F.col(rcol)))
-            .where(F.col("_dist") <= max_distance))
+    ``max_distance`` (0, 1 or 2), plus ``_dist``."""
+    near = F.explode(deletion_neighbourhood(F.col("_l"), max_distance)).alias("_v")
+    lv, rv = _values(left, lcol, "_l"), _values(right, rcol, "_r")
+    reach = F.explode(F.sequence(F.length("_r") - max_distance, F.length("_r") + max_distance))
+    lengths = rv.select(reach.alias("_n")).distinct()
+    lv = lv.join(lengths, F.length("_l") == F.col("_n"), "left_semi")
+    rn = rv.select("_r", F.explode(deletion_neighbourhood(F.col("_r"), max_distance)).alias("_w"))
+    pairs = (lv.select("_l", near).join(rn, F.col("_v") == F.col("_w")).select("_l", "_r").distinct()
+             .withColumn("_dist", F.levenshtein("_l", "_r")).where(F.col("_dist") <= max_distance))
+    return (left.join(pairs, F.col(lcol) == F.col("_l"))
+            .join(right, F.col("_r") == F.col(rcol)).drop("_l", "_r"))
 
 
 # -- substring containment ------------------------------------------------------
@@ -81,29 +88,12 @@ def _tag_length(m: int):
 
 
 def contains_pairs(texts: DataFrame, tcol: str, patterns: DataFrame, pcol: str,
-                   n: int = GRAM, force_shuffle: bool = False,
-                   broadcast: str | None = "auto") -> DataFrame:
+                   n: int = GRAM) -> DataFrame:
     """All (text row, pattern row) pairs where ``tcol`` contains ``pcol``
-    (both non-empty). A broadcast nested loop when one side is small, else
-    an exact rarest-n-gram equi-join on the distinct values, joined back to
-    the rows by value.
-
-    ``broadcast``: "auto" counts the patterns, then the texts, against the
-    bound; "patterns" / "texts" names a side the caller already checked;
-    None forces the equi-join path."""
+    (both non-empty)."""
     patterns = patterns.where(F.length(pcol) > 0)
-    cond = F.col(tcol).contains(F.col(pcol))
-    if force_shuffle:
-        broadcast = None
-    if broadcast == "auto":
-        broadcast = ("patterns" if fits_broadcast(patterns)
-                     else "texts" if fits_broadcast(texts) else None)
-    if broadcast == "patterns":
-        return texts.join(F.broadcast(patterns), cond)
-    if broadcast == "texts":
-        return F.broadcast(texts).join(patterns, cond)
-    tv = texts.select(F.col(tcol).alias("_t")).where(F.col("_t").isNotNull()).distinct()
-    pv = patterns.select(F.col(pcol).alias("_p")).distinct()
+    tv = _values(texts, tcol, "_t")
+    pv = _values(patterns, pcol, "_p")
     # Long patterns: join on the pattern's rarest n-gram among the texts; a
     # pattern with an n-gram no text has cannot match and is dropped.
     tg = tv.select("_t", F.explode(_grams(F.col("_t"), n)).alias("_g"))

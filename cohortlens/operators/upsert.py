@@ -12,11 +12,13 @@ rewrites only the partitions the batch touches.
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.exprs import blank_to_null
@@ -36,12 +38,6 @@ def _blank_strings(df: DataFrame, cols) -> DataFrame:
                        else F.col(c) for c in df.columns])
 
 
-def load_sequence(df: DataFrame) -> Column:
-    """A load order for rows read from files: (file, block, position)."""
-    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                    F.monotonically_increasing_id())
-
-
 # S6 -------------------------------------------------------------------------
 def upsert_candidates(target: DataFrame, batch: DataFrame, key: str = "regnumber",
                       seq: str = "_seq") -> DataFrame:
@@ -62,50 +58,101 @@ def upsert_candidates(target: DataFrame, batch: DataFrame, key: str = "regnumber
     return j.select(*out)
 
 
+JOURNAL = "_merge_journal"    # a name that Spark's readers skip
+
+
 def write_upsert(spark: SparkSession, target_path: str, batch: DataFrame,
-                 key: str = "regnumber", seq: str = "_seq", partition_col: str = "year") -> str:
+                 key: str = "regnumber", seq: str = "_seq", partition_col: str = "year") -> None:
     """Merge ``batch`` into the Parquet table at ``target_path`` (partitioned
     by ``partition_col``), rewriting only touched partitions.
 
     A touched partition is one holding an old version of a batch key or
     receiving a merged row (a key whose year changes moves partition, so
     both are rewritten). The merged partitions are staged in the shared
-    checkpoint folder first, so the write never reads what it overwrites;
-    the final write uses dynamic partition overwrite.
+    checkpoint folder first, once; a journal next to the table then names
+    the staged copy and the touched partitions, and only then are partitions
+    replaced. If the driver dies between, ``recover`` (run by every merge)
+    finishes the move from the copy. A batch column that the table lacks is
+    refused rather than dropped.
     """
+    recover(spark, target_path, partition_col)
     target = spark.read.parquet(target_path)
+    extra = [c for c in batch.columns if c not in target.columns and c != seq]
+    if extra:
+        raise ValueError(f"the table at {target_path} has no columns {extra}")
     keys = batch.select(key).distinct()
-    # One old row per key. A key can appear twice only if an earlier run of
-    # this merge died between the overwrite and removing an emptied
-    # partition; both copies then re-merge with the same batch to the same
-    # row (coalesce(new, coalesce(new, old)) = coalesce(new, old)), so any
-    # copy will do and the re-run removes the stale one.
+    # One old row per key. A table written by others may hold a key twice;
+    # the row of the greatest (partition, content) counts, a fixed choice.
     old_all = target.join(keys, key, "left_semi")
-    old = old_all.dropDuplicates([key])
+    rest = [c for c in target.columns if c != key]
+    old = old_all.groupBy(key).agg(F.max(F.struct(partition_col, *[c for c in rest if c != partition_col])).alias("_o")) \
+        .select(key, *[F.col(f"_o.{c}").alias(c) for c in rest]).select(*target.columns)
     merged = upsert_candidates(old, batch, key, seq)
-    parts = (old_all.select(partition_col).union(merged.select(partition_col)).distinct())
-    untouched_in_parts = (target.join(parts, partition_col, "left_semi")
-                          .join(keys, key, "left_anti"))
+    changed = scratch_path(spark, f"upsert-rows-{uuid.uuid4().hex}")
+    merged.select(*target.columns).write.parquet(changed)
+    merged = spark.read.schema(target.schema).parquet(changed)
+    touched = sorted({r[0] for r in old_all.select(partition_col).distinct().union(
+        merged.select(partition_col).distinct()).collect()})       # a few year values
+    untouched = target.where(F.col(partition_col).isin(touched)).join(keys, key, "left_anti")
     staged = scratch_path(spark, f"upsert-stage-{uuid.uuid4().hex}")
-    (untouched_in_parts.unionByName(merged.select(*target.columns))
-     .write.mode("overwrite").partitionBy(partition_col).parquet(staged))
-    staged_df = spark.read.parquet(staged)
-    # Touched partitions (a few year values) that end up empty are not
-    # rewritten by a dynamic overwrite; remove them explicitly.
-    touched = {r[0] for r in parts.collect()}
-    written = {r[0] for r in staged_df.select(partition_col).distinct().collect()}
-    (staged_df.write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col)
-     .parquet(target_path))
-    for value in touched - written:
+    (untouched.unionByName(merged).hint("rebalance", partition_col)
+     .write.partitionBy(partition_col).parquet(staged))
+    _delete_path(spark, changed)
+    _write_text(spark, f"{target_path.rstrip('/')}/{JOURNAL}", json.dumps(
+        {"staged": staged, "touched": touched, "schema": target.schema.json()}))
+    recover(spark, target_path, partition_col)
+
+
+def recover(spark: SparkSession, target_path: str, partition_col: str = "year") -> bool:
+    """Finish a merge whose journal is still there; True if there was one.
+
+    Repeating it gives the same table: the journal's partitions are replaced
+    from the staged copy as a whole, those that it empties are removed, then
+    the journal and the copy."""
+    path = f"{target_path.rstrip('/')}/{JOURNAL}"
+    text = _read_text(spark, path)
+    if text is None:
+        return False
+    job = json.loads(text)
+    staged = spark.read.schema(StructType.fromJson(json.loads(job["schema"]))).parquet(job["staged"])
+    written = {r[0] for r in staged.select(partition_col).distinct().collect()}
+    (staged.hint("rebalance", partition_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_col).parquet(target_path))
+    for value in set(job["touched"]) - written:
         _delete_path(spark, f"{target_path.rstrip('/')}/{partition_col}={value}")
-    return staged
+    _delete_path(spark, path)
+    _delete_path(spark, job["staged"])
+    return True
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole: under another name first, then renamed."""
+    fs, part = _hadoop(spark, f"{path}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(part, _hadoop(spark, path)[1]):
+        raise OSError(f"cannot write {path}")
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def _delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = _hadoop(spark, path)
     fs.delete(p, True)
 
 
@@ -164,8 +211,10 @@ def append_historical_codes(target: DataFrame, new: DataFrame, now: Column | Non
 
 # S12 ------------------------------------------------------------------------
 def consolidate_years(frames: dict[int, DataFrame]) -> DataFrame:
-    """Yearly tables -> one table with a NOT NULL ``year`` column; columns
-    missing in a year become NULL."""
+    """Yearly tables -> one table with a ``year`` column; columns missing in
+    a year become NULL. The year is NOT NULL: a frame without one (key None)
+    is refused."""
+    if None in frames:
+        raise ValueError("every yearly table needs its year")
     parts = [df.withColumn("year", F.lit(int(y))) for y, df in sorted(frames.items())]
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return out.where(F.col("year").isNotNull())
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -42,9 +42,8 @@ def q_import_candidates(spark, d):
 
 
 def q_import_quarantine(spark, d):
-    c = _checked(spark, d)
-    return (c.where(F.size("errors") > 0)
-            .select("regnumber", F.array_join("errors", "; ").alias("error_message")))
+    _, bad = ingest.split_valid(_checked(spark, d), raw_cols=["regnumber", "surname"], now=_now())
+    return bad
 
 
 def q_import_summary(spark, d):
@@ -69,8 +68,7 @@ def q_clean_courses(spark, d):
 
 def q_upsert_courses(spark, d):
     target, batch = fx.course_pair(_t(spark, d))
-    return upsert.upsert_courses(target, batch, now=F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")) \
-        .drop("created_at")
+    return upsert.upsert_courses(target, batch, now=F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
 
 
 def q_upsert_course_names(spark, d):
@@ -98,31 +96,39 @@ def q_historical_codes(spark, d):
     return upsert.append_historical_codes(first_load, unknown, now=_now())
 
 
+def _code_mappings(spark, d):
+    """A mapping per unknown code, and for even ones an earlier one to another code."""
+    unknown = _unknown_codes(spark, d).select("year", F.col("course_code").alias("old_course_code"), "institution_id").distinct()
+    code = F.col("old_course_code") - UNKNOWN_CODE_OFFSET
+    last = unknown.select("*", code.alias("new_course_code"), F.lit("2024-03-01 00:00:00").cast("timestamp_ntz").alias("mapping_date"))
+    first = unknown.where(F.col("old_course_code") % 2 == 0).select(
+        "*", (code + 1).alias("new_course_code"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("mapping_date"))
+    return last.unionByName(first)
+
+
 def q_remap_course_codes(spark, d):
-    t = _t(spark, d)
-    unknown = _unknown_codes(spark, d)
-    mapping = unknown.select("year", F.col("course_code").alias("old_course_code"),
-                             (F.col("course_code") - UNKNOWN_CODE_OFFSET).alias("new_course_code"),
-                             "institution_id").distinct()
-    return resolve.remap_course_codes(fx.historical_codes(t), mapping) \
+    return resolve.remap_course_codes(fx.historical_codes(_t(spark, d)), _code_mappings(spark, d)) \
         .select("regnumber", "course_code", "remapped")
 
 
+def q_superseded_mappings(spark, d):
+    return resolve.superseded_mappings(_code_mappings(spark, d)).select(
+        "year", "old_course_code", "institution_id", "new_course_code", "used_course_code")
+
+
+CONSOLIDATED_YEARS = range(1995, 2002)
+
+
 def q_consolidate_years(spark, d):
     t = _t(spark, d)
-    # One frame per year present (the year domain is a handful of values);
-    # each frame filters the order date by range at the scan.
-    years = [r[0] for r in t.candidate("year").select("year").distinct().collect()]
 
+    # One frame per yearly table; each filters the order date by range at the scan.
     def year_frame(y):
         in_year = ((F.col("o_orderdate") >= F.lit(f"{y}-01-01").cast("timestamp_ntz"))
                    & (F.col("o_orderdate") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz")))
         return t.candidate("regnumber", "aggregate", "gender", orders_filter=in_year)
 
-    frames = {y: year_frame(y) for y in years}
-    out = upsert.consolidate_years(frames)
-    return out.groupBy("year").agg(F.count(F.lit(1)).alias("candidates"),
-                                   F.sum("aggregate").alias("sum_aggregate"))
+    return upsert.consolidate_years({y: year_frame(y) for y in CONSOLIDATED_YEARS})
 
 
 # -- resolution ---------------------------------------------------------------
@@ -167,6 +173,31 @@ def q_resolve_institutions(spark, d):
     return resolve.resolve_institutions(raw_institution_text(t), "raw_institution", t.institution)
 
 
+def _resolved(spark, d):
+    t = _t(spark, d)
+    checked = ingest.clean_candidates(ingest.map_columns(fx.raw_candidate_text(t)), ingest.ImportOptions(year=fx.IMPORT_YEAR), state_names=True)
+    return ingest.resolve_references(checked, ingest.References(_region_states(t), t.institution, t.course))
+
+
+def q_import_resolved(spark, d):
+    return _resolved(spark, d)[0].select("regnumber", "statecode", "inid", F.array_join("errors", "; ").alias("error_message"))
+
+
+def q_import_historical(spark, d):
+    known = spark.createDataFrame([], "year int, old_course_code string, institution_id string")
+    return upsert.append_historical_codes(known, _resolved(spark, d)[1], now=_now())
+
+
+def _required():
+    from .. import schemas
+    return [h for h, _ in schemas.CANDIDATE_CSV_MAPPING]
+
+
+def q_match_schema(spark, d):
+    found = resolve.match_schema(fx.csv_headers(_t(spark, d), _required()), _required())
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
 # -- questions ----------------------------------------------------------------
 def q_classify_intent(spark, d):
     return questions.classify_intent(fx.questions(_t(spark, d))).select("question_id", "intent")
@@ -223,22 +254,23 @@ def q_institution_profiles(spark, d):
     return model_ops.institution_profiles(t.institution, model_ops.institution_name_history(t))
 
 
-def subject_mapping(t):
-    return t.subject.select(F.concat(F.lit("S"), F.col("su_id").cast("string")).alias("csv_code"),
-                            "su_id", F.col("su_id").alias("position"))
+# The wide file has one column per subject; the mapping lacks the last one.
+WIDE_SUBJECTS = 6
 
 
-def q_unpivot_scores(spark, d):
+def _wide_scores(spark, d):
     t = _t(spark, d)
-    m = subject_mapping(t)
-    # The file's score columns: one per subject code of the mapping (a
-    # dimension of a few rows).
-    codes = sorted((r.csv_code, r.su_id) for r in m.select("csv_code", "su_id").collect())
-    wide = (t.candidate_scores
-            .groupBy("cand_reg_number", "year")
-            .agg(*[F.max(F.when(F.col("subject_id") == i, F.col("score"))).alias(c) for c, i in codes]))
-    codes = [c for c, _ in codes]
-    return model_ops.unpivot_scores(wide, m, code_cols=codes)
+    wide = t.candidate_scores.groupBy("cand_reg_number", "year").agg(*[
+        F.max(F.when(F.col("subject_id") == i, F.col("score"))).alias(f"S{i}") for i in range(1, WIDE_SUBJECTS + 1)])
+    return wide, t.subject_mapping_2023.where(F.col("su_id") < WIDE_SUBJECTS)
+
+
+def q_unpivot_scores(spark, d):
+    return model_ops.unpivot_scores(*_wide_scores(spark, d))
+
+
+def q_unmapped_scores(spark, d):
+    return model_ops.unmapped_scores(*_wide_scores(spark, d))
 
 
 def q_check_constraints(spark, d):
@@ -247,14 +279,26 @@ def q_check_constraints(spark, d):
 
 def q_region_summary(spark, d):
     t = _t(spark, d)
-    regions = (t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    # The first region is left out, so its states are in none.
+    regions = (t.raw("nation").join(t.raw("region").where("r_regionkey > 0"), F.col("n_regionkey") == F.col("r_regionkey"))
                .select(F.col("r_name").alias("region"), F.col("n_name").alias("st_name")))
     return model_ops.region_summary(t, regions)
 
 
 def q_disability_stats(spark, d):
+    t = _t(spark, d)
+    c = t.candidate("regnumber", "year", "statecode").join(t.candidate_disabilities, F.col("regnumber") == F.col("cand_reg_number"))
+    return model_ops.disability_stats(c, by=("year", "statecode"))
+
+
+def q_import_disabilities(spark, d):
     good, _ = ingest.split_valid(_checked(spark, d))
-    return model_ops.disability_stats(good, by=("year", "statecode"))
+    return model_ops.disability_stats(good, by=("year", "statecode")).drop("other_challenges")
+
+
+def q_star_scores(spark, d):
+    star = model_ops.candidate_star(_t(spark, d), dims=["disabilities", "scores"], cand_cols=["regnumber", "aggregate", "year"])
+    return star
 
 
 def ops_queries():
@@ -270,9 +314,13 @@ def ops_queries():
         "validate_course_codes": q_validate_course_codes,
         "historical_codes": q_historical_codes,
         "remap_course_codes": q_remap_course_codes,
+        "superseded_mappings": q_superseded_mappings,
         "consolidate_years": q_consolidate_years,
         "resolve_states": q_resolve_states,
         "resolve_institutions": q_resolve_institutions,
+        "import_resolved": q_import_resolved,
+        "import_historical": q_import_historical,
+        "match_schema": q_match_schema,
         "classify_intent": q_classify_intent,
         "extract_year": q_extract_year,
         "course_names": q_course_names,
@@ -285,6 +333,9 @@ def ops_queries():
         "institution_name_asof": q_institution_name_asof,
         "institution_profiles": q_institution_profiles,
         "unpivot_scores": q_unpivot_scores,
+        "unmapped_scores": q_unmapped_scores,
+        "star_scores": q_star_scores,
+        "import_disabilities": q_import_disabilities,
         "check_constraints": q_check_constraints,
         "region_summary": q_region_summary,
         "disability_stats": q_disability_stats,
@@ -346,8 +397,11 @@ def _import_sql():
     q = {}
     q["import_candidates"] = with_base(f"SELECT {cols} FROM checked WHERE error_message = ''",
                                        RAW_CANDIDATE)
-    q["import_quarantine"] = with_base("SELECT regnumber, error_message FROM checked WHERE error_message <> ''",
-                                       RAW_CANDIDATE)
+    q["import_quarantine"] = with_base(f"""
+SELECT error_message, 'raw_candidate' AS source_file, {SQL_NOW} AS import_ts,
+       CASE WHEN surname IS NULL THEN '{{"regnumber":"' || regnumber || '"}}'
+            ELSE '{{"regnumber":"' || regnumber || '","surname":"' || surname || '"}}' END AS raw
+FROM checked WHERE error_message <> ''""", RAW_CANDIDATE)
     q["import_summary"] = with_base(f"""
 SELECT count(*) AS total_rows, count(*) FILTER (WHERE error_message = '') AS success_rows,
        {rnd("count(*) FILTER (WHERE error_message = '')", 'count(*)', 100)} AS success_pct,
@@ -425,6 +479,7 @@ SELECT coalesce(n.course_code, o.course_code) AS course_code,
        coalesce(n.course_name, o.course_name) AS course_name,
        coalesce(n.description, o.description) AS description,
        coalesce(n.facid, o.facid) AS facid,
+       CASE WHEN o.course_code IS NULL THEN TIMESTAMP '2024-06-01 00:00:00' ELSE o.created_at END AS created_at,
        CASE WHEN n.course_code IS NOT NULL THEN TIMESTAMP '2024-06-01 00:00:00' ELSE o.updated_at END AS updated_at
 FROM ctgt o FULL OUTER JOIN cbat n ON o.course_code = n.course_code""", COURSE_PAIR)
     q["upsert_course_names"] = with_base("""
@@ -446,9 +501,12 @@ SELECT h.regnumber, coalesce(m.new_code, h.course_code) AS course_code, m.new_co
 FROM hist h LEFT JOIN (SELECT DISTINCT year, course_code AS old_code, course_code - {UNKNOWN_CODE_OFFSET} AS new_code,
                         institution_id FROM unknown) m
   ON h.course_code = m.old_code AND h.year = m.year AND h.institution_id = m.institution_id""", HIST)
+    q["superseded_mappings"] = with_base(f"""
+SELECT DISTINCT year, course_code AS old_course_code, institution_id,
+       course_code - {UNKNOWN_CODE_OFFSET} + 1 AS new_course_code, course_code - {UNKNOWN_CODE_OFFSET} AS used_course_code
+FROM unknown WHERE course_code % 2 = 0""", HIST)
     q["consolidate_years"] = with_base("""
-SELECT year, count(*) AS candidates, CAST(sum(aggregate) AS BIGINT) AS sum_aggregate
-FROM candidate GROUP BY year""")
+SELECT regnumber, aggregate, gender, year FROM candidate WHERE year BETWEEN 1995 AND 2001""")
     return q
 
 
@@ -497,6 +555,50 @@ keys AS (
     UNION ALL
     SELECT nullif(trim(inabv), '') AS key, inid, 1 AS p FROM institution WHERE nullif(trim(inabv), '') IS NOT NULL) u
   GROUP BY key)""")
+    raw_text = """
+rt AS (
+  SELECT CAST(c.regnumber AS VARCHAR) AS regnumber,
+         CASE c.regnumber % 6 WHEN 0 THEN r.r_name WHEN 1 THEN '  ' || lower(r.r_name) || ' '
+              WHEN 2 THEN r.r_name || right(r.r_name, 1) WHEN 3 THEN CAST(r.r_regionkey AS VARCHAR)
+              WHEN 4 THEN 'XX' ELSE '' END AS st,
+         CASE c.regnumber % 4 WHEN 0 THEN CAST(c.inid AS VARCHAR) WHEN 1 THEN ' S' || CAST(c.inid AS VARCHAR)
+              WHEN 2 THEN 'X' || CAST(c.inid AS VARCHAR) ELSE CAST(c.inid AS VARCHAR) || ' ' END AS inst,
+         CASE WHEN c.regnumber % 50 = 0 THEN c.app_course1 + 1000000 ELSE c.app_course1 END AS code
+  FROM candidate c JOIN nation n ON c.statecode = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
+tb AS (SELECT regnumber, nullif(trim(st), '') AS st, nullif(trim(inst), '') AS inst, CAST(code AS VARCHAR) AS code FROM rt),
+ts AS (SELECT DISTINCT st FROM tb WHERE st IS NOT NULL AND TRY_CAST(st AS INTEGER) IS NULL),
+sr AS (SELECT ts.st, first(r.r_regionkey ORDER BY levenshtein(x.clean, r.r_name), r.r_regionkey) AS st_id
+       FROM ts JOIN (SELECT st AS s0, """ + _alias_case("upper(trim(st))") + """ AS clean FROM ts) x ON x.s0 = ts.st
+       JOIN region r ON levenshtein(x.clean, r.r_name) <= 2 GROUP BY ts.st),
+ik AS (SELECT key, first(inid ORDER BY p, inid) AS inid FROM (
+    SELECT CAST(inid AS VARCHAR) AS key, inid, 0 AS p FROM institution
+    UNION ALL SELECT nullif(trim(inabv), ''), inid, 1 FROM institution WHERE nullif(trim(inabv), '') IS NOT NULL) u GROUP BY key),
+res AS (
+  SELECT tb.regnumber, coalesce(TRY_CAST(tb.st AS INTEGER), CAST(sr.st_id AS INTEGER)) AS statecode,
+         coalesce(CAST(ik.inid AS VARCHAR), tb.inst) AS inid, tb.code,
+         concat_ws('; ', CASE WHEN tb.st IS NOT NULL AND TRY_CAST(tb.st AS INTEGER) IS NULL AND sr.st_id IS NULL THEN 'unknown state: ' || tb.st END,
+                   CASE WHEN tb.inst IS NOT NULL AND ik.inid IS NULL THEN 'invalid institution: ' || tb.inst END) AS error_message
+  FROM tb LEFT JOIN sr ON tb.st = sr.st LEFT JOIN ik ON tb.inst = ik.key)"""
+    q["import_resolved"] = with_base("SELECT regnumber, statecode, inid, error_message FROM res", raw_text)
+    q["import_historical"] = with_base(f"""
+SELECT DISTINCT {fx.IMPORT_YEAR} AS year, code AS old_course_code, inid AS institution_id, {SQL_NOW} AS import_timestamp, false AS reconciled
+FROM res WHERE error_message = '' AND code IS NOT NULL AND NOT EXISTS (SELECT 1 FROM course co WHERE CAST(co.course_code AS VARCHAR) = res.code)""", raw_text)
+    names = "[" + ", ".join(f"'{h}'" for h in _required()) + "]"
+    q["match_schema"] = f"""
+WITH h0 AS (SELECT n_name AS file, n_nationkey AS k, i AS position, ({names})[i + 1] AS name
+            FROM nation, (SELECT unnest(range({len(_required())})) AS i) x),
+h AS (SELECT file, position, CASE (k + position) % 7 WHEN 0 THEN name WHEN 1 THEN lower(name) WHEN 2 THEN replace(name, '_', ' ')
+        WHEN 3 THEN name || 'S' WHEN 4 THEN left(name, length(name) - 1) WHEN 5 THEN 'COL ' || CAST(position AS VARCHAR) ELSE ' ' || name END AS header FROM h0),
+p AS (SELECT h.*, r.required FROM h, (SELECT unnest({names}) AS required) r),
+q AS (SELECT *, lower(trim(header)) = lower(trim(required)) OR replace(lower(trim(header)), ' ', '') = replace(lower(trim(required)), ' ', '') AS exact,
+        regexp_replace(lower(trim(header)), '[_ ]', '', 'g') AS a, regexp_replace(lower(trim(required)), '[_ ]', '', 'g') AS b FROM p),
+c AS (SELECT *, 1 - CAST(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b), 1) AS conf FROM q),
+g AS (SELECT file, required, arg_min(header, CASE WHEN exact THEN position END) AS eh,
+        first(header ORDER BY conf DESC, position) FILTER (WHERE conf > 0.6) AS fh, max(conf) FILTER (WHERE conf > 0.6) AS best,
+        count(*) FILTER (WHERE conf > 0.6) AS n FROM c GROUP BY file, required)
+SELECT file, required, coalesce(eh, fh) AS header, round(CASE WHEN eh IS NOT NULL THEN 1.0 ELSE best END, 6) AS confidence,
+       CASE WHEN eh IS NOT NULL THEN 'exact' WHEN fh IS NULL THEN 'missing' WHEN n = 1 AND best > 0.8 THEN 'auto' ELSE 'review' END AS status
+FROM g"""
     return q
 
 
@@ -551,7 +653,7 @@ abc AS (SELECT * FROM ab UNION ALL SELECT * FROM c)""")
 SELECT reply_id,
        CASE WHEN raw_sql IS NULL THEN NULL
             ELSE trim(regexp_replace(replace(raw_sql, '\\n', ' '), '\\s+', ' ', 'g')) END AS sql_query,
-       CASE WHEN is_obj THEN json_extract_string(r, '$.thought_process') END AS thought_process,
+       CASE WHEN json_valid(r) THEN json_extract_string(r, '$.thought_process') END AS thought_process,
        CASE WHEN is_obj AND coalesce(js, '') = '' THEN 'no SQL query found in response'
             WHEN NOT is_obj AND found = '' THEN 'failed to extract SQL query' END AS error
 FROM (
@@ -560,19 +662,24 @@ FROM (
               ELSE CASE WHEN found <> '' THEN found END END AS raw_sql
   FROM (
     SELECT reply_id, r,
-           coalesce(json_valid(r) AND json_type(CASE WHEN json_valid(r) THEN r ELSE '0' END) = 'OBJECT', false) AS is_obj,
-           CASE WHEN json_valid(r) THEN json_extract_string(r, '$.sql_query') END AS js,
+           coalesce(json_valid(r) AND json_type(CASE WHEN json_valid(r) THEN r ELSE '0' END) = 'OBJECT', false)
+             AND coalesce(CASE WHEN json_valid(r) THEN json_type(r, '$.sql_query') END, 'NULL') IN ('VARCHAR', 'NULL') AS is_obj,
+           CASE WHEN json_valid(r) THEN coalesce(json_extract_string(r, '$.sql_query'), json_extract_string(r, '$.SQL_QUERY')) END AS js,
            regexp_extract(r, '(?i)SELECT\\s+.*?(?:;|$)', 0) AS found
     FROM (SELECT reply_id, trim(replace(replace(replace(reply, '```json', ''), '```', ''), '`', ''), {ws}) AS r
           FROM rp) x) y) z""", qs + f""",
 rp AS (
   SELECT question_id AS reply_id,
-         CASE question_id % 5
+         CASE question_id % 9
            WHEN 0 THEN '{{"thought_process": "count rows", "sql_query": "SELECT count(*)\\\\nFROM candidate WHERE year = ' || asked_year || ';"}}'
            WHEN 1 THEN '```json' || chr(10) || '{{"thought_process": "by course", "sql_query": "SELECT * FROM course WHERE course_code = ' || CAST(question_id AS VARCHAR) || '"}}' || chr(10) || '```'
            WHEN 2 THEN 'Here is the query: SELECT regnumber FROM candidate WHERE year = ' || asked_year || '; hope this helps'
            WHEN 3 THEN 'I cannot answer: ' || question
-           ELSE '{{"thought_process": "none", "sql_query": ""}}' END AS reply
+           WHEN 4 THEN '{{"thought_process": "none", "sql_query": ""}}'
+           WHEN 5 THEN '{{"sql_query": "SELECT regnumber FROM candidate WHERE year = ' || asked_year || '"}} as you asked'
+           WHEN 6 THEN '{{"thought_process": "n", "sql_query": 5}}'
+           WHEN 7 THEN '{{"thought_process": "n", "sql_query": null}}'
+           ELSE '{{"SQL_QUERY": "SELECT max(aggregate) FROM candidate WHERE year = ' || asked_year || '"}}' END AS reply
   FROM qs)""")
     return q
 
@@ -603,10 +710,15 @@ SELECT c.regnumber,
                 'aggregate': c.aggregate, 'year': c.year,
                 'state': {'st_id': c.statecode, 'st_name': s.st_name},
                 'lga': {'lg_id': c.lg_id, 'lg_name': l.lg_name},
-                'scores': coalesce(sc.scores, [])}) AS VARCHAR) AS profile
+                'scores': coalesce(sc.scores, []),
+                'disabilities': CASE WHEN cd.cand_reg_number IS NOT NULL THEN {'is_blind': cd.is_blind, 'is_deaf': cd.is_deaf, 'other_challenges': cd.other_challenges} END,
+                'exam_info': CASE WHEN ce.cand_reg_number IS NOT NULL THEN {'exam_town': ce.exam_town, 'exam_centre': ce.exam_centre,
+                  'exam_number': ce.exam_number, 'mock_state_id': ce.mock_state_id, 'is_mock_candidate': ce.is_mock_candidate} END}) AS VARCHAR) AS profile
 FROM candidate c
 LEFT JOIN state s ON c.statecode = s.st_id
 LEFT JOIN lga l ON c.lg_id = l.lg_id
+LEFT JOIN candidate_disabilities cd ON cd.cand_reg_number = c.regnumber
+LEFT JOIN candidate_exam_info ce ON ce.cand_reg_number = c.regnumber
 LEFT JOIN sc ON sc.cand_reg_number = c.regnumber""", """
 sc AS (
   SELECT cs.cand_reg_number,
@@ -639,18 +751,29 @@ hist AS (
   UNION ALL
   SELECT inid, make_date(CAST(1995 + inid % 7 AS INTEGER), 1, 1), NULL, inname, inabv FROM institution)""")
     q["unpivot_scores"] = with_base("""
-SELECT cand_reg_number, year, subject_id, score FROM candidate_scores WHERE score IS NOT NULL""")
-    q["region_summary"] = with_base(f"""
-SELECT r.r_name AS region, s.st_name, count(*) AS candidates,
-       {rnd('sum(c.aggregate)', 'count(c.aggregate)')} AS avg_score
-FROM candidate c JOIN state s ON c.statecode = s.st_id
-JOIN nation n ON n.n_name = s.st_name JOIN region r ON n.n_regionkey = r.r_regionkey
-GROUP BY ROLLUP (r.r_name, s.st_name)""")
-    q["disability_stats"] = with_base("""
+SELECT cand_reg_number, year, subject_id, subject_id AS position, score FROM candidate_scores WHERE score IS NOT NULL AND subject_id < 6""")
+    q["unmapped_scores"] = with_base("""
+SELECT cand_reg_number, year, 'S6' AS csv_code, score, 'unknown subject code: S6' AS error_message
+FROM candidate_scores WHERE score IS NOT NULL AND subject_id = 6""")
+    q["star_scores"] = with_base("""
+SELECT c.regnumber, c.aggregate, c.year, d.is_blind, d.is_deaf, d.other_challenges, cs.year AS score_year, su.su_name, cs.score
+FROM candidate c LEFT JOIN candidate_disabilities d ON c.regnumber = d.cand_reg_number
+LEFT JOIN candidate_scores cs ON c.regnumber = cs.cand_reg_number LEFT JOIN subject su ON cs.subject_id = su.su_id""")
+    q["import_disabilities"] = with_base("""
 SELECT year, statecode, count(*) AS candidates,
-       count(*) FILTER (WHERE is_blind) AS blind, count(*) FILTER (WHERE is_deaf) AS deaf,
-       CAST(0 AS BIGINT) AS other_challenges
+       count(*) FILTER (WHERE is_blind) AS blind, count(*) FILTER (WHERE is_deaf) AS deaf
 FROM checked WHERE error_message = '' GROUP BY year, statecode""", RAW_CANDIDATE)
+    q["region_summary"] = with_base(f"""
+SELECT region, st_name, CASE grouping(region, st_name) WHEN 0 THEN 'state' WHEN 1 THEN 'region' ELSE 'total' END AS level,
+       count(*) AS candidates, {rnd('sum(aggregate)', 'count(aggregate)')} AS avg_score
+FROM (SELECT coalesce(r.r_name, 'unassigned') AS region, coalesce(s.st_name, 'unassigned') AS st_name, c.aggregate
+      FROM candidate c LEFT JOIN state s ON c.statecode = s.st_id
+      LEFT JOIN nation n ON n.n_name = s.st_name LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_regionkey > 0) x
+GROUP BY ROLLUP (region, st_name)""")
+    q["disability_stats"] = with_base("""
+SELECT c.year, c.statecode, count(*) AS candidates, count(*) FILTER (WHERE d.is_blind) AS blind,
+       count(*) FILTER (WHERE d.is_deaf) AS deaf, count(d.other_challenges) AS other_challenges
+FROM candidate c JOIN candidate_disabilities d ON c.regnumber = d.cand_reg_number GROUP BY c.year, c.statecode""")
     return q
 
 
@@ -666,8 +789,16 @@ PROJECTED_COLUMNS = {
     "candidate": ["regnumber", "surname", "firstname", "gender", "statecode", "lg_id", "aggregate",
                   "year", "is_admitted", "app_course1", "inid"],
     "course": ["course_code", "course_name", "facid"],
-    "institution": ["inid", "inabv", "inname", "inst_state_id", "intyp"],
+    "institution": ["inid", "inabv", "inname", "inst_state_id", "affiliated_state_id", "intyp"],
     "state": ["st_id", "st_name", "st_region"],
+    "faculty": ["fac_id", "fac_name"],
+    "lga": ["lg_id", "lg_st_id", "lg_name"],
+    "subject": ["su_id", "su_name"],
+    "institution_type": ["intyp_id", "intyp_desc"],
+    "candidate_disabilities": ["cand_reg_number", "is_blind", "is_deaf", "other_challenges"],
+    "candidate_exam_info": ["cand_reg_number", "exam_town", "exam_centre", "exam_number", "mock_state_id", "is_mock_candidate"],
+    "institution_names": ["inid", "effective_from", "effective_to", "inname", "inabv", "change_reason"],
+    "subject_mapping_2023": ["csv_code", "su_id", "position"],
 }
 
 

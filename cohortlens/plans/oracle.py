@@ -41,7 +41,9 @@ course AS (
   FROM part),
 institution AS (
   SELECT s_suppkey AS inid, 'S' || CAST(s_suppkey AS VARCHAR) AS inabv, s_name AS inname,
-         s_nationkey AS inst_state_id, CAST(s_suppkey % 3 AS INTEGER) AS intyp
+         s_nationkey AS inst_state_id,
+         CASE WHEN s_suppkey % 10 = 0 THEN s_nationkey + 100 ELSE s_nationkey END AS affiliated_state_id,
+         CAST(s_suppkey % 3 AS INTEGER) AS intyp
   FROM supplier),
 institution_type AS (
   SELECT * FROM (VALUES (0, 'FEDERAL'), (1, 'STATE'), (2, 'PRIVATE')) AS v(intyp_id, intyp_desc)),
@@ -63,6 +65,22 @@ candidate AS (
   FROM orders o
   LEFT JOIN customer cu ON o.o_custkey = cu.c_custkey
   LEFT JOIN line_first lf ON lf.l_orderkey = o.o_orderkey),
+candidate_disabilities AS (
+  SELECT o_orderkey AS cand_reg_number, o_orderkey % 3 = 0 AS is_blind, o_orderkey % 3 = 1 AS is_deaf,
+         CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS other_challenges
+  FROM orders WHERE o_orderpriority = '5-LOW'),
+candidate_exam_info AS (
+  SELECT o.o_orderkey AS cand_reg_number, cu.c_mktsegment AS exam_town, cu.c_name AS exam_centre,
+         'E' || CAST(o.o_orderkey AS VARCHAR) AS exam_number, cu.c_nationkey AS mock_state_id,
+         o.o_orderstatus = 'P' AS is_mock_candidate
+  FROM orders o LEFT JOIN customer cu ON o.o_custkey = cu.c_custkey),
+institution_names AS (
+  SELECT inid, DATE '1900-01-01' AS effective_from, make_date(CAST(1995 + inid % 7 AS INTEGER), 1, 1) AS effective_to,
+         inname || ' (old)' AS inname, inabv || '-OLD' AS inabv, 'renamed' AS change_reason FROM institution
+  UNION ALL
+  SELECT inid, make_date(CAST(1995 + inid % 7 AS INTEGER), 1, 1), NULL, inname, inabv, NULL FROM institution),
+subject_mapping_2023 AS (
+  SELECT 'S' || CAST(su_id AS VARCHAR) AS csv_code, su_id, su_id AS position FROM subject),
 candidate_scores AS (
   SELECT li.l_orderkey AS cand_reg_number, su.su_id AS subject_id,
          CAST(year(o.o_orderdate) AS INTEGER) AS year,

@@ -32,10 +32,6 @@ CANDIDATE = _struct(
     ("created_at", TS, True), ("updated_at", TS, True),
 )
 
-CANDIDATE_SCORES = _struct(
-    ("cand_reg_number", S, False), ("subject_id", I, False), ("year", I, False),
-    ("score", I, True),
-)
 
 COURSE = _struct(
     ("course_code", S, False), ("instid", I, True), ("facid", I, True),
@@ -43,15 +39,7 @@ COURSE = _struct(
     ("course_abbreviation", S, True), ("duration", I, True), ("degree", S, True),
 )
 
-IMPORT_ERRORS = _struct(
-    ("error_message", S, True), ("source_file", S, True), ("raw", S, True),
-    ("import_ts", TS, True),
-)
 
-HISTORICAL_COURSE_CODES = _struct(
-    ("year", I, True), ("old_course_code", S, True), ("institution_id", S, True),
-    ("import_timestamp", TS, True), ("reconciled", B, True),
-)
 
 # Primary keys and foreign keys of the relational model (checked by D5).
 PRIMARY_KEYS = {
@@ -64,6 +52,10 @@ PRIMARY_KEYS = {
     "lga": ["lg_id"],
     "state": ["st_id"],
     "subject": ["su_id"],
+    "candidate_disabilities": ["cand_reg_number"],
+    "candidate_exam_info": ["cand_reg_number"],
+    "institution_names": ["inid", "effective_from"],
+    "subject_mapping_2023": ["csv_code"],
 }
 
 FOREIGN_KEYS = [
@@ -78,18 +70,35 @@ FOREIGN_KEYS = [
     ("institution", "intyp", "institution_type", "intyp_id"),
     ("institution", "inst_state_id", "state", "st_id"),
     ("lga", "lg_st_id", "state", "st_id"),
+    ("institution", "affiliated_state_id", "state", "st_id"),
+    ("candidate_disabilities", "cand_reg_number", "candidate", "regnumber"),
+    ("candidate_exam_info", "cand_reg_number", "candidate", "regnumber"),
+    ("candidate_exam_info", "mock_state_id", "state", "st_id"),
+    ("institution_names", "inid", "institution", "inid"),
+    ("subject_mapping_2023", "su_id", "subject", "su_id"),
 ]
 
-NOT_NULL = {"candidate": ["regnumber", "year"]}
+# Primary keys are NOT NULL; these columns too.
+NOT_NULL = {name: list(key) for name, key in PRIMARY_KEYS.items()}
+NOT_NULL["candidate"].append("year")
+NOT_NULL["institution_names"] += ["inabv", "inname"]
 
 VARCHAR_LIMITS = {
     "candidate": {"regnumber": 20, "maritalstatus": 20, "email": 100,
                   "gsmno": 20, "surname": 100, "firstname": 100,
                   "middlename": 100, "gender": 10, "app_course1": 100,
                   "inid": 20},
-    "course": {"course_code": 100, "course_name": 200},
+    "course": {"course_code": 100, "course_name": 200, "course_abbreviation": 50, "degree": 50},
     "institution": {"inid": 20, "inabv": 50, "inname": 200},
     "state": {"st_name": 100},
+    "faculty": {"fac_code": 10, "fac_name": 100, "fac_abv": 20},
+    "lga": {"lg_name": 100, "lg_abreviation": 50},
+    "subject": {"su_abrv": 10, "su_name": 100},
+    "institution_type": {"intyp_desc": 100, "inst_cat": 20},
+    "candidate_disabilities": {"cand_reg_number": 20, "other_challenges": 100},
+    "candidate_exam_info": {"cand_reg_number": 20, "exam_town": 100, "mock_town": 100, "exam_centre": 200, "exam_number": 20},
+    "institution_names": {"inid": 20, "inabv": 50, "inname": 200},
+    "subject_mapping_2023": {"csv_code": 10},
 }
 
 # ---------------------------------------------------------------------------
@@ -136,8 +145,6 @@ CANDIDATE_CSV_MAPPING = [
     ("MARITALSTATUS", "maritalstatus"), ("ADDRESS", "address"),
     ("NOOFSITTINGS", "noofsittings"), ("MALPRACTICE", "malpractice"),
 ]
-FLAG_COLUMNS = ["is_admitted", "is_direct_entry", "is_blind", "is_deaf",
-                "is_mock_candidate"]
 FLAG_TRUE_VALUES = ["yes", "true", "1"]
 GENDER_VALUES = {"M": "M", "MALE": "M", "F": "F", "FEMALE": "F"}
 

@@ -73,28 +73,19 @@ def cluster_conf(total_cores: int, input_bytes: int, partition_bytes: int | None
     }
 
 
-def dir_bytes(path: str) -> int:
-    """Total size of the files under a local folder (for sizing)."""
-    total = 0
-    for root, _, files in os.walk(path):
-        for f in files:
-            try:
-                total += os.path.getsize(os.path.join(root, f))
-            except OSError:
-                pass
-    return total
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Read ``spark.checkpoint.dir`` from the session (a cluster names a
-    shared, fault-tolerant folder there). Only when it is unset -- local
-    tests -- make a private folder under the system temp dir and record it.
+    shared, fault-tolerant folder there). Only where it is unset and the
+    master is local -- tests -- make a private folder under the system temp
+    dir and record it; on a cluster executors would not see it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(
         spark.sparkContext.applicationId)
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
         _LOCAL_DIRS[spark.sparkContext.applicationId] = d
     if spark.sparkContext.getCheckpointDir() is None:
@@ -110,10 +101,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark)
     sep = "" if base.endswith("/") else "/"
     return f"{base}{sep}{name}"
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

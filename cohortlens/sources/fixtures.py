@@ -128,9 +128,10 @@ def questions(t: DriverTables) -> DataFrame:
 
 
 def replies(t: DriverTables) -> DataFrame:
-    """(reply_id, reply): model replies in five shapes -- clean JSON (with an
+    """(reply_id, reply): model replies in nine shapes -- clean JSON (with an
     escaped newline in the SQL), fenced JSON, a bare SELECT in prose, prose
-    without SQL, and JSON with an empty query."""
+    without SQL, JSON with an empty query, JSON followed by text, JSON with a
+    number or null as the query, and JSON with the key in capitals."""
     q = questions(t)
     k = F.col("question_id")
     y = F.col("asked_year")
@@ -142,9 +143,13 @@ def replies(t: DriverTables) -> DataFrame:
                      F.lit("; hope this helps"))
     nosql = F.concat(F.lit("I cannot answer: "), F.col("question"))
     empty = F.lit('{"thought_process": "none", "sql_query": ""}')
-    v = k % 5
+    behind = F.concat(F.lit('{"sql_query": "SELECT regnumber FROM candidate WHERE year = '), y, F.lit('"} as you asked'))
+    number, null = F.lit('{"thought_process": "n", "sql_query": 5}'), F.lit('{"thought_process": "n", "sql_query": null}')
+    capitals = F.concat(F.lit('{"SQL_QUERY": "SELECT max(aggregate) FROM candidate WHERE year = '), y, F.lit('"}'))
+    v = k % 9
     reply = (F.when(v == 0, clean).when(v == 1, fenced).when(v == 2, prose)
-             .when(v == 3, nosql).otherwise(empty))
+             .when(v == 3, nosql).when(v == 4, empty).when(v == 5, behind)
+             .when(v == 6, number).when(v == 7, null).otherwise(capitals))
     return q.select(k.alias("reply_id"), reply.alias("reply"))
 
 
@@ -158,3 +163,33 @@ def raw_courses(t: DriverTables) -> DataFrame:
         F.regexp_extract("p_brand", r"(\d+)", 1))
     return p.select(F.col("p_partkey").cast("string").alias("CODE"), name.alias("NAME"),
                     F.col("p_type").alias("DESCRIPTION"), fac.alias("FACULTY_ID"))
+
+
+def raw_candidate_text(t: DriverTables) -> DataFrame:
+    """Candidate rows as CSV strings whose state is its region's name as
+    typed, whose institution is an id or an abbreviation, some unknown, and
+    whose course code is unknown for every 50th order."""
+    c = t.candidate("regnumber", "surname", "statecode", "inid", "aggregate", "app_course1")
+    n = t.raw("nation").select("n_nationkey", "n_regionkey")
+    r = t.raw("region").select("r_regionkey", "r_name")
+    j = c.join(n, F.col("statecode") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    k, i = F.col("regnumber"), F.col("inid").cast("string")
+    name = F.col("r_name")
+    state = (F.when(k % 6 == 0, name).when(k % 6 == 1, F.concat(F.lit("  "), F.lower(name), F.lit(" ")))
+             .when(k % 6 == 2, F.concat(name, F.substring(name, -1, 1))).when(k % 6 == 3, F.col("r_regionkey").cast("string"))
+             .when(k % 6 == 4, F.lit("XX")).otherwise(F.lit("")))
+    inst = F.when(k % 4 == 0, i).when(k % 4 == 1, F.concat(F.lit(" S"), i)).when(k % 4 == 2, F.concat(F.lit("X"), i)).otherwise(F.concat(i, F.lit(" ")))
+    code = F.when(k % 50 == 0, F.col("app_course1") + 1000000).otherwise(F.col("app_course1"))
+    return j.select(k.cast("string").alias("REGNUMBER"), F.col("surname").alias("SURNAME"), state.alias("STATECODE"), inst.alias("INID"),
+                    F.col("aggregate").cast("string").alias("AGGREGATE"), code.cast("string").alias("APP_COURSE1"), F.lit("raw_candidate_text").alias("source_file"))
+
+
+def csv_headers(t: DriverTables, names: list[str]) -> DataFrame:
+    """(file, position, header): one file per nation, whose headers are
+    ``names`` as typed: as they are, lower case, spaced, with a letter more,
+    short of one, or something else."""
+    n = t.raw("nation").select(F.col("n_name").alias("file"), "n_nationkey", F.posexplode(F.array(*map(F.lit, names))).alias("position", "name"))
+    v, h = (F.col("n_nationkey") + F.col("position")) % 7, F.col("name")
+    header = (F.when(v == 0, h).when(v == 1, F.lower(h)).when(v == 2, F.replace(h, F.lit("_"), F.lit(" "))).when(v == 3, F.concat(h, F.lit("S")))
+              .when(v == 4, F.expr("substring(name, 1, length(name) - 1)")).when(v == 5, F.concat(F.lit("COL "), F.col("position").cast("string"))).otherwise(F.concat(F.lit(" "), h)))
+    return n.select("file", "position", header.alias("header"))

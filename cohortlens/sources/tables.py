@@ -23,6 +23,7 @@ MARKET_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINER
 INSTITUTION_TYPES = [(0, "FEDERAL"), (1, "STATE"), (2, "PRIVATE")]
 ORDER_STATUS_GENDER = {"F": "F", "O": "M"}  # P -> NULL
 ADMITTED_PRIORITY = "1-URGENT"
+DISABLED_PRIORITY = "5-LOW"
 AGGREGATE_DIVISOR = 1250
 ANCHOR_SUBJECT = "STANDARD"
 
@@ -142,6 +143,8 @@ class DriverTables(Tables):
             F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("inabv"),
             F.col("s_name").alias("inname"),
             F.col("s_nationkey").alias("inst_state_id"),
+            # (a state no table has, for every 10th supplier)
+            F.when(F.col("s_suppkey") % 10 == 0, F.col("s_nationkey") + 100).otherwise(F.col("s_nationkey")).alias("affiliated_state_id"),
             (F.col("s_suppkey") % 3).cast("int").alias("intyp"))
 
     def _t_institution_type(self) -> DataFrame:
@@ -203,6 +206,29 @@ class DriverTables(Tables):
     def _t_candidate(self) -> DataFrame:
         return self.candidate()
 
+    def _t_candidate_disabilities(self) -> DataFrame:
+        # Low-priority orders; the kind follows the order key.
+        k = F.col("o_orderkey") % 3
+        return self.raw("orders").where(F.col("o_orderpriority") == DISABLED_PRIORITY).select(
+            F.col("o_orderkey").alias("cand_reg_number"), (k == 0).alias("is_blind"), (k == 1).alias("is_deaf"),
+            F.when(k == 2, F.col("o_orderpriority")).alias("other_challenges"))
+
+    def _t_candidate_exam_info(self) -> DataFrame:
+        c = self.raw("customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+        return (self.raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+                .join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
+                .select(F.col("o_orderkey").alias("cand_reg_number"), F.col("c_mktsegment").alias("exam_town"),
+                        F.col("c_name").alias("exam_centre"), F.concat(F.lit("E"), F.col("o_orderkey").cast("string")).alias("exam_number"),
+                        F.col("c_nationkey").alias("mock_state_id"), (F.col("o_orderstatus") == "P").alias("is_mock_candidate")))
+
+    def _t_institution_names(self) -> DataFrame:
+        from ..operators.model_ops import institution_name_history
+        return institution_name_history(self)
+
+    def _t_subject_mapping_2023(self) -> DataFrame:
+        return self.table("subject").select(F.concat(F.lit("S"), F.col("su_id").cast("string")).alias("csv_code"),
+                                            "su_id", F.col("su_id").alias("position"))
+
     def _t_candidate_scores(self) -> DataFrame:
         # Orders are joined before aggregating: the aggregate's keys
         # (order, subject, year) are then satisfied by the join's partitioning
@@ -233,8 +259,9 @@ def materialize(t: Tables, out_dir: str, tables=CANONICAL_TABLES, mode: str = "o
         df = t.candidate() if name == "candidate" else t.table(name)
         w = df.write.mode(mode)
         if name in YEAR_PARTITIONED:
-            # Cluster rows of a year together so each task writes few files.
-            df = df.repartition("year")
+            # Rows of a year stand together, so that tasks write few files; a
+            # year of more than the advisory partition size is split by AQE.
+            df = df.hint("rebalance", "year")
             w = df.write.mode(mode).partitionBy("year")
         w.parquet(f"{out_dir.rstrip('/')}/{name}")
 

@@ -1,93 +1,82 @@
 """Incremental candidate import with Structured Streaming.
 
-New CSV files landing in a folder are read as a stream; every micro-batch is
-mapped, cleaned, split into good rows and quarantine rows, and merged into
-the year-partitioned candidate table. Re-running a micro-batch (after an
-executor or driver failure) gives the same table:
+New CSV files landing in a folder are read as a stream of lines; every
+micro-batch goes through the reader, cleaning, resolution and merge of the
+batch import (``operators.ingest``), so a file's own header names its
+columns. Re-running a micro-batch (after an executor or driver failure)
+gives the same table:
 
 * the merge is idempotent (coalesce(new, old) with the same batch), and
-* quarantine rows are written to a ``batch_id=<n>`` partition with dynamic
-  partition overwrite, so a retried batch replaces its own rows.
+* quarantine rows are written to the partition (stream_id, batch_id), which
+  a retried batch replaces. The stream's id is kept in its checkpoint
+  folder, so streams never replace each other's rows.
 
 Progress (which files were consumed) lives in the checkpoint folder, which
-defaults to a sub-folder of the cluster's shared ``spark.checkpoint.dir``.
+every stream must name. A record is one line: a quoted line break makes its
+row an error, never a good row.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
-from .. import schemas
 from ..operators import ingest, upsert
-from ..session import scratch_path
-
 
-def candidate_csv_schema(headers=None) -> T.StructType:
-    """All-string schema of the candidate CSV plus the corrupt-record column.
-    A stream needs its schema up front: the mapping's source headers."""
-    headers = headers or [s for s, _ in schemas.CANDIDATE_CSV_MAPPING]
-    return T.StructType([T.StructField(h, T.StringType()) for h in headers]
-                        + [T.StructField(ingest.CORRUPT, T.StringType())])
+STREAM_ID = "import_stream_id"
 
 
-def _table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream with this checkpoint folder, made at its first start."""
+    path = f"{checkpoint.rstrip('/')}/{STREAM_ID}"
+    known = upsert._read_text(spark, path)
+    if known is None:
+        known = uuid.uuid4().hex
+        upsert._write_text(spark, path, known)
+    return known.strip()
 
 
-def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, target_path: str,
-                errors_path: str, opts: ingest.ImportOptions) -> None:
-    """One micro-batch: clean, quarantine, upsert."""
-    if "source_file" not in batch.columns:
-        batch = batch.withColumn("source_file", F.col("_metadata.file_path"))
-    checked = ingest.clean_candidates(ingest.map_columns(batch), opts)
-    # The micro-batch is used by several jobs below (quarantine write, key
-    # set, merge); keep it instead of re-reading the files for each. A lost
-    # block is recomputed from the batch's files.
-    checked = checked.withColumn(
-        "_seq", F.struct(F.col("source_file"), F.monotonically_increasing_id())).persist()
-    _, bad = ingest.split_valid(checked.drop("_seq"), now=F.localtimestamp())
-    good = checked.where(F.size("errors") == 0).drop("errors", ingest.CORRUPT, "source_file")
-    (bad.withColumn("batch_id", F.lit(int(batch_id)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(errors_path))
+def merge_batch(spark: SparkSession, lines: DataFrame, batch_id: int, target_path: str, errors_path: str,
+                opts: ingest.ImportOptions, stream: str = "batch", refs: ingest.References | None = None,
+                historical_path: str | None = None) -> None:
+    """One micro-batch of lines (_line, _path, _block): parse, clean,
+    quarantine, upsert. A file without the REGNUMBER column fails the batch."""
+    sources = [m.source for m in ingest.DEFAULT_CANDIDATE_MAPPING]
+    rows = ingest.parse_lines(ingest.place_lines(lines), sources, ingest.REQUIRED)
+    checked = ingest.clean_candidates(ingest.map_columns(rows), opts, state_names=refs is not None and refs.state is not None)
+    partition = {"stream_id": stream, "batch_id": str(batch_id)}
     if opts.validate_only:
-        checked.unpersist()
+        ingest.write_quarantine(ingest.split_valid(checked)[1], errors_path, **partition)
         return
-    if _table_exists(spark, target_path):
-        upsert.write_upsert(spark, target_path, good, key="regnumber", seq="_seq")
-    else:
-        empty = good.drop("_seq").limit(0)
-        merged = upsert.upsert_candidates(empty, good, key="regnumber", seq="_seq")
-        merged.write.mode("overwrite").partitionBy("year").parquet(target_path)
-    checked.unpersist()
+    ingest.load_checked(spark, checked, target_path, errors_path, opts, partition, refs, historical_path)
 
 
 def start_import(spark: SparkSession, in_dir: str, target_path: str, errors_path: str,
                  opts: ingest.ImportOptions, checkpoint: str | None = None,
-                 available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+                 available_now: bool = True, max_files_per_trigger: int | None = None,
+                 refs: ingest.References | None = None, historical_path: str | None = None) -> StreamingQuery:
     """Start the stream; with ``available_now`` it consumes the files present
-    and stops (a scheduled incremental load)."""
+    and stops (a scheduled incremental load). ``checkpoint``: this stream's
+    own folder, on storage that outlives the driver."""
     if opts.year is None:
         raise ValueError("a candidate import needs ImportOptions.year (year is NOT NULL)")
-    checkpoint = checkpoint or scratch_path(spark, "import-stream-checkpoint")
-    reader = (spark.readStream.schema(candidate_csv_schema())
-              .options(header=True, mode="PERMISSIVE", quote='"', escape='"',
-                       columnNameOfCorruptRecord=ingest.CORRUPT))
+    if not checkpoint:
+        raise ValueError("a streaming import needs a checkpoint folder of its own")
+    if opts.multiline:
+        raise ValueError("a streaming import reads one record a line")
+    me = stream_id(spark, checkpoint)
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    # The file path is attached on the stream (a micro-batch handed to
+    # The place of a line is attached on the stream (a micro-batch handed to
     # foreachBatch no longer carries file metadata).
-    stream = reader.csv(in_dir).withColumn("source_file", F.col("_metadata.file_path"))
-    writer = (stream.writeStream
-              .foreachBatch(lambda df, bid: merge_batch(spark, df, bid, target_path, errors_path, opts))
+    lines = reader.text(in_dir).select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_path"),
+                                       F.col("_metadata.file_block_start").alias("_block"))
+    writer = (lines.writeStream
+              .foreachBatch(lambda df, bid: merge_batch(spark, df, bid, target_path, errors_path, opts, me, refs, historical_path))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

@@ -174,9 +174,92 @@ def test_batch_import_pipeline(spark, csv_dir):
     assert (s["success_rows"], s["failed_rows"]) == (2, 4)
     assert {r["regnumber"] for r in spark.read.parquet(target).collect()} == {"R1", "R6"}
     assert spark.read.parquet(errors).count() == 4
-    # a second load of the same files merges by key: no duplicates
+    # a second load of the same files merges by key: no duplicates, also not in the quarantine
     ingest.run_candidate_import(spark, csv_dir, target, errors, ingest.ImportOptions(year=2024))
-    assert spark.read.parquet(target).count() == 2
+    assert spark.read.parquet(target).count() == 2 and spark.read.parquet(errors).count() == 4
+    ingest.run_candidate_import(spark, csv_dir, target, errors, ingest.ImportOptions(year=2024, load_id="other"))
+    assert spark.read.parquet(errors).count() == 8
+
+
+def write(path, text):
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def test_unreadable_target_is_never_replaced(spark, csv_dir, tmp_dir):
+    target = os.path.join(tmp_dir, "bad-target")
+    spark.createDataFrame([("OLD1", "Ade", 1, 2024)], TARGET).coalesce(1).write.partitionBy("year").parquet(target)
+    write(os.path.join(target, "year=2024", "part-broken.parquet"), "not parquet")
+    before = sorted(os.listdir(os.path.join(target, "year=2024")))
+    with pytest.raises(Exception):
+        ingest.run_candidate_import(spark, csv_dir, target, target + "-e", ingest.ImportOptions(year=2024))
+    assert sorted(os.listdir(os.path.join(target, "year=2024"))) == before
+    assert not os.path.exists(target + "-e")
+
+
+def test_failed_merge_can_be_retried(spark, csv_dir, tmp_dir, monkeypatch):
+    target = os.path.join(tmp_dir, "t")
+    ingest.run_candidate_import(spark, csv_dir, target, target + "-e", ingest.ImportOptions(year=2024))
+    # The driver dies after the journal is written, before partitions are replaced.
+    real = upsert.recover
+    calls = []
+
+    def dies(spark_, path, col="year"):
+        calls.append(path)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        return real(spark_, path, col)
+    monkeypatch.setattr(upsert, "recover", dies)
+    batch = spark.createDataFrame([("R1", "NEW", 99, 2023, 1), ("R7", "Sev", 5, 2023, 1)], BATCH)
+    with pytest.raises(KeyboardInterrupt):
+        upsert.write_upsert(spark, target, batch)
+    monkeypatch.setattr(upsert, "recover", real)
+    assert os.path.exists(os.path.join(target, upsert.JOURNAL))
+    assert {r["regnumber"] for r in spark.read.parquet(target).collect()} == {"R1", "R6"}   # still the old table
+    assert upsert.recover(spark, target) is True and upsert.recover(spark, target) is False
+    out = {r["regnumber"]: (r["surname"], r["year"]) for r in spark.read.parquet(target).collect()}
+    assert out["R1"] == ("NEW", 2023) and out["R7"] == ("Sev", 2023) and out["R6"][1] == 2024
+    with pytest.raises(ValueError):
+        upsert.write_upsert(spark, target, batch.withColumn("unknown_column", F.lit(1)))
+
+
+def test_later_file_wins_whatever_the_label(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "in")
+    os.makedirs(src)
+    write(os.path.join(src, "1.csv"), "REGNUMBER,SURNAME\nR1,First\n")
+    write(os.path.join(src, "2.csv"), "SURNAME,REGNUMBER\nSecond,R1\n")
+    target = os.path.join(tmp_dir, "t")
+    ingest.run_candidate_import(spark, src, target, target + "-e", ingest.ImportOptions(year=2024, source_file="label"))
+    assert [r["surname"] for r in spark.read.parquet(target).collect()] == ["Second"]
+
+
+def test_quoted_line_breaks_and_missing_key_column(spark, tmp_dir):
+    path = write(os.path.join(tmp_dir, "q.csv"), 'REGNUMBER,SURNAME,ADDRESS\nR1,Ade,"12 Road\nLagos"\nR2,Obi,x\n')
+    one = ingest.read_candidate_csv(spark, path)
+    assert {r["REGNUMBER"] for r in one.where(F.col("_corrupt_record").isNull()).collect()} == {"R2"}
+    whole = ingest.read_candidate_csv(spark, path, multiline=True)
+    assert sorted((r["REGNUMBER"], r["ADDRESS"]) for r in whole.collect()) == [("R1", "12 Road\nLagos"), ("R2", "x")]
+    bad = write(os.path.join(tmp_dir, "n.csv"), "NAME,AGE\nx,1\n")
+    with pytest.raises(ValueError):
+        ingest.run_candidate_import(spark, bad, os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "e"), ingest.ImportOptions(year=2024))
+    twice = write(os.path.join(tmp_dir, "d.csv"), "REGNUMBER,A,a\n1,2,3\n")
+    with pytest.raises(ValueError):
+        ingest.read_candidate_csv(spark, twice)
+
+
+def test_import_resolves_references(spark, tmp_dir):
+    path = write(os.path.join(tmp_dir, "r.csv"), "REGNUMBER,STATECODE,INID,APP_COURSE1,SURNAME\nR1,lagoss,UNI,C1,Ade\nR2,2,I1,C9,Obi\nR3,nowhere,I1,C1,Eze\n"
+                 f"R4,1,I7,C1,Uba\nR5,1,I1,C1,{'x' * 101}\n")
+    refs = ingest.References(spark.createDataFrame([(1, "LAGOS"), (2, "KANO")], "st_id int, st_name string"),
+                             spark.createDataFrame([("I1", "UNI")], "inid string, inabv string"), spark.createDataFrame([("C1",)], "course_code string"))
+    target, hist = os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "h")
+    for _ in range(2):
+        ingest.run_candidate_import(spark, path, target, target + "-e", ingest.ImportOptions(year=2024), refs=refs, historical_path=hist)
+    assert sorted((r["regnumber"], r["statecode"], r["inid"]) for r in spark.read.parquet(target).collect()) == [("R1", 1, "I1"), ("R2", 2, "I1")]
+    assert sorted(r["error_message"] for r in spark.read.parquet(target + "-e").collect()) == [
+        "invalid institution: I7", "surname is longer than 100", "unknown state: nowhere"]
+    assert [(r["old_course_code"], r["institution_id"]) for r in spark.read.parquet(hist).collect()] == [("C9", "I1")]
 
 
 def test_reconcile_codes(spark):

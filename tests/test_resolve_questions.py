@@ -1,5 +1,8 @@
 """Entity resolution (I2, I8-I10, D3) and question analytics (N1-N4, S4)."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from cohortlens import schemas
 from cohortlens.operators import questions as Q
 from cohortlens.operators import resolve
@@ -130,24 +133,54 @@ def test_sql_extraction(spark):
     assert out[7]["sql_query"] == "SELECT count(*) FROM t"
 
 
-def test_theta_fallbacks_match_broadcast(spark):
-    """The shuffle (equi-join) paths give the same answers as the broadcast
-    nested loops."""
-    inputs = [(k,) for k in schemas.STATE_ALIASES] + [
-        (" lagos ",), ("LAGOSS",), ("LAGXSS",), ("XX",), ("OYOO",), ("O",), ("",), ("KANOXYZ",)]
-    df = spark.createDataFrame(inputs, "name string")
-    a = rows(resolve.resolve_states(df, "name", _states(spark)), "name")
-    b = rows(resolve.resolve_states(df, "name", _states(spark), force_shuffle=True), "name")
-    assert a == b
-    courses = spark.createDataFrame([("Medicine and Surgery",), ("Law",), ("Computer Science",),
-                                     ("Civil Engineering",), ("Nursing",), ("IT",), ("Art",)],
-                                    "course_name string")
-    names = Q.course_names(courses)
-    qs = spark.createDataFrame([
-        (1, "How many applied for law?"), (2, "Applicants to medical programmes"),
-        (3, "students of nursin"), (4, "Show me the top 5 courses"), (5, "it and art"),
-        (6, "civil engineering and software"), (7, "lawyers in civil service")],
-        "question_id int, question string")
-    x = rows(Q.match_courses(qs, names), "question_id", "pattern")
-    y = rows(Q.match_courses(qs, names, force_shuffle=True), "question_id", "pattern")
-    assert x == y and len(x) > 5
+def test_state_resolution_by_distance(spark):
+    from test_properties import _lev
+    inputs = [*schemas.STATE_ALIASES, " lagos ", "LAGOSS", "LAGXSS", "XX", "OYOO", "O", "", "KANOXYZ", "L" * 3000, "LAGOS", "LAGOS", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(inputs)], "i int, name string")
+    states = {r["st_name"]: r["st_id"] for r in _states(spark).collect()}
+    for k in (0, 1, 2):
+        got = {r["i"]: (r["st_id"], r["state_match"]) for r in resolve.resolve_states(df, "name", _states(spark), max_distance=k).collect()}
+        assert len(got) == len(inputs)
+        for i, x in enumerate(inputs):
+            clean = None if x is None else schemas.STATE_ALIASES.get(x.strip().upper(), x.strip().upper())
+            near = sorted((_lev(clean, n), s) for n, s in states.items()) if clean is not None and len(clean) < 100 else []
+            want = (near[0][1], "exact" if near[0][0] == 0 else "fuzzy") if near and near[0][0] <= k else (None, None)
+            assert got[i] == want, (x, k)
+    with pytest.raises(ValueError):
+        resolve.resolve_states(df, "name", _states(spark), max_distance=3)
+
+
+def test_question_plan_has_no_nested_loop(spark):
+    names = Q.course_names(spark.createDataFrame([("Law",), ("Nursing",)], "course_name string"))
+    qs = spark.createDataFrame([(1, "How many applied for law?"), (1, "law"), (2, None)], "question_id int, question string")
+    out = Q.match_courses(qs, names)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert [tuple(r) for r in out.collect()] == [(1, "'%Law%'", "a")]
+
+
+def test_sql_extraction_of_odd_replies(spark):
+    replies = {
+        1: ('{"sql_query": "SELECT 1"} as asked', ("SELECT 1\"} as asked", None)),
+        2: ('{"sql_query": 5}', (None, "failed to extract SQL query")),
+        3: ('{"sql_query": null}', (None, "no SQL query found in response")),
+        4: ('{"Sql_Query": "SELECT 2"}', ("SELECT 2", None)),
+        5: ('[{"sql_query": "SELECT 3;"}]', ("SELECT 3;", None)),
+        6: ("{}", (None, "no SQL query found in response")),
+        7: (None, (None, None)),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in replies.items()], "reply_id int, reply string")
+    out = {r["reply_id"]: (r["sql_query"], r["error"]) for r in Q.extract_sql(df).collect()}
+    assert out == {k: v[1] for k, v in replies.items()}
+
+
+def test_one_mapping_per_old_code(spark):
+    df = spark.createDataFrame([("A", 2023, "X1", "I1"), ("B", 2023, "X2", "I1")], "regnumber string, year int, course_code string, institution_id string")
+    m = spark.createDataFrame([(2023, "X1", "C1", "I1", "2024-01-01"), (2023, "X1", "C2", "I1", "2024-02-01"), (2023, "X1", "C0", "I1", None)],
+                              "year int, old_course_code string, new_course_code string, institution_id string, d string") \
+        .withColumn("mapping_date", F.to_timestamp_ntz("d")).drop("d")
+    out = sorted((r["regnumber"], r["course_code"], r["remapped"]) for r in resolve.remap_course_codes(df, m).collect())
+    assert out == [("A", "C2", True), ("B", "X2", False)]
+    early = resolve.remap_course_codes(df, m, as_of=F.lit("2024-01-15").cast("timestamp_ntz")).collect()
+    assert sorted((r["regnumber"], r["course_code"]) for r in early) == [("A", "C1"), ("B", "X2")]
+    assert sorted(r["new_course_code"] for r in resolve.superseded_mappings(m).collect()) == ["C0", "C1"]
