@@ -16,7 +16,7 @@ from .common import stored
 #: Rows that trees are fitted on (those of the smallest id hashes), trees, and sample rows of a leaf.
 SAMPLE, TREES, LEAF = 16_384, 8, 64
 #: Share of all rows that the leaves of a query hold, a row counted once a tree.
-SEARCH = 1.0
+SEARCH = 1.5
 #: Rows of a leaf that a task scores at once; a larger leaf is dealt to several.
 PART = 4096
 
