@@ -182,47 +182,55 @@ def check_constraints(t: Tables, tables=None) -> DataFrame:
     """(table, rule, violations) for primary keys, foreign keys, NOT NULL
     and VARCHAR lengths.
 
-    A table's key aggregate gives its duplicates and is the key set that
-    foreign keys look into. A foreign key is checked on counts per value: the
-    child is grouped by the column first (partial sums absorb hot values) and
-    only distinct values meet the parent keys. NOT NULL and length counts
-    of a table come out of one pass without a join."""
+    All foreign keys are checked in one join: a child's columns become
+    (rule, value) rows that are counted first (partial sums absorb hot
+    values), and only distinct values meet the parents' keys. NOT NULL and
+    length counts of a table come out of one pass without a join."""
     want = [n for n in schemas.PRIMARY_KEYS if not tables or n in tables]
-    frames: dict[str, DataFrame] = {}
+    frames = {n: t.candidate() if n == "candidate" else t.table(n) for n in want}
 
-    def tab(name):
-        if name not in frames:
-            frames[name] = t.candidate() if name == "candidate" else t.table(name)
-        return frames[name]
+    def part(name, *cols):
+        """Only some columns, so that a projected table joins less."""
+        return t.candidate(*cols) if name == "candidate" else frames[name].select(*cols)
 
-    def keys(name):
-        return tab(name).groupBy(*schemas.PRIMARY_KEYS[name]).agg(F.count(F.lit(1)).alias("_n"))
+    def rows_of(name, counts, df):
+        agg = df.agg(*[e.cast("long").alias(f"c{j}") for j, (_, e) in enumerate(counts)])
+        rows = agg.select(F.explode(F.array(*[
+            F.struct(F.lit(rule).alias("rule"), F.col(f"c{j}").alias("violations"))
+            for j, (rule, _) in enumerate(counts)])).alias("r"))
+        return rows.select(F.lit(name).alias("table"), "r.rule", "r.violations")
 
-    def row(name, rule, df, count):
-        total = F.coalesce(F.sum(count), F.lit(0)).cast("long").alias("violations")
-        return df.agg(total).select(F.lit(name).alias("table"), F.lit(rule).alias("rule"), "violations")
+    def tagged(rules, value):
+        pairs = F.array(*[F.struct(F.lit(r).alias("_rule"), value(r).cast("string").alias("_v")) for r in rules])
+        return F.explode(pairs).alias("_p")
 
-    parts = []
+    parts, values, parents, names = [], [], {}, []
     for name in want:
-        pk = schemas.PRIMARY_KEYS[name]
-        parts.append(row(name, f"pk({','.join(pk)})", keys(name).where(F.col("_n") > 1), F.col("_n") - 1))
-        df = tab(name)
+        pk, df = schemas.PRIMARY_KEYS[name], frames[name]
+        dup = part(name, *pk).groupBy(*pk).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+        parts.append(rows_of(name, [(f"pk({','.join(pk)})", F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)))], dup))
+        own = {}
         for child, col, parent, pcol in schemas.FOREIGN_KEYS:
-            if child != name or parent not in want or col not in df.columns:
-                continue
-            values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-            lost = values.join(keys(parent).select(F.col(pcol).alias("_p")), F.col("_v") == F.col("_p"), "left_anti")
-            parts.append(row(name, f"fk({col}->{parent}.{pcol})", lost, F.col("_c")))
+            if child == name and parent in want and col in df.columns:
+                rule = f"fk({col}->{parent}.{pcol})"
+                names.append((name, rule))
+                own[f"{name} {rule}"] = col
+                parents.setdefault((parent, pcol), []).append(f"{name} {rule}")
+        if own:
+            cols = list(dict.fromkeys(own.values()))
+            values.append(part(name, *cols).select(tagged(own, lambda r, own=own: F.col(own[r]))).where(F.col("_p._v").isNotNull())
+                          .groupBy("_p._rule", "_p._v").agg(F.count(F.lit(1)).alias("_c")))
         counts = [(f"not_null({c})", count_if(F.col(c).isNull())) for c in schemas.NOT_NULL.get(name, []) if c in df.columns]
         counts += [(f"length({c})<={n}", count_if(F.length(F.col(c).cast("string")) > n))
                    for c, n in schemas.VARCHAR_LIMITS.get(name, {}).items() if c in df.columns]
-        if not counts:
-            continue
-        agg = df.agg(*[e.cast("long").alias(f"c{j}") for j, (_, e) in enumerate(counts)])
-        rows = agg.select(F.explode(F.array(*[
-            F.struct(F.lit(rule).alias("rule"), F.col(f"c{j}").alias("violations"))
-            for j, (rule, _) in enumerate(counts)])).alias("r"))
-        parts.append(rows.select(F.lit(name).alias("table"), "r.rule", "r.violations"))
+        if counts:
+            parts.append(rows_of(name, counts, df))
+    if values:
+        keys = reduce(DataFrame.union, [part(parent, pcol).distinct().select(tagged(rules, lambda r, c=pcol: F.col(c))).select("_p.*")
+                                        for (parent, pcol), rules in parents.items()])
+        lost = reduce(DataFrame.union, values).join(keys, ["_rule", "_v"], "left_anti").groupBy("_rule").agg(F.sum("_c").alias("_c"))
+        rules = t.spark.createDataFrame([(n, r, f"{n} {r}") for n, r in names], "`table` string, rule string, _rule string")
+        parts.append(rules.join(lost, "_rule", "left").select("table", "rule", F.coalesce("_c", F.lit(0)).cast("long").alias("violations")))
     return reduce(DataFrame.unionByName, parts)
 
 
