@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,11 +202,13 @@ def check_constraints(t: Tables, tables=None) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(r).alias("_rule"), value(r).cast("string").alias("_v")) for r in rules])
         return F.explode(pairs).alias("_p")
 
-    parts, values, parents, names = [], [], {}, []
+    parts, dups, values, parents, names = [], [], [], {}, []
     for name in want:
         pk, df = schemas.PRIMARY_KEYS[name], frames[name]
-        dup = part(name, *pk).groupBy(*pk).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-        parts.append(rows_of(name, [(f"pk({','.join(pk)})", F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)))], dup))
+        rule = f"pk({','.join(pk)})"
+        names.append((name, rule))
+        dups.append(part(name, *pk).groupBy(*pk).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1)
+                    .select(F.lit(f"{name} {rule}").alias("_rule"), (F.col("_c") - 1).alias("_c")))
         own = {}
         for child, col, parent, pcol in schemas.FOREIGN_KEYS:
             if child == name and parent in want and col in df.columns:
@@ -225,13 +225,22 @@ def check_constraints(t: Tables, tables=None) -> DataFrame:
                    for c, n in schemas.VARCHAR_LIMITS.get(name, {}).items() if c in df.columns]
         if counts:
             parts.append(rows_of(name, counts, df))
+    lost = dups
     if values:
-        keys = reduce(DataFrame.union, [part(parent, pcol).distinct().select(tagged(rules, lambda r, c=pcol: F.col(c))).select("_p.*")
-                                        for (parent, pcol), rules in parents.items()])
-        lost = reduce(DataFrame.union, values).join(keys, ["_rule", "_v"], "left_anti").groupBy("_rule").agg(F.sum("_c").alias("_c"))
-        rules = t.spark.createDataFrame([(n, r, f"{n} {r}") for n, r in names], "`table` string, rule string, _rule string")
-        parts.append(rules.join(lost, "_rule", "left").select("table", "rule", F.coalesce("_c", F.lit(0)).cast("long").alias("violations")))
-    return reduce(DataFrame.unionByName, parts)
+        keys = _union_all([part(parent, pcol).distinct().select(tagged(rules, lambda r, c=pcol: F.col(c))).select("_p.*")
+                           for (parent, pcol), rules in parents.items()])
+        lost = [*dups, _union_all(values).join(keys, ["_rule", "_v"], "left_anti").select("_rule", "_c")]
+    found = _union_all(lost).groupBy("_rule").agg(F.sum("_c").alias("_c"))
+    rules = t.spark.createDataFrame([(n, r, f"{n} {r}") for n, r in names], "`table` string, rule string, _rule string")
+    parts.append(rules.join(found, "_rule", "left").select("table", "rule", F.coalesce("_c", F.lit(0)).cast("long").alias("violations")))
+    return _union_all(parts)
+
+
+def _union_all(parts: list[DataFrame]) -> DataFrame:
+    """Union in pairs: a plan of small depth, analysed once per level."""
+    while len(parts) > 1:
+        parts = [a.union(b[0]) if (b := parts[i + 1:i + 2]) else a for i, a in enumerate(parts) if i % 2 == 0]
+    return parts[0]
 
 
 # S5 / D6 --------------------------------------------------------------------
