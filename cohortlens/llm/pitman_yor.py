@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -42,6 +42,8 @@ EXACT = 64
 #: Passes of a round over a restaurant's words; its table count is renewed between them.
 PASSES = 4
 _WORD_BITS = np.uint64(40)
+#: Text bytes of a block, and buckets for each shuffle partition: both bound a task's memory.
+BLOCK, FINER = 4 << 20, 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -126,9 +128,10 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     held = F.coalesce(F.crc32(key.cast("string")) % 7 == 2, F.lit(False))
     rows = docs.select(key.alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
 
+    @blocks.frugal
     def run(batches):
         part = TaskContext.get().partitionId()
-        for k, block in enumerate(blocks.cut(batches, "text")):
+        for k, block in enumerate(blocks.cut(batches, "text", BLOCK)):
             ids = block["id"].combine_chunks()
             texts = pc.ascii_lower(pc.fill_null(block["text"], "").combine_chunks().cast(pa.large_string()))
             lists = pc.ascii_split_whitespace(texts)
@@ -148,12 +151,17 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             inside = np.ones(len(tokens), bool)
             inside[ends] = False
             tokens[inside] = codes
+            # Frequent words get small numbers, which take little room.
+            order = np.argsort(-np.bincount(tokens, minlength=len(keys)), kind="stable")
+            rank = np.empty(len(keys), np.uint32)
+            rank[order] = np.arange(len(keys))
+            keys, tokens = keys[order], rank[tokens]
             null, out = ids.is_null().to_numpy(zero_copy_only=False), block["held"].to_numpy()
             train = np.bincount(tokens[~np.repeat(out, n)], minlength=len(keys))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part << 32 | k]), pa.array([int(train.sum())]),
                  pa.array([pack(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64), null.astype(np.uint8), out.astype(np.uint8), n.astype(np.uint32))], pa.binary()),
-                 pa.array([pack(np.diff(keys, prepend=np.uint64(0)), train.astype(np.uint32))], pa.binary()), pa.array([pack(tokens)], pa.binary())],
+                 pa.array([pack(keys, train.astype(np.uint32))], pa.binary()), pa.array([pack(tokens, level=3)], pa.binary())],
                 names=["block", "train", "docs", "words", "tokens"])
 
     return rows.mapInArrow(run, "block long, train long, docs binary, words binary, tokens binary")
@@ -166,6 +174,11 @@ def _parts(bucket: np.ndarray) -> dict[int, np.ndarray]:
     return dict(zip(found.tolist(), np.split(order, first[1:]), strict=True)) if len(found) else {}
 
 
+def _word_parts(keys: np.ndarray, width: int) -> dict[int, np.ndarray]:
+    """Places of the words of each bucket, by hash."""
+    return {b: own[np.argsort(keys[own])] for b, own in _parts(keys % np.uint64(width)).items()}
+
+
 def _by_bucket(rows: DataFrame, width: int, column: str, *order: str) -> DataFrame:
     return rows.repartitionById(width, F.col(column).cast("int")).sortWithinPartitions(column, *order)
 
@@ -181,15 +194,16 @@ def number_words(texts: DataFrame, width: int, total: int) -> DataFrame:
     come in rows of block -1. A word's id is its place in its bucket times the
     width, plus the bucket."""
 
+    @blocks.frugal
     def ask(batches):
         for b in batches:
             for r in b.to_pylist():
-                step, train = unpack(r["words"])
-                keys = np.cumsum(step)
-                for i, own in _parts(keys % np.uint64(width)).items():
+                keys, train = unpack(r["words"])
+                for i, own in _word_parts(keys, width).items():
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([r["block"]]),
                                                       pa.array([pack(np.diff(keys[own], prepend=np.uint64(0)), train[own])], pa.binary())], names=["bucket", "block", "body"])
 
+    @blocks.frugal
     def answer(batches):
         for i, rows in _grouped(batches, "bucket"):
             asked = [unpack(r["body"]) for r in rows]
@@ -216,6 +230,7 @@ def pair_rows(texts: DataFrame, numbered: DataFrame, width: int, sections: Secti
         numbered.where("block >= 0").select("block", "bucket", F.col("body").alias("words")), allowMissingColumns=True)
     both = both.withColumn("slot", F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(0xFFFFFFFF), F.lit(width)).cast("int"))
 
+    @blocks.frugal
     def run(batches):
         rows = (r for b in batches for r in b.to_pylist())
         for _, own in itertools.groupby(rows, lambda r: r["block"]):
@@ -224,8 +239,8 @@ def pair_rows(texts: DataFrame, numbered: DataFrame, width: int, sections: Secti
     def one(own):
         me = own[0]
         ids, null, held, n = unpack(me["docs"])
-        keys = np.cumsum(unpack(me["words"])[0])
-        parts = _parts(keys % np.uint64(width))
+        keys = unpack(me["words"])[0]
+        parts = _word_parts(keys, width)
         number, count = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64)
         for r in own[1:]:
             at = parts[r["bucket"]]
@@ -258,7 +273,7 @@ def pair_rows(texts: DataFrame, numbered: DataFrame, width: int, sections: Secti
         for i, (b, lo, hi) in enumerate(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(to)])):
             lo2, hi2 = start[lo], start[hi - 1] + n_uses[hi - 1]
             body = pack(np.diff(u[lo:hi], prepend=np.uint64(0)), w[lo:hi], learnt[lo:hi], n_uses[lo:hi].astype(np.uint32),
-                        np.diff(by[lo2:hi2], prepend=0).astype(np.int32), times[lo2:hi2].astype(np.uint32))
+                        np.diff(by[lo2:hi2], prepend=0).astype(np.int32), times[lo2:hi2].astype(np.uint32), level=3)
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([me["block"]]), pa.array([len(found)], pa.int32()),
                                               pa.array([None if i else head], pa.binary()), pa.array([body], pa.binary())], names=["bucket", "block", "rows", "head", "body"])
 
@@ -296,6 +311,7 @@ def gather(pairs: DataFrame, width: int, sections: Sections) -> DataFrame:
     """A row per bucket: its pairs over all blocks, each word of a restaurant
     at one table, and, for scoring, the uses of pairs by blocks."""
 
+    @blocks.frugal
     def run(batches):
         for bucket, rows in _grouped(batches, "bucket"):
             asked = [unpack(r["body"]) for r in rows]
@@ -321,6 +337,7 @@ def parent_round(state: DataFrame, width: int, tables: int, base: float, discoun
     """Seats the parent restaurant: per (bucket of contexts, bucket of words)
     each word's customers and tables there; totals come in rows of bucket -1."""
 
+    @blocks.frugal
     def ask(batches):
         for b in batches:
             for r in b.to_pylist():
@@ -330,6 +347,7 @@ def parent_round(state: DataFrame, width: int, tables: int, base: float, discoun
                     body = pack(np.diff(me.words[own] // np.uint64(width), prepend=np.uint64(0)).astype(np.uint32), t[own])
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([r["bucket"]], pa.int32()), pa.array([body], pa.binary())], names=["word_bucket", "bucket", "body"])
 
+    @blocks.frugal
     def answer(batches):
         for i, rows in _grouped(batches, "word_bucket"):
             asked = [unpack(r["body"]) for r in rows]
@@ -359,6 +377,7 @@ def context_round(state: DataFrame, parent: DataFrame, width: int, sections: Sec
     shared_ids = np.array(sorted(hot), np.uint64)
     shared = np.array([hot[int(i)] for i in shared_ids], np.int64)
 
+    @blocks.frugal
     def run(batches):
         for bucket, rows in _grouped(batches, "bucket"):
             me, r = Bucket(rows[0]["pairs"]), rows[0]
@@ -424,7 +443,7 @@ class Predictive:
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Samples the model; what comes to the driver is bounded by the number of buckets."""
-    width = shuffle_width(docs.sparkSession)
+    width = FINER * shuffle_width(docs.sparkSession)
     texts = stored(tokenised(docs, id_col, text_col), "texts")
     total = texts.agg(F.sum("train")).first()[0] or 0
     numbered = stored(number_words(texts, width, total), "numbered")
@@ -435,6 +454,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, seed: int
         counts.append(count)
         vocabulary += int(sizes[0])
     number, count = np.concatenate(ids), np.concatenate(counts)
+    _free(spark=docs.sparkSession)
     sections = Sections(number, np.minimum(width, np.maximum(1, -(-count * 4 * width // max(1, total)))))
     uses = stored(gather(pair_rows(texts, numbered, width, sections, total, vocabulary), width, sections), "pairs")
     _free(texts, numbered)
@@ -467,6 +487,7 @@ def score_rows(model: Model) -> DataFrame:
     both = model.state.select("bucket", "pairs", "kept").unionByName(model.uses.select("bucket", "uses"), allowMissingColumns=True)
     width, predictive = model.width, Predictive(model)
 
+    @blocks.frugal
     def run(batches):
         for _, rows in _grouped(batches, "bucket"):
             r = next(x for x in rows if x["pairs"] is not None)
@@ -502,6 +523,7 @@ def document_scores(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_I
     model = fit(docs, rounds, burn_in, seed, id_col, text_col)
     total = model.train_tokens
 
+    @blocks.frugal
     def finish(batches):
         for _, rows in _grouped(batches, "block"):
             head = [r["head"] for r in rows if r["head"] is not None]
@@ -521,9 +543,9 @@ def document_scores(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_I
         finish, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _free(*tables: DataFrame) -> None:
+def _free(*tables: DataFrame, spark: SparkSession | None = None) -> None:
     """Deletes tables that are read no more; a collection of the driver's
     garbage lets Spark drop the shuffle files behind them."""
     for t in tables:
         discard(t)
-    tables[0].sparkSession._jvm.System.gc()
+    (spark or tables[0].sparkSession)._jvm.System.gc()
