@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Tags that end a line of a page's text (fixed values).
 BLOCK_TAGS = ("html head body title style script nav ul ol li div p br article section header footer main aside table tr "
               "td th blockquote pre h1 h2 h3 h4 h5 h6 meta link").split()
@@ -54,8 +56,10 @@ def line_dedup(docs: DataFrame, host_col: str, text_col: str = "text", ratio: fl
     and gives one row; an empty table gives an empty result.
 
     (host, line) pairs are counted with partial sums before their shuffle,
-    so a hot host or line meets in counts only."""
-    marks = boilerplate(docs, host_col, text_col, ratio, min_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_marks"))
+    so a hot host or line meets in counts only. The hosts' lists are written
+    once, so Spark knows their size: it broadcasts short ones, and can split
+    a hot host in the join with long ones."""
+    marks = stored(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), F.col("lines").alias("_marks"))
     rows = docs.drop("dropped_lines").join(marks, F.col(host_col) == F.col("_host"), "left")
     lines = F.split(text_col, "\n")
     kept = F.filter(lines, lambda x: (x == "") | ~F.array_contains(F.col("_marks"), _mark(x)))
