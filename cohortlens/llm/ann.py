@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .blocks import frugal
 from .common import stored
 
 #: Rows that trees are fitted on (those of the smallest id hashes), trees, and sample rows of a leaf.
@@ -157,6 +158,7 @@ def forest_search(rows: DataFrame, every: int = 20, k: int = 20, search: float =
     good = stored(good.where(F.size("x") == (length.n if length else 0)), "vectors")
     forest, top = fit_forest(good, sample, trees, leaf)
 
+    @frugal
     def index(batches):
         for b in batches:
             if b.num_rows:
@@ -173,6 +175,7 @@ def forest_search(rows: DataFrame, every: int = 20, k: int = 20, search: float =
     parts = spark.createDataFrame([(t, i, int(-(-n // PART))) for t, s in enumerate(sizes) for i, n in enumerate(s.tolist()) if n > PART],
                                   "tree int, leaf int, parts int")
 
+    @frugal
     def route(batches):
         for b in batches:
             ids, x = b.column("id").to_numpy(), _matrix(b.column("x"))
@@ -190,6 +193,7 @@ def forest_search(rows: DataFrame, every: int = 20, k: int = 20, search: float =
         F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int")).select(*_NAMES)
     spread = asked.join(parts, ["tree", "leaf"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).select(*_NAMES)
 
+    @frugal
     def score(batches):
         """Members of a leaf's part come first, then its queries, in blocks."""
         key, ids, held = None, [], []

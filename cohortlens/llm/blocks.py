@@ -17,6 +17,8 @@ input in another order can't give partial results unnoticed.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import itertools
 import struct
 from collections.abc import Callable, Iterable, Iterator
@@ -42,6 +44,22 @@ Serve = Callable[[list[bytes]], Iterable[bytes]]
 Finish = Callable[[bytes, list[bytes]], pa.RecordBatch]
 
 
+def frugal(run):
+    """A mapInArrow function that gives freed memory back when it ends: Spark
+    keeps Python workers for later tasks, and the allocators what they held."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def pack(*parts: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed byte string; integers by byte position, so
     that the zero high bytes of small numbers stand together."""
@@ -114,6 +132,7 @@ def exchange(df: DataFrame, column: str, width: int, split: Split, serve: Serve,
              schema: str, limit: int = BLOCK_BYTES) -> DataFrame:
     """Apply split, serve and finish (above) to the rows of ``df``."""
 
+    @frugal
     def to_rows(batches):
         part = TaskContext.get().partitionId()
         for k, block in enumerate(cut(batches, column, limit)):
@@ -127,6 +146,7 @@ def exchange(df: DataFrame, column: str, width: int, split: Split, serve: Serve,
                      pa.array([name], pa.binary()), pa.array([n], pa.int32()),
                      pa.array([None if i else head], pa.binary()), pa.array([body], pa.binary())], schema=_ROW)
 
+    @frugal
     def to_answers(batches):
         rows = [b for b in batches if b.num_rows]
         if not rows:
@@ -142,6 +162,7 @@ def exchange(df: DataFrame, column: str, width: int, split: Split, serve: Serve,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([rows[c][i].as_py()], _ROW.field(c).type) for c in _ROW.names[:-1]] + [pa.array([body], pa.binary())], schema=_ROW)
 
+    @frugal
     def to_result(batches):
         each = (row for b in batches for row in b.to_pylist())
         for _, rows in itertools.groupby(each, lambda r: r["block"]):

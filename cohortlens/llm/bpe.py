@@ -264,6 +264,7 @@ def bpe_decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col
     bytes that are not UTF-8 become U+FFFD, null ids give a null text."""
     names = [c for c in encoded.columns if c != out_col]
 
+    @blocks.frugal
     def decode(batches):
         v = vocabulary(tokenizer)
         flat = np.frombuffer(b"".join(v.bytes), np.uint8)

@@ -68,6 +68,7 @@ def fit_likelihoods(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[li
     row is the unknown language, under which every class is as likely."""
     some = labelled.where("text is not null and language is not null").orderBy(F.xxhash64("id"), "id").limit(max_train)
 
+    @blocks.frugal
     def count(batches):
         found: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -95,6 +96,7 @@ def text_evidence(rows: DataFrame, table: np.ndarray, text_col: str = "text") ->
     trigrams (long). A text without letters has evidence 0 for each."""
     names = [c for c in rows.columns if c != text_col]
 
+    @blocks.frugal
     def run(batches):
         flat = np.ascontiguousarray(table.T)
         for batch in batches:

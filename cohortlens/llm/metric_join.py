@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ann import _matrix, usable
+from .blocks import frugal
 from .common import discard, stored
 from .components import connected_components
 
@@ -52,6 +53,7 @@ def split_cells(rows: DataFrame, radius: float, level: int) -> DataFrame:
     some = some.withColumn("_mark", mark).withColumn("_i", F.row_number().over(first)).where("_i <= k")
     pivots = some.groupBy("cell").agg(F.collect_list("u").alias("pivots"))
 
+    @frugal
     def assign(batches):
         for b in batches:
             for cell, own in _groups(b, "cell"):
@@ -103,6 +105,7 @@ def join_cells(rows: DataFrame, threshold: float) -> DataFrame:
         return (pa.array(np.concatenate([cids[own], cids[lead]])), pa.array(np.concatenate([links - 1, np.zeros(lead.sum(), np.int64)])),
                 pa.array(np.concatenate([cids[own], cids[roots[lead]]])))
 
+    @frugal
     def run(batches):
         key, held = None, []
 
@@ -155,6 +158,7 @@ def cosine_groups(vectors: DataFrame, threshold: float = 0.98, id_col: str = "ve
     classes = rows.where("fine").groupBy("label", "x").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
+    @frugal
     def unit(batches):
         for b in batches:
             if b.num_rows:

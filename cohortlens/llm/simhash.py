@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import frugal
 from .common import stored
 from .components import connected_components
 
@@ -38,6 +39,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     """(id, mark, fp): the 64-bit fingerprint as a signed long, one row per
     input row; ``mark`` (a long) goes along."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
@@ -88,6 +90,7 @@ def linked(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _bucket_edges(members: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    @frugal
     def run(batches):
         held_key, held = None, []
 

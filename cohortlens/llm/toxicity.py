@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import frugal
+
 #: Labelled texts that the chain is fitted on (those of the smallest id hashes).
 MAX_TRAIN = 10_000
 #: Features of a linear model, documents that one must be in, folds, weight decay, steps.
@@ -111,6 +113,7 @@ def train(labelled: DataFrame, categories: list[str], max_train: int = MAX_TRAIN
     known = labelled.where(" and ".join(f"`{c}` is not null" for c in categories))
     some = known.orderBy(F.xxhash64("id"), "id").limit(max_train).select("text", *[F.col(c).cast("int").alias(c) for c in categories])
 
+    @frugal
     def fit(batches):
         numbers: dict[bytes, int] = {}
         docs, labels = [], []
@@ -142,6 +145,7 @@ def apply_chain(docs: DataFrame, chain: list[dict], threshold: float = 0.5, id_c
     empty result."""
     names = [m["category"] for m in chain]
 
+    @frugal
     def run(batches):
         models = [(m["bias"], m["earlier"], dict(zip(map(bytes, m["words"]), m["weights"]))) for m in chain]
         known = [frozenset(m[2]) for m in models]
