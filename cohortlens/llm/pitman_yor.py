@@ -20,6 +20,7 @@ several buckets; sections share its table count each round.
 
 from __future__ import annotations
 
+import gc
 import itertools
 from dataclasses import dataclass
 
@@ -42,8 +43,8 @@ EXACT = 64
 #: Passes of a round over a restaurant's words; its table count is renewed between them.
 PASSES = 4
 _WORD_BITS = np.uint64(40)
-#: Text bytes of a block, and buckets for each shuffle partition: both bound a task's memory.
-BLOCK, FINER = 4 << 20, 2
+#: Text bytes of a block: bounds a task's memory.
+BLOCK = 4 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -320,12 +321,12 @@ def gather(pairs: DataFrame, width: int, sections: Sections) -> DataFrame:
             key, place = np.unique(at.astype(np.uint64) << _WORD_BITS | np.concatenate([a[1] for a in asked]), return_inverse=True)
             at, w = (key >> _WORD_BITS).astype(np.int64), key & (np.uint64(1) << _WORD_BITS) - np.uint64(1)
             c = np.bincount(place, weights=np.concatenate([a[2] for a in asked])).astype(np.int64)
-            packed, tables = pack(np.diff(us, prepend=np.uint64(0)), np.bincount(at).astype(np.uint32), w, c.astype(np.uint32)), np.minimum(c, 1)
+            packed, tables = pack(np.diff(us, prepend=np.uint64(0)), np.bincount(at).astype(np.uint32), w, c.astype(np.uint32), level=3), np.minimum(c, 1)
             uses, lo = [], 0
             for r, a in zip(rows, asked, strict=True):
                 own = place[lo:lo + len(a[0])]
                 lo += len(a[0])
-                uses.append({"block": r["block"], "rows": r["rows"], "head": r["head"], "body": pack(np.diff(own, prepend=0).astype(np.int32), *a[3:])})
+                uses.append({"block": r["block"], "rows": r["rows"], "head": r["head"], "body": pack(np.diff(own, prepend=0).astype(np.int32), *a[3:], level=3)})
             kind = pa.list_(pa.struct([("block", pa.int64()), ("rows", pa.int32()), ("head", pa.binary()), ("body", pa.binary())]))
             state = _state_row(bucket, packed, tables, b"", int((c == 1).sum()), int((c == 2).sum()), Bucket(packed).frequent(tables, sections))
             yield pa.RecordBatch.from_arrays([*state, pa.array([uses], kind)], names=[*_STATE_NAMES, "uses"])
@@ -443,7 +444,7 @@ class Predictive:
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Samples the model; what comes to the driver is bounded by the number of buckets."""
-    width = FINER * shuffle_width(docs.sparkSession)
+    width = shuffle_width(docs.sparkSession)
     texts = stored(tokenised(docs, id_col, text_col), "texts")
     total = texts.agg(F.sum("train")).first()[0] or 0
     numbered = stored(number_words(texts, width, total), "numbered")
@@ -548,4 +549,5 @@ def _free(*tables: DataFrame, spark: SparkSession | None = None) -> None:
     garbage lets Spark drop the shuffle files behind them."""
     for t in tables:
         discard(t)
+    gc.collect()  # plans that Python still holds keep their shuffles
     (spark or tables[0].sparkSession)._jvm.System.gc()
