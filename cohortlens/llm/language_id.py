@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from . import blocks
 from .common import stored
 
-#: Labelled texts that the likelihoods are fitted on (those of the smallest id hashes).
-MAX_TRAIN = 20_000
-#: Hash classes of letter trigrams.
-CLASSES = 1 << 16
+#: Hash classes of letter trigrams, and how many of them a row of partial counts holds.
+CLASSES, SLICE = 1 << 16, 1 << 11
 #: A text counts as this many trigrams at most: neighbouring ones say the same.
 EVIDENCE = 60.0
 #: Weight of a parent level against a host's own pages; smoothing of the tables.
@@ -62,11 +60,27 @@ def _pieces(column: pa.Array, limit: int = 1 << 20):
         yield rows, texts
 
 
-def fit_likelihoods(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
+_SLICE_DDL = "language string, slice int, counts binary"
+
+
+def _slices(found: dict[tuple[str, int], np.ndarray]):
+    """Batches of (language, slice, packed counts)."""
+    keys = list(found)
+    for at in range(0, len(keys), 256):
+        own = keys[at:at + 256]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.string()), pa.array([i for _, i in own], pa.int32()),
+                                          pa.array([blocks.pack(found[k]) for k in own], pa.binary())], names=["language", "slice", "counts"])
+
+
+def fit_likelihoods(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihood of each trigram class under each language)
-    from (id, text, language) rows, ``max_train`` of them at most. The last
-    row is the unknown language, under which every class is as likely."""
-    some = labelled.where("text is not null and language is not null").orderBy(F.xxhash64("id"), "id").limit(max_train)
+    from all (id, text, language) rows, so that every declared language whose
+    texts have letters is known. The last row is the unknown language, under
+    which every class is as likely.
+
+    A task counts its own rows; its counts of a language leave in slices of
+    classes and are summed by (language, slice). The driver gets the totals:
+    half a megabyte a language."""
 
     @blocks.frugal
     def count(batches):
@@ -78,13 +92,21 @@ def fit_likelihoods(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[li
                 for name in {names[r] for r in rows}:
                     own = np.array([names[r] == name for r in rows])
                     found[name] = found.get(name, 0) + np.bincount(code[own[owner]], minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([blocks.pack(c) for c in found.values()], pa.binary())],
-                                         names=["language", "counts"])
+        yield from _slices({(name, i): part for name, c in found.items() for i, part in enumerate(c.reshape(-1, SLICE)) if part.any()})
+
+    @blocks.frugal
+    def add(batches):
+        found: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for name, i, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found[name, i] = found.get((name, i), 0) + blocks.unpack(c)[0]
+        yield from _slices(found)
 
     counts: dict[str, np.ndarray] = {}
-    for r in some.select("text", "language").repartition(8).mapInArrow(count, "language string, counts binary").collect():
-        counts[r.language] = counts.get(r.language, 0) + blocks.unpack(bytes(r.counts))[0]
-    names = sorted(n for n in counts if counts[n].sum())
+    parts = labelled.where("text is not null and language is not null").select("text", "language").mapInArrow(count, _SLICE_DDL)
+    for r in parts.repartition("language", "slice").mapInArrow(add, _SLICE_DDL).collect():
+        counts.setdefault(r.language, np.zeros(CLASSES, np.int64))[r.slice * SLICE:(r.slice + 1) * SLICE] += blocks.unpack(bytes(r.counts))[0]
+    names = sorted(counts)
     # Half of a likelihood is spread evenly: unseen trigrams cost little.
     rows = [np.log(0.5 * counts[n] / counts[n].sum() + 0.5 / CLASSES) for n in names]
     return names, np.array([*rows, np.full(CLASSES, -np.log(CLASSES))], np.float64)
@@ -219,6 +241,6 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def corpus_languages(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Languages of all documents and pages: doc_id or page_id, declared,
     suffix, host, language, probability, accepted. The likelihoods are fitted
-    on a bounded sample of the labelled documents."""
+    on all labelled documents."""
     names, table = fit_likelihoods(docs.select(F.col("doc_id").alias("id"), "text", primary_tag(F.col("lang")).alias("language")))
     return identify(document_evidence(docs).unionByName(page_evidence(pages)), names, table)

@@ -25,8 +25,7 @@ def _mark(docs: DataFrame) -> Column:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language. The likelihoods are fitted on a bounded
-    sample of the documents; what they say of a language, all of them count."""
+    """Documents in a known language. The likelihoods are fitted on all of them."""
     evidence = language_id.document_evidence(docs)
     names, likelihoods = language_id.fit_likelihoods(docs.select(F.col("doc_id").alias("id"), "text", language_id.primary_tag(F.col("lang")).alias("language")))
     found = language_id.identify(evidence.withColumn("mark", F.xxhash64("doc_id", "text", "declared", "host")), names, likelihoods)

@@ -26,6 +26,19 @@ def test_likelihoods(model):
     assert np.exp(table).sum(axis=1) == pytest.approx([1] * 4)
 
 
+def test_rare_language_is_known(spark):
+    """A language of one document in a thousand, in a script of its own, none
+    among the 20,000 smallest id hashes: known as in a small table."""
+    rows = spark.range(25_000).withColumn("rare", F.xxhash64("id") > int(2**63 * 0.998))
+    rows = rows.withColumn("text", F.when(F.col("rare"), "και το να είναι με από για που δεν ").otherwise("the of and that with from this which ")).withColumn("text", F.repeat("text", 4))
+    rows = rows.withColumn("language", F.when(F.col("rare"), "el").otherwise("en")).drop("rare")
+    names, table = L.fit_likelihoods(rows)
+    assert names == ["el", "en"]
+    some = rows.where("language = 'el'").select(F.col("id").alias("doc_id"), "text", F.col("language").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.lit("h").alias("host"), "language")
+    got = L.identify(some, names, table).collect()
+    assert got and all((g.language, g.accepted) == ("el", True) for g in got)
+
+
 def test_trigrams_by_plain_loops():
     r = random.Random(2)
     texts = ["".join(r.choice("aB é1 É.\n×") for _ in range(r.randint(0, 30))) for _ in range(200)] + ["", "a", " "]
