@@ -153,7 +153,7 @@ def forest_search(rows: DataFrame, every: int = 20, k: int = 20, search: float =
     Other columns are ignored; an empty table gives an empty result."""
     spark = rows.sparkSession
     good = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
+        F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col).cast("array<double>"), lambda v: v + F.lit(0.0)).alias("x")).distinct()
     length = good.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     good = stored(good.where(F.size("x") == (length.n if length else 0)), "vectors")
     forest, top = fit_forest(good, sample, trees, leaf)
@@ -213,12 +213,18 @@ def forest_search(rows: DataFrame, every: int = 20, k: int = 20, search: float =
                     ids, held = [np.concatenate(ids)], [np.concatenate(held)]
                     for at in range(i, j, 512):
                         q, some = own_ids[at:min(j, at + 512)], x[at:min(j, at + 512)] @ held[0].T
-                        some[q[:, None] == ids[0][None, :]] = -np.inf
-                        n = min(k, len(ids[0]))
-                        order = np.lexsort((np.broadcast_to(ids[0], some.shape), -some))[:, :n]
+                        # Of an id with several vectors the best one, so that the k rows kept are k ids.
+                        one, first = np.unique(by_id := np.sort(ids[0], kind="stable"), return_index=True)
+                        if len(one) < len(by_id):
+                            some = np.maximum.reduceat(some[:, np.argsort(ids[0], kind="stable")], first, axis=1)
+                        else:
+                            one = ids[0]
+                        some[q[:, None] == one[None, :]] = -np.inf
+                        n = min(k, len(one))
+                        order = np.lexsort((np.broadcast_to(one, some.shape), -some))[:, :n]
                         scores = np.take_along_axis(some, order, 1)
                         fine = np.isfinite(scores)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n).reshape(-1, n)[fine]), pa.array(ids[0][order][fine]), pa.array(scores[fine])],
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n).reshape(-1, n)[fine]), pa.array(one[order][fine]), pa.array(scores[fine])],
                                                          names=["query_id", "id", "score"])
 
     both = dealt.union(spread).repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part", "kind")

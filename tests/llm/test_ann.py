@@ -57,6 +57,20 @@ def test_odd_rows_copies_and_ties(spark, monkeypatch):
     assert {q: [i for i, _ in v] for q, v in found.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
+def test_repeats_take_one_place(spark):
+    """A near row that stands 30 times, and an id of 30 near vectors, are one candidate each."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(50)]
+    rows += [(1000, [9.0, 9.0, 9.0, 9.0])] * 30 + [(1001, [8.0, 8.0, 8.0, 8.0 + j / 64]) for j in range(30)]
+    rows = [(*r, "x", 1, 1) for r in rows]
+    got = ann.forest_search(spark.createDataFrame(rows, SCHEMA).repartition(3), every=20, k=20, search=10.0, leaf=200).collect()
+    want = brute(rows, 20, 20)
+    found = {}
+    for g in sorted(got, key=lambda g: (g.query_id, g["rank"])):
+        found.setdefault(g.query_id, []).append(g.vec_id)
+    assert found == {q: [i for i, _ in v] for q, v in want.items()} and all(len(v) == 20 for v in found.values())
+
+
 def test_few_rows(spark):
     assert ann.forest_search(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(0, [1.0, 0.0], "", 0, 0), (1, [0.5, 0.5], "", 0, 0), (2, [-1.0, 0.0], "", 0, 0)]
