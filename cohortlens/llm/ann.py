@@ -16,9 +16,9 @@ from .common import stored
 
 #: Rows that trees are fitted on (those of the smallest id hashes), trees, and sample rows of a leaf.
 SAMPLE, TREES, LEAF = 16_384, 8, 64
-#: Share of all rows that the leaves of a query hold, a row counted once a tree.
+#: Distinct vectors that the leaves of a query hold, one counted once a tree, as a share of all rows.
 SEARCH = 1.5
-#: Rows of a leaf that a task scores at once; a larger leaf is dealt to several.
+#: Distinct vectors of a leaf that a task scores at once; a larger leaf is dealt to several.
 PART = 4096
 
 
@@ -125,14 +125,39 @@ def lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(top * top - (x * x).sum(axis=1), 0))])
 
 
-_DDL = "tree int, leaf int, part int, kind int, id long, x array<double>"
-_NAMES = ["tree", "leaf", "part", "kind", "id", "x"]
+_DDL = "tree int, leaf int, part int, kind int, cid long, ids array<long>, x array<double>"
+_NAMES = ["tree", "leaf", "part", "kind", "cid", "ids", "x"]
 
 
-def _batch(tree, leaf, part, kind, ids, x: np.ndarray) -> pa.RecordBatch:
-    ends = pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32())
-    cols = [pa.array(np.broadcast_to(v, len(ids)).astype(np.int32)) for v in (tree, leaf, part, kind)]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=_NAMES)
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
+
+
+def _batch(tree, leaf, part, kind, cids, ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array(np.broadcast_to(v, len(cids)).astype(np.int32)) for v in (tree, leaf, part, kind)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(cids, pa.int64()), ids, _lists(x)], names=_NAMES)
+
+
+def classes_of(rows: DataFrame, n: int) -> DataFrame:
+    """(cid, ids, x): the distinct vectors of rows (id, x), each with its ``n``
+    smallest ids. Each batch names n ids of a vector at most, so one that
+    fills a third of all rows never brings them all to one task."""
+
+    @frugal
+    def smallest(batches):
+        for b in batches:
+            if b.num_rows:
+                x, ids = np.ascontiguousarray(_matrix(b.column("x"))), b.column("id").to_numpy()
+                _, first, own = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+                order = np.lexsort((ids, own))
+                starts = np.searchsorted(own[order], np.arange(len(first)))
+                keep = order[np.arange(len(order)) - starts[own[order]] < n]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(own[keep], minlength=len(first)))])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[keep])), _lists(x[first])], names=["ids", "x"])
+
+    some = rows.select("id", "x").mapInArrow(smallest, "ids array<long>, x array<double>")
+    ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, n)
+    return stored(some.groupBy("x").agg(ids.alias("ids")).select(F.monotonically_increasing_id().alias("cid"), "ids", "x"), "classes")
 
 
 def forest_search(rows: DataFrame, every: int = 20, k: int = 20, search: float = SEARCH, sample: int = SAMPLE, trees: int = TREES,
@@ -141,11 +166,13 @@ def forest_search(rows: DataFrame, every: int = 20, k: int = 20, search: float =
     product found for each query (ids divisible by ``every``) among all other
     rows, ties to the smaller id.
 
-    Trees are fitted on a bounded sample, then index every row. A query goes
-    down all trees with one priority queue until its leaves hold ``search``
-    times the number of rows; the candidates in them are scored exactly, in
-    double precision, on the original vectors. A leaf of many rows (copies
-    can't be split) is dealt to several tasks by a hash of the id.
+    Equal vectors are one class: trees are fitted on a bounded sample of the
+    classes, then index each class once. The class of a query goes down all
+    trees with one priority queue until its leaves hold, in classes, ``search``
+    times the number of rows; the candidates in them are scored exactly, in double
+    precision, on the original vectors. A class stands for its k + 1 smallest
+    ids (ties go to them, and the query may be one). A leaf of many classes
+    (near copies) is dealt to several tasks by a hash of the class.
 
     Rows with null ids, null, zero or non-finite vectors, or another length
     than the most frequent one take no part. Rows that repeat an id and
@@ -156,41 +183,45 @@ def forest_search(rows: DataFrame, every: int = 20, k: int = 20, search: float =
         F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col).cast("array<double>"), lambda v: v + F.lit(0.0)).alias("x")).distinct()
     length = good.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     good = stored(good.where(F.size("x") == (length.n if length else 0)), "vectors")
-    forest, top = fit_forest(good, sample, trees, leaf)
+    classes = classes_of(good, k + 1)
+    forest, top = fit_forest(classes.select(F.col("ids")[0].alias("id"), "x"), sample, trees, leaf)
 
     @frugal
     def index(batches):
         for b in batches:
             if b.num_rows:
-                x, ids = _matrix(b.column("x")), b.column("id").to_numpy()
+                x, cids = _matrix(b.column("x")), b.column("cid").to_numpy()
                 points = lifted(x, top)
                 for t, tree in enumerate(forest):
-                    yield _batch(t, tree.leaf(points), 0, 0, ids, x)
+                    yield _batch(t, tree.leaf(points), 0, 0, cids, b.column("ids"), x)
 
-    indexed = stored(good.mapInArrow(index, _DDL), "index")
+    indexed = stored(classes.mapInArrow(index, _DDL), "index")
     sizes = [np.zeros(t.leaves, np.int64) for t in forest]
     for r in indexed.groupBy("tree", "leaf").count().collect():  # at most trees * sample rows
         sizes[r.tree][r.leaf] = r["count"]
-    enough = search * sizes[0].sum() if forest else 0
+    enough = search * good.count()
     parts = spark.createDataFrame([(t, i, int(-(-n // PART))) for t, s in enumerate(sizes) for i, n in enumerate(s.tolist()) if n > PART],
                                   "tree int, leaf int, parts int")
 
     @frugal
     def route(batches):
         for b in batches:
-            ids, x = b.column("id").to_numpy(), _matrix(b.column("x"))
-            for start in range(0, len(ids), 256):
+            cids, x = b.column("cid").to_numpy(), _matrix(b.column("x"))
+            for start in range(0, len(cids), 256):
                 own = x[start:start + 256]
                 reach = top / np.sqrt((own * own).sum(axis=1, keepdims=True))
                 margins = [np.column_stack([own * reach, np.zeros(len(own))]) @ t.normal.T - t.offset for t in forest]
                 for i in range(len(own)):
                     found = np.array(visit([m[i] for m in margins], forest, sizes, enough), np.int64).reshape(-1, 2)
                     if len(found):
-                        yield _batch(found[:, 0], found[:, 1], 0, 1, np.full(len(found), ids[start + i]), np.tile(own[i], (len(found), 1)))
+                        yield _batch(found[:, 0], found[:, 1], 0, 1, np.full(len(found), cids[start + i]), pa.nulls(len(found), pa.list_(pa.int64())), np.tile(own[i], (len(found), 1)))
 
-    asked = good.where(F.col("id") % every == 0).mapInArrow(route, _DDL)
+    # Queries of equal vectors are asked once, as their class.
+    queries = good.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "x")
+    queries = stored(queries.join(classes.select("cid", "x"), "x").select("query_id", "cid"), "queries")
+    asked = classes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "x").mapInArrow(route, _DDL)
     dealt = indexed.join(parts, ["tree", "leaf"], "left").withColumn("part", F.when(
-        F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int")).select(*_NAMES)
+        F.col("parts").isNotNull(), F.pmod(F.xxhash64("cid"), F.col("parts"))).otherwise(0).cast("int")).select(*_NAMES)
     spread = asked.join(parts, ["tree", "leaf"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).select(*_NAMES)
 
     @frugal
@@ -201,34 +232,35 @@ def forest_search(rows: DataFrame, every: int = 20, k: int = 20, search: float =
             if not b.num_rows:
                 continue
             keys = np.stack([b.column(c).to_numpy() for c in ("tree", "leaf", "part", "kind")], 1)
-            own_ids, x = b.column("id").to_numpy(), _matrix(b.column("x"))
+            cids, x = b.column("cid").to_numpy(), _matrix(b.column("x"))
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for i, j in zip(cuts, cuts[1:]):
                 if keys[i, :3].tolist() != key:
                     key, ids, held = keys[i, :3].tolist(), [], []
                 if keys[i, 3] == 0:
-                    ids.append(own_ids[i:j])
+                    ids += b.column("ids").slice(i, j - i).to_pylist()
                     held.append(x[i:j])
                 elif ids:
-                    ids, held = [np.concatenate(ids)], [np.concatenate(held)]
-                    for at in range(i, j, 512):
-                        q, some = own_ids[at:min(j, at + 512)], x[at:min(j, at + 512)] @ held[0].T
-                        # Of an id with several vectors the best one, so that the k rows kept are k ids.
-                        one, first = np.unique(by_id := np.sort(ids[0], kind="stable"), return_index=True)
-                        if len(one) < len(by_id):
-                            some = np.maximum.reduceat(some[:, np.argsort(ids[0], kind="stable")], first, axis=1)
-                        else:
-                            one = ids[0]
-                        some[q[:, None] == one[None, :]] = -np.inf
-                        n = min(k, len(one))
-                        order = np.lexsort((np.broadcast_to(one, some.shape), -some))[:, :n]
-                        scores = np.take_along_axis(some, order, 1)
-                        fine = np.isfinite(scores)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n).reshape(-1, n)[fine]), pa.array(one[order][fine]), pa.array(scores[fine])],
-                                                         names=["query_id", "id", "score"])
+                    held = [np.concatenate(held)]
+                    # Columns of the part's ids, in order; of an id with several vectors the best one counts.
+                    every_id, owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(c) for c in ids])
+                    order = np.argsort(every_id, kind="stable")
+                    owner, (one, first) = owner[order], np.unique(every_id[order], return_index=True)
+                    step = max(1, min(512, (2 << 20) // len(owner)))
+                    for at in range(i, j, step):
+                        q, some = cids[at:min(j, at + step)], (x[at:min(j, at + step)] @ held[0].T)[:, owner]
+                        if len(one) < len(owner):
+                            some = np.maximum.reduceat(some, first, axis=1)
+                        n = min(k + 1, len(one))
+                        best = np.argsort(-some, axis=1, kind="stable")[:, :n]  # ties to the smaller id
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(one[best].ravel()), pa.array(np.take_along_axis(some, best, 1).ravel())],
+                                                         names=["cid", "id", "score"])
 
     both = dealt.union(spread).repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part", "kind")
-    found = both.mapInArrow(score, "query_id long, id long, score double").groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select(
+    first_by = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))
+    found = both.mapInArrow(score, "cid long, id long, score double").groupBy("cid", "id").agg(F.max("score").alias("score"))
+    found = found.withColumn("_place", first_by("cid")).where(F.col("_place") <= k + 1).drop("_place")
+    # Each query of a class, without itself.
+    found = queries.join(found, "cid").where("id <> query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return found.withColumn("rank", first_by("query_id")).where(F.col("rank") <= k).select(
         "query_id", "rank", F.col("id").alias(id_col), "score")

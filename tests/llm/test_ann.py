@@ -71,6 +71,25 @@ def test_repeats_take_one_place(spark):
     assert found == {q: [i for i, _ in v] for q, v in want.items()} and all(len(v) == 20 for v in found.values())
 
 
+def test_recall_with_a_third_equal_vectors(spark):
+    """At the production parameters: copies on the way of the queries, but not
+    among their nearest, take nothing of the others' search."""
+    rng = np.random.default_rng(4)
+    x, d = rng.normal(size=(3000, 64)), rng.normal(size=64)
+    x[:1000] = d
+    x[1000:1200] += 0.25 * d
+    ids = np.concatenate([1 + 20 * np.arange(1000), 20 * np.arange(200), 2 + 20 * np.arange(1800)])
+    rows = [(int(i), [float(v) for v in a], "x", 1, 1) for i, a in zip(ids, x)]
+    got = ann.forest_search(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = {q: {i for i, _ in v} for q, v in brute(rows, 20, 20).items()}
+    found = {}
+    for g in got:
+        found.setdefault(g.query_id, set()).add(g.vec_id)
+    assert set(found) == set(want) and all(len(v) == 20 for v in found.values())
+    others = [q for q, v in want.items() if not any(i % 20 == 1 for i in v)]
+    assert len(others) > 100 and sum(len(found[q] & want[q]) for q in others) >= 0.98 * 20 * len(others)
+
+
 def test_few_rows(spark):
     assert ann.forest_search(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(0, [1.0, 0.0], "", 0, 0), (1, [0.5, 0.5], "", 0, 0), (2, [-1.0, 0.0], "", 0, 0)]
