@@ -116,19 +116,18 @@ def q_superseded_mappings(spark, d):
         "year", "old_course_code", "institution_id", "new_course_code", "used_course_code")
 
 
-CONSOLIDATED_YEARS = range(1995, 2002)
-
-
 def q_consolidate_years(spark, d):
     t = _t(spark, d)
+    # The years present: a handful of values (of a table without any, a year that is empty).
+    years = [r.y for r in t.raw("orders").select(F.year("o_orderdate").alias("y")).where("y is not null").distinct().collect()] or [1970]
 
     # One frame per yearly table; each filters the order date by range at the scan.
     def year_frame(y):
-        in_year = ((F.col("o_orderdate") >= F.lit(f"{y}-01-01").cast("timestamp_ntz"))
-                   & (F.col("o_orderdate") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz")))
+        in_year = ((F.col("o_orderdate") >= F.lit(f"{y:04}-01-01").cast("timestamp_ntz"))
+                   & (F.col("o_orderdate") < F.lit(f"{y + 1:04}-01-01").cast("timestamp_ntz")))
         return t.candidate("regnumber", "aggregate", "gender", orders_filter=in_year)
 
-    return upsert.consolidate_years({y: year_frame(y) for y in CONSOLIDATED_YEARS})
+    return upsert.consolidate_years({y: year_frame(y) for y in years})
 
 
 # -- resolution ---------------------------------------------------------------

@@ -109,3 +109,25 @@ def test_runtime_bloom_filter_prunes_line_items(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_consolidate_years_takes_every_year(spark, tmp_dir):
+    """Orders of years outside those of the given tables stay."""
+    import os
+
+    from pyspark.sql import functions as F
+    for t in os.listdir(SF_SMALL):
+        if t != "orders.parquet":
+            os.symlink(f"{SF_SMALL}/{t}", f"{tmp_dir}/{t}")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    move = F.make_dt_interval(days=F.when(F.col("o_orderkey") % 3 == 0, -1500).when(F.col("o_orderkey") % 3 == 1, 9000).otherwise(0))
+    orders.withColumn("o_orderdate", F.col("o_orderdate") + move).write.parquet(f"{tmp_dir}/orders.parquet")
+    dates = {r.o_orderkey: r.o_orderdate.year for r in spark.read.parquet(f"{tmp_dir}/orders.parquet").collect()}
+    assert min(dates.values()) < 1995 and max(dates.values()) > 2001
+    got = registry.queries()["consolidate_years"](spark, tmp_dir).collect()
+    assert {r.regnumber: r.year for r in got} == dates and len(got) == len(dates)
+    spark.read.parquet(f"{tmp_dir}/orders.parquet").where("false").write.parquet(f"{tmp_dir}/none/orders.parquet")
+    for t in os.listdir(SF_SMALL):
+        if t != "orders.parquet":
+            os.symlink(f"{SF_SMALL}/{t}", f"{tmp_dir}/none/{t}")
+    assert registry.queries()["consolidate_years"](spark, f"{tmp_dir}/none").collect() == []
