@@ -16,7 +16,9 @@ from .components import connected_components
 CELL_MAX = 2048
 #: ... into so many cells at most, so many times at most.
 PIVOTS, LEVELS = 32, 4
-#: Home vectors of a cell that a task compares with the cell at once.
+#: Vectors of a sample that tells whether pivots make a cell smaller.
+TRIAL = 512
+#: Vectors of a block; a task compares two blocks of a cell.
 BLOCK = 2048
 #: Added to the radius against rounding; links are decided by cosine.
 SLACK = 1e-6
@@ -37,21 +39,52 @@ def _groups(batch: pa.RecordBatch, name: str):
         yield keys[order[i]], order[i:j]
 
 
-def split_cells(rows: DataFrame, radius: float, level: int) -> DataFrame:
-    """Rows of oversize cells in the cells of their pivots, others as they are.
+def _sides(x: np.ndarray, p: np.ndarray, radius: float):
+    """(nearest pivot of every row, row, pivot): the cells that rows go to."""
+    side = x @ p.T
+    near = side.argmax(axis=1)
+    gap = np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(axis=2), 0))
+    # Distance to the bisector of the nearest pivot and each other one.
+    away = (side[np.arange(len(x)), near][:, None] - side) / np.maximum(gap[near], 1e-300)
+    return near, *np.nonzero((away <= radius + SLACK) | (np.arange(len(p)) == near[:, None]))
 
-    A vector's home is the cell of the nearest pivot p. It also goes, as a
-    guest, to every cell of a pivot q whose bisector with p is within the
-    radius: by the triangle inequality a vector within the radius of one at
-    home with q is no farther than that from q's side. So every vector meets
-    all vectors within the radius in its own home cell."""
-    homes = rows.groupBy("cell").agg(F.count_if("home").alias("size"))
+
+def cell_pivots(rows: DataFrame, radius: float, level: int) -> DataFrame:
+    """(cell, pivots) of the oversize cells that pivots make smaller: a sample
+    of the cell tells, before anything is copied, how many comparisons are
+    left. Near copies go to every pivot's cell; theirs stay whole."""
+    homes = rows.groupBy("cell").agg(F.count_if("home").alias("size"), F.count("*").alias("members"))
     large = homes.where(F.col("size") > CELL_MAX).withColumn("k", F.least(F.lit(PIVOTS), F.ceil(F.col("size") / (CELL_MAX // 2))).cast("int"))
     mark = F.xxhash64(F.lit(level), "cid")
     some = rows.where("home").join(large, "cell").where(F.pmod(mark, F.greatest(F.lit(1), F.floor(F.col("size") / (8 * F.col("k"))))) == 0)
     first = Window.partitionBy("cell").orderBy("_mark", "cid")
     some = some.withColumn("_mark", mark).withColumn("_i", F.row_number().over(first)).where("_i <= k")
     pivots = some.groupBy("cell").agg(F.collect_list("u").alias("pivots"))
+    thin = F.greatest(F.lit(1), F.floor(F.col("members") / (2 * TRIAL)))
+    trial = rows.join(large, "cell").withColumn("_mark", F.xxhash64(F.lit(~level), "cid")).where(F.pmod("_mark", thin) == 0)
+    trial = trial.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= TRIAL).groupBy("cell").agg(F.collect_list("u").alias("trial"))
+
+    @frugal
+    def useful(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                p, x = (np.array(b.column(c)[i].as_py()) for c in ("pivots", "trial"))
+                near, _, to = _sides(x, p, radius)
+                # Share of the cell's comparisons (homes x members) that its new cells make.
+                if (np.bincount(near, minlength=len(p)) * np.bincount(to, minlength=len(p))).sum() < 0.9 * len(x) ** 2:
+                    yield b.slice(i, 1).select(["cell", "pivots"])
+
+    return pivots.join(trial, "cell").select("cell", "pivots", "trial").mapInArrow(useful, "cell long, pivots array<array<double>>")
+
+
+def split_cells(rows: DataFrame, pivots: DataFrame, radius: float, level: int) -> DataFrame:
+    """Rows of cells with pivots in the cells of these, others as they are.
+
+    A vector's home is the cell of the nearest pivot p. It also goes, as a
+    guest, to every cell of a pivot q whose bisector with p is within the
+    radius: by the triangle inequality a vector within the radius of one at
+    home with q is no farther than that from q's side. So every vector meets
+    all vectors within the radius in its own home cell."""
 
     @frugal
     def assign(batches):
@@ -59,12 +92,8 @@ def split_cells(rows: DataFrame, radius: float, level: int) -> DataFrame:
             for cell, own in _groups(b, "cell"):
                 part = b.take(pa.array(own))
                 x, p = _matrix(part.column("u")), _matrix(pa.array(part.column("pivots")[0].as_py(), pa.list_(pa.float64())))
-                side, home = x @ p.T, part.column("home").to_numpy(zero_copy_only=False)
-                near = side.argmax(axis=1)
-                gap = np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(axis=2), 0))
-                # Distance to the bisector of the nearest pivot and each other one.
-                away = (side[np.arange(len(x)), near][:, None] - side) / np.maximum(gap[near], 1e-300)
-                row, to = np.nonzero((away <= radius + SLACK) | (np.arange(len(p)) == near[:, None]))
+                home = part.column("home").to_numpy(zero_copy_only=False)
+                near, row, to = _sides(x, p, radius)
                 names = np.array([hash((int(cell), level, int(q))) for q in range(len(p))], np.int64)
                 at = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(names[to]), at.column("cid"), at.column("n"), pa.array(home[row] & (to == near[row])), at.column("u")],
@@ -78,32 +107,37 @@ def split_cells(rows: DataFrame, radius: float, level: int) -> DataFrame:
 def join_cells(rows: DataFrame, threshold: float) -> DataFrame:
     """(cid, links, other): for every home vector the number of vectors linked
     to it, and edges (cid, other) that join what a task's links join."""
-    homes = rows.groupBy("cell").agg(F.count_if("home").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    # Cells without a home have nothing to find; of larger ones each block of homes meets all members.
-    dealt = rows.join(homes.where("size > 0"), "cell").withColumn("own", F.pmod(F.xxhash64(F.lit("b"), "cid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", "block", "cid", "n", (F.col("home") & (F.col("own") == F.col("block"))).alias("home"), "u")
-
-    def compare(cids, n, home, u):
-        roots, own = np.arange(len(u)), np.flatnonzero(home)
-        links = np.zeros(len(own), np.int64)
-        step = max(1, (4 << 20) // max(1, len(u)))
-        for at in range(0, len(own), step):
-            rows_ = own[at:at + step]
-            cos = u[rows_] @ u.T
+    sizes = rows.groupBy("cell").agg(F.count_if("home").alias("homes"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # Cells without a home have nothing to find; of others each two blocks meet in a task of their own.
+    dealt = rows.join(sizes.where("homes > 0"), "cell").withColumn("own", F.pmod(F.xxhash64(F.lit("b"), "cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "cid", "n", "home", "u")
+
+    def compare(same, left, cids, n, home, u):
+        """Links between the rows of the left block and the others (of one block: among all)."""
+        roots, links = np.arange(len(u)), np.zeros(len(u), np.int64)
+        rows_, cols = (np.arange(len(u)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+        step = max(1, (4 << 20) // max(1, len(cols)))
+        for at in range(0, len(rows_), step):
+            part = rows_[at:at + step]
+            cos = u[part] @ u[cols].T
             hit = cos >= threshold
             # At the threshold the last bit decides: once more, in one fixed order of sums.
             for i, j in zip(*np.nonzero(np.abs(cos - threshold) < 1e-12)):
-                hit[i, j] = float((u[rows_[i]] * u[j]).sum()) >= threshold
-            hit[np.arange(len(rows_)), rows_] = True
-            links[at:at + step] = hit @ n
-            for i in range(len(rows_)):
-                met = np.unique(roots[hit[i]])
+                hit[i, j] = float((u[part[i]] * u[cols[j]]).sum()) >= threshold
+            if same:
+                hit[np.arange(len(part)), part] = True
+            else:
+                links[cols] += n[part] @ hit
+            links[part] += hit @ n[cols]
+            for i in np.flatnonzero(hit.any(axis=1)):
+                met = np.unique(np.append(roots[cols[hit[i]]], roots[part[i]]))
                 if len(met) > 1:
                     roots[np.isin(roots, met)] = met[0]
-        lead = roots != np.arange(len(u))
-        return (pa.array(np.concatenate([cids[own], cids[lead]])), pa.array(np.concatenate([links - 1, np.zeros(lead.sum(), np.int64)])),
-                pa.array(np.concatenate([cids[own], cids[roots[lead]]])))
+        # (A class is home in one block of one cell, whose own task always reports it.)
+        told, lead = np.flatnonzero(home & (same | (links > 0))), roots != np.arange(len(u))
+        return (pa.array(np.concatenate([cids[told], cids[lead]])), pa.array(np.concatenate([links[told] - int(same), np.zeros(lead.sum(), np.int64)])),
+                pa.array(np.concatenate([cids[told], cids[roots[lead]]])))
 
     @frugal
     def run(batches):
@@ -111,16 +145,17 @@ def join_cells(rows: DataFrame, threshold: float) -> DataFrame:
 
         def flush():
             # A guest may come from several cells of the level before.
-            cids = np.concatenate([h[0] for h in held])
-            _, one = np.unique(cids * 2 + ~np.concatenate([h[2] for h in held]), return_index=True)
+            cids, left, home = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
+            _, one = np.unique(cids * 2 + ~home, return_index=True)
             one = one[np.diff(cids[one], prepend=cids[one[0]] - 1) != 0]
-            return pa.RecordBatch.from_arrays(list(compare(cids[one], *(np.concatenate([h[i] for h in held])[one] for i in (1, 2, 3)))), names=["cid", "links", "other"])
+            return pa.RecordBatch.from_arrays(list(compare(key[1] == key[2], left[one], cids[one], *(np.concatenate([h[i] for h in held])[one] for i in (2, 3, 4)))),
+                                              names=["cid", "links", "other"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = np.stack([b.column("cell").to_numpy(), b.column("block").to_numpy().astype(np.int64)], 1)
-            cols = (b.column("cid").to_numpy(), b.column("n").to_numpy(), b.column("home").to_numpy(zero_copy_only=False))
+            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("cell", "a", "b")], 1)
+            cols = (b.column("cid").to_numpy(), b.column("own").to_numpy() == keys[:, 1], b.column("n").to_numpy(), b.column("home").to_numpy(zero_copy_only=False))
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for i, j in zip(cuts, cuts[1:]):
                 if keys[i].tolist() != key:
@@ -132,7 +167,7 @@ def join_cells(rows: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield flush()
 
-    return dealt.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(run, "cid long, links long, other long")
+    return dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(run, "cid long, links long, other long")
 
 
 def cosine_groups(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -172,16 +207,13 @@ def cosine_groups(vectors: DataFrame, threshold: float = 0.98, id_col: str = "ve
 
     cells = stored(classes.select(F.xxhash64("label", F.size("x")).alias("cell"), F.size("x").alias("size"), "cid", "n", "x").mapInArrow(unit, _ROW), "cells")
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    sizes = lambda: cells.groupBy("cell").agg(F.count_if("home").alias("s")).where(F.col("s") > CELL_MAX).agg(F.sum("s"), F.max("s")).first()
-    over = sizes()
     for level in range(LEVELS):
-        if not over[0]:
-            break
-        last, cells = cells, stored(split_cells(cells, radius, level), "cells")
+        pivots = stored(cell_pivots(cells, radius, level), "pivots")
+        if pivots.isEmpty():
+            break  # what is left can't be told apart by pivots, and is joined in blocks
+        last, cells = cells, stored(split_cells(cells, pivots, radius, level), "cells")
         discard(last)
-        before, over = over, sizes()
-        if over[0] and over[1] > 0.9 * before[1]:
-            break  # near copies: what is left can't be told apart by pivots, and is joined in blocks
+        discard(pivots)
     found = stored(join_cells(cells, threshold), "links")
     links = found.where("cid = other").groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("cid <> other"), "cid", "other").withColumnRenamed("node", "cid")

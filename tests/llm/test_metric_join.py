@@ -58,5 +58,24 @@ def test_against_brute_force(spark, monkeypatch, cell, block):
     assert Counter((g.vec_id, g.n_links, g.component_id, g.kept) for g in got) == brute(rows, 0.98)
 
 
+def test_near_copies_meet_in_blocks(spark, monkeypatch):
+    """No task holds more than two blocks of a group that pivots can't split,
+    such a group is not copied, and another label's cell is split all the same."""
+    monkeypatch.setattr(M, "CELL_MAX", 64)
+    monkeypatch.setattr(M, "BLOCK", 32)
+    rng = np.random.default_rng(6)
+    near = rng.normal(size=8) + 0.001 * rng.normal(size=(400, 8))
+    far = rng.normal(size=(6, 8))[rng.integers(6, size=200)] + 0.01 * rng.normal(size=(200, 8))
+    rows = [(i, [float(v) for v in x], int(i >= 400), "x", 1, 2) for i, x in enumerate([*near, *far])]
+    split, dealt = [], []
+    join, cut = M.join_cells, M.split_cells
+    monkeypatch.setattr(M, "split_cells", lambda *a: split.append(a[1].count()) or cut(*a))
+    monkeypatch.setattr(M, "join_cells", lambda cells, t: dealt.append(cells.groupBy("cell").count().collect()) or join(cells, t))
+    got = M.cosine_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((g.vec_id, g.n_links, g.component_id, g.kept) for g in got) == brute(rows, 0.98)
+    sizes = sorted(r["count"] for r in dealt[0])
+    assert split[0] == 1 and sizes[-1] == 400 and sum(s == 400 for s in sizes) == 1 and sizes[-2] < 200
+
+
 def test_empty_table(spark):
     assert M.cosine_groups(spark.createDataFrame([], SCHEMA)).collect() == []
