@@ -11,6 +11,7 @@ from . import line_dedup
 from .ann import forest_search
 from .bpe import encode_digests
 from .common import table
+from .conversations import conversation_repair
 from .language_id import corpus_languages
 from .metric_join import cosine_groups
 from .mixing import mix
@@ -40,6 +41,7 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": lambda s, d: line_dedup.page_line_dedup(table(s, d, "pages")),
         "op9_token_counts": lambda s, d: token_counts(table(s, d, "documents"), TOKENIZER),
         "op10_language_id": lambda s, d: corpus_languages(table(s, d, "documents"), table(s, d, "pages")),
+        "op13_conversation_repair": lambda s, d: conversation_repair(table(s, d, "conversations")),
     }
 
 
