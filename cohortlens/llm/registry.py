@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import hard_negatives, line_dedup
 from .ann import forest_search
 from .bpe import encode_digests
 from .common import table
@@ -41,9 +41,10 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": lambda s, d: line_dedup.page_line_dedup(table(s, d, "pages")),
         "op9_token_counts": lambda s, d: token_counts(table(s, d, "documents"), TOKENIZER),
         "op10_language_id": lambda s, d: corpus_languages(table(s, d, "documents"), table(s, d, "pages")),
+        "op12_hard_negatives": lambda s, d: hard_negatives.embedding_negatives(table(s, d, "embeddings")),
         "op13_conversation_repair": lambda s, d: conversation_repair(table(s, d, "conversations")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE}
+    return {"op8_line_dedup": line_dedup.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
