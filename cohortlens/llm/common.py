@@ -45,3 +45,10 @@ def discard(df: DataFrame) -> None:
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def url_host(url: Column) -> Column:
+    """Lower-case host of an address's authority, without user, port and final
+    dot (of [..] the whole); null if there is none."""
+    host = F.rtrim(F.lower(F.regexp_extract(url, r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\s]*)", 1)), F.lit("."))
+    return F.when(host != "", host)

@@ -19,6 +19,7 @@ from .pitman_yor import document_scores
 from .simhash import simhash_groups
 from .token_counts import token_counts
 from .toxicity import document_toxicity
+from .wrappers import page_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,7 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": lambda s, d: line_dedup.page_line_dedup(table(s, d, "pages")),
         "op9_token_counts": lambda s, d: token_counts(table(s, d, "documents"), TOKENIZER),
         "op10_language_id": lambda s, d: corpus_languages(table(s, d, "documents"), table(s, d, "pages")),
+        "op11_wrapper_induction": lambda s, d: page_texts(table(s, d, "pages")),
         "op12_hard_negatives": lambda s, d: hard_negatives.embedding_negatives(table(s, d, "embeddings")),
         "op13_conversation_repair": lambda s, d: conversation_repair(table(s, d, "conversations")),
     }
