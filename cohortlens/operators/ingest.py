@@ -16,10 +16,11 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.exprs import blank_to_null, flag_value, norm_gender, trim_all
+from ..sources import csv_records
+from ..sources.csv_records import PLACE
 
 CORRUPT = "_corrupt_record"
 
@@ -36,146 +37,83 @@ CANDIDATE_TYPES = {
 
 
 # S1 / S2 --------------------------------------------------------------------
-CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 REQUIRED = ("REGNUMBER",)
-PLACE = ["_path", "_block", "_pos"]      # file, block start, row within it: the load order
 
 
-def text_lines(spark: SparkSession, paths) -> DataFrame:
-    """Lines of text files with their place: _line, _path, _block, _pos."""
-    return place_lines(spark.read.text(paths).select(
-        F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block")))
-
-
-def place_lines(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("_pos", F.monotonically_increasing_id())
-
-
-def split_header(line: str) -> list[str]:
-    """Names of a header line, trimmed; a byte order mark is left out."""
-    import csv
-    return [h.strip() for h in next(csv.reader([line.lstrip("\ufeff")]), [])]
-
-
-def header_groups(lines: DataFrame) -> list[tuple[str, DataFrame]]:
-    """(header line, the rows of all files with that header, without it).
-
-    A file's header is the first line of its first block. One pass over the
-    lines; only distinct header lines come to the driver."""
-    first = lines.where(F.col("_block") == 0).groupBy("_path").agg(F.min(F.struct("_pos", "_line")).alias("_first"))
-    heads = first.select("_path", F.col("_first._pos").alias("_head_pos"), F.col("_first._line").alias("_head"))
-    body = (lines.join(heads, "_path").where((F.col("_block") > 0) | (F.col("_pos") > F.col("_head_pos")))
-            .where(F.trim("_line") != ""))
-    return [(r[0], body.where(F.col("_head") == F.lit(r[0])).drop("_head", "_head_pos"))
-            for r in heads.select("_head").distinct().orderBy("_head").collect()]
-
-
-def _header_schema(names: list[str]) -> T.StructType:
-    lower = [n.lower() for n in names]
-    twice = sorted({n for n in names if lower.count(n.lower()) > 1})
-    if twice:
-        raise ValueError(f"a CSV header repeats columns {twice}")
-    return T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)]
-                        + [T.StructField(CORRUPT, T.StringType())])
-
-
-def match_headers(spark: SparkSession, heads: list[list[str]], sources: list[str]) -> list[dict[str, str]]:
-    """Per header, its name -> the source it stands for, by
-    ``resolve.match_schema`` (I2): exact and automatically accepted matches.
-    Headers are few rows."""
+def match_headers(heads: DataFrame, sources: list[str]) -> DataFrame:
+    """(_head_id, _found: source -> the header's own name) of header lines
+    (_head_id, _names), by ``resolve.match_schema`` (I2): exact and
+    automatically accepted matches; a name stands for one source."""
     from .resolve import match_schema
-    rows = [(str(k), i, n) for k, names in enumerate(heads) for i, n in enumerate(names)]
-    found = match_schema(spark.createDataFrame(rows, "file string, position int, header string"), sources)
-    out: list[dict[str, str]] = [{} for _ in heads]
-    for r in found.where(F.col("status").isin("exact", "auto")).orderBy("required").collect():
-        out[int(r["file"])].setdefault(r["header"], r["required"])
-    return out
-
-
-def _names(spark: SparkSession, heads: list[str], sources: list[str] | None, required: tuple[str, ...]) -> list[list[str]]:
-    """Column names for each header line: the source a header stands for, else
-    the header. A header without a required source is refused."""
-    split = [split_header(h) for h in heads]
-    if not sources or not heads:
-        return split
-    out = []
-    for names, found in zip(split, match_headers(spark, split, sources), strict=True):
-        missing = [c for c in required if c not in found.values()]
-        if missing:
-            raise ValueError(f"CSV lacks required columns {missing}; its header is {names}")
-        taken = {c.lower() for c in found.values()}
-        out.append([found.get(n) or (f"{n}_other" if n.lower() in taken else n) for n in names])
-    return out
-
-
-def parse_lines(lines: DataFrame, sources: list[str] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
-    """Placed CSV lines -> all-string columns by name, ``_corrupt_record``,
-    ``source_file`` and the place. Each file is read by its own header
-    (matched to ``sources``, if given), so files may order, add or leave out
-    columns. A row whose field count differs from its header's, or that
-    leaves a quote open (a quoted line break, which needs ``multiline``), is
-    corrupt, never a good row."""
-    parts, groups = [], header_groups(lines)
-    for names, (_, body) in zip(_names(lines.sparkSession, [h for h, _ in groups], sources, required), groups, strict=True):
-        schema = _header_schema(names)
-        open_quote = (F.length("_line") - F.length(F.replace("_line", F.lit('"'), F.lit("")))) % 2 == 1
-        row = body.select(*PLACE, "_line", open_quote.alias("_open"), F.from_csv("_line", _ddl(schema), CSV_OPTIONS).alias("_r"))
-        cols = [F.when(~F.col("_open"), F.col(f"_r.`{f.name}`")).alias(f.name) for f in schema if f.name != CORRUPT]
-        corrupt = F.when(F.col("_open"), F.col("_line")).otherwise(F.col(f"_r.{CORRUPT}")).alias(CORRUPT)
-        parts.append(row.select(*cols, corrupt, F.col("_path").alias("source_file"), *PLACE))
-    return _union(parts, lines)
-
-
-def _ddl(schema: T.StructType) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
-
-
-def _union(parts: list[DataFrame], lines: DataFrame) -> DataFrame:
-    if not parts:
-        return lines.select(F.lit(None).cast("string").alias(CORRUPT), F.col("_path").alias("source_file"), *PLACE).limit(0)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
-def _read_multiline(spark: SparkSession, paths, sources: list[str] | None, required: tuple[str, ...]) -> DataFrame:
-    """As ``parse_lines``, for files whose quoted values hold line breaks: a
-    file is then one task, and each group of files with one header one read."""
-    lines = text_lines(spark, paths)
-    heads = lines.where(F.col("_block") == 0).groupBy("_path").agg(F.min_by("_line", "_pos").alias("_head"))
-    groups = heads.groupBy("_head").agg(F.sort_array(F.collect_list("_path")).alias("files")).orderBy("_head").collect()
-    parts = []
-    for names, g in zip(_names(spark, [g["_head"] for g in groups], sources, required), groups, strict=True):
-        df = (spark.read.schema(_header_schema(names))
-              .options(header=True, multiLine=True, enforceSchema=True, **CSV_OPTIONS).csv(g["files"]))
-        # Every column is read, so that rows are checked against the header.
-        parts.append(df.select(*df.columns, F.col("_metadata.file_path").alias("source_file"),
-                               F.col("_metadata.file_path").alias("_path"), F.lit(0).cast("long").alias("_block"))
-                     .withColumn("_pos", F.monotonically_increasing_id()))
-    return _union(parts, lines)
-
-
-def _read(spark: SparkSession, paths, multiline: bool, sources: list[str] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
-    if multiline:
-        return _read_multiline(spark, paths, sources, required)
-    return parse_lines(text_lines(spark, paths), sources, required)
-
-
-def read_candidate_csv(spark: SparkSession, paths, multiline: bool = False, mapping=None) -> DataFrame:
+    rows = heads.select(F.col("_head_id").cast("string").alias("file"), F.posexplode("_names").alias("position", "header"))
+    found = match_schema(rows, sources).where(F.col("status").isin("exact", "auto"))
+    one = found.groupBy("file", "header").agg(F.min(F.struct(F.when(F.col("status") == "exact", 0).otherwise(1), "required"))["required"].alias("required"))
+    return one.groupBy(F.col("file").cast("long").alias("_head_id")).agg(F.map_from_entries(F.collect_list(F.struct("required", "header"))).alias("_found"))
+
+
+def _columns(heads: DataFrame, sources: list[str] | None, required: tuple[str, ...]) -> tuple[list[str], DataFrame]:
+    """(column names, (_head_id, _at: position of each column or null, _width)).
+
+    Headers are told apart by their lines only, so thousands of them are rows
+    of one small table. A header that repeats a name, or lacks a required
+    source, is refused."""
+    heads = heads.select("_head_id", csv_records.names(F.col("_head")).alias("_names"))
+    named = F.filter("_names", lambda n: n != "")
+    for r in heads.where(F.size(F.array_distinct(F.transform(named, F.lower))) < F.size(named)).limit(1).collect():
+        raise ValueError(f"a CSV header repeats columns: {r['_names']}")
+    if sources is None:
+        own = F.transform("_names", lambda n, i: F.when(n == "", F.concat(F.lit("_c"), i.cast("string"))).otherwise(n))
+        heads = heads.withColumn("_names", own)
+        columns = [r[0] for r in heads.select(F.posexplode("_names").alias("i", "name")).groupBy("name").agg(F.min("i").alias("i")).orderBy("i", "name").collect()]
+        at = [F.array_position("_names", F.lit(c)) for c in columns]
+    else:
+        columns = sources
+        heads = heads.join(match_headers(heads, sources), "_head_id", "left").withColumn("_found", F.coalesce("_found", F.create_map().cast("map<string,string>")))
+        lacks = F.filter(F.array(*map(F.lit, required)), lambda c: ~F.map_contains_key("_found", c))
+        for r in heads.where(F.size(lacks) > 0).select(lacks.alias("lacks"), "_names").limit(1).collect():
+            raise ValueError(f"CSV lacks required columns {r['lacks']}; its header is {r['_names']}")
+        at = [F.array_position("_names", F.element_at("_found", F.lit(c))) for c in columns]
+    return columns, heads.select("_head_id", F.array(*[(F.nullif(a, F.lit(0)) - 1).cast("int") for a in at]).alias("_at"), F.size("_names").alias("_width"))
+
+
+def parse_lines(lines: DataFrame, sources: list[str] | None = None, required: tuple[str, ...] = (), scratch: list[str] | None = None) -> DataFrame:
+    """CSV lines (``csv_records.text_lines``) -> all-string columns by name,
+    ``_corrupt_record``, ``source_file`` and the place.
+
+    Each file is read by its own header (matched to ``sources``, if given:
+    then these are the columns), so files may order, add or leave out
+    columns; all are read in one pass. Quoted values may hold line breaks. A
+    record whose field count differs from its header's, that has text beside
+    its quotes, or that the file leaves open is corrupt, never a good row.
+    The path of the stored summary of splits is added to ``scratch``."""
+    records = csv_records.Records(lines)
+    if scratch is not None:
+        scratch.append(records.scratch)
+    columns, heads = _columns(records.heads, sources, required)
+    broken = csv_records.broken()
+    rows = records.rows.join(heads, "_head_id").withColumn("_values", F.when(~broken, csv_records.values(F.col("_line"))))
+    rows = rows.withColumn("_values", F.when(F.size("_values") == F.col("_width"), F.col("_values")))
+    cols = [F.get("_values", F.get("_at", F.lit(i))).alias(c) for i, c in enumerate(columns)]
+    return rows.select(*cols, F.when(F.col("_values").isNull(), F.col("_line")).alias(CORRUPT), F.col("_path").alias("source_file"), *PLACE)
+
+
+def _read(spark: SparkSession, paths, sources: list[str] | None = None, required: tuple[str, ...] = (), scratch: list[str] | None = None) -> DataFrame:
+    return parse_lines(csv_records.text_lines(spark.read, paths), sources, required, scratch)
+
+
+def read_candidate_csv(spark: SparkSession, paths, mapping=None, scratch: list[str] | None = None) -> DataFrame:
     """Candidate CSV files -> all-string columns under the mapping's source
     names (each file's own header, matched by I2), ``_corrupt_record``,
     ``source_file`` and the place of each row. A file without REGNUMBER is
-    refused. Files are split and read in parallel; with ``multiline`` (quoted
-    line breaks) a file is read whole."""
-    return _read(spark, paths, multiline, [m.source for m in (mapping or DEFAULT_CANDIDATE_MAPPING)], REQUIRED)
+    refused. Files are split and read in parallel, wherever their values
+    break lines."""
+    return _read(spark, paths, [m.source for m in (mapping or DEFAULT_CANDIDATE_MAPPING)], REQUIRED, scratch)
 
 
-def read_course_csv(spark: SparkSession, paths, multiline: bool = False) -> DataFrame:
+def read_course_csv(spark: SparkSession, paths) -> DataFrame:
     """Course CSV: headers upper-cased and trimmed, read by name; any
     malformed row fails the read, as one bad line aborts a course import."""
-    df = _read(spark, paths, multiline)
+    df = _read(spark, paths)
     for c in df.columns:
         if c not in (CORRUPT, "source_file", *PLACE):
             df = df.withColumnRenamed(c, c.strip().upper())
@@ -228,7 +166,6 @@ class ImportOptions:
     validate_only: bool = False      # dry run: summary only, no write
     source_file: str | None = None   # label for source_file; the load order keeps the real path
     load_id: str | None = None       # quarantine partition; default: a hash of the input files
-    multiline: bool = False          # quoted values may hold line breaks (files are not split)
 
 
 def _err(cond: Column, msg: Column) -> Column:
@@ -464,13 +401,20 @@ def run_candidate_import(spark: SparkSession, paths, target_path: str, errors_pa
     REGNUMBER column fails before anything is written."""
     if opts.year is None and not opts.validate_only:
         raise ValueError("a candidate import needs ImportOptions.year (year is NOT NULL)")
-    raw = read_candidate_csv(spark, paths, opts.multiline, mapping)
-    checked = clean_candidates(map_columns(raw, mapping), opts, state_names=refs is not None and refs.state is not None)
-    if opts.validate_only:
-        return import_summary(checked)
-    load_id = opts.load_id
-    if load_id is None:
-        import hashlib
-        files = sorted(spark.read.text(paths).inputFiles())
-        load_id = hashlib.sha256("\n".join([*files, str(opts.year)]).encode()).hexdigest()[:16]
-    return load_checked(spark, checked, target_path, errors_path, opts, {"load_id": load_id}, refs, historical_path)
+    from . import upsert
+    scratch: list[str] = []
+    try:
+        raw = read_candidate_csv(spark, paths, mapping, scratch)
+        checked = clean_candidates(map_columns(raw, mapping), opts, state_names=refs is not None and refs.state is not None)
+        if opts.validate_only:
+            summary = import_summary(checked)
+            return spark.createDataFrame(summary.collect(), summary.schema)
+        load_id = opts.load_id
+        if load_id is None:
+            import hashlib
+            files = sorted(spark.read.text(paths).inputFiles())
+            load_id = hashlib.sha256("\n".join([*files, str(opts.year)]).encode()).hexdigest()[:16]
+        return load_checked(spark, checked, target_path, errors_path, opts, {"load_id": load_id}, refs, historical_path)
+    finally:
+        for path in scratch:
+            upsert._delete_path(spark, path)

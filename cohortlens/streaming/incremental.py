@@ -12,8 +12,8 @@ gives the same table:
   folder, so streams never replace each other's rows.
 
 Progress (which files were consumed) lives in the checkpoint folder, which
-every stream must name. A record is one line: a quoted line break makes its
-row an error, never a good row.
+every stream must name. A file is always whole in a micro-batch, so quoted
+values may break lines as in the batch import.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest, upsert
+from ..sources import csv_records
 
 STREAM_ID = "import_stream_id"
 
@@ -45,13 +45,18 @@ def merge_batch(spark: SparkSession, lines: DataFrame, batch_id: int, target_pat
     """One micro-batch of lines (_line, _path, _block): parse, clean,
     quarantine, upsert. A file without the REGNUMBER column fails the batch."""
     sources = [m.source for m in ingest.DEFAULT_CANDIDATE_MAPPING]
-    rows = ingest.parse_lines(ingest.place_lines(lines), sources, ingest.REQUIRED)
-    checked = ingest.clean_candidates(ingest.map_columns(rows), opts, state_names=refs is not None and refs.state is not None)
-    partition = {"stream_id": stream, "batch_id": str(batch_id)}
-    if opts.validate_only:
-        ingest.write_quarantine(ingest.split_valid(checked)[1], errors_path, **partition)
-        return
-    ingest.load_checked(spark, checked, target_path, errors_path, opts, partition, refs, historical_path)
+    scratch: list[str] = []
+    try:
+        rows = ingest.parse_lines(lines, sources, ingest.REQUIRED, scratch)
+        checked = ingest.clean_candidates(ingest.map_columns(rows), opts, state_names=refs is not None and refs.state is not None)
+        partition = {"stream_id": stream, "batch_id": str(batch_id)}
+        if opts.validate_only:
+            ingest.write_quarantine(ingest.split_valid(checked)[1], errors_path, **partition)
+            return
+        ingest.load_checked(spark, checked, target_path, errors_path, opts, partition, refs, historical_path)
+    finally:
+        for path in scratch:
+            upsert._delete_path(spark, path)
 
 
 def start_import(spark: SparkSession, in_dir: str, target_path: str, errors_path: str,
@@ -65,16 +70,13 @@ def start_import(spark: SparkSession, in_dir: str, target_path: str, errors_path
         raise ValueError("a candidate import needs ImportOptions.year (year is NOT NULL)")
     if not checkpoint:
         raise ValueError("a streaming import needs a checkpoint folder of its own")
-    if opts.multiline:
-        raise ValueError("a streaming import reads one record a line")
     me = stream_id(spark, checkpoint)
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    # The place of a line is attached on the stream (a micro-batch handed to
+    # The file of a line is attached on the stream (a micro-batch handed to
     # foreachBatch no longer carries file metadata).
-    lines = reader.text(in_dir).select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_path"),
-                                       F.col("_metadata.file_block_start").alias("_block"))
+    lines = csv_records.text_lines(reader, in_dir)
     writer = (lines.writeStream
               .foreachBatch(lambda df, bid: merge_batch(spark, df, bid, target_path, errors_path, opts, me, refs, historical_path))
               .option("checkpointLocation", checkpoint))
