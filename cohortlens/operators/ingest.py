@@ -51,16 +51,13 @@ def match_headers(heads: DataFrame, sources: list[str]) -> DataFrame:
     return one.groupBy(F.col("file").cast("long").alias("_head_id")).agg(F.map_from_entries(F.collect_list(F.struct("required", "header"))).alias("_found"))
 
 
-def _columns(heads: DataFrame, sources: list[str] | None, required: tuple[str, ...]) -> tuple[list[str], DataFrame]:
+def _columns(records: csv_records.Records, sources: list[str] | None, required: tuple[str, ...]) -> tuple[list[str], DataFrame]:
     """(column names, (_head_id, _at: position of each column or null, _width)).
 
     Headers are told apart by their lines only, so thousands of them are rows
-    of one small table. A header that repeats a name, or lacks a required
-    source, is refused."""
-    heads = heads.select("_head_id", csv_records.names(F.col("_head")).alias("_names"))
-    named = F.filter("_names", lambda n: n != "")
-    for r in heads.where(F.size(F.array_distinct(F.transform(named, F.lower))) < F.size(named)).limit(1).collect():
-        raise ValueError(f"a CSV header repeats columns: {r['_names']}")
+    of one small table, stored once. One that lacks a required source is
+    refused."""
+    heads = records.heads
     if sources is None:
         own = F.transform("_names", lambda n, i: F.when(n == "", F.concat(F.lit("_c"), i.cast("string"))).otherwise(n))
         heads = heads.withColumn("_names", own)
@@ -69,11 +66,12 @@ def _columns(heads: DataFrame, sources: list[str] | None, required: tuple[str, .
     else:
         columns = sources
         heads = heads.join(match_headers(heads, sources), "_head_id", "left").withColumn("_found", F.coalesce("_found", F.create_map().cast("map<string,string>")))
-        lacks = F.filter(F.array(*map(F.lit, required)), lambda c: ~F.map_contains_key("_found", c))
-        for r in heads.where(F.size(lacks) > 0).select(lacks.alias("lacks"), "_names").limit(1).collect():
-            raise ValueError(f"CSV lacks required columns {r['lacks']}; its header is {r['_names']}")
         at = [F.array_position("_names", F.element_at("_found", F.lit(c))) for c in columns]
-    return columns, heads.select("_head_id", F.array(*[(F.nullif(a, F.lit(0)) - 1).cast("int") for a in at]).alias("_at"), F.size("_names").alias("_width"))
+    known = records.keep(heads.select("_head_id", "_names", F.array(*[(F.nullif(a, F.lit(0)) - 1).cast("int") for a in at]).alias("_at"), F.size("_names").alias("_width")), "heads")
+    absent = [F.get("_at", F.lit(columns.index(c))).isNull() for c in required]
+    for r in known.where(F.greatest(F.lit(False), *absent)).limit(1).collect() if required else ():
+        raise ValueError(f"CSV lacks required columns {[c for c in required if r['_at'][columns.index(c)] is None]}; its header is {r['_names']}")
+    return columns, known.drop("_names")
 
 
 def parse_lines(lines: DataFrame, sources: list[str] | None = None, required: tuple[str, ...] = (), scratch: list[str] | None = None) -> DataFrame:
@@ -89,7 +87,7 @@ def parse_lines(lines: DataFrame, sources: list[str] | None = None, required: tu
     records = csv_records.Records(lines)
     if scratch is not None:
         scratch.append(records.scratch)
-    columns, heads = _columns(records.heads, sources, required)
+    columns, heads = _columns(records, sources, required)
     broken = csv_records.broken()
     rows = records.rows.join(heads, "_head_id").withColumn("_values", F.when(~broken, csv_records.values(F.col("_line"))))
     rows = rows.withColumn("_values", F.when(F.size("_values") == F.col("_width"), F.col("_values")))

@@ -49,13 +49,6 @@ def _placed(lines: DataFrame) -> DataFrame:
                         F.when(~quoted, True).otherwise(F.col("_line").rlike(_STAYS) | F.col("_line").rlike(_REOPENS)).alias("_t1"))
 
 
-def _folded(start: bool) -> Column:
-    """(bit after the split's lines, whether it was ever 0 between) from ``start``."""
-    return F.aggregate("_steps", F.struct(F.lit(start).alias("bit"), F.lit(not start).alias("out")),
-                       lambda a, x: F.struct(F.when(a["bit"], x["_t1"]).otherwise(x["_t0"]).alias("bit"),
-                                             (a["out"] | ~F.when(a["bit"], x["_t1"]).otherwise(x["_t0"])).alias("out")))
-
-
 def _bit_before(start: Column, t0: Column, t1: Column, window) -> Column:
     """Running composition: the bit before each row of the window, given the
     bit before its first. A function of one bit is constant, the identity or
@@ -75,18 +68,23 @@ def splits(lines: DataFrame) -> DataFrame:
     the file's end leaves open, else null), _head, _head_pos (the file's first
     line that is not blank, in its first split), _head_id (of the file).
 
-    Lines that change nothing are left out before the rows of a split meet;
-    a split's lines are all in one task, so only its summary is shuffled."""
-    step = F.when(F.col("_t0") | ~F.col("_t1"), F.struct("_pos", "_t0", "_t1"))
-    per = lines.groupBy("_path", "_block").agg(F.sort_array(F.collect_list(step)).alias("_steps"), F.bool_or("_t0").alias("_opens"),
+    A split's lines are all in one task, so only its summary is shuffled: the
+    last line that sets the bit, and the places of lines that flip it (those
+    that open a value), which a value with a line break has one of."""
+    t0, t1 = F.col("_t0"), F.col("_t1")
+    per = lines.groupBy("_path", "_block").agg(F.max(F.when(t0 == t1, F.struct("_pos", "_t0"))).alias("_set"), F.collect_list(F.when(t0 & ~t1, F.col("_pos"))).alias("_flips"),
+                                              F.bool_or(t0).alias("_opens"), F.bool_or(~t1).alias("_closes"),
                                               F.min(F.when((F.col("_block") == 0) & (F.trim("_line") != ""), F.struct("_pos", "_line"))).alias("_first"))
-    per = per.select("_path", "_block", "_opens", F.col("_first._line").alias("_head"), F.col("_first._pos").alias("_head_pos"),
-                     _folded(False).alias("_from0"), _folded(True).alias("_from1"))
+    flips = F.size(F.filter("_flips", lambda x: x > F.coalesce(F.col("_set._pos"), F.lit(-1))))
+    after = lambda bit: (F.coalesce(F.col("_set._t0"), F.lit(bit)).cast("int") + flips) % 2 == 1
+    per = per.select("_path", "_block", "_opens", "_closes", F.col("_first._line").alias("_head"), F.col("_first._pos").alias("_head_pos"),
+                     after(False).alias("_end0"), after(True).alias("_end1"))
     # A file has a row per split here: few, whatever its size.
     order = Window.partitionBy("_path").orderBy("_block")
-    per = per.withColumn("_start", _bit_before(F.lit(False), F.col("_from0.bit"), F.col("_from1.bit"), order))
-    per = per.withColumn("_end", F.when(F.col("_start"), F.col("_from1.bit")).otherwise(F.col("_from0.bit")))
-    began = F.when(F.col("_end") & (~F.col("_start") | F.col("_from1.out")), F.col("_block"))
+    per = per.withColumn("_start", _bit_before(F.lit(False), F.col("_end0"), F.col("_end1"), order))
+    per = per.withColumn("_end", F.when(F.col("_start"), F.col("_end1")).otherwise(F.col("_end0")))
+    # From inside, only a line that ends there can be before one where a record begins.
+    began = F.when(F.col("_end") & (~F.col("_start") | F.col("_closes")), F.col("_block"))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per = per.withColumn("_carry", F.when(F.col("_start"), F.last(began, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))))
     lost = F.when(F.last("_end").over(whole), F.last(began, ignorenulls=True).over(whole))
@@ -134,25 +132,34 @@ def names(header: Column) -> Column:
 class Records:
     """The records of CSV files: ``rows`` (_line, _path, _block, _pos, _head_id,
     and _open: bad, because the file ends in its quote) without header lines,
-    and ``heads`` (_head_id, _head), the distinct header lines. ``scratch``
-    names the stored summary, one row per split, that both read; delete it
-    when they are done with."""
+    and ``heads`` (_head_id, _head, _names), the distinct header lines.
+    ``scratch`` is the folder of the stored summary, one row per split, that
+    both read; delete it when they are done with."""
 
     def __init__(self, lines: DataFrame):
         spark = lines.sparkSession
         lines = _placed(lines)
-        self.scratch = scratch_path(spark, f"csv-splits-{uuid.uuid4().hex}")
-        found = splits(lines)
-        found.write.parquet(self.scratch)
-        known = spark.read.schema(found.schema).parquet(self.scratch)
-        self.heads = known.where("_head is not null").select("_head_id", "_head").distinct()
-        for r in self.heads.where(~F.col("_head").rlike(_WHOLE)).limit(1).collect():
-            raise ValueError(f"a header line is no CSV record of its own: {r['_head']}")
+        self.scratch = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+        known = self.keep(splits(lines), "splits")
+        self.heads = known.where("_head is not null").select("_head_id", "_head").distinct().withColumn("_names", names(F.col("_head")))
+        named = F.filter(names(F.col("_head")), lambda n: n != "")
+        odd, twice, cut = known.agg(F.min(F.when(~F.col("_head").rlike(_WHOLE), F.col("_head"))),
+                                    F.min(F.when(F.size(F.array_distinct(F.transform(named, F.lower))) < F.size(named), F.col("_head"))), F.bool_or("_cut")).first()
+        if odd:
+            raise ValueError(f"a header line is no CSV record of its own: {odd}")
+        if twice:
+            raise ValueError(f"a CSV header repeats columns: {twice}")
         one = _headless(lines, known.where(~F.col("_cut"))).select("_line", *PLACE, F.lit(False).alias("_open"), "_head_id")
         # Where no split has a value with a line break, lines are read without the second branch.
-        rows = one.unionByName(_joined(lines, known)) if known.where("_cut").limit(1).count() else one
+        rows = one.unionByName(_joined(lines, known)) if cut else one
         self.rows = rows.where(F.col("_open") | (F.trim("_line") != ""))
 
+    def keep(self, table: DataFrame, name: str) -> DataFrame:
+        """``table`` written once to the scratch folder."""
+        path = f"{self.scratch}/{name}"
+        table.write.parquet(path)
+        return table.sparkSession.read.schema(table.schema).parquet(path)
+
 
 def broken() -> Column:
     """Whether a record of ``Records.rows`` is not well-formed."""
