@@ -164,6 +164,7 @@ class ImportOptions:
     validate_only: bool = False      # dry run: summary only, no write
     source_file: str | None = None   # label for source_file; the load order keeps the real path
     load_id: str | None = None       # quarantine partition; default: a hash of the input files
+    buckets: int = 64                # key buckets of a year in a new table; a merge rewrites whole ones
 
 
 def _err(cond: Column, msg: Column) -> Column:
@@ -375,7 +376,7 @@ def load_checked(spark: SparkSession, checked: DataFrame, target_path: str, erro
         else:
             # No data file is there; appending can't replace anything.
             merged = upsert.upsert_candidates(good.drop("_seq").limit(0), good, key="regnumber", seq="_seq")
-            merged.hint("rebalance", "year").write.mode("append").partitionBy("year").parquet(target_path)
+            upsert.create_table(merged, target_path, "regnumber", "year", opts.buckets)
         _, bad = split_valid(staged.drop("_seq"))
         write_quarantine(bad, errors_path, **partition)
         if unknown is not None and historical_path:
@@ -391,8 +392,8 @@ def load_checked(spark: SparkSession, checked: DataFrame, target_path: str, erro
 def run_candidate_import(spark: SparkSession, paths, target_path: str, errors_path: str,
                          opts: ImportOptions, mapping=None, refs: References | None = None,
                          historical_path: str | None = None) -> DataFrame:
-    """Import candidate CSV files into the year-partitioned table at
-    ``target_path``; bad rows go to ``errors_path``, in a partition of this
+    """Import candidate CSV files into the table at ``target_path``, laid out
+    by year and key bucket; bad rows go to ``errors_path``, in a partition of this
     load (``load_id``) that a retry replaces; unknown course codes to
     ``historical_path``. Returns the one-row import summary. With
     ``opts.validate_only`` nothing is written. A load whose files lack the

@@ -6,23 +6,23 @@ on the key, coalesce new over old. Both sides are unique on the key, so the
 join has no hot keys; a key repeated many times in one batch is collapsed by
 a partial (map-side) aggregate before the shuffle.
 
-``write_upsert`` applies a merge to a Parquet table partitioned by year and
-rewrites only the partitions the batch touches.
+``write_upsert`` applies a merge to a stored table and reads and rewrites
+only the partitions (a key bucket of a year) that the batch touches.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import schemas
 from ..functions.exprs import blank_to_null
-from ..session import scratch_path
 
 
 def last_non_null(batch: DataFrame, key: list[str], cols: list[str], seq: str) -> DataFrame:
@@ -58,84 +58,171 @@ def upsert_candidates(target: DataFrame, batch: DataFrame, key: str = "regnumber
     return j.select(*out)
 
 
-JOURNAL = "_merge_journal"    # a name that Spark's readers skip
+JOURNAL, LAYOUT, STAGE = "_merge_journal", "_layout", "_merge_stage"    # names that Spark's readers skip
+BUCKET, BUCKETS = "reg_bucket", 64
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a stored table is laid out: by ``partition_col`` and the hash
+    bucket of ``key``; its schema, so that no file is opened to learn it."""
+    key: str
+    partition_col: str
+    buckets: int
+    schema: StructType
+
+    def bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key.cast("string")), F.lit(self.buckets)).cast("int")
+
+
+def layout_of(spark: SparkSession, path: str) -> Layout | None:
+    """The layout of a table made by ``create_table``, None for any other."""
+    text = _read_text(spark, f"{path.rstrip('/')}/{LAYOUT}")
+    if text is None:
+        return None
+    d = json.loads(text)
+    return Layout(d["key"], d["partition_col"], d["buckets"], StructType.fromJson(d["schema"]))
+
+
+def create_table(df: DataFrame, path: str, key: str = "regnumber", partition_col: str = "year", buckets: int = BUCKETS) -> None:
+    """Write ``df`` as a new table in (partition_col, bucket of key) folders.
+    A key stays in its bucket in every year, so a merge looks for the old
+    versions of its keys in their buckets only."""
+    schema = StructType([f for f in df.schema if f.name != partition_col] + [df.schema[partition_col], StructField(BUCKET, IntegerType())])
+    layout = Layout(key, partition_col, buckets, schema)
+    # The layout comes first: without a data file the table counts as missing, and is created again.
+    _write_text(df.sparkSession, f"{path.rstrip('/')}/{LAYOUT}", json.dumps(
+        {"key": key, "partition_col": partition_col, "buckets": buckets, "schema": schema.jsonValue()}))
+    (df.withColumn(BUCKET, layout.bucket(F.col(key))).hint("rebalance", partition_col, BUCKET)
+     .write.mode("append").partitionBy(partition_col, BUCKET).parquet(path))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table, with its bucket column if it has one."""
+    layout = layout_of(spark, path)
+    return (spark.read.schema(layout.schema) if layout else spark.read).parquet(path)
+
+
+def _touched(target: DataFrame, batch: DataFrame, key: str, partition_col: str, layout: Layout | None) -> tuple[list[tuple], bool]:
+    """(partitions that hold an old version of a batch key or receive a row,
+    whether a batch key stands twice in the table). Reads keys only, and with
+    a layout those of the batch's buckets only."""
+    keys = last_non_null(batch, [key], [partition_col] if partition_col in batch.columns else [], "_at").withColumnRenamed(partition_col, "_new")
+    old = target.select(F.col(key).alias("_key"), F.col(partition_col).alias("_old"))
+    bucket = F.lit(0)
+    if layout:
+        bucket = layout.bucket(F.col(key))
+        mine = [r[0] for r in keys.select(bucket.alias("b")).distinct().collect()]
+        old = target.where(F.col(BUCKET).isin(mine)).select(F.col(key).alias("_key"), F.col(partition_col).alias("_old"))
+    if "_new" not in keys.columns:
+        keys = keys.withColumn("_new", F.lit(None).cast(target.schema[partition_col].dataType))
+    both = keys.join(old, F.col(key) == F.col("_key"), "left").groupBy(key).agg(
+        F.count("_old").alias("n"), F.array_union(F.collect_set("_old"), F.array(F.coalesce(F.max("_new"), F.max("_old")))).alias("_parts"))
+    found = both.select(F.explode("_parts").alias("part"), bucket.alias("bucket"), "n").groupBy("part", "bucket").agg(F.max("n").alias("n")).collect()
+    if any(r["part"] is None for r in found):
+        raise ValueError(f"rows without a {partition_col} can't be stored")
+    return sorted((r["part"], r["bucket"]) if layout else (r["part"],) for r in found), any(r["n"] > 1 for r in found)
 
 
 def write_upsert(spark: SparkSession, target_path: str, batch: DataFrame,
                  key: str = "regnumber", seq: str = "_seq", partition_col: str = "year") -> None:
-    """Merge ``batch`` into the Parquet table at ``target_path`` (partitioned
-    by ``partition_col``), rewriting only touched partitions.
+    """Merge ``batch`` into the Parquet table at ``target_path``, reading and
+    rewriting only touched partitions.
 
     A touched partition is one holding an old version of a batch key or
     receiving a merged row (a key whose year changes moves partition, so
-    both are rewritten). The merged partitions are staged in the shared
-    checkpoint folder first, once; a journal next to the table then names
-    the staged copy and the touched partitions, and only then are partitions
-    replaced. If the driver dies between, ``recover`` (run by every merge)
-    finishes the move from the copy. A batch column that the table lacks is
-    refused rather than dropped.
+    both are rewritten); in a table made by ``create_table`` that is a key
+    bucket of a year, in others (partitioned by ``partition_col`` alone) the
+    year. Touched partitions are merged and written once, beside the table; a
+    journal then names the copy and the partitions, and only then are folders
+    moved into place. If the driver dies between, ``recover`` (run by every
+    merge) finishes the move. A batch column that the table lacks is refused
+    rather than dropped; rows without a key are left out.
     """
     recover(spark, target_path, partition_col)
-    target = spark.read.parquet(target_path)
+    layout = layout_of(spark, target_path)
+    target = read_table(spark, target_path)
     extra = [c for c in batch.columns if c not in target.columns and c != seq]
     if extra:
         raise ValueError(f"the table at {target_path} has no columns {extra}")
-    keys = batch.select(key).distinct()
-    # One old row per key. A table written by others may hold a key twice;
-    # the row of the greatest (partition, content) counts, a fixed choice.
-    old_all = target.join(keys, key, "left_semi")
-    rest = [c for c in target.columns if c != key]
-    old = old_all.groupBy(key).agg(F.max(F.struct(partition_col, *[c for c in rest if c != partition_col])).alias("_o")) \
-        .select(key, *[F.col(f"_o.{c}").alias(c) for c in rest]).select(*target.columns)
-    merged = upsert_candidates(old, batch, key, seq)
-    changed = scratch_path(spark, f"upsert-rows-{uuid.uuid4().hex}")
-    merged.select(*target.columns).write.parquet(changed)
-    merged = spark.read.schema(target.schema).parquet(changed)
-    touched = sorted({r[0] for r in old_all.select(partition_col).distinct().union(
-        merged.select(partition_col).distinct()).collect()})       # a few year values
-    untouched = target.where(F.col(partition_col).isin(touched)).join(keys, key, "left_anti")
-    staged = scratch_path(spark, f"upsert-stage-{uuid.uuid4().hex}")
-    (untouched.unionByName(merged).hint("rebalance", partition_col)
-     .write.partitionBy(partition_col).parquet(staged))
-    _delete_path(spark, changed)
+    batch = batch.where(F.col(key).isNotNull())
+    touched, twice = _touched(target, batch.withColumnRenamed(seq, "_at"), key, partition_col, layout)
+    if not touched:
+        return
+    parts = [partition_col, BUCKET] if layout else [partition_col]
+    per: dict = {}
+    for value, *bucket in touched:
+        per.setdefault(value, []).extend(bucket)
+    mine = reduce(lambda a, b: a | b, [(F.col(partition_col) == v) & F.col(BUCKET).isin(b) if layout else F.col(partition_col) == v for v, b in per.items()])
+    rows = target.where(mine).drop(BUCKET)
+    if twice:
+        # One old row per key. A table written by others may hold a key twice;
+        # the row of the greatest (partition, content) counts, a fixed choice.
+        ours = batch.select(key).distinct()
+        rest = [c for c in rows.columns if c not in (key, partition_col)]
+        one = rows.join(ours, key, "left_semi").groupBy(key).agg(F.max(F.struct(partition_col, *rest)).alias("_o"))
+        rows = rows.join(ours, key, "left_anti").unionByName(one.select(key, F.col(f"_o.{partition_col}").alias(partition_col), *[F.col(f"_o.{c}").alias(c) for c in rest]))
+    merged = upsert_candidates(rows, batch, key, seq)
+    if layout:
+        merged = merged.withColumn(BUCKET, layout.bucket(F.col(key)))
+    staged = f"{target_path.rstrip('/')}/{STAGE}-{uuid.uuid4().hex}"
+    merged.select(*target.columns).hint("rebalance", *parts).write.partitionBy(*parts).parquet(staged)
+    folders = [_folder(spark, dict(zip(parts, t))) for t in touched]
+    written = [f for f in folders if _exists(spark, f"{staged}/{f}")]
     _write_text(spark, f"{target_path.rstrip('/')}/{JOURNAL}", json.dumps(
-        {"staged": staged, "touched": touched, "schema": target.schema.json()}))
+        {"staged": staged, "written": written, "emptied": sorted(set(folders) - set(written))}))
     recover(spark, target_path, partition_col)
 
 
 def recover(spark: SparkSession, target_path: str, partition_col: str = "year") -> bool:
     """Finish a merge whose journal is still there; True if there was one.
 
-    Repeating it gives the same table: the journal's partitions are replaced
-    from the staged copy as a whole, those that it empties are removed, then
-    the journal and the copy."""
-    path = f"{target_path.rstrip('/')}/{JOURNAL}"
+    Repeating it gives the same table: a partition of the journal is replaced
+    by its staged folder as long as that is there (moved, it isn't), those
+    that the merge empties are removed, then the journal and the stage."""
+    base = target_path.rstrip("/")
+    path = f"{base}/{JOURNAL}"
     text = _read_text(spark, path)
     if text is None:
         return False
     job = json.loads(text)
-    staged = spark.read.schema(StructType.fromJson(json.loads(job["schema"]))).parquet(job["staged"])
-    written = {r[0] for r in staged.select(partition_col).distinct().collect()}
-    (staged.hint("rebalance", partition_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition_col).parquet(target_path))
-    for value in set(job["touched"]) - written:
-        _delete_path(spark, f"{target_path.rstrip('/')}/{partition_col}={value}")
+    for folder in job["written"]:
+        if _exists(spark, f"{job['staged']}/{folder}"):
+            _delete_path(spark, f"{base}/{folder}")
+            fs, to = _hadoop(spark, f"{base}/{folder}")
+            fs.mkdirs(to.getParent())
+            if not fs.rename(_hadoop(spark, f"{job['staged']}/{folder}")[1], to):
+                raise OSError(f"cannot move {folder} into {base}")
+    for folder in job["emptied"]:
+        _delete_path(spark, f"{base}/{folder}")
     _delete_path(spark, path)
     _delete_path(spark, job["staged"])
     return True
 
 
+def _folder(spark: SparkSession, values: dict) -> str:
+    """A partition's folder below its table, as Spark names it."""
+    name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    return "/".join(name(c, str(v)) for c, v in values.items())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
 def _hadoop(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file whole: under another name first, then renamed."""
+    """Write a small file whole, in place of any: under another name first, then renamed."""
     fs, part = _hadoop(spark, f"{path}.part")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
+    _delete_path(spark, path)
     if not fs.rename(part, _hadoop(spark, path)[1]):
         raise OSError(f"cannot write {path}")
 
