@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.exprs import count_if, round_avg
 from ..sources.tables import Tables
+from .asof import asof_join, normal_periods
 
 STAR_DIMS = ["state", "lga", "course", "faculty", "institution", "institution_type"]
 
@@ -47,8 +48,8 @@ def candidate_star(t: Tables, dims=STAR_DIMS, cand_cols=None) -> DataFrame:
 
 
 # N7 -------------------------------------------------------------------------
-def scores_of(t: Tables, regnumber, year: int) -> DataFrame:
-    """One candidate's subject scores in a year."""
+def scores_of(t: Tables, regnumber, year) -> DataFrame:
+    """One candidate's subject scores in a year (a value, or a scalar subquery)."""
     s = t.candidate_scores.where((F.col("cand_reg_number") == F.lit(regnumber)) & (F.col("year") == year))
     return s.join(t.subject, F.col("subject_id") == F.col("su_id")).select("su_name", "score")
 
@@ -115,14 +116,12 @@ def institution_profiles(institution: DataFrame, names: DataFrame) -> DataFrame:
 # D2 -------------------------------------------------------------------------
 def institution_name_asof(df: DataFrame, date_col: str, names: DataFrame,
                           inst_col: str = "inid") -> DataFrame:
-    """Name of the institution valid on ``date_col``: effective_from <= d <
-    effective_to, open end when effective_to is NULL. Equi-join on the
-    institution key with the range as a residual condition."""
-    n = names.select(F.col("inid").alias("_inid"), "effective_from", "effective_to",
-                     F.col("inname").alias("name_asof"), F.col("inabv").alias("abv_asof"))
-    cond = ((F.col(inst_col) == F.col("_inid")) & (F.col(date_col) >= F.col("effective_from"))
-            & (F.col("effective_to").isNull() | (F.col(date_col) < F.col("effective_to"))))
-    return df.join(n, cond, "left").drop("_inid", "effective_from", "effective_to")
+    """Name of the institution valid on ``date_col`` (name_asof, abv_asof):
+    effective_from <= d < effective_to, open end when effective_to is NULL.
+    Overlapping periods are cut and merged first (``asof.normal_periods``),
+    so every row stays once."""
+    periods = normal_periods(names, ["inid"], "effective_from", "effective_to", ["inname", "inabv"])
+    return asof_join(df, periods, [(inst_col, "inid")], F.col(date_col), "effective_from", "effective_to", {"inname": "name_asof", "inabv": "abv_asof"})
 
 
 def institution_name_view(institution: DataFrame, names: DataFrame) -> DataFrame:
@@ -149,6 +148,20 @@ def institution_name_history(t: Tables, change_year_base: int = 1995) -> DataFra
     return old.unionByName(cur)
 
 
+def overlapping_name_history(t: Tables) -> DataFrame:
+    """Name history whose periods overlap and touch (fixture): the old name
+    runs on into the current one, every third institution has an interim name
+    inside, every fourth the current name in two touching periods."""
+    plain = institution_name_history(t)
+    late = F.date_add("effective_to", 400)
+    out = plain.withColumn("effective_to", F.when(F.col("effective_to").isNotNull(), late))
+    interim = t.institution.where(F.col("inid") % 3 == 0).select(
+        "inid", F.lit("1997-06-01").cast("date").alias("effective_from"), F.lit("1998-06-01").cast("date").alias("effective_to"),
+        F.concat("inname", F.lit(" (interim)")).alias("inname"), F.concat("inabv", F.lit("-INT")).alias("inabv"), F.lit("merger").alias("change_reason"))
+    again = plain.where(F.col("effective_to").isNull() & (F.col("inid") % 4 == 0)).withColumn("effective_from", F.lit("2001-01-01").cast("date"))
+    return out.unionByName(interim).unionByName(again)
+
+
 # D4 -------------------------------------------------------------------------
 def _long_scores(wide: DataFrame, mapping: DataFrame, id_cols, code_cols) -> DataFrame:
     code_cols = code_cols or [c for c in wide.columns if c not in id_cols]
@@ -244,16 +257,18 @@ def _union_all(parts: list[DataFrame]) -> DataFrame:
 
 
 # S5 / D6 --------------------------------------------------------------------
-def read_regions(spark: SparkSession, path: str) -> DataFrame:
-    """Region JSON object {region: [state, ...]} -> (region, st_name), with
-    the state-name aliases applied so spellings meet the state table."""
-    raw = spark.read.option("multiLine", True).json(path)
-    pairs = raw.select(F.explode(F.map_from_arrays(
-        F.array(*[F.lit(c) for c in raw.columns]),
-        F.array(*[F.col(f"`{c}`") for c in raw.columns]))).alias("region", "states"))
+def parse_regions(documents: DataFrame) -> DataFrame:
+    """JSON objects {region: [state, ...]} (column value) -> (region,
+    st_name), with the state-name aliases applied so spellings meet the state
+    table."""
     from .resolve import clean_state_name
-    return (pairs.select("region", F.explode("states").alias("st_name"))
-            .select("region", clean_state_name(F.col("st_name")).alias("st_name")))
+    pairs = documents.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("region", "states"))
+    return pairs.select("region", F.explode("states").alias("st_name")).select("region", clean_state_name(F.col("st_name")).alias("st_name"))
+
+
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    """The region file, one JSON object in all -> (region, st_name)."""
+    return parse_regions(spark.read.text(path, wholetext=True))
 
 
 UNASSIGNED = "unassigned"

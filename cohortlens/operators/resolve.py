@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.exprs import blank_to_null, trim_all
+from .asof import asof_join
 from .theta import edit_distance_pairs
 
 
@@ -109,14 +110,23 @@ def superseded_mappings(mapping: DataFrame) -> DataFrame:
 
 def remap_course_codes(df: DataFrame, mapping: DataFrame, code_col: str = "course_code",
                        year_col: str = "year", inst_col: str = "institution_id",
-                       as_of: Column | None = None) -> DataFrame:
+                       as_of: Column | None = None, date_col: str | None = None) -> DataFrame:
     """Replace an old course code by its new one for the same (year,
     institution); codes without a mapping stay. Adds ``remapped``.
 
     One mapping per key is used (``current_mappings``), so rows are never
-    multiplied; ``as_of`` leaves out mappings dated later."""
+    multiplied; ``as_of`` leaves out mappings dated later. With ``date_col``
+    every row has a date of its own, and the mapping that was the latest on
+    that date counts (one without a date is older than all); a row without a
+    date is not remapped."""
     if as_of is not None:
         mapping = mapping.where(F.col("mapping_date").isNull() | (F.col("mapping_date") <= as_of))
+    if date_col is not None:
+        dated = mapping.groupBy("year", "old_course_code", "institution_id", "mapping_date").agg(F.min("new_course_code").alias("new_course_code"))
+        j = asof_join(df, dated, [(code_col, "old_course_code"), (year_col, "year"), (inst_col, "institution_id")], F.col(date_col), "mapping_date", None,
+                      {"new_course_code": "_new"})
+        return (j.withColumn("remapped", F.col("_new").isNotNull())
+                .withColumn(code_col, F.coalesce(F.col("_new"), F.col(code_col))).drop("_new"))
     m = current_mappings(mapping).select(F.col("old_course_code").alias("_old"), F.col("year").alias("_y"),
                                          F.col("institution_id").alias("_i"), F.col("new_course_code").alias("_new"))
     j = df.join(m, (F.col(code_col) == F.col("_old")) & (F.col(year_col) == F.col("_y"))

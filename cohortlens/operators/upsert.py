@@ -297,6 +297,12 @@ def append_historical_codes(target: DataFrame, new: DataFrame, now: Column | Non
 
 
 # S12 ------------------------------------------------------------------------
+def with_year(rows: DataFrame, year: Column) -> DataFrame:
+    """``rows`` with their year, which is NOT NULL: a row without one fails
+    the load."""
+    return rows.withColumn("year", F.coalesce(year.cast("int"), F.raise_error(F.lit("every row of a yearly table needs its year")).cast("int")))
+
+
 def consolidate_years(frames: dict[int, DataFrame]) -> DataFrame:
     """Yearly tables -> one table with a ``year`` column; columns missing in
     a year become NULL. The year is NOT NULL: a frame without one (key None)
@@ -305,3 +311,32 @@ def consolidate_years(frames: dict[int, DataFrame]) -> DataFrame:
         raise ValueError("every yearly table needs its year")
     parts = [df.withColumn("year", F.lit(int(y))) for y, df in sorted(frames.items())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+#: Types that a yearly table may have in place of a wider one, as Parquet files are read in the wider one.
+WIDER = {("int", "bigint"), ("int", "double"), ("float", "double"), ("smallint", "int"), ("smallint", "bigint"), ("tinyint", "int"), ("tinyint", "bigint"), ("date", "timestamp_ntz")}
+
+
+def read_years(spark: SparkSession, paths: list[str], pattern: str = r"(\d{4})(?=[^/]*/[^/]*$)") -> DataFrame:
+    """Yearly Parquet folders (candidates_2021, candidates_2022, ...) as one
+    table, in one scan: columns missing in a year are NULL, a column has the
+    widest of its types, the year is the ``pattern``'s in a file's path.
+
+    Columns whose types don't widen into each other are refused, with both
+    types; so is a file whose path names no year, when it is read. Schemas
+    come from the files' footers, one per folder; nothing else is read until
+    the result is."""
+    found: dict[str, str] = {}
+    fields: dict = {}
+    for path in paths:
+        for f in spark.read.parquet(path).schema:
+            old, new = found.get(f.name), f.dataType.simpleString()
+            if old is None or (old, new) in WIDER:
+                found[f.name], fields[f.name] = new, StructField(f.name, f.dataType, True)
+            elif old != new and (new, old) not in WIDER:
+                raise ValueError(f"column {f.name} is {old} in one year and {new} in another")
+    if "year" in fields:
+        raise ValueError("a yearly table has a year column already")
+    rows = spark.read.schema(StructType(list(fields.values()))).parquet(*paths)
+    year = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+    return with_year(rows.select("*", F.nullif(year, F.lit("")).alias("_year")), F.col("_year")).drop("_year")

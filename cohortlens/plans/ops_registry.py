@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ingest, model_ops, questions, resolve, upsert
+from ..operators.asof import normal_periods
 from ..sources import fixtures as fx
 from ..sources.tables import DriverTables
 from .oracle import rnd, with_base
@@ -111,6 +112,13 @@ def q_remap_course_codes(spark, d):
         .select("regnumber", "course_code", "remapped")
 
 
+def q_remap_course_codes_asof(spark, d):
+    # Every row has a date of its own: before, between and after its mappings.
+    day = F.date_add(F.lit("2024-01-15").cast("date"), (F.col("regnumber") % 4 * 20).cast("int")).cast("timestamp_ntz")
+    rows = fx.historical_codes(_t(spark, d)).withColumn("seen", F.when(F.col("regnumber") % 350 != 0, day))
+    return resolve.remap_course_codes(rows, _code_mappings(spark, d), date_col="seen").select("regnumber", "course_code", "remapped")
+
+
 def q_superseded_mappings(spark, d):
     return resolve.superseded_mappings(_code_mappings(spark, d)).select(
         "year", "old_course_code", "institution_id", "new_course_code", "used_course_code")
@@ -118,16 +126,8 @@ def q_superseded_mappings(spark, d):
 
 def q_consolidate_years(spark, d):
     t = _t(spark, d)
-    # The years present: a handful of values (of a table without any, a year that is empty).
-    years = [r.y for r in t.raw("orders").select(F.year("o_orderdate").alias("y")).where("y is not null").distinct().collect()] or [1970]
-
-    # One frame per yearly table; each filters the order date by range at the scan.
-    def year_frame(y):
-        in_year = ((F.col("o_orderdate") >= F.lit(f"{y:04}-01-01").cast("timestamp_ntz"))
-                   & (F.col("o_orderdate") < F.lit(f"{y + 1:04}-01-01").cast("timestamp_ntz")))
-        return t.candidate("regnumber", "aggregate", "gender", orders_filter=in_year)
-
-    return upsert.consolidate_years({y: year_frame(y) for y in years})
+    rows = t.candidate("regnumber", "aggregate", "gender", "year")
+    return upsert.with_year(rows.withColumnRenamed("year", "_of"), F.col("_of")).drop("_of")
 
 
 # -- resolution ---------------------------------------------------------------
@@ -248,6 +248,17 @@ def q_institution_name_asof(spark, d):
         .select("regnumber", "name_asof", "abv_asof")
 
 
+def q_institution_name_overlaps(spark, d):
+    t = _t(spark, d)
+    c = t.candidate("regnumber", "inid", "year").withColumn("asof", F.make_date(F.col("year"), (F.col("regnumber") % 12 + 1).cast("int"), F.lit(1)))
+    return model_ops.institution_name_asof(c, "asof", model_ops.overlapping_name_history(t)).select("regnumber", "name_asof", "abv_asof")
+
+
+def q_institution_name_periods(spark, d):
+    names = model_ops.overlapping_name_history(_t(spark, d))
+    return normal_periods(names, ["inid"], "effective_from", "effective_to", ["inname", "inabv"])
+
+
 def q_institution_profiles(spark, d):
     t = _t(spark, d)
     return model_ops.institution_profiles(t.institution, model_ops.institution_name_history(t))
@@ -284,6 +295,27 @@ def q_region_summary(spark, d):
     return model_ops.region_summary(t, regions)
 
 
+def q_region_states(spark, d):
+    """The region file's reader over a document made of the given tables."""
+    t = _t(spark, d)
+    pairs = t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lists = pairs.groupBy("r_name").agg(F.collect_list("n_name").alias("states"))
+    # One entry per region: a handful.
+    text = lists.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("r_name", "states")))).alias("value"))
+    return model_ops.parse_regions(text)
+
+
+def q_filter_state(spark, d):
+    star = model_ops.candidate_star(_t(spark, d), dims=["state", "institution"], cand_cols=["regnumber", "gender", "statecode", "inid", "year"])
+    return model_ops.filter_state(star, "nation_7").select("regnumber", "gender", "year", "st_name", "inname")
+
+
+def q_scores_of(spark, d):
+    t = _t(spark, d)
+    mine = t.candidate("regnumber", "year").where("regnumber = 7")
+    return model_ops.scores_of(t, 7, mine.select(F.max("year")).scalar())
+
+
 def q_disability_stats(spark, d):
     t = _t(spark, d)
     c = t.candidate("regnumber", "year", "statecode").join(t.candidate_disabilities, F.col("regnumber") == F.col("cand_reg_number"))
@@ -313,6 +345,7 @@ def ops_queries():
         "validate_course_codes": q_validate_course_codes,
         "historical_codes": q_historical_codes,
         "remap_course_codes": q_remap_course_codes,
+        "remap_course_codes_asof": q_remap_course_codes_asof,
         "superseded_mappings": q_superseded_mappings,
         "consolidate_years": q_consolidate_years,
         "resolve_states": q_resolve_states,
@@ -328,8 +361,12 @@ def ops_queries():
         "candidate_star": q_candidate_star,
         "count_by": q_count_by,
         "filter_course": q_filter_course,
+        "filter_state": q_filter_state,
+        "scores_of": q_scores_of,
         "candidate_profiles": q_candidate_profiles,
         "institution_name_asof": q_institution_name_asof,
+        "institution_name_overlaps": q_institution_name_overlaps,
+        "institution_name_periods": q_institution_name_periods,
         "institution_profiles": q_institution_profiles,
         "unpivot_scores": q_unpivot_scores,
         "unmapped_scores": q_unmapped_scores,
@@ -337,6 +374,7 @@ def ops_queries():
         "import_disabilities": q_import_disabilities,
         "check_constraints": q_check_constraints,
         "region_summary": q_region_summary,
+        "region_states": q_region_states,
         "disability_stats": q_disability_stats,
     }
 
@@ -456,6 +494,18 @@ hist AS (
 unknown AS (SELECT h.* FROM hist h WHERE NOT EXISTS (SELECT 1 FROM course co WHERE co.course_code = h.course_code))"""
 
 
+OVERLAPS = """
+hist AS (
+  SELECT inid, DATE '1900-01-01' AS f, make_date(CAST(1995 + inid % 7 AS INTEGER), 1, 1) + 400 AS e,
+         inname || ' (old)' AS inname, inabv || '-OLD' AS inabv FROM institution
+  UNION ALL SELECT inid, make_date(CAST(1995 + inid % 7 AS INTEGER), 1, 1), NULL, inname, inabv FROM institution
+  UNION ALL SELECT inid, DATE '1997-06-01', DATE '1998-06-01', inname || ' (interim)', inabv || '-INT' FROM institution WHERE inid % 3 = 0
+  UNION ALL SELECT inid, DATE '2001-01-01', NULL, inname, inabv FROM institution WHERE inid % 4 = 0),
+-- A period ends at its own end, or where the next one starts.
+cut AS (SELECT inid, f, inname, inabv, least(coalesce(e, DATE '9999-01-01'), coalesce(lead(f) OVER (PARTITION BY inid ORDER BY f), DATE '9999-01-01')) AS e
+        FROM (SELECT DISTINCT * FROM hist) x)"""
+
+
 def _upsert_sql():
     q = {}
     q["upsert_candidates"] = with_base("""
@@ -500,12 +550,21 @@ SELECT h.regnumber, coalesce(m.new_code, h.course_code) AS course_code, m.new_co
 FROM hist h LEFT JOIN (SELECT DISTINCT year, course_code AS old_code, course_code - {UNKNOWN_CODE_OFFSET} AS new_code,
                         institution_id FROM unknown) m
   ON h.course_code = m.old_code AND h.year = m.year AND h.institution_id = m.institution_id""", HIST)
+    q["remap_course_codes_asof"] = with_base(f"""
+SELECT h.regnumber, m.new_code IS NOT NULL AS remapped, coalesce(m.new_code, h.course_code) AS course_code
+FROM (SELECT *, CASE WHEN regnumber % 350 <> 0 THEN DATE '2024-01-15' + CAST(regnumber % 4 * 20 AS INTEGER) END AS seen FROM hist) h
+LEFT JOIN (
+  SELECT DISTINCT year, course_code AS old_code, institution_id,
+         CASE WHEN course_code % 2 = 0 THEN course_code - {UNKNOWN_CODE_OFFSET} + 1 ELSE NULL END AS first_code,
+         course_code - {UNKNOWN_CODE_OFFSET} AS last_code FROM unknown) u
+  ON h.course_code = u.old_code AND h.year = u.year AND h.institution_id = u.institution_id
+CROSS JOIN LATERAL (SELECT CASE WHEN h.seen >= DATE '2024-03-01' THEN u.last_code WHEN h.seen >= DATE '2024-02-01' THEN u.first_code END AS new_code) m""", HIST)
     q["superseded_mappings"] = with_base(f"""
 SELECT DISTINCT year, course_code AS old_course_code, institution_id,
        course_code - {UNKNOWN_CODE_OFFSET} + 1 AS new_course_code, course_code - {UNKNOWN_CODE_OFFSET} AS used_course_code
 FROM unknown WHERE course_code % 2 = 0""", HIST)
     q["consolidate_years"] = with_base("""
-SELECT regnumber, aggregate, gender, year FROM candidate WHERE year BETWEEN 1995 AND 2001""")
+SELECT regnumber, aggregate, gender, year FROM candidate""")
     return q
 
 
@@ -749,6 +808,15 @@ hist AS (
          inname || ' (old)' AS inname, inabv || '-OLD' AS inabv FROM institution
   UNION ALL
   SELECT inid, make_date(CAST(1995 + inid % 7 AS INTEGER), 1, 1), NULL, inname, inabv FROM institution)""")
+    q["institution_name_overlaps"] = with_base("""
+SELECT c.regnumber, h.inname AS name_asof, h.inabv AS abv_asof
+FROM candidate c LEFT JOIN cut h ON c.inid = h.inid AND make_date(c.year, CAST(c.regnumber % 12 + 1 AS INTEGER), 1) >= h.f
+ AND make_date(c.year, CAST(c.regnumber % 12 + 1 AS INTEGER), 1) < h.e""", OVERLAPS)
+    q["institution_name_periods"] = with_base("""
+SELECT inid, min(f) AS effective_from, nullif(max(e), DATE '9999-01-01') AS effective_to, inname, inabv
+FROM (SELECT *, sum(CASE WHEN touches THEN 0 ELSE 1 END) OVER (PARTITION BY inid ORDER BY f) AS part
+      FROM (SELECT *, coalesce(lag(inname) OVER (PARTITION BY inid ORDER BY f) = inname AND lag(e) OVER (PARTITION BY inid ORDER BY f) >= f, false) AS touches FROM cut) y) x
+GROUP BY inid, part, inname, inabv""", OVERLAPS)
     q["unpivot_scores"] = with_base("""
 SELECT cand_reg_number, year, subject_id, subject_id AS position, score FROM candidate_scores WHERE score IS NOT NULL AND subject_id < 6""")
     q["unmapped_scores"] = with_base("""
@@ -769,6 +837,14 @@ FROM (SELECT coalesce(r.r_name, 'unassigned') AS region, coalesce(s.st_name, 'un
       FROM candidate c LEFT JOIN state s ON c.statecode = s.st_id
       LEFT JOIN nation n ON n.n_name = s.st_name LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_regionkey > 0) x
 GROUP BY ROLLUP (region, st_name)""")
+    q["region_states"] = """
+SELECT r_name AS region, n_name AS st_name FROM nation JOIN region ON n_regionkey = r_regionkey"""
+    q["filter_state"] = with_base("""
+SELECT c.regnumber, c.gender, c.year, s.st_name, i.inname
+FROM candidate c JOIN state s ON c.statecode = s.st_id LEFT JOIN institution i ON c.inid = i.inid WHERE s.st_name = 'NATION_7'""")
+    q["scores_of"] = with_base("""
+SELECT su.su_name, cs.score FROM candidate_scores cs JOIN subject su ON cs.subject_id = su.su_id
+WHERE cs.cand_reg_number = 7 AND cs.year = (SELECT year FROM candidate WHERE regnumber = 7)""")
     q["disability_stats"] = with_base("""
 SELECT c.year, c.statecode, count(*) AS candidates, count(*) FILTER (WHERE d.is_blind) AS blind,
        count(*) FILTER (WHERE d.is_deaf) AS deaf, count(d.other_challenges) AS other_challenges
