@@ -12,7 +12,7 @@ BLOCK_TAGS = ("html head body title style script nav ul ol li div p br article s
               "td th blockquote pre h1 h2 h3 h4 h5 h6 meta link").split()
 PAGE_LINES = r"(?i)\n|<(?:/?(?:" + "|".join(BLOCK_TAGS) + r")\b|!)[^>]*>"
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)"
-RATIO, MIN_PAGES = 0.1, 3
+RATIO, MIN_PAGES = 0.1, 2
 
 
 def host_of(url: Column) -> Column:
@@ -60,13 +60,15 @@ def line_dedup(docs: DataFrame, host_col: str, text_col: str = "text", ratio: fl
     once, so Spark knows their size: it broadcasts short ones, and can split
     a hot host in the join with long ones."""
     marks = stored(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), F.col("lines").alias("_marks"))
-    rows = docs.drop("dropped_lines").join(marks, F.col(host_col) == F.col("_host"), "left")
-    lines = F.split(text_col, "\n")
+    keep = [c for c in docs.columns if c not in ("dropped_lines", text_col)]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(text_col).alias("_text"), F.col(host_col).alias("_of"))
+    rows = rows.join(marks, F.col("_of") == F.col("_host"), "left")
+    lines = F.split("_text", "\n")
     kept = F.filter(lines, lambda x: (x == "") | ~F.array_contains(F.col("_marks"), _mark(x)))
-    changed = F.col("_marks").isNotNull() & F.col(text_col).isNotNull()
+    changed = F.col("_marks").isNotNull() & F.col("_text").isNotNull()
     rows = rows.withColumn("_kept", F.when(changed, kept))
-    out = [F.when(changed, F.array_join("_kept", "\n")).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(c)
-           for c in docs.columns if c != "dropped_lines"]
+    text = F.when(changed, F.array_join("_kept", "\n")).otherwise(F.col("_text"))
+    out = [text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c != "dropped_lines"]
     return rows.select(*out, F.when(changed, F.size(lines) - F.size("_kept")).otherwise(0).alias("dropped_lines"))
 
 

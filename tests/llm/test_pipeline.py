@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from test_bpe import library
@@ -58,7 +59,7 @@ def test_languages_keep_clean_documents(spark, docs):
 
 def test_lines_against_brute_force(spark, docs):
     got = C.lines(spark, docs, "").collect()
-    want = brute_lines([(r[0], r[1], r[3]) for r in corpus()], 0.1, 3)
+    want = brute_lines([(r[0], r[1], r[3]) for r in corpus()], 0.1, 2)
     assert sorted(((g.doc_id, g.text, g.source) for g in got), key=str) == sorted(((i, t, h) for i, t, h, _ in want), key=str)
     assert any(n for *_, n in want) and all(g.n_chars == len(g.text) for g in got if g.text and "Read more" not in g.text and g.doc_id is not None and g.doc_id < 200)
 
@@ -76,18 +77,64 @@ def test_near_duplicates_against_brute_force(spark, docs):
         assert found[g][0] == (min(ids) if ids else None)
 
 
-def test_mixed_comes_near_targets(spark, docs):
-    clean = [r for r in corpus() if r[0] is not None]
-    got = rows_of(C.mixed(spark, spark.createDataFrame(clean, SCHEMA), ""))
-    sizes, taken = Counter(), Counter()
-    for r in clean:
+def shares(rows):
+    sizes = Counter()
+    for r in rows:
         sizes[r[3]] += words(r[1])
+    return sizes
+
+
+def prefix(part, whole):
+    return part is not None and whole is not None and whole.startswith(part) and words(part) < words(whole)
+
+
+def check_mix(rows, got):
+    """Every source gives its target's words; of its documents one at most is cut."""
+    left, cut = Counter(got), Counter()
+    for r in list(left):
+        if r not in set(rows):
+            mine = [x for x in rows if x[0] == r[0] and x[2:4] == r[2:4] and prefix(r[1], x[1])]
+            assert mine and left[r] == 1 and r[4] == len(r[1])
+            cut[r[3]] += 1
+    assert all(n == 1 for n in cut.values())
+    taken = shares(r for r, n in got.items() for _ in range(n))
+    for s, t in plain_targets(shares(rows)).items():
+        assert abs(taken[s] - t) <= 1, s
     for r, n in got.items():
-        taken[r[3]] += n * words(r[1])
-        assert n <= 3 * Counter(clean)[r]
-    longest = {s: max(words(r[1]) for r in clean if r[3] == s) for s in sizes}
-    for s, t in plain_targets(sizes).items():
-        assert abs(taken[s] - t) <= longest[s]
+        if r in set(rows):
+            assert n <= 3 * Counter(rows)[r]
+
+
+def test_mixed_meets_targets(spark, docs):
+    clean = [r for r in corpus() if r[0] is not None]
+    check_mix(clean, rows_of(C.mixed(spark, spark.createDataFrame(clean, SCHEMA), "")))
+
+
+def test_mixed_keeps_a_source_of_one_document(spark):
+    r = random.Random(2)
+    rows = [(1, text(r, "en", 20_000), "en", "a", 1)] + [(10 + i, text(r, "en", 100), "en", "b", 1) for i in range(40)] + [(90, "x y\u00a0z\x0bw", "en", None, 1)]
+    rows += [(70, "one two three", "en", "d", 13)] * 7
+    got = rows_of(C.mixed(spark, spark.createDataFrame(rows, SCHEMA), ""))
+    assert {r[3] for r in got} == {"a", "b", "d", None}
+    check_mix(rows, got)
+
+
+CLASHING = ["mark", "key", "times", "_mark", "_key", "_turn", "row", "group", "n", "i", "size", "_host", "_marks", "_kept", "dropped_lines", "component_id", "fingerprint", "taken"]
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    more = docs
+    for k, c in enumerate(CLASHING):
+        more = more.withColumn(c, F.concat(F.lit(f"{k}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    more = more.withColumn("a.b", F.lit(1))
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, more, "")
+        assert out.columns == more.columns
+        plain = stage(spark, docs, "")
+        assert Counter(map(tuple, out.select("doc_id", "text", "lang", "source", "n_chars").collect())) == rows_of(plain)
+        for r in out.select("doc_id", *CLASHING).collect():
+            assert [r[c] for c in CLASHING] == [f"{k}:{'-' if r.doc_id is None else r.doc_id}" for k in range(len(CLASHING))]
+    assert C.tokens(spark, more, "").columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
 def test_tokens(spark, docs):
