@@ -15,8 +15,12 @@ aggregate never touches the customer table).
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the projection (FIXTURES.md section B).
 MARKET_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -42,6 +46,8 @@ class Tables:
     """Interface: one DataFrame per canonical table."""
 
     spark: SparkSession
+    #: Whether the facts lie in buckets of the registration number.
+    co_partitioned = False
 
     def candidate(self, *cols: str) -> DataFrame:  # pragma: no cover
         raise NotImplementedError
@@ -246,29 +252,69 @@ class DriverTables(Tables):
 
 
 # -- stored tables -------------------------------------------------------------
-CANONICAL_TABLES = ["state", "lga", "faculty", "course", "institution", "institution_type",
-                    "subject", "candidate", "candidate_scores"]
+CANONICAL_TABLES = ["state", "lga", "faculty", "course", "institution", "institution_type", "institution_names",
+                    "subject", "subject_mapping_2023", "candidate", "candidate_scores", "candidate_disabilities", "candidate_exam_info"]
 YEAR_PARTITIONED = {"candidate", "candidate_scores"}
-
-
-def materialize(t: Tables, out_dir: str, tables=CANONICAL_TABLES, mode: str = "overwrite") -> None:
-    """Write the canonical tables as Parquet under ``out_dir/<name>``; the
-    facts are partitioned by year, so a latest-year report reads one
-    partition. Run once per load; reports then read the stored tables."""
+#: Facts by registration number: stored in buckets of it, as many each, so that joins of them and windows per candidate need no exchange.
+CO_PARTITIONED = {"candidate": "regnumber", "candidate_scores": "cand_reg_number",
+                  "candidate_disabilities": "cand_reg_number", "candidate_exam_info": "cand_reg_number"}
+BUCKETS = "_buckets"     # a name that Spark's readers skip
+
+
+def _write_bucketed(df: DataFrame, path: str, key: str, years: bool, buckets: int, mode: str) -> None:
+    """Write a fact in ``buckets`` buckets of ``key``, sorted by it, within
+    each year. A task holds one bucket, so a year has a file per bucket."""
+    from ..operators.upsert import _write_text
+    spark = df.sparkSession
+    # The catalog is needed to write buckets only; the files stay when the entry is dropped.
+    name = f"cohortlens_write_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key).option("path", path)
+    (writer.partitionBy("year") if years else writer).format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+    schema = [f for f in df.schema if not (years and f.name == "year")] + ([df.schema["year"]] if years else [])
+    _write_text(spark, f"{path}/{BUCKETS}", json.dumps({"key": key, "years": years, "buckets": buckets, "schema": T.StructType(schema).jsonValue()}))
+
+
+def _read_bucketed(spark: SparkSession, path: str) -> DataFrame | None:
+    """A fact written by ``_write_bucketed``, known to Spark by its buckets;
+    None for any other folder."""
+    from ..operators.upsert import _read_text
+    text = _read_text(spark, f"{path}/{BUCKETS}")
+    if text is None:
+        return None
+    d = json.loads(text)
+    name = f"cohortlens_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(d["schema"]))
+    years = "PARTITIONED BY (year)" if d["years"] else ""
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {years} CLUSTERED BY ({d['key']}) SORTED BY ({d['key']}) INTO {d['buckets']} BUCKETS LOCATION '{path}'")
+    if d["years"]:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)
+
+
+def materialize(t: Tables, out_dir: str, tables=CANONICAL_TABLES, mode: str = "overwrite", buckets: int | None = None) -> None:
+    """Write the canonical tables as Parquet under ``out_dir/<name>``: facts
+    partitioned by year, so a latest-year report reads one partition, and in
+    ``buckets`` buckets of the registration number (default: the session's
+    shuffle width), so that per-candidate work needs no exchange. Run once
+    per load; reports then read the stored tables."""
+    buckets = buckets or int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     for name in tables:
         df = t.candidate() if name == "candidate" else t.table(name)
-        w = df.write.mode(mode)
-        if name in YEAR_PARTITIONED:
-            # Rows of a year stand together, so that tasks write few files; a
-            # year of more than the advisory partition size is split by AQE.
-            df = df.hint("rebalance", "year")
-            w = df.write.mode(mode).partitionBy("year")
-        w.parquet(f"{out_dir.rstrip('/')}/{name}")
+        path = f"{out_dir.rstrip('/')}/{name}"
+        if name in CO_PARTITIONED:
+            _write_bucketed(df, path, CO_PARTITIONED[name], name in YEAR_PARTITIONED, buckets, mode)
+        else:
+            df.write.mode(mode).parquet(path)
 
 
 class StoredTables(FrameTables):
-    """Canonical tables read from ``base_dir/<name>`` Parquet folders."""
+    """Canonical tables read from ``base_dir/<name>`` Parquet folders. Facts
+    in buckets are entered in the session's catalog under names of their own,
+    as external tables: their files are never touched."""
 
     def __init__(self, spark: SparkSession, base_dir: str, tables=CANONICAL_TABLES):
         base = base_dir.rstrip("/")
-        super().__init__(spark, **{n: spark.read.parquet(f"{base}/{n}") for n in tables})
+        bucketed = {n: _read_bucketed(spark, f"{base}/{n}") for n in tables if n in CO_PARTITIONED}
+        super().__init__(spark, **{n: spark.read.parquet(f"{base}/{n}") if (b := bucketed.get(n)) is None else b for n in tables})
+        self.co_partitioned = bool(bucketed) and None not in bucketed.values()
