@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -245,21 +245,37 @@ def split_valid(df: DataFrame, raw_cols=None, now: Column | None = None):
 
 
 # S15 ------------------------------------------------------------------------
+def _summary_columns() -> list[Column]:
+    failed = F.size("errors") > 0
+    return [F.count(F.lit(1)).alias("total_rows"), F.count(F.when(~failed, 1)).alias("success_rows"), F.count(F.when(failed, 1)).alias("failed_rows"),
+            F.max_by(F.array_join("errors", "; "), F.when(failed, F.struct(F.col("source_file"), F.col("regnumber")))).alias("last_error")]
+
+
+def _with_shares(counts: DataFrame) -> DataFrame:
+    from ..functions.exprs import pct
+    return counts.select("total_rows", "success_rows", pct("success_rows", "total_rows").alias("success_pct"),
+                         "failed_rows", pct("failed_rows", "total_rows").alias("failed_pct"), "last_error")
+
+
 def import_summary(checked: DataFrame) -> DataFrame:
     """One row: total, successful and failed counts with percentages and the
     last error message (by source file, then message). Empty input gives
     NULL percentages, not a division error."""
-    failed = F.size("errors") > 0
-    agg = checked.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count(F.when(~failed, 1)).alias("success_rows"),
-        F.count(F.when(failed, 1)).alias("failed_rows"),
-        F.max_by(F.array_join("errors", "; "),
-                 F.when(failed, F.struct(F.col("source_file"), F.col("regnumber")))
-                 ).alias("last_error"))
-    from ..functions.exprs import pct
-    return agg.select("total_rows", "success_rows", pct("success_rows", "total_rows").alias("success_pct"),
-                      "failed_rows", pct("failed_rows", "total_rows").alias("failed_pct"), "last_error")
+    return _with_shares(checked.agg(*_summary_columns()))
+
+
+def observed_stage(checked: DataFrame, name: str) -> tuple[DataFrame, str, DataFrame]:
+    """(``checked`` staged, path, its import summary): the counts are observed
+    on the rows as they are written, so the summary costs no pass of its own.
+    The write is the plan's last stage, whose tasks count once however often
+    they are tried."""
+    seen = Observation()
+    staged, path = stage(checked.observe(seen, *_summary_columns()), name)
+    counts = seen.get
+    row = checked.sparkSession.createDataFrame(
+        [tuple(counts[c] for c in ("total_rows", "success_rows", "failed_rows", "last_error"))],
+        "total_rows long, success_rows long, failed_rows long, last_error string")
+    return staged, path, _with_shares(row)
 
 
 # I13 / course cleaning ------------------------------------------------------
@@ -354,7 +370,8 @@ def write_quarantine(bad: DataFrame, errors_path: str, **partition: str) -> None
 
 def load_checked(spark: SparkSession, checked: DataFrame, target_path: str, errors_path: str, opts: ImportOptions,
                  partition: dict[str, str], refs: References | None = None, historical_path: str | None = None) -> DataFrame:
-    """Resolve, quarantine and merge checked rows; returns the summary.
+    """Resolve, quarantine and merge checked rows; returns the summary, which
+    is observed while they are staged.
 
     The checked rows feed several outputs; they are staged once in the
     shared checkpoint folder, so a lost executor recomputes from that copy.
@@ -365,11 +382,10 @@ def load_checked(spark: SparkSession, checked: DataFrame, target_path: str, erro
     unknown = None
     if refs is not None:
         checked, unknown = resolve_references(checked, refs)
-    staged, path = stage(checked, "import-checked")
+    staged, path, summary = observed_stage(checked, "import-checked")
     if unknown is not None:
         _, unknown = resolve_references(staged, References(course=refs.course))
     try:
-        summary = spark.createDataFrame(import_summary(staged).collect(), import_summary(staged).schema)
         good = staged.where(F.size("errors") == 0).drop("errors", CORRUPT, "source_file", *PLACE)
         if table_exists(spark, target_path):
             upsert.write_upsert(spark, target_path, good, key="regnumber", seq="_seq")

@@ -56,6 +56,25 @@ def test_import_summary_and_empty(spark, csv_dir):
     assert empty["total_rows"] == 0 and empty["success_pct"] is None
 
 
+def test_summary_is_observed_in_the_staging_write(spark, csv_dir, monkeypatch):
+    checked = ingest.clean_candidates(ingest.map_columns(ingest.read_candidate_csv(spark, csv_dir)))
+    want = rows(ingest.import_summary(checked))
+    monkeypatch.setattr(ingest, "import_summary", None)
+    group = "observed-stage"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        staged, _, summary = ingest.observed_stage(checked, "test-observed")
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        got = rows(summary)
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert got == want and staged.count() == 6 and before >= 1
+    empty = ingest.observed_stage(checked.limit(0), "test-observed")[2]
+    assert rows(empty) == [{"total_rows": 0, "success_rows": 0, "success_pct": None, "failed_rows": 0, "failed_pct": None, "last_error": None}]
+    target = csv_dir + "-t"
+    assert rows(ingest.run_candidate_import(spark, csv_dir, target, target + "-e", ingest.ImportOptions(year=2024))) == want
+
+
 def test_admission_option(spark, csv_dir):
     raw = ingest.read_candidate_csv(spark, csv_dir)
     checked = ingest.clean_candidates(ingest.map_columns(raw), ingest.ImportOptions(is_admission=True))
