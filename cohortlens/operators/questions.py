@@ -7,12 +7,12 @@ Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.exprs import trim_all
-from .theta import contains_pairs
+from . import theta
 
 
 # N1 -------------------------------------------------------------------------
@@ -66,14 +66,20 @@ def _contains_any(col: Column, terms: list[str]) -> Column:
     return cond
 
 
+def _category_table(categories) -> Column:
+    """The keyword table as one constant, so that plans and generated code don't grow with it."""
+    return F.array(*[F.struct(F.lit(cat).alias("category"), F.array(*map(F.lit, kws)).alias("words")) for cat, kws in categories])
+
+
 def first_category(q: Column, categories=schemas.COURSE_CATEGORIES) -> Column:
     """First category (declaration order) with a keyword in ``q``, or NULL."""
-    return F.coalesce(*[F.when(_contains_any(q, kws), F.lit(cat)) for cat, kws in categories])
+    return F.get(F.filter(_category_table(categories), lambda c: F.exists(c["words"], lambda w: F.contains(q, w))), F.lit(0))["category"]
 
 
 def name_categories(key: Column, categories=schemas.COURSE_CATEGORIES) -> Column:
     """Array of the categories whose name or a keyword ``key`` contains."""
-    return F.array_compact(F.array(*[F.when(_contains_any(key, [cat, *kws]), F.lit(cat)) for cat, kws in categories]))
+    named = [(cat, [cat, *kws]) for cat, kws in categories]
+    return F.transform(F.filter(_category_table(named), lambda c: F.exists(c["words"], lambda w: F.contains(key, w))), lambda c: c["category"])
 
 
 def match_courses(questions: DataFrame, names: DataFrame, id_col: str = "question_id",
@@ -88,35 +94,45 @@ def match_courses(questions: DataFrame, names: DataFrame, id_col: str = "questio
         of at least 3 bytes;
     (d) only when still nothing and the question says course/program: the
         literal fallback pattern.
-    ``names`` is (key, name) from ``course_names``. Everything is matched on
-    distinct question texts and distinct words, then joined back: substring
-    joins are the n-gram equi-joins of ``theta.contains_pairs``, categories
-    are a CASE over the fixed keyword table, and (c) sees only the texts
-    that an anti-join on (a)+(b) leaves.
+    ``names`` is (key, name) from ``course_names``, one row a key. Distinct
+    question texts are cut into keys once: grams of ``theta``, the first
+    category, and one of their own. These meet the names' anchors and
+    categories in one join; where the results of a question come together,
+    those left without any go on with their words, which meet the names'
+    grams in a second one. Every predicate is verified.
     Output: (question_id, pattern, stage) with unique patterns per question.
     """
     rows = questions.select(F.col(id_col).alias("qid"), F.lower(F.col(col)).alias("q")).where(F.col("q").isNotNull())
     q = rows.select("q").distinct()
-    nm = names.select("key", "name")
-
-    a = contains_pairs(q, "q", nm, "key").select("q", "name", F.lit("a").alias("stage"))
-    course_cat = nm.select("name", F.explode(name_categories(F.col("key"))).alias("category")).distinct()
-    b = (q.select("q", first_category(F.col("q")).alias("category")).where(F.col("category").isNotNull())
-         .join(course_cat, "category").select("q", "name", F.lit("b").alias("stage")))
-    ab = a.unionByName(b)
-
-    left = q.join(ab.select("q"), "q", "left_anti")
-    words = (left.select("q", F.explode(F.split(trim_all(F.col("q")), r"\s+")).alias("w"))
-             .where(F.octet_length("w") >= schemas.COURSE_WORD_MIN_BYTES).distinct())
-    hits = contains_pairs(nm, "key", words.select("w").distinct(), "w").select("w", "name")
-    c = words.join(hits, "w").select("q", "name", F.lit("c").alias("stage")).distinct()
-    d = (left.where(_contains_any(F.col("q"), schemas.COURSE_FALLBACK_WORDS))
-         .join(c.select("q"), "q", "left_anti")
-         .select("q", F.lit(schemas.COURSE_FALLBACK_PATTERN).alias("pattern"), F.lit("d").alias("stage")))
-    found = (ab.unionByName(c)
-             .select("q", F.concat(F.lit("'%"), F.col("name"), F.lit("%'")).alias("pattern"), "stage")
-             .unionByName(d)
-             .groupBy("q", "pattern").agg(F.min("stage").alias("stage")))
+    nm = names.select("key", "name").where(F.length("key") > 0)
+    own, category = F.lit("\x00"), lambda c: F.concat(F.lit("\x00"), c)
+
+    # (a), (b): one anchor per name, and its categories.
+    known = theta.anchors(nm.select(F.col("key").alias("_p"), "name"))
+    keys = F.concat(F.array("_g"), F.transform(name_categories(F.col("_p")), category))
+    known = known.select("_p", "name", F.posexplode(keys).alias("_i", "_k"))
+    asked = q.select("q", F.explode(F.array_compact(F.concat(theta.text_keys(F.col("q")), F.array(category(first_category(F.col("q"))), own)))).alias("_k"))
+    met = asked.join(known, "_k", "left").where((F.col("_k") == own) | (F.col("_i") > 0) | F.contains(F.col("q"), F.col("_p")))
+    met = met.select("q", "name", F.when(F.col("_k") == own, "q").when(F.col("_i") > 0, "b").otherwise("a").alias("stage"))
+    met = met.withColumn("_first", F.min("stage").over(Window.partitionBy("q")))
+
+    # What a row goes on with: a name found, or, of a question without any, its words and the fallback.
+    item = lambda name, word, stage: F.struct(name.alias("name"), word.alias("w"), F.lit(stage).alias("stage"))
+    nothing = F.lit(None).cast("string")
+    words = F.filter(F.array_distinct(F.split(trim_all(F.col("q")), r"\s+")), lambda w: F.octet_length(w) >= schemas.COURSE_WORD_MIN_BYTES)
+    fallback = F.when(_contains_any(F.col("q"), schemas.COURSE_FALLBACK_WORDS), F.array(item(nothing, nothing, "d"))).otherwise(F.array().cast("array<struct<name:string,w:string,stage:string>>"))
+    found = F.array(F.struct(F.col("name").alias("name"), nothing.alias("w"), F.col("stage").alias("stage")))
+    todo = F.when(F.col("stage") != "q", found).when(F.col("_first") == "q", F.concat(F.transform(words, lambda w: item(nothing, w, "c")), fallback))
+    todo = met.select("q", F.explode(todo).alias("x")).select("q", "x.*")
+
+    # (c): a word meets the names that have its first gram.
+    of_names = nm.select("key", F.col("name").alias("_hit"), F.explode(theta.text_keys(F.col("key"))).alias("_k"))
+    todo = todo.withColumn("_k", F.substring("w", 1, theta.GRAM))
+    todo = todo.join(of_names, "_k", "left").where(F.col("w").isNull() | F.contains(F.col("key"), F.col("w")))
+    pattern = F.when(F.col("stage") == "d", schemas.COURSE_FALLBACK_PATTERN).otherwise(F.concat(F.lit("'%"), F.coalesce("name", "_hit"), F.lit("%'")))
+    first = F.min("stage").over(Window.partitionBy("q"))
+    found = todo.select("q", pattern.alias("pattern"), "stage", first.alias("_first")).where((F.col("stage") != "d") | (F.col("_first") == "d")) \
+        .groupBy("q", "pattern").agg(F.min("stage").alias("stage"))
     return rows.join(found, "q").select(F.col("qid").alias(id_col), "pattern", "stage").groupBy(id_col, "pattern").agg(
         F.min("stage").alias("stage"))
 

@@ -22,7 +22,7 @@ a join broadcasts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM = 3
@@ -83,35 +83,36 @@ def _grams(col: Column, n: int) -> Column:
                             .otherwise(F.array().cast("array<string>")))
 
 
-def _tag_length(m: int):
-    return lambda g: F.struct(F.lit(m).alias("_len"), g.alias("_s"))
+def text_keys(text: Column, n: int = GRAM) -> Column:
+    """Grams of up to ``n`` characters, by which a text meets anchors."""
+    return F.concat(*[_grams(text, m) for m in range(1, n + 1)])
+
+
+def pattern_keys(pattern: Column, n: int = GRAM) -> Column:
+    """Grams of which a text that contains ``pattern`` has every one."""
+    return F.when(F.length(pattern) >= n, _grams(pattern, n)).otherwise(F.array(pattern))
+
+
+def anchors(patterns: DataFrame, n: int = GRAM) -> DataFrame:
+    """Distinct patterns (_p and any others) with _g: the gram that the
+    fewest patterns have, a shorter pattern as a whole. Patterns are counted,
+    not texts: a text is cut into grams once only."""
+    grams = patterns.select("*", F.explode(pattern_keys(F.col("_p"), n)).alias("_g"))
+    shared = grams.withColumn("_pf", F.count(F.lit(1)).over(Window.partitionBy("_g")))
+    return shared.groupBy(*patterns.columns).agg(F.min_by("_g", F.struct("_pf", "_g")).alias("_g"))
 
 
 def contains_pairs(texts: DataFrame, tcol: str, patterns: DataFrame, pcol: str,
                    n: int = GRAM) -> DataFrame:
     """All (text row, pattern row) pairs where ``tcol`` contains ``pcol``
-    (both non-empty)."""
+    (both non-empty).
+
+    One equi-join: a distinct text's grams of up to n characters meet the one
+    anchor of every distinct pattern, and the pattern is verified. A text has
+    a gram once and a pattern one anchor, so a pair comes up once."""
     patterns = patterns.where(F.length(pcol) > 0)
     tv = _values(texts, tcol, "_t")
-    pv = _values(patterns, pcol, "_p")
-    # Long patterns: join on the pattern's rarest n-gram among the texts; a
-    # pattern with an n-gram no text has cannot match and is dropped.
-    tg = tv.select("_t", F.explode(_grams(F.col("_t"), n)).alias("_g"))
-    freq = tg.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-    pg = (pv.where(F.length("_p") >= n)
-          .select("_p", F.explode(_grams(F.col("_p"), n)).alias("_g"))
-          .join(freq, "_g", "left")
-          .groupBy("_p").agg(F.count_if(F.col("_df").isNull()).alias("_missing"),
-                             F.min_by("_g", F.struct("_df", "_g")).alias("_g"))
-          .where(F.col("_missing") == 0).select("_p", "_g"))
-    long_pairs = tg.join(pg, "_g").select("_t", "_p")
-    # Short patterns: equal to one of the text's substrings of that length.
-    short = pv.where(F.length("_p") < n).select("_p", F.length("_p").alias("_len"), F.col("_p").alias("_s"))
-    ts = tv.select("_t", F.explode(F.flatten(F.array(*[
-        F.transform(_grams(F.col("_t"), m), _tag_length(m)) for m in range(1, n)]))).alias("_x")) \
-        .select("_t", "_x._len", "_x._s").distinct()
-    short_pairs = ts.join(short, ["_len", "_s"]).select("_t", "_p")
-    cand = (long_pairs.unionByName(short_pairs).distinct()
-            .where(F.col("_t").contains(F.col("_p"))))
-    return (texts.join(cand, F.col(tcol) == F.col("_t"))
+    pairs = (tv.select("_t", F.explode(text_keys(F.col("_t"), n)).alias("_g")).join(anchors(_values(patterns, pcol, "_p"), n), "_g")
+             .where(F.col("_t").contains(F.col("_p"))).select("_t", "_p"))
+    return (texts.join(pairs, F.col(tcol) == F.col("_t"))
             .join(patterns, F.col("_p") == F.col(pcol)).drop("_t", "_p"))
