@@ -41,6 +41,20 @@ def test_entry_smoke(spark):
                           "average_score", "admission_rate"]
 
 
+def test_optional_queries_may_lack_a_package(monkeypatch):
+    def missing(name):
+        raise ModuleNotFoundError(f"No module named {name!r}", name=missing.name)
+    monkeypatch.setattr(E.importlib, "import_module", missing)
+    missing.name = "cohortlens.llm"
+    assert set(E.queries()) == set(registry.queries())
+    missing.name = "xxhash"
+    with pytest.warns(UserWarning, match="no package xxhash"):
+        assert set(E.queries()) == set(registry.queries())
+    missing.name = "cohortlens.plans.gone"
+    with pytest.raises(ModuleNotFoundError):
+        E.queries()
+
+
 def test_every_query_has_oracle():
     assert set(E.oracle_sql()) <= set(E.queries())
     assert set(registry.queries()) == set(registry.oracle_sql())
