@@ -874,6 +874,8 @@ PROJECTED_COLUMNS = {
     "candidate_exam_info": ["cand_reg_number", "exam_town", "exam_centre", "exam_number", "mock_state_id", "is_mock_candidate"],
     "institution_names": ["inid", "effective_from", "effective_to", "inname", "inabv", "change_reason"],
     "subject_mapping_2023": ["csv_code", "su_id", "position"],
+    "course_code_mappings": ["id", "old_course_code", "new_course_code", "course_name"],
+    "historical_course_codes": ["id", "old_course_code"],
 }
 
 

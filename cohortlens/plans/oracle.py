@@ -81,6 +81,15 @@ institution_names AS (
   SELECT inid, make_date(CAST(1995 + inid % 7 AS INTEGER), 1, 1), NULL, inname, inabv, NULL FROM institution),
 subject_mapping_2023 AS (
   SELECT 'S' || CAST(su_id AS VARCHAR) AS csv_code, su_id, su_id AS position FROM subject),
+historical_course_codes AS (
+  SELECT min(regnumber) AS id, year, app_course1 + 1000000 AS old_course_code, inid AS institution_id
+  FROM candidate WHERE regnumber % 50 = 0 AND app_course1 IS NOT NULL GROUP BY year, app_course1, inid),
+course_code_mappings AS (
+  SELECT 2 * id AS id, old_course_code, old_course_code - 1000000 AS new_course_code,
+         'Course ' || CAST(old_course_code - 1000000 AS VARCHAR) AS course_name FROM historical_course_codes
+  UNION ALL
+  SELECT 2 * id + 1, old_course_code, old_course_code - 999999, 'Course ' || CAST(old_course_code - 999999 AS VARCHAR)
+  FROM historical_course_codes WHERE old_course_code % 2 = 0),
 candidate_scores AS (
   SELECT li.l_orderkey AS cand_reg_number, su.su_id AS subject_id,
          CAST(year(o.o_orderdate) AS INTEGER) AS year,

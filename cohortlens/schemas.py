@@ -56,6 +56,8 @@ PRIMARY_KEYS = {
     "candidate_exam_info": ["cand_reg_number"],
     "institution_names": ["inid", "effective_from"],
     "subject_mapping_2023": ["csv_code"],
+    "course_code_mappings": ["id"],
+    "historical_course_codes": ["id"],
 }
 
 FOREIGN_KEYS = [
@@ -99,6 +101,8 @@ VARCHAR_LIMITS = {
     "candidate_exam_info": {"cand_reg_number": 20, "exam_town": 100, "mock_town": 100, "exam_centre": 200, "exam_number": 20},
     "institution_names": {"inid": 20, "inabv": 50, "inname": 200},
     "subject_mapping_2023": {"csv_code": 10},
+    "course_code_mappings": {"old_course_code": 100, "new_course_code": 100, "course_name": 200},
+    "historical_course_codes": {"old_course_code": 100},
 }
 
 # ---------------------------------------------------------------------------

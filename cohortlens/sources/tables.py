@@ -29,6 +29,7 @@ ORDER_STATUS_GENDER = {"F": "F", "O": "M"}  # P -> NULL
 ADMITTED_PRIORITY = "1-URGENT"
 DISABLED_PRIORITY = "5-LOW"
 AGGREGATE_DIVISOR = 1250
+UNKNOWN_CODES = 1_000_000     # added to a course code that no course has
 ANCHOR_SUBJECT = "STANDARD"
 
 DRIVER_TABLE_NAMES = ["region", "nation", "customer", "supplier", "part",
@@ -235,6 +236,25 @@ class DriverTables(Tables):
         return self.table("subject").select(F.concat(F.lit("S"), F.col("su_id").cast("string")).alias("csv_code"),
                                             "su_id", F.col("su_id").alias("position"))
 
+    def _t_historical_course_codes(self) -> DataFrame:
+        # Every 50th order has a code that no course has; an entry per (year, code, institution).
+        c = self.candidate("regnumber", "year", "app_course1", "inid").where((F.col("regnumber") % 50 == 0) & F.col("app_course1").isNotNull())
+        return (c.groupBy("year", (F.col("app_course1") + UNKNOWN_CODES).alias("old_course_code"), F.col("inid").alias("institution_id"))
+                .agg(F.min("regnumber").alias("id"))
+                .select("id", "year", "old_course_code", "institution_id", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("import_timestamp"),
+                        (F.col("id") % 3 == 0).alias("reconciled")))
+
+    def _t_course_code_mappings(self) -> DataFrame:
+        # The code without the offset from March on, for even codes another one from February.
+        h = self.table("historical_course_codes")
+        code, both = F.col("old_course_code") - UNKNOWN_CODES, F.col("old_course_code") % 2 == 0
+        rows = F.array_compact(F.array(
+            F.struct((F.col("id") * 2).alias("id"), code.alias("code"), F.lit("2024-03-01 00:00:00").cast("timestamp_ntz").alias("on")),
+            F.when(both, F.struct((F.col("id") * 2 + 1).alias("id"), (code + 1).alias("code"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("on")))))
+        h = h.select("year", "old_course_code", "institution_id", F.explode(rows).alias("m"))
+        return h.select("m.id", "year", "old_course_code", F.col("m.code").alias("new_course_code"),
+                        F.concat(F.lit("Course "), F.col("m.code").cast("string")).alias("course_name"), "institution_id", F.col("m.on").alias("mapping_date"))
+
     def _t_candidate_scores(self) -> DataFrame:
         # Orders are joined before aggregating: the aggregate's keys
         # (order, subject, year) are then satisfied by the join's partitioning
@@ -253,7 +273,7 @@ class DriverTables(Tables):
 
 # -- stored tables -------------------------------------------------------------
 CANONICAL_TABLES = ["state", "lga", "faculty", "course", "institution", "institution_type", "institution_names",
-                    "subject", "subject_mapping_2023", "candidate", "candidate_scores", "candidate_disabilities", "candidate_exam_info"]
+                    "subject", "subject_mapping_2023", "course_code_mappings", "historical_course_codes", "candidate", "candidate_scores", "candidate_disabilities", "candidate_exam_info"]
 YEAR_PARTITIONED = {"candidate", "candidate_scores"}
 #: Facts by registration number: stored in buckets of it, as many each, so that joins of them and windows per candidate need no exchange.
 CO_PARTITIONED = {"candidate": "regnumber", "candidate_scores": "cand_reg_number",

@@ -84,10 +84,14 @@ def test_constraint_rules_each_violated(spark):
                     subject=spark.createDataFrame([(1, "s" * 101)], "su_id int, su_name string"),
                     subject_mapping_2023=spark.createDataFrame([("C" * 11, 5, 1)], "csv_code string, su_id int, position int"),
                     candidate_disabilities=spark.createDataFrame([("A",), ("Z",), ("Z",)], "cand_reg_number string"),
-                    candidate_exam_info=spark.createDataFrame([("A", 7)], "cand_reg_number string, mock_state_id int"))
-    tables = ["candidate", "state", "institution", "institution_names", "subject", "subject_mapping_2023", "candidate_disabilities", "candidate_exam_info"]
+                    candidate_exam_info=spark.createDataFrame([("A", 7)], "cand_reg_number string, mock_state_id int"),
+                    course_code_mappings=spark.createDataFrame([(1, "x" * 101), (1, "y"), (None, "z")], "id int, new_course_code string"),
+                    historical_course_codes=spark.createDataFrame([(1, "x"), (2, "x" * 101)], "id int, old_course_code string"))
+    tables = ["course_code_mappings", "historical_course_codes", "candidate", "state", "institution", "institution_names", "subject", "subject_mapping_2023", "candidate_disabilities", "candidate_exam_info"]
     got = {(r["table"], r["rule"]): r["violations"] for r in model_ops.check_constraints(t, tables=tables).collect()}
     assert {k: v for k, v in got.items() if v} == {
+        ("course_code_mappings", "pk(id)"): 1, ("course_code_mappings", "not_null(id)"): 1,
+        ("course_code_mappings", "length(new_course_code)<=100"): 1, ("historical_course_codes", "length(old_course_code)<=100"): 1,
         ("institution", "fk(affiliated_state_id->state.st_id)"): 1, ("institution_names", "fk(inid->institution.inid)"): 1,
         ("institution_names", "not_null(effective_from)"): 1, ("institution_names", "not_null(inname)"): 1,
         ("subject", "length(su_name)<=100"): 1, ("subject_mapping_2023", "length(csv_code)<=10"): 1,
