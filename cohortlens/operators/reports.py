@@ -235,6 +235,41 @@ def admission_trends(t: Tables, q: float = D["trends_quantile"],
     return _top(out, n, F.col("applicants").desc(), F.col("course_name").asc())
 
 
+#: Size of a quantile sketch, and its error: the value given for q has a rank
+#: within RANK_ERROR of q (99 % of the time), merged from however many parts.
+SKETCH_K, RANK_ERROR = 200, 0.0165
+
+
+def quantile_states(t: Tables, by=("app_course1", "year"), k: int = SKETCH_K) -> DataFrame:
+    """Mergeable quantile state of the aggregate: one row per ``by`` with
+    applicants, scored (those with an aggregate) and sketch (a KLL sketch of
+    the aggregates, some kilobytes). Written once per load, e.g. partitioned
+    by year, so that later quantiles over any years or courses merge sketches
+    and read no candidate."""
+    c = t.candidate(*by, "aggregate")
+    return c.groupBy(*by).agg(F.count(F.lit(1)).alias("applicants"), F.count("aggregate").alias("scored"),
+                              F.kll_sketch_agg_bigint(F.col("aggregate").cast("long"), F.lit(k)).alias("sketch"))
+
+
+def merged_quantiles(states: DataFrame, by: list[str], q: float, out: str, k: int = SKETCH_K) -> DataFrame:
+    """(by, applicants, ``out``): the q-quantile of the merged states, a value
+    that occurs, of rank q within ``RANK_ERROR``; null where none is scored."""
+    merged = states.groupBy(*by).agg(F.sum("applicants").alias("applicants"), F.sum("scored").alias("_scored"),
+                                     F.kll_merge_agg_bigint(F.when(F.col("scored") > 0, F.col("sketch")), F.lit(k)).alias("_sketch"))
+    value = F.when(F.col("_scored") > 0, F.kll_sketch_get_quantile_bigint("_sketch", F.lit(q)))
+    return merged.select(*by, "applicants", value.alias(out))
+
+
+def admission_trends_of(states: DataFrame, course: DataFrame, q: float = D["trends_quantile"],
+                        min_applicants: int = D["trends_min"], n: int = D["trends_n"]) -> DataFrame:
+    """``admission_trends`` from stored ``quantile_states``: the same courses
+    and applicants, the cut-off of rank q within ``RANK_ERROR``."""
+    named = states.join(course.select("course_code", "course_name"), F.col("app_course1") == F.col("course_code"))
+    agg = merged_quantiles(named, ["course_name"], q, "cutoff_score").where(F.col("applicants") > min_applicants)
+    out = agg.select("course_name", "applicants", F.col("cutoff_score").cast("double").alias("cutoff_score"))
+    return _top(out, n, F.col("applicants").desc(), F.col("course_name").asc())
+
+
 # R14 ------------------------------------------------------------------------
 def performance_metrics(t: Tables) -> DataFrame:
     c = t.candidate("year", "aggregate").where(F.col("aggregate") > 0)

@@ -1,0 +1,57 @@
+"""Quantiles from stored, merged sketches: within the documented rank error of the exact ones."""
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlens.operators import reports as R
+from cohortlens.sources.tables import FrameTables
+from conftest import rows
+
+
+def within(values, got, q):
+    below, upto = sum(v < got for v in values) / len(values), sum(v <= got for v in values) / len(values)
+    return below <= q + R.RANK_ERROR and upto >= q - R.RANK_ERROR
+
+
+@pytest.fixture(scope="module")
+def scores():
+    rng = random.Random(5)
+    out = []
+    for course, n in (("C1", 9000), ("C2", 3000), ("C3", 150), ("C4", 5)):
+        for i in range(n):
+            out.append((f"{course}-{i}", course, 2018 + i % 5, None if rng.random() < 0.05 else min(400, int(rng.gauss(200, 60))) if course != "C2" else rng.choice([100, 101, 300])))
+    return out + [("x1", "C5", 2020, None), ("x2", None, 2020, 7)]
+
+
+def tables(spark, scores):
+    cand = spark.createDataFrame(scores, "regnumber string, app_course1 string, year int, aggregate int").repartition(7)
+    course = spark.createDataFrame([("C1", "Law"), ("C2", "Law"), ("C3", "Art"), ("C4", "Art"), ("C5", "None")], "course_code string, course_name string")
+    return FrameTables(spark, candidate=cand, course=course)
+
+
+def test_stored_states_merge_to_the_quantile_of_all(spark, scores, tmp_dir):
+    t = tables(spark, scores)
+    path = os.path.join(tmp_dir, "states")
+    for year in (2018, 2019, 2020, 2021, 2022):                 # one load a year
+        one = FrameTables(spark, candidate=t.candidate().where(F.col("year") == year))
+        R.quantile_states(one).write.mode("append").partitionBy("year").parquet(path)
+    states = spark.read.parquet(path)
+    for q in (0.1, 0.5, 0.75, 0.99):
+        got = {r["course_name"]: r for r in rows(R.admission_trends_of(states, t.course, q=q, min_applicants=0))}
+        exact = {r["course_name"]: r for r in rows(R.admission_trends(t, q=q, min_applicants=0))}
+        assert {k: r["applicants"] for k, r in got.items()} == {k: r["applicants"] for k, r in exact.items()}
+        for name, codes in (("Law", ("C1", "C2")), ("Art", ("C3", "C4"))):
+            assert within([a for _, c, _, a in scores if c in codes and a is not None], got[name]["cutoff_score"], q), (q, name)
+        assert got["None"]["cutoff_score"] is None
+    by_year = rows(R.merged_quantiles(states, ["year"], 0.5, "median"), "year")
+    for r in by_year:
+        assert within([a for _, _, y, a in scores if y == r["year"] and a is not None], r["median"], 0.5)
+    assert [r["applicants"] for r in by_year] == [sum(s[2] == y for s in scores) for y in range(2018, 2023)]
+
+
+def test_states_of_an_empty_table(spark):
+    t = tables(spark, [])
+    assert rows(R.admission_trends_of(R.quantile_states(t), t.course)) == []
