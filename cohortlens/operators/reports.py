@@ -33,11 +33,16 @@ def _top(df: DataFrame, n: int | None, *order) -> DataFrame:
 
 
 # R1 -------------------------------------------------------------------------
-def search_candidates(t: Tables, term: str, limit: int = D["search_limit"]) -> DataFrame:
+def search_candidates(t: Tables, term: str, limit: int = D["search_limit"], among: DataFrame | None = None) -> DataFrame:
     """regnumber LIKE %term% OR lower(surname) LIKE lower(%term%); ``%``/``_``
-    in the term act as wildcards. Ordered by regnumber, first ``limit``."""
+    in the term act as wildcards. Ordered by regnumber, first ``limit``.
+    ``among``: the (regnumber, year) that can match, if an index knows them
+    (``search.search_candidates``)."""
     pattern = f"%{term}%"
-    c = t.candidate("regnumber", "surname", "firstname", "gender", "aggregate")
+    cols = ["regnumber", "surname", "firstname", "gender", "aggregate"]
+    c = t.candidate(*cols)
+    if among is not None:
+        c = t.candidate(*cols, "year").join(among, ["regnumber", "year"], "left_semi").select(*cols)
     hit = (F.col("regnumber").cast("string").like(pattern)
            | F.lower("surname").like(pattern.lower()))
     return _top(c.where(hit), limit, F.col("regnumber").asc())
