@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import frugal, pack, unpack
-from .common import shuffle_width, stored
+from .common import discard, shuffle_width, stored
 
 #: Rows of a block of candidates, and anchors of a block; a task compares two blocks at a time.
 ROWS, ANCHORS = 2048, 4096
@@ -270,6 +270,7 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = POSITIVES,
     width = max(1, rows.agg(F.max(F.size("x"))).first()[0] or 0)
     blocks = column_blocks(rows, ROWS, width, "b")
     own = column_blocks(rows.where(anchors), ANCHORS, width, "a")
+    discard(rows)
     best = _ranked(_pairs(own, blocks).mapInArrow(_search(positives, True), _FOUND), positives, "a", "at")
     best = stored(best.select("a", "at", "anchor_id", "rank", "score", "id"), "positives")
     found = _pairs(_window_blocks(best, own, low, high), blocks).mapInArrow(_search(negatives, False), _FOUND)
