@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.exprs import count_if, round_avg
-from ..sources.tables import Tables
+from ..sources.tables import CO_PARTITIONED, Tables
 from .asof import asof_join, normal_periods
 
 STAR_DIMS = ["state", "lga", "course", "faculty", "institution", "institution_type"]
@@ -193,62 +195,98 @@ def check_constraints(t: Tables, tables=None) -> DataFrame:
     """(table, rule, violations) for primary keys, foreign keys, NOT NULL
     and VARCHAR lengths.
 
-    All foreign keys are checked in one join: a child's columns become
-    (rule, value) rows that are counted first (partial sums absorb hot
-    values), and only distinct values meet the parents' keys. NOT NULL and
-    length counts of a table come out of one pass without a join."""
+    A table is read once: a row gives one entry for its key, one for every
+    reference, and, if it breaks NOT NULL or length rules, one that says
+    which, as bits. One grouped sum of all tables' entries by (key domain,
+    value) then shows keys that stand twice and references without a key;
+    hot values collapse before the shuffle. The facts' own keys, and their
+    references to candidates, are grouped and joined by the registration
+    number itself: without an exchange where they are stored in its buckets."""
     want = [n for n in schemas.PRIMARY_KEYS if not tables or n in tables]
     frames = {n: t.candidate() if n == "candidate" else t.table(n) for n in want}
-
-    def part(name, *cols):
+    links = [(child, col, parent, pcol) for child, col, parent, pcol in schemas.FOREIGN_KEYS
+             if child in want and parent in want and col in frames[child].columns]
+    by_number = [x for x in links if CO_PARTITIONED.get(x[0]) == x[1] and CO_PARTITIONED.get(x[2]) == x[3]]
+    grouped = [x for x in links if x not in by_number]
+    keys = [(n, tuple(schemas.PRIMARY_KEYS[n])) for n in want if n not in CO_PARTITIONED]
+    domains = {key: i for i, key in enumerate(dict.fromkeys([*keys, *((p, (c,)) for _, _, p, c in grouped)]))}
+
+    def part(name, cols):
         """Only some columns, so that a projected table joins less."""
         return t.candidate(*cols) if name == "candidate" else frames[name].select(*cols)
 
-    def rows_of(name, counts, df):
-        agg = df.agg(*[e.cast("long").alias(f"c{j}") for j, (_, e) in enumerate(counts)])
-        rows = agg.select(F.explode(F.array(*[
-            F.struct(F.lit(rule).alias("rule"), F.col(f"c{j}").alias("violations"))
-            for j, (rule, _) in enumerate(counts)])).alias("r"))
-        return rows.select(F.lit(name).alias("table"), "r.rule", "r.violations")
+    def value(cols):
+        if len(cols) == 1:
+            return F.col(cols[0]).cast("string")
+        each = [F.col(c).cast("string") for c in cols]
+        return F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in each])
 
-    def tagged(rules, value):
-        pairs = F.array(*[F.struct(F.lit(r).alias("_rule"), value(r).cast("string").alias("_v")) for r in rules])
-        return F.explode(pairs).alias("_p")
+    def entry(domain, v, slot):
+        return F.struct(F.lit(domain).alias("domain"), v.alias("value"), F.lit(slot).alias("slot"))
 
-    parts, dups, values, parents, names = [], [], [], {}, []
-    for name in want:
+    rules, entries, parts, slots = [], [], [], {}
+    for i, name in enumerate(want):
         pk, df = schemas.PRIMARY_KEYS[name], frames[name]
-        rule = f"pk({','.join(pk)})"
-        names.append((name, rule))
-        dups.append(part(name, *pk).groupBy(*pk).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1)
-                    .select(F.lit(f"{name} {rule}").alias("_rule"), (F.col("_c") - 1).alias("_c")))
-        own = {}
-        for child, col, parent, pcol in schemas.FOREIGN_KEYS:
-            if child == name and parent in want and col in df.columns:
-                rule = f"fk({col}->{parent}.{pcol})"
-                names.append((name, rule))
-                own[f"{name} {rule}"] = col
-                parents.setdefault((parent, pcol), []).append(f"{name} {rule}")
-        if own:
-            cols = list(dict.fromkeys(own.values()))
-            values.append(part(name, *cols).select(tagged(own, lambda r, own=own: F.col(own[r]))).where(F.col("_p._v").isNotNull())
-                          .groupBy("_p._rule", "_p._v").agg(F.count(F.lit(1)).alias("_c")))
-        counts = [(f"not_null({c})", count_if(F.col(c).isNull())) for c in schemas.NOT_NULL.get(name, []) if c in df.columns]
-        counts += [(f"length({c})<={n}", count_if(F.length(F.col(c).cast("string")) > n))
+        own, used = [], []
+        for (table, cols), domain in domains.items():
+            if table == name:
+                own.append(entry(domain, value(cols), 0))
+                used += cols
+                if cols == tuple(pk):
+                    rules.append((name, f"pk({','.join(pk)})", domain, 0))
+        for child, col, parent, pcol in grouped:
+            if child == name:
+                domain = domains[parent, (pcol,)]
+                slots[domain] = slots.get(domain, 0) + 1
+                own.append(F.when(F.col(col).isNotNull(), entry(domain, F.col(col).cast("string"), slots[domain])))
+                used.append(col)
+                rules.append((name, f"fk({col}->{parent}.{pcol})", domain, slots[domain]))
+        broken = [(f"not_null({c})", c, F.col(c).isNull()) for c in schemas.NOT_NULL.get(name, []) if c in df.columns]
+        broken += [(f"length({c})<={n}", c, F.length(F.col(c).cast("string")) > n)
                    for c, n in schemas.VARCHAR_LIMITS.get(name, {}).items() if c in df.columns]
-        if counts:
-            parts.append(rows_of(name, counts, df))
-    lost = dups
-    if values:
-        keys = _union_all([part(parent, pcol).distinct().select(tagged(rules, lambda r, c=pcol: F.col(c))).select("_p.*")
-                           for (parent, pcol), rules in parents.items()])
-        lost = [*dups, _union_all(values).join(keys, ["_rule", "_v"], "left_anti").select("_rule", "_c")]
-    found = _union_all(lost).groupBy("_rule").agg(F.sum("_c").alias("_c"))
-    rules = t.spark.createDataFrame([(n, r, f"{n} {r}") for n, r in names], "`table` string, rule string, _rule string")
-    parts.append(rules.join(found, "_rule", "left").select("table", "rule", F.coalesce("_c", F.lit(0)).cast("long").alias("violations")))
+        if broken:
+            bits = functools.reduce(Column.__add__, [F.when(e, F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, (_, _, e) in enumerate(broken)])
+            own.append(F.when(bits != 0, entry(len(domains) + i, bits.cast("string"), 0)))
+            used += [c for _, c, _ in broken]
+            rules += [(name, rule, len(domains) + i, -1 - j) for j, (rule, _, _) in enumerate(broken)]
+        if own:
+            entries.append(part(name, list(dict.fromkeys(used))).select(F.explode(F.array(*own)).alias("e")).where("e is not null").select("e.*"))
+        if name in CO_PARTITIONED:
+            parts.append(_by_number(name, pk, CO_PARTITIONED[name], [x for x in by_number if x[0] == name], part))
+    most = max(slots.values(), default=0)
+    counts = _union_all(entries).groupBy("domain", "value").agg(
+        *[F.count(F.when(F.col("slot") == s, 1)).alias(f"n{s}") for s in range(most + 1)])
+    bits = F.when(F.col("domain") >= len(domains), F.col("value").cast("long"))
+    # A few rows a domain: repeats of keys, rows with these bits, references without a key.
+    sums = counts.groupBy("domain", bits.alias("bits")).agg(
+        F.sum("n0").alias("rows"), F.sum(F.greatest(F.col("n0") - 1, F.lit(0))).alias("r0"),
+        *[F.sum(F.when(F.col("n0") == 0, F.col(f"n{s}"))).alias(f"r{s}") for s in range(1, most + 1)])
+    found = F.when(F.col("slot") < 0, F.when(F.expr("shiftright(bits, -1 - slot) & 1") == 1, F.col("rows")))
+    for s in range(most + 1):
+        found = found.when(F.col("slot") == s, F.col(f"r{s}"))
+    rules = t.spark.createDataFrame(rules, "`table` string, rule string, domain int, slot int")
+    parts.append(rules.join(sums, "domain", "left").groupBy("table", "rule").agg(F.coalesce(F.sum(found), F.lit(0)).alias("violations")))
     return _union_all(parts)
 
 
+def _by_number(name, pk, key, links, part) -> DataFrame:
+    """The primary key of a fact and its references by registration number."""
+    df = part(name, pk).groupBy(*pk).agg(F.count(F.lit(1)).alias("_n")).select(F.col(key).alias("_key"), "_n", (F.col("_n") - 1).alias("_more"))
+    if list(pk) != [key]:
+        df = df.groupBy("_key").agg(F.sum("_n").alias("_n"), F.sum("_more").alias("_more"))
+    found = [(f"pk({','.join(pk)})", F.sum("_more"))]
+    for j, (_, col, parent, pcol) in enumerate(links):
+        owners = part(parent, [pcol]).where(F.col(pcol).isNotNull()).groupBy(F.col(pcol).alias(f"_p{j}")).agg(F.lit(True).alias(f"_has{j}"))
+        mine, theirs = F.col("_key"), F.col(f"_p{j}")
+        if df.schema["_key"].dataType != owners.schema[f"_p{j}"].dataType:
+            mine, theirs = mine.cast("string"), theirs.cast("string")
+        df = df.join(owners, mine == theirs, "left")
+        found.append((f"fk({col}->{parent}.{pcol})", F.sum(F.when(F.col("_key").isNotNull() & F.col(f"_has{j}").isNull(), F.col("_n")))))
+    each = df.agg(*[F.coalesce(e, F.lit(0)).alias(f"v{i}") for i, (_, e) in enumerate(found)])
+    rows = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"v{i}").alias("violations")) for i, (rule, _) in enumerate(found)])
+    return each.select(F.lit(name).alias("table"), F.explode(rows).alias("r")).select("table", "r.rule", "r.violations")
+
+
 def _union_all(parts: list[DataFrame]) -> DataFrame:
     """Union in pairs: a plan of small depth, analysed once per level."""
     while len(parts) > 1:
