@@ -86,3 +86,13 @@ def test_loading_again_replaces_the_table(spark, tmp_dir):
         cand = spark.range(n).selectExpr("id as regnumber", "cast(2020 + id % 2 as int) as year")
         S.materialize(S.FrameTables(spark, candidate=cand), tmp_dir, tables=["candidate"], buckets=2)
         assert S.StoredTables(spark, tmp_dir, tables=["candidate"]).candidate().count() == n
+
+
+def test_constraints_of_facts_move_no_candidate(pair, no_broadcast):
+    def keys(t):
+        plan = model_ops.check_constraints(t)._jdf.queryExecution().executedPlan().toString()
+        return set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)), plan.count("Scan parquet")
+    moved, scans = keys(pair[1])
+    # Only entries (by domain, value) and their sums move, and each fact is read a few times, not once a rule.
+    assert not moved & (KEYS | {"_key", "_p0"}), moved
+    assert keys(pair[0])[0] & KEYS and scans < 30
