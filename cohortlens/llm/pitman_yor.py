@@ -457,8 +457,11 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, seed: int
     number, count = np.concatenate(ids), np.concatenate(counts)
     _free(spark=docs.sparkSession)
     sections = Sections(number, np.minimum(width, np.maximum(1, -(-count * 4 * width // max(1, total)))))
-    uses = stored(gather(pair_rows(texts, numbered, width, sections, total, vocabulary), width, sections), "pairs")
+    # Written between the two exchanges, so that only one of them and its input lie on disk at a time.
+    asked = stored(pair_rows(texts, numbered, width, sections, total, vocabulary), "asked")
     _free(texts, numbered)
+    uses = stored(gather(asked, width, sections), "pairs")
+    _free(asked)
     ones, twos = (x or 0 for x in uses.agg(F.sum("ones"), F.sum("twos")).first())
     discount = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
     base, tables, state, totals = 1 / (vocabulary + 1), vocabulary, uses.select(*_STATE_NAMES), []
