@@ -334,9 +334,13 @@ def gather(pairs: DataFrame, width: int, sections: Sections) -> DataFrame:
     return _by_bucket(pairs, width, "bucket").mapInArrow(run, f"{_STATE}, uses {_USES}")
 
 
-def parent_round(state: DataFrame, width: int, tables: int, base: float, discount: float, seed: int) -> DataFrame:
+def parent_round(state: DataFrame, seats: DataFrame | None, width: int, tables: int, base: float, discount: float, seed: int) -> DataFrame:
     """Seats the parent restaurant: per (bucket of contexts, bucket of words)
-    each word's customers and tables there; totals come in rows of bucket -1."""
+    each word's customers and tables there; totals come in rows of bucket -1,
+    all words' tables in rows of bucket -2. ``seats``: those rows of the last
+    round (at first, each word has one table). A word is drawn given the
+    tables of all others: of its bucket, in passes, and of the other buckets
+    as of the last round."""
 
     @blocks.frugal
     def ask(batches):
@@ -351,21 +355,31 @@ def parent_round(state: DataFrame, width: int, tables: int, base: float, discoun
     @blocks.frugal
     def answer(batches):
         for i, rows in _grouped(batches, "word_bucket"):
+            last = unpack(rows.pop(0)["body"])[0].astype(np.int64) if rows[0]["bucket"] == -2 else None
             asked = [unpack(r["body"]) for r in rows]
             places = [np.cumsum(a[0].astype(np.int64)) for a in asked]
             c = np.zeros(max(p[-1] for p in places) + 1, np.int64)
             for p, a in zip(places, asked, strict=True):
                 np.add.at(c, p, a[1])
-            s = np.minimum(c, 1)
+            one = np.minimum(c, 1)
+            last = one if last is None else last
+            elsewhere, s = max(tables - last.sum(), 0), np.clip(last, one, c)
             rng, log_s = np.random.default_rng([seed, i]), stirling(discount)
-            s = seat(c, np.maximum(tables - s, 0), np.full(len(c), base), discount, STRENGTH, log_s, rng)
+            turn = rng.integers(0, PASSES, len(c))
+            for k in range(PASSES):
+                own = np.flatnonzero((turn == k) & (c > 1))
+                s[own] = seat(c[own], elsewhere + s.sum() - s[own], np.full(len(own), base), discount, STRENGTH, log_s, rng)
             for r, p in zip(rows, places, strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([i], pa.int32()),
                                                   pa.array([pack(c[p].astype(np.uint64), s[p].astype(np.uint64))], pa.binary())], names=["bucket", "word_bucket", "body"])
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([i], pa.int32()), pa.array([pack(np.array([c.sum(), s.sum()]))], pa.binary())],
                                              names=["bucket", "word_bucket", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([-2], pa.int32()), pa.array([i], pa.int32()), pa.array([pack(s.astype(np.uint32))], pa.binary())],
+                                             names=["bucket", "word_bucket", "body"])
 
     asked = state.select("bucket", "pairs", "tables").mapInArrow(ask, "word_bucket int, bucket int, body binary")
+    if seats is not None:
+        asked = asked.unionByName(seats)
     return _by_bucket(asked, width, "word_bucket", "bucket").mapInArrow(answer, "bucket int, word_bucket int, body binary")
 
 
@@ -465,12 +479,13 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, burn_in: int = BURN_IN, seed: int
     ones, twos = (x or 0 for x in uses.agg(F.sum("ones"), F.sum("twos")).first())
     discount = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
     base, tables, state, totals = 1 / (vocabulary + 1), vocabulary, uses.select(*_STATE_NAMES), []
-    hot = _totals(state)
+    hot, seats = _totals(state), None
     for i in range(rounds):
-        parent = stored(parent_round(state, width, tables, base, discount, seed * 1000 + 2 * i), "parent")
-        customers, tables = np.sum([unpack(bytes(r.body))[0] for r in parent.where("bucket < 0").select("body").collect()] or [[0, 0]], axis=0).tolist()
+        parent = stored(parent_round(state, seats, width, tables, base, discount, seed * 1000 + 2 * i), "parent")
+        customers, tables = np.sum([unpack(bytes(r.body))[0] for r in parent.where("bucket = -1").select("body").collect()] or [[0, 0]], axis=0).tolist()
         before, state = state, stored(context_round(state, parent, width, sections, hot, customers, tables, base, discount, seed * 1000 + 2 * i + 1, i >= burn_in), "state")
-        _free(parent, *([before] if i else []))
+        old, seats = seats, stored(parent.where("bucket = -2"), "seats") if i + 1 < rounds else None
+        _free(parent, *([before] if i else []), *([old] if i else []))
         hot = _totals(state)
         if i >= burn_in:
             totals.append(hot)
