@@ -16,7 +16,7 @@ from .blocks import frugal
 from .common import discard, stored, url_host
 from .markup import SILENT, Node, Text, parse
 
-#: Page shapes of a host that its wrapper is built from: those of most pages.
+#: Trees that merge at a time: the shapes of most pages of a host as they are, then all others in rounds.
 SHAPES = 16
 #: A text is template if it stands at one place of the wrapper on more than this share of a host's pages ...
 TEMPLATE = 0.5
@@ -228,6 +228,23 @@ def induce(shapes: list[str]) -> str:
     return json.dumps(wrapper, separators=(",", ":"))
 
 
+def paths(tree: list) -> set[int]:
+    """Hashes of the labels from the root to every node."""
+    out, todo = set(), [(tree, 0)]
+    while todo:
+        x, above = todo.pop()
+        path = _mark(f"{above}/{x[0]}")
+        out.add(path)
+        todo += [(c, path) for c in x[1]]
+    return out
+
+
+def pruned(tree: list, keep: set[int], above: int = 0) -> list:
+    """``tree`` without the nodes whose paths are not in ``keep``; the root stays."""
+    path = _mark(f"{above}/{tree[0]}")
+    return [tree[0], [pruned(c, keep, path) for c in tree[1] if _mark(f"{path}/{c[0]}") in keep]]
+
+
 @lru_cache(4096)
 def aligned(page: str, wrapper: str) -> dict[int, int]:
     """Nodes of a page's shape to nodes of its host's wrapper."""
@@ -314,6 +331,58 @@ def _induce(batches):
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([induce(s) for s in batch.column("shapes").to_pylist()], pa.string())], names=["host", "wrapper"])
 
 
+@frugal
+def _merge(batches):
+    for batch in batches:
+        merged_of = pa.array([induce(s) for s in batch.column("shapes").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("host", "id", "parts")] + [merged_of], names=["host", "id", "parts", "tree"])
+
+
+@frugal
+def _paths(batches):
+    for batch in batches:
+        found = [list(paths(json.loads(s))) for s in batch.column("shape").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("n"), pa.array(found, pa.list_(pa.int64()))], names=["host", "n", "paths"])
+
+
+@frugal
+def _prune(batches):
+    for batch in batches:
+        trees = [json.dumps(pruned(json.loads(s), set(k or ())), separators=(",", ":")) for s, k in zip(batch.column("shape").to_pylist(), batch.column("keep").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(map(_mark, trees), pa.int64()), pa.array(trees, pa.string())], names=["host", "id", "tree"])
+
+
+def _others(shapes: DataFrame, frequent: DataFrame) -> DataFrame | None:
+    """(host, others): the shapes that are not among a host's ``frequent``
+    ones, merged into one tree for each host; None if there are none.
+
+    Partners have the same labels up to the root, so a text can only be
+    constant under a path of labels that more than ``TEMPLATE`` of the host's
+    pages have: other nodes are left out first, which loses no template and
+    bounds the tree by the size of the pages. Trees merge ``SHAPES`` at a
+    time, in rounds."""
+    many = shapes.groupBy("host").agg(F.count("*").alias("kinds"), F.sum("n").alias("pages")).where(F.col("kinds") > SHAPES)
+    if many.isEmpty():
+        return None
+    wide = shapes.join(many.select("host", "pages"), "host")
+    counts = wide.select("host", "n", "shape").mapInArrow(_paths, "host string, n long, paths array<long>").select("host", "n", F.explode("paths").alias("path")).groupBy("host", "path").agg(F.sum("n").alias("n"))
+    keep = counts.join(many, "host").where(F.col("n") > TEMPLATE * (F.col("pages") + 1)).groupBy("host").agg(F.collect_list("path").alias("keep"))
+    rest = wide.join(frequent.select("host", "kind"), ["host", "kind"], "left_anti").join(keep, "host", "left")
+    trees = rest.select("host", "shape", "keep").mapInArrow(_prune, "host string, id long, tree string").dropDuplicates(["host", "id"])
+    trees = stored(trees, "trees")
+    left = stored(trees.join(trees.groupBy("host").agg(F.count("*").alias("parts")), "host"), "parts")
+    discard(trees)
+    most = left.agg(F.max("parts")).first()[0]
+    while most > 1:
+        parts = F.ceil(F.col("parts") / SHAPES).cast("long")
+        groups = left.select("host", F.pmod("id", parts).alias("id"), parts.alias("parts"), F.struct("id", "tree").alias("x")).groupBy("host", "id", "parts")
+        lists = groups.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["tree"]).alias("shapes"))
+        done, left = left, stored(lists.mapInArrow(_merge, "host string, id long, parts long, tree string"), "parts")
+        discard(done)
+        most = -(-most // SHAPES)
+    return left.select("host", F.col("tree").alias("others"))
+
+
 @frugal
 def _align(batches):
     for batch in batches:
@@ -332,15 +401,18 @@ def wrappers(pages: DataFrame) -> DataFrame:
     Every page is read once into a narrow table (its shape, a place and a
     hash per block of text); copies of a page on a host count once. Shapes
     are counted over all pages, and the ``SHAPES`` most frequent of a host
-    merge into its wrapper; the alignment is a matter of (host, shape), so it
+    merge into its wrapper, then what ``_others`` makes of all others; the alignment is a matter of (host, shape), so it
     is computed once for each. Counts meet in partial sums: no host's pages
     come together in a task."""
     read = stored(pages.where("host is not null").select("host", "html").mapInArrow(_read, _SEEN), "shapes")
     seen = read.dropDuplicates(["host", "page"])
-    shapes = seen.groupBy("host", "kind").agg(F.count("*").alias("n"), F.min("shape").alias("shape"))
+    shapes = stored(seen.groupBy("host", "kind").agg(F.count("*").alias("n"), F.min("shape").alias("shape")), "kinds")
     order = Window.partitionBy("host").orderBy(F.desc("n"), "kind")
     frequent = shapes.withColumn("i", F.row_number().over(order)).where(F.col("i") <= SHAPES)
     lists = frequent.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "shape"))), lambda x: x["shape"]).alias("shapes"))
+    others = _others(shapes, frequent)
+    if others is not None:
+        lists = lists.join(others, "host", "left").select("host", F.concat("shapes", F.array_compact(F.array("others"))).alias("shapes"))
     found = stored(lists.mapInArrow(_induce, "host string, wrapper string"), "wrappers")
     places = stored(shapes.select("host", "kind", "shape").join(found, "host").select("host", "kind", "shape", "wrapper").mapInArrow(_align, "host string, kind long, nodes array<int>"), "places")
     # A shape's node without a partner in the wrapper is at no place.
@@ -351,7 +423,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     common = texts.groupBy("host", "place", "mark").agg(F.count("*").alias("n")).where("n > 1").join(totals, "host").where(F.col("n") > TEMPLATE * (F.col("pages") + 1))
     constant = common.groupBy("host").agg(F.collect_list(F.struct("place", "mark", F.col("n").cast("int").alias("n"))).alias("constant"))
     templates = stored(found.join(totals, "host").join(constant, "host", "left"), "templates")
-    for table in (read, found, places):
+    for table in (read, shapes, found, places) + (() if others is None else (others,)):
         discard(table)
     return templates
 

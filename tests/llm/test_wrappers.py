@@ -248,3 +248,19 @@ def test_odd_rows(spark):
 def test_real_outputs_keep_the_other_columns(spark):
     df = spark.createDataFrame([(1, "http://k.example/", "<p>a", 5)], "id long, url string, html string, text int")
     assert [r.asDict() for r in W.extract(df).collect()] == [{"id": 1, "url": "http://k.example/", "text": "a"}]
+
+
+def test_template_of_rare_shapes_is_found(spark):
+    """Sixteen shapes of two pages each lack the box that most pages have, each of which has a shape of its own."""
+    name = lambda i: "z" + "bcdfghjklm"[i // 10] + "bcdfghjklm"[i % 10]
+    plain = [f"<html><body><section class={name(i)}><p>own {i} {j}</p></section></body></html>" for i in range(16) for j in range(2)]
+    boxed = [f"<html><body><section class={name(i)}><p>own {i}</p></section><div class=zbox><p>all the same</p></div></body></html>" for i in range(16, 76)]
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(plain + boxed)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in W.page_texts(pages).collect()}
+    assert got == {i: f"own {i // 2} {i % 2}" for i in range(32)} | {32 + i: f"own {16 + i}" for i in range(60)}
+
+
+def test_pruning_keeps_common_paths():
+    a, b = ["html", [["x", [["p", []]]], ["y", []]]], ["html", [["x", [["q", []], ["p", []]]]]]
+    keep = W.paths(a) & W.paths(b)
+    assert W.pruned(a, keep) == W.pruned(b, keep) == ["html", [["x", [["p", []]]]]] and W.pruned(a, set()) == ["html", []]
